@@ -56,7 +56,9 @@ def gender_label(g) -> Column:
 
 
 def round6(x) -> Column:
-    return F.round(c(x).cast("double"), 6)
+    """Round to 6 places as round(x·1e6)/1e6: the scaling is exact IEEE arithmetic, so every
+    engine rounds the same scaled value (direct decimal rounding differs on .5e-6 ties)."""
+    return F.round(c(x).cast("double") * F.lit(1e6)) / F.lit(1e6)
 
 
 def ts_text(x) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shopsignal.operators import bi, baskets, customers, features, products, recommend, sequences, targeting
 from shopsignal.operators.features import AMOUNT, DATE
+from shopsignal.functions.scalar import round6
 from shopsignal.plans.context import Ctx, context
 
 ROW_KEY = ["BasketID", "LineNo", "ClientID", "ProductID", "StoreID", AMOUNT, "Quantity"]
@@ -33,10 +34,8 @@ def normalize(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        elif isinstance(f.dataType, T.DecimalType):
-            c = F.round(c.cast("double"), 6)
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+        elif isinstance(f.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
+            c = round6(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
