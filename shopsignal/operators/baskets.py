@@ -1,6 +1,7 @@
 """Market-basket mining (pair rules) and the bundle / cross-sell views built on rules."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ def association_rules(df: DataFrame, item_col: str = "ProductID", min_support: f
     by a self-join on basket; big baskets are split into blocks so no task pairs more than
     PAIR_BLOCK × size items, whatever the basket size.
     """
-    items = basket_items(df, item_col)
-    n_baskets = items.select(F.countDistinct("BasketID")).scalar()
-    item_n = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    # (basket, item) feeds the basket count, the item counts and the pair join: keep it
+    items = basket_items(df, item_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n_baskets = F.lit(items.select(F.countDistinct("BasketID")).first()[0])
+    item_n = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     threshold = F.lit(min_count).cast("double") if min_count is not None else n_baskets.cast("double") * F.lit(min_support)
     keep = item_n.filter(F.col("_n").cast("double") >= threshold).select("item")
     pruned = items.join(keep, "item", "left_semi")

@@ -1,6 +1,7 @@
 """Customer scoring: RFM, favourite category, personas, enrichment, affinity, propensity."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
 
 
 def customer_rfm(master: DataFrame) -> DataFrame:
-    return rfm_segments(rfm_scores(rfm_base(master)))
+    # the per-client table feeds four quintile jobs: keep it (one row per client)
+    base = rfm_base(master).persist(StorageLevel.MEMORY_AND_DISK)
+    return rfm_segments(rfm_scores(base))
 
 
 def favorite_category(master: DataFrame) -> DataFrame:

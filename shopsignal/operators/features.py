@@ -35,33 +35,35 @@ def master_join(tx: DataFrame, products: DataFrame, clients: DataFrame, stores:
 
 def add_calendar(df: DataFrame) -> DataFrame:
     d = F.col(DATE)
-    out = (df.withColumn("Year", F.year(d)).withColumn("Month", F.month(d))
-             .withColumn("Quarter", F.quarter(d)).withColumn("DayOfWeek", F.weekday(d))
-             .withColumn("DayOfMonth", F.dayofmonth(d))
-             .withColumn("IsWeekend", F.col("DayOfWeek").isin(5, 6).cast("int"))
-             .withColumn("Season", season("Month")))
+    month, quarter, dow = F.month(d), F.quarter(d), F.weekday(d)
+    cols = {"Year": F.year(d), "Month": month, "Quarter": quarter, "DayOfWeek": dow,
+            "DayOfMonth": F.dayofmonth(d), "IsWeekend": dow.isin(5, 6).cast("int"), "Season": season(month)}
     for s in ("Winter", "Spring", "Summer", "Fall"):
-        out = out.withColumn(f"Is{s}", (F.col("Season") == s).cast("int"))
+        cols[f"Is{s}"] = (season(month) == s).cast("int")
     for q in (1, 2, 3, 4):
-        out = out.withColumn(f"IsQ{q}", (F.col("Quarter") == q).cast("int"))
-    return out
+        cols[f"IsQ{q}"] = (quarter == q).cast("int")
+    return df.withColumns(cols)
 
 
 def add_retail_events(df: DataFrame) -> DataFrame:
     """Black Friday window [bf, bf+3d] (Monday 00:00 included), Cyber Monday at bf+3d 00:00,
-    fixed seasonal windows and IsHoliday. Needs Year/Month/DayOfMonth/IsWeekend."""
+    fixed seasonal windows and IsHoliday."""
     d = F.col(DATE)
-    bf = as_ts(black_friday(F.col("Year")))
-    cm = as_ts(F.date_add(black_friday(F.col("Year")), 3))
-    m, dom = F.col("Month"), F.col("DayOfMonth")
-    return (df.withColumn("IsBlackFriday", flag((d >= bf) & (d <= cm)))
-              .withColumn("IsCyberMonday", flag(d == cm))
-              .withColumn("IsChristmasSeason", flag((m == 12) & (dom <= 25)))
-              .withColumn("IsNewYearSeason", flag(((m == 12) & (dom >= 26)) | ((m == 1) & (dom <= 7))))
-              .withColumn("IsBackToSchool", flag(((m == 8) & (dom >= 15)) | ((m == 9) & (dom <= 15))))
-              .withColumn("IsSummerSale", flag(((m == 6) & (dom >= 15)) | (m == 7)))
-              .withColumn("IsHoliday", flag((F.col("IsWeekend") == 1) | (F.col("IsChristmasSeason") == 1)
-                                            | (F.col("IsNewYearSeason") == 1) | (F.col("IsBlackFriday") == 1))))
+    year = F.year(d)
+    bf = as_ts(black_friday(year))
+    cm = as_ts(F.date_add(black_friday(year), 3))
+    m, dom = F.month(d), F.dayofmonth(d)
+    black = flag((d >= bf) & (d <= cm))
+    xmas = flag((m == 12) & (dom <= 25))
+    newyear = flag(((m == 12) & (dom >= 26)) | ((m == 1) & (dom <= 7)))
+    weekend = F.weekday(d).isin(5, 6)
+    return df.withColumns({
+        "IsBlackFriday": black, "IsCyberMonday": flag(d == cm), "IsChristmasSeason": xmas,
+        "IsNewYearSeason": newyear,
+        "IsBackToSchool": flag(((m == 8) & (dom >= 15)) | ((m == 9) & (dom <= 15))),
+        "IsSummerSale": flag(((m == 6) & (dom >= 15)) | (m == 7)),
+        "IsHoliday": flag(weekend | (xmas == 1) | (newyear == 1) | (black == 1)),
+    })
 
 
 def sporting_event_flag(events=K.SPORTING_EVENTS, country_col: str = "ClientCountry"):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     No single task ever holds the distinct values. Returns Python floats (one small row).
     """
     base = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
     n = counts.select(F.sum("_cnt")).first()[0]
     if not n:
         return [None for _ in probs]
@@ -160,6 +161,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     lo_incl = F.col("_qcum") - F.col("_cnt")
     picks = [F.max(F.when((lo_incl <= r) & (F.col("_qcum") > r), F.col("_v"))).alias(f"r{r}") for r in wanted]
     row = scanned.agg(*picks).first()
+    counts.unpersist()
     out = []
     for p in probs:
         h = (n - 1) * p

@@ -40,7 +40,7 @@ def noise_filter(master: DataFrame) -> DataFrame:
     return priced.filter((F.col("PricePerUnit") >= F.lit(floor)) & (F.col(QTY) <= F.lit(ceiling)))
 
 
-def trending_scores(master: DataFrame, target_date=None) -> DataFrame:
+def trending_scores(master: DataFrame, target_date=None, filtered: DataFrame | None = None) -> DataFrame:
     """Per (store, country, product): recency score over the last 60 days (weight
     1/(1+0.1·days_ago)), seasonal score (units in the same quarter before the window),
     FinalScore = .7·recent + .3·seasonal, plus the product's last family and mean price.
@@ -54,7 +54,7 @@ def trending_scores(master: DataFrame, target_date=None) -> DataFrame:
         target_date = _dt.datetime.fromisoformat(target_date)
     cutoff = target_date - _dt.timedelta(days=K.TREND_WINDOW_DAYS)
     tq = (target_date.month - 1) // 3 + 1
-    df = noise_filter(master)
+    df = filtered if filtered is not None else noise_filter(master)
     d = F.col(DATE)
     t_lit = F.lit(target_date).cast("timestamp_ntz")
     c_lit = F.lit(cutoff).cast("timestamp_ntz")
@@ -75,9 +75,10 @@ def trending_scores(master: DataFrame, target_date=None) -> DataFrame:
                            + F.col("seasonal_score") * K.TREND_SEASONAL_WEIGHT))
 
 
-def global_trends(master: DataFrame, products: DataFrame, target_date=None, top: int = 100) -> DataFrame:
+def global_trends(master: DataFrame, products: DataFrame, target_date=None, top: int = 100,
+                  filtered: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Σ FinalScore per product, best first, with FamilyLevel2; top ``top`` (the feature)."""
-    s = trending_scores(master, target_date)
+    s = scores if scores is not None else trending_scores(master, target_date, filtered)
     g = s.groupBy("ProductID").agg(F.sum("FinalScore").alias("FinalScore"))
     ranked = g.withColumn("Rank", F.row_number().over(
         Window.orderBy(F.round("FinalScore", 6).desc(), F.col("ProductID"))))

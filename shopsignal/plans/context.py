@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,14 @@ from shopsignal.sources.retail import RetailTables, load_retail
 PERSONA_SINCE = dt.datetime(2023, 6, 1)
 
 _CACHE: dict = {}
+_SOURCES: dict = {}   # (session, folder) -> RetailTables (metadata only: reused across contexts)
+
+
+def clear() -> None:
+    """Drop cached contexts and their persisted tables."""
+    for ctx in list(_CACHE.values()):
+        ctx.release()
+    _CACHE.clear()
 
 
 def context(spark: SparkSession, sf_dir: str) -> "Ctx":
@@ -31,9 +40,21 @@ class Ctx:
         self.sf_dir = sf_dir
         self.since = since
 
+    def release(self) -> None:
+        for holder in (self, self.__dict__.get("recent")):
+            if holder is None:
+                continue
+            for v in list(holder.__dict__.values()):
+                if isinstance(v, DataFrame) and v.storageLevel != StorageLevel.NONE:
+                    v.unpersist()
+
     @cached_property
     def t(self) -> RetailTables:
-        t = load_retail(self.spark, self.sf_dir)
+        key = (id(self.spark), self.sf_dir.rstrip("/"))
+        if key not in _SOURCES:
+            _SOURCES[key] = load_retail(self.spark, self.sf_dir)
+        src = _SOURCES[key]
+        t = RetailTables(src.transactions, src.clients, src.products, src.stores, src.stocks)
         if self.since is not None:
             t.transactions = t.transactions.filter(F.col(cleaning.DATE) >= F.lit(self.since).cast("timestamp_ntz"))
         return t
@@ -57,9 +78,14 @@ class Ctx:
 
     @cached_property
     def master(self) -> DataFrame:
-        """Clean sales ⟕ dims + calendar + events (row-wise features)."""
+        """Clean sales ⟕ dims + calendar + events (row-wise features).
+
+        Persisted (memory, spilling to disk): every query runs several jobs over it (scalar
+        thresholds, quantile edges, aggregates); lost blocks are recomputed from lineage.
+        """
         m = features.master_join(self.clean, self.products, self.clients, self.t.stores)
-        return features.add_sporting_events(features.add_retail_events(features.add_calendar(m)))
+        return features.add_sporting_events(features.add_retail_events(features.add_calendar(m))) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -79,20 +105,31 @@ class Ctx:
 
     @cached_property
     def latest_day(self) -> dt.datetime:
-        d = self.master.select(F.max(cleaning.DATE)).first()[0]
+        d = self.max_date
         return dt.datetime(d.year, d.month, d.day)
 
+    @cached_property
+    def denoised(self) -> DataFrame:
+        """Sales inside the global unit-price p10 / quantity p99 bounds (computed once)."""
+        return products.noise_filter(self.master)
+
+    @cached_property
+    def max_date(self):
+        return self.master.select(F.max(cleaning.DATE)).first()[0]
+
     @cached_property
     def trend_scores(self) -> DataFrame:
-        return products.trending_scores(self.master)
+        return products.trending_scores(self.master, self.max_date, filtered=self.denoised)
 
     @cached_property
     def popular(self) -> DataFrame:
-        return products.global_trends(self.master, self.products)
+        return products.global_trends(self.master, self.products, self.max_date, filtered=self.denoised,
+                                      scores=self.trend_scores)
 
     @cached_property
     def trending(self) -> DataFrame:
-        return products.global_trends(self.master, self.products, target_date=self.latest_day)
+        return products.global_trends(self.master, self.products, target_date=self.latest_day,
+                                      filtered=self.denoised)
 
     @cached_property
     def rules_product(self) -> DataFrame:
