@@ -275,3 +275,21 @@ def dimension_values(master: DataFrame, stores: DataFrame) -> DataFrame:
     si = master.filter(F.col("StoreID").isNotNull()).select("StoreID").join(st, "StoreID", "left").select(
         F.lit("StoreID"), F.col("StoreID"), F.col("_sc"))
     return cc.union(sc).union(si).distinct()
+
+
+def country_playbook_app(insights: DataFrame, spark) -> DataFrame:
+    """The interactive app's variant: win-back above 50 inactive clients, stock alert above
+    5 zero-stock items, and the dominant persona's strategy."""
+    st = strategy_table(spark).select(F.col("Persona").alias("dominant_persona"), "Strategy")
+    i = insights.join(st, "dominant_persona", "left")
+
+    def act(no, name, count, detail):
+        return F.struct(F.lit(no).alias("ActionNo"), F.lit(name).alias("Action"),
+                        count.cast("bigint").alias("Count"), detail.alias("Detail"))
+    acts = F.array(
+        F.when(F.col("inactive_count") > 50, act(1, "win_back", F.col("inactive_count"), F.lit("SMS Re-engagement"))),
+        F.when(F.col("zero_stock") > 5, act(2, "stock_alert", F.col("zero_stock"), F.lit("popular items out of stock"))),
+        F.when(F.col("dominant_persona").isNotNull(), act(3, "dominant_persona", F.lit(None),
+                                                         F.coalesce(F.col("Strategy"), F.lit("Standard")))),
+    )
+    return i.select("Country", F.explode(F.filter(acts, lambda a: a.isNotNull())).alias("a")).select("Country", "a.*")

@@ -552,3 +552,28 @@ def q_client_360(x: Ctx):
 @query("dimension_values")
 def q_dims(x: Ctx):
     return bi.dimension_values(x.master, x.t.stores)
+
+
+# ---------------------------------------------------------------- A. parse / materialise
+@query("parse_dates")
+def q_parse_dates(x: Ctx):
+    """Sale dates as text with and without UTC offsets (and some unparseable values), parsed
+    back: offsets are dropped keeping wall time, bad text becomes NULL (quarantined)."""
+    from shopsignal.sources.schemas import parse_sale_dates
+    tx = x.t.transactions
+    text = F.when(F.col("LineNo") % 7 == 0, F.lit("not a date")).otherwise(F.concat(
+        F.date_format(DATE, "yyyy-MM-dd HH:mm:ss"),
+        F.when(F.col("LineNo") % 3 == 0, "+00:00").when(F.col("LineNo") % 3 == 1, "+02:00").otherwise("")))
+    parsed = parse_sale_dates(tx.withColumn(DATE, text))
+    return parsed.select(*ROW_KEY, DATE, F.col(DATE).isNull().cast("int").alias("IsQuarantined"))
+
+
+@query("materialize")
+def q_materialize(x: Ctx):
+    from shopsignal.plans.materialize import materialize
+    return materialize(x)
+
+
+@query("country_playbook_app")
+def q_playbook_app(x: Ctx):
+    return bi.country_playbook_app(_insights(x), x.spark)

@@ -715,6 +715,18 @@ UNION SELECT DISTINCT 'StoreID', m.StoreID, s.StoreCountry FROM {p}master m LEFT
   WHERE m.StoreID IS NOT NULL""")
 
 
+key("parse_dates", f"""SELECT {RK}, strftime(p, {TS}) AS SaleTransactionDate, CAST(p IS NULL AS INTEGER) AS IsQuarantined FROM (
+  SELECT *, TRY_CAST(CASE WHEN LineNo % 7 = 0 THEN 'not a date'
+                          ELSE strftime(SaleTransactionDate, {TS}) || CASE WHEN LineNo % 3 = 0 THEN '+00:00'
+                                 WHEN LineNo % 3 = 1 THEN '+02:00' ELSE '' END END AS TIMESTAMP) AS p FROM tx)""")
+key("country_playbook_app", """SELECT Country, ActionNo, Action, Count, Detail FROM (
+  SELECT Country, 1 AS ActionNo, 'win_back' AS Action, CAST(inactive_count AS BIGINT) AS Count, 'SMS Re-engagement' AS Detail
+  FROM {p}insights WHERE inactive_count > 50
+  UNION ALL SELECT Country, 2, 'stock_alert', zero_stock, 'popular items out of stock' FROM {p}insights WHERE zero_stock > 5
+  UNION ALL SELECT i.Country, 3, 'dominant_persona', CAST(NULL AS BIGINT), COALESCE(s.Strategy, 'Standard')
+  FROM {p}insights i LEFT JOIN strategies s ON i.dominant_persona = s.Persona WHERE i.dominant_persona IS NOT NULL)""", P)
+
+
 # ------------------------------------------------------------------ assembly
 _REF = re.compile(r"\{p\}(\w+)")
 

@@ -34,4 +34,4 @@ def test_every_query_has_a_builder_and_oracle_keys_exist():
     from shopsignal.plans.oracle import ORACLE_SQL
     assert set(ORACLE_SQL) <= set(QUERIES)
     missing = set(QUERIES) - set(ORACLE_SQL)
-    assert missing == {"prod2vec_vectors", "prod2vec_lookup", "similar_products", "recs_blend"}
+    assert missing == {"prod2vec_vectors", "prod2vec_lookup", "similar_products", "recs_blend", "materialize"}
