@@ -24,14 +24,25 @@ def _order_col(o) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
+GROUP_WINDOW_LIMIT = 2_000_000   # largest group a single window task may take
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
                  sum_col: str | None = None, lag_cols: Sequence[str] = (),
-                 num_partitions: int | None = None, prefix: str = "") -> DataFrame:
+                 num_partitions: int | None = None, prefix: str = "",
+                 group_limit: int | None = GROUP_WINDOW_LIMIT) -> DataFrame:
     """Append ``{prefix}rn`` (1-based), ``{prefix}cum`` (inclusive running sum of ``sum_col``)
     and ``{prefix}prev_<c>`` for each lag column, within ``keys`` groups ordered by ``order``.
 
     ``order`` must make rows of a group totally ordered (add tie-break columns).
+    With group keys, the largest group is measured first (one partial aggregate): when every
+    group is at most ``group_limit`` rows a plain partitioned window is safe and cheaper;
+    otherwise (a hot key) the range-partitioned scan splits the group over many tasks.
     """
+    if keys and group_limit:
+        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= group_limit:
+            return _window_scan(df, keys, order, sum_col, lag_cols, prefix)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or default_partitions(spark)
@@ -98,6 +109,17 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     return out.drop(*drop)
 
 
+def _window_scan(df: DataFrame, keys, order, sum_col, lag_cols, prefix) -> DataFrame:
+    order_cols = [_order_col(o) for o in order]
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order_cols)
+    out = df.withColumn(f"{prefix}rn", F.row_number().over(w))
+    if sum_col:
+        out = out.withColumn(f"{prefix}cum", F.sum(sum_col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    for lc in lag_cols:
+        out = out.withColumn(f"{prefix}prev_{lc}", F.lag(lc).over(w))
+    return out
+
+
 def average_rank_pct(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame:
     """pandas ``rank(pct=True)`` (average method): (#smaller + (ties+1)/2) / n.
 
@@ -116,14 +138,10 @@ def quintile_score(df: DataFrame, value: str, out: str, ascending: bool = True)
     1 + #{p_k < x}. If any edge repeats, fall back to average-rank percentile bins
     (0, .2], (.2, .4], ... Descending scores are 6 - score.
 
-    The five edges are one small aggregate row; it is fetched once to pick the branch, so the
-    rank fallback (a distributed scan) runs only when needed.
+    The six edges come from the exact quantile helper (a few scalars fetched once to pick
+    the branch), so the rank fallback runs only when needed.
     """
-    probs = F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])
-    row = df.select(
-        F.min(value).cast("double").alias("mn"), F.max(value).cast("double").alias("mx"),
-        F.percentile(F.col(value).cast("double"), probs).alias("q")).first()
-    edges = [row["mn"], *(row["q"] or []), row["mx"]]
+    edges = exact_quantiles(df, value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
     x = F.col(value).cast("double")
     if None not in edges and len(set(edges)) == 6:
         score = F.lit(1)
@@ -146,17 +164,29 @@ def global_percentile(df: DataFrame, value: str, p: float) -> Column:
     return df.select(F.percentile(F.col(value).cast("double"), F.lit(p))).scalar()
 
 
+LOCAL_ORDER_LIMIT = 1_000_000   # distinct values a single ordered window may handle
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact linear-interpolation quantiles (pandas/NumPy default) of a column, computed
-    distributively: value counts → ordered running count → pick the order statistics.
-    No single task ever holds the distinct values. Returns Python floats (one small row).
+    """Exact linear-interpolation quantiles (pandas/NumPy default) of a column.
+
+    Value counts first (a hot value is one row). If the distinct-value table is at most
+    LOCAL_ORDER_LIMIT rows (checked), one ordered window over that bounded table gives the
+    running counts; beyond it the distributed ordered scan does. The needed order statistics
+    are picked in one aggregate and interpolated as NumPy does. Returns Python floats.
     """
     base = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counts = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
-    n = counts.select(F.sum("_cnt")).first()[0]
+    stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_cnt").alias("n")).first()
+    n, distinct = stats["n"], stats["d"]
     if not n:
+        counts.unpersist()
         return [None for _ in probs]
-    scanned = ordered_scan(counts, [], [F.col("_v")], sum_col="_cnt", prefix="_q")
+    if distinct <= LOCAL_ORDER_LIMIT:
+        w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scanned = counts.withColumn("_qcum", F.sum("_cnt").over(w))
+    else:
+        scanned = ordered_scan(counts, [], [F.col("_v")], sum_col="_cnt", prefix="_q")
     wanted = sorted({r for p in probs for r in _ranks(n, p)})
     lo_incl = F.col("_qcum") - F.col("_cnt")
     picks = [F.max(F.when((lo_incl <= r) & (F.col("_qcum") > r), F.col("_v"))).alias(f"r{r}") for r in wanted]

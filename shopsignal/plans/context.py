@@ -20,6 +20,11 @@ _CACHE: dict = {}
 _SOURCES: dict = {}   # (session, folder) -> RetailTables (metadata only: reused across contexts)
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """Persist an aggregated table several jobs of one query reuse (recomputable on loss)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def clear() -> None:
     """Drop cached contexts and their persisted tables."""
     for ctx in list(_CACHE.values()):
@@ -119,12 +124,12 @@ class Ctx:
 
     @cached_property
     def trend_scores(self) -> DataFrame:
-        return products.trending_scores(self.master, self.max_date, filtered=self.denoised)
+        return _keep(products.trending_scores(self.master, self.max_date, filtered=self.denoised))
 
     @cached_property
     def popular(self) -> DataFrame:
-        return products.global_trends(self.master, self.products, self.max_date, filtered=self.denoised,
-                                      scores=self.trend_scores)
+        return _keep(products.global_trends(self.master, self.products, self.max_date, filtered=self.denoised,
+                                      scores=self.trend_scores))
 
     @cached_property
     def trending(self) -> DataFrame:

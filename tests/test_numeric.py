@@ -53,7 +53,7 @@ def test_ordered_scan_hot_key_across_partitions(spark):
     rnd = random.Random(1)
     rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 20)}", i, rnd.randint(1, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
-    got = ordered_scan(df, ["k"], ["o"], sum_col="v", lag_cols=["v"], num_partitions=16).toPandas()
+    got = ordered_scan(df, ["k"], ["o"], sum_col="v", lag_cols=["v"], num_partitions=16, group_limit=100).toPandas()
     pdf = pd.DataFrame(rows, columns=["k", "o", "v"]).sort_values(["k", "o"])
     pdf["rn"] = pdf.groupby("k").cumcount() + 1
     pdf["cum"] = pdf.groupby("k")["v"].cumsum()
@@ -79,3 +79,12 @@ def test_top_k_equals_window_rank(spark):
     pdf = pd.DataFrame(rows, columns=["g", "id", "score"]).sort_values(["g", "score", "id"], ascending=[True, False, True])
     exp = pdf.groupby("g").head(5)
     assert sorted(zip(got.g, got.id)) == sorted(zip(exp.g, exp.id))
+
+
+def test_ordered_scan_window_path_equals_range_path(spark):
+    rows = [(f"k{i % 13}", i, i % 5) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    a = ordered_scan(df, ["k"], ["o"], sum_col="v", lag_cols=["v"], group_limit=None).toPandas()
+    b = ordered_scan(df, ["k"], ["o"], sum_col="v", lag_cols=["v"]).toPandas()
+    m = a.merge(b, on=["k", "o"])
+    assert len(m) == 800 and (m.rn_x == m.rn_y).all() and (m.cum_x == m.cum_y).all()
