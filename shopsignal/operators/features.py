@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
-from shopsignal.functions.scalar import as_ts, black_friday, day_delta, flag, season
+from shopsignal.functions.scalar import as_ts, black_friday, day_delta, exact_mean, flag, season
 from shopsignal.operators import cleaning
 from shopsignal.operators.numeric import ordered_scan
 from shopsignal.sources.retail import RetailTables
@@ -93,7 +93,7 @@ def add_price_features(df: DataFrame) -> DataFrame:
     """
     with_price = df.withColumn("PricePerUnit", F.col(AMOUNT).cast("double") / F.greatest(F.col(QTY), F.lit(1)))
     per_product = (with_price.filter(F.col("ProductID").isNotNull()).groupBy("ProductID")
-                   .agg(F.avg("PricePerUnit").alias("AvgPricePerUnit"),
+                   .agg(exact_mean("PricePerUnit").alias("AvgPricePerUnit"),
                         F.median(QTY).alias("TypicalQuantity")))
     p, avg = F.col("PricePerUnit"), F.col("AvgPricePerUnit")
     disc = (1 - p / F.greatest(avg, F.lit(0.01))) * 100

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
-from shopsignal.functions.scalar import day_delta, flag
+from shopsignal.functions.scalar import day_delta, exact_mean, flag
 from shopsignal.operators.features import AMOUNT, DATE, QTY
 from shopsignal.operators.numeric import exact_quantiles, top_k
 
@@ -67,7 +67,7 @@ def trending_scores(master: DataFrame, target_date=None, filtered: DataFrame | N
     tb = [c for c in ("BasketID", "LineNo", "StoreID", "ClientID") if c in df.columns]
     catalog = df.filter(F.col("ProductID").isNotNull()).groupBy("ProductID").agg(
         F.max_by("FamilyLevel1", F.when(F.col("FamilyLevel1").isNotNull(), F.struct(d, *[F.col(c) for c in tb]))).alias("FamilyLevel1"),
-        F.avg("PricePerUnit").alias("PricePerUnit"))
+        exact_mean("PricePerUnit").alias("PricePerUnit"))
     out = scores.join(catalog, "ProductID", "left")
     return (out.withColumn("FamilyLevel1", F.coalesce("FamilyLevel1", F.lit(K.UNKNOWN)))
                .withColumn("PricePerUnit", F.coalesce("PricePerUnit", F.lit(0.0)))

@@ -25,6 +25,12 @@ def ts(expr: str, alias: str) -> str:
     return f"strftime({expr}, {TS}) AS {alias}"
 
 
+def exact_mean(x: str) -> str:
+    """Order-independent mean (same rule as functions.scalar.exact_mean)."""
+    return (f"CAST(sum(CAST(ROUND({x} * 1000000000.0::DOUBLE) / 1000000000.0::DOUBLE AS DECIMAL(38,9))) AS DOUBLE)"
+            f" / CAST(count({x}) AS DOUBLE)")
+
+
 def days(a: str, b: str) -> str:
     """Whole elapsed days from a to b (floored)."""
     return f"CAST(floor(date_diff('second', {a}, {b}) / 86400) AS BIGINT)"
@@ -127,7 +133,7 @@ derived("master", """SELECT *, CAST(Season = 'Winter' AS INTEGER) AS IsWinter, C
        CAST(IsWeekend = 1 OR IsChristmasSeason = 1 OR IsNewYearSeason = 1 OR IsBlackFriday = 1 AS INTEGER) AS IsHoliday
 FROM {p}master1""")
 derived("priced", """SELECT *, CAST(SalesNetAmountEuro AS DOUBLE) / greatest(Quantity, 1) AS PricePerUnit FROM {p}master""")
-derived("prodprice", """SELECT ProductID, avg(PricePerUnit) AS AvgPricePerUnit, median(Quantity) AS TypicalQuantity
+derived("prodprice", """SELECT ProductID, """ + exact_mean("PricePerUnit") + """ AS AvgPricePerUnit, median(Quantity) AS TypicalQuantity
 FROM {p}priced WHERE ProductID IS NOT NULL GROUP BY ProductID""")
 derived("pricefeat", """SELECT m.*, pp.AvgPricePerUnit, pp.TypicalQuantity,
        CAST(COALESCE(m.PricePerUnit < pp.AvgPricePerUnit * 0.8, false) AS INTEGER) AS IsPotentialDiscount,
@@ -267,7 +273,7 @@ def _trend(tdate: str) -> str:
         FROM {p}noise n, {p}""" + tdate + """ d)
   WHERE rec OR sea GROUP BY StoreID, StoreCountry, ProductID) s
 LEFT JOIN (
-  SELECT ProductID, max(CASE WHEN rnf = 1 THEN FamilyLevel1 END) AS FamilyLevel1, avg(PricePerUnit) AS PricePerUnit FROM (
+  SELECT ProductID, max(CASE WHEN rnf = 1 THEN FamilyLevel1 END) AS FamilyLevel1, """ + exact_mean("PricePerUnit") + """ AS PricePerUnit FROM (
     SELECT ProductID, FamilyLevel1, PricePerUnit,
            row_number() OVER (PARTITION BY ProductID ORDER BY FamilyLevel1 IS NULL,
                               SaleTransactionDate DESC, BasketID DESC, LineNo DESC, StoreID DESC, ClientID DESC) AS rnf
