@@ -224,3 +224,28 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, *,
     stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*[F.col(c) for c in keys]).orderBy(*order_cols) if keys else Window.orderBy(*order_cols)
     return stage1.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
+    """Exact linear-interpolation quantile of ``value`` within each ``keys`` group.
+
+    Per-group value counts, then the ordered scan gives running counts per group (a group
+    with many distinct values is split over tasks); the two order statistics around
+    (n-1)·p are picked per group and interpolated as NumPy does. No task holds a group's
+    distinct values.
+    """
+    keys = list(keys)
+    counts = (df.filter(F.col(value).isNotNull())
+                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
+    scanned = ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g")
+    tot = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
+    h = (F.col("_n") - 1) * F.lit(p)
+    ranks = tot.select(*keys, h.alias("_h"), F.floor(h).cast("bigint").alias("_lo"),
+                       F.least(F.floor(h).cast("bigint") + 1, F.col("_n") - 1).alias("_hi"))
+    j = scanned.join(ranks, keys)
+    lo_incl = F.col("_gcum") - F.col("_cnt")
+    picked = j.groupBy(*keys).agg(
+        F.max(F.when((lo_incl <= F.col("_lo")) & (F.col("_gcum") > F.col("_lo")), F.col("_v"))).alias("_a"),
+        F.max(F.when((lo_incl <= F.col("_hi")) & (F.col("_gcum") > F.col("_hi")), F.col("_v"))).alias("_b"),
+        F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
+    return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias(out))

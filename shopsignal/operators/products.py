@@ -80,10 +80,7 @@ def global_trends(master: DataFrame, products: DataFrame, target_date=None, top:
     """Σ FinalScore per product, best first, with FamilyLevel2; top ``top`` (the feature)."""
     s = scores if scores is not None else trending_scores(master, target_date, filtered)
     g = s.groupBy("ProductID").agg(F.sum("FinalScore").alias("FinalScore"))
-    ranked = g.withColumn("Rank", F.row_number().over(
-        Window.orderBy(F.round("FinalScore", 6).desc(), F.col("ProductID"))))
-    # row_number over the whole (product-level) table: Spark plans a top-k (limit) here
-    top_rows = ranked.filter(F.col("Rank") <= top)
+    top_rows = top_k(g, [], [F.round("FinalScore", 6).desc(), F.col("ProductID")], top, salt_cols=["ProductID"])
     return top_rows.join(products.select("ProductID", "FamilyLevel2"), "ProductID", "left")
 
 

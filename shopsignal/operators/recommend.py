@@ -64,7 +64,8 @@ def finalize(primary: DataFrame, ctx: DataFrame, pool: DataFrame, n: int) -> Dat
     """primary: (ClientID, pos, ProductID) already stock-filtered. Dedupe first-wins,
     backfill from the region pool, keep n."""
     tier0 = primary.select("ClientID", F.lit(0).alias("tier"), "pos", "ProductID")
-    tier1 = (ctx.select("ClientID", "Region").join(pool, "Region")
+    # the pool has at most n rows per stock region (a country): a proven bound, broadcast it
+    tier1 = (ctx.select("ClientID", "Region").join(F.broadcast(pool), "Region")
                 .select("ClientID", F.lit(1).alias("tier"), "pos", "ProductID"))
     cand = tier0.unionByName(tier1)
     first = cand.groupBy("ClientID", "ProductID").agg(F.min(F.struct("tier", "pos")).alias("_o"))

@@ -72,7 +72,10 @@ def embedding_lookup(products: DataFrame, emb: DataFrame, dim: int = 32) -> Data
                     .withColumn("embedding", F.coalesce(F.col("embedding"), zeros)))
 
 
-def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, blocks: int = 4,
+BLOCK_VECTORS = 20_000   # vectors per block side scored in one task
+
+
+def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, blocks: int | None = None,
                 queries: DataFrame | None = None) -> DataFrame:
     """Exact top-k cosine neighbours (excluding self) of every query vector among the
     candidates (queries default to the candidates themselves).
@@ -86,6 +89,9 @@ def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, bl
         return df.select(F.col(id_col).cast("string").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
     cand = prep(candidates)
     qry = prep(queries) if queries is not None else cand
+    if blocks is None:
+        import math
+        blocks = max(1, math.ceil(cand.count() / BLOCK_VECTORS))
     nb = F.lit(blocks)
     blk = F.pmod(F.xxhash64("_id"), nb).cast("int")
     q = qry.withColumn("qb", blk).withColumn("cb", F.explode(F.sequence(F.lit(0), nb - 1))).withColumn("role", F.lit(0))
