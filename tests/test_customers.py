@@ -52,3 +52,15 @@ def test_share_of_wallet_sums_to_one(make_tx, spark):
     assert math.isclose(aff.agg(F.sum("ShareOfWallet")).first()[0], 1.0)
     top = aff.orderBy(F.desc("AffinityScore")).first()
     assert top.FamilyLevel1 == "F1"          # .7·0.5 + .3·2/2 beats .7·0.5 + .3·1/2
+
+
+def test_persona_enriched_mode_tie_and_prospect_fills(spark, make_tx):
+    clients = spark.createDataFrame([("c1", "LOYAL"), ("new", "TOP")], "ClientID string, ClientSegment string")
+    rows = [{"ClientID": "c1", "ProductID": p, "date": f"2024-01-0{i + 1} 00:00:00"} for i, p in enumerate(["pb", "pa", "pb", "pa"])]
+    tx = make_tx(rows)
+    cats = spark.createDataFrame([("pa", "A"), ("pb", "B")], "ProductID string, Category string")
+    master = tx.join(cats, "ProductID", "left")
+    enr = {r.ClientID: r for r in customers.persona_enriched(customers.personas(clients, tx), master).collect()}
+    assert enr["c1"].FavoriteCategory == "A"                # 2 vs 2: smallest wins
+    assert enr["c1"].AvgOrderValue == 10.0 and enr["c1"].Recency == 0
+    assert (enr["new"].TotalSpent, enr["new"].Recency, enr["new"].FavoriteCategory, enr["new"].AvgOrderValue) == (0.0, 999, "None", None)
