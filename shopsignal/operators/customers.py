@@ -69,11 +69,6 @@ def add_favorite_flags(df: DataFrame, fav: DataFrame) -> DataFrame:
     return out.withColumn("IsFavoriteCategory", same).withColumn("IsCrossSellOpportunity", 1 - same)
 
 
-def mode_category(master: DataFrame) -> DataFrame:
-    """Most frequent Category per client (ties → smallest)."""
-    return _with_client(master).groupBy("ClientID").agg(F.mode("Category", True).alias("_mode"))
-
-
 def personas(clients: DataFrame, raw_tx: DataFrame) -> DataFrame:
     """Clients ⟕ raw (uncleaned) sale counts, classified into the persona rules."""
     counts = _with_client(raw_tx).groupBy("ClientID").agg(F.count(F.lit(1)).alias("_n"))

@@ -123,14 +123,21 @@ def _window_scan(df: DataFrame, keys, order, sum_col, lag_cols, prefix) -> DataF
 def average_rank_pct(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame:
     """pandas ``rank(pct=True)`` (average method): (#smaller + (ties+1)/2) / n.
 
-    Works on the distinct (value, count) table, so a value held by many rows is one row.
+    Works on the distinct (value, count) table, so a value held by many rows is one row;
+    up to LOCAL_ORDER_LIMIT distinct values (checked) one ordered window suffices, beyond
+    that the distributed ordered scan gives the running counts.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    scanned = ordered_scan(counts, [], [F.col(value)], sum_col="_cnt", prefix="_v")
-    total = df.select(F.count(F.lit(1))).scalar()
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_cnt").alias("n")).first()
+    if stats["d"] <= LOCAL_ORDER_LIMIT:
+        w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scanned = counts.withColumn("_vcum", F.sum("_cnt").over(w))
+    else:
+        scanned = ordered_scan(counts, [], [F.col(value)], sum_col="_cnt", prefix="_v")
     ranks = scanned.select(
         value, ((F.col("_vcum") - F.col("_cnt")) + (F.col("_cnt") + 1) / F.lit(2.0)).alias("_avg_rank"))
-    return df.join(ranks, value, "left").withColumn(out, F.col("_avg_rank") / total.cast("double")).drop("_avg_rank")
+    total = float(stats["n"] or 0)
+    return df.join(ranks, value, "left").withColumn(out, F.col("_avg_rank") / F.lit(total)).drop("_avg_rank")
 
 
 def quintile_score(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:

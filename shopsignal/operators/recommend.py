@@ -46,10 +46,6 @@ def client_context(persona_df: DataFrame, last: DataFrame) -> DataFrame:
     return ctx.withColumn("Region", region).withColumn("Route", route_column())
 
 
-def ranked_list(df: DataFrame, pos_col: str) -> DataFrame:
-    return df.withColumnRenamed(pos_col, "pos")
-
-
 def pool_by_region(popular: DataFrame, trending: DataFrame, stock_regions: DataFrame, n: int) -> DataFrame:
     """First n distinct stocked products of popular-then-trending, per stock region."""
     pool = (popular.select("ProductID", (F.col("Rank")).alias("pos"))
