@@ -117,7 +117,8 @@ def store_trending_recs(scores: DataFrame, stores: DataFrame, top_n: int = 5) ->
             .join(s_top, "_k").select(*lvl_cols, *cols))
     b = (lvl.filter(F.col("Source") == "Country Level").withColumn("_k", F.col("TargetCountry"))
             .join(c_top, "_k").select(*lvl_cols, *cols))
-    # the global list has at most top_n rows: broadcast it, joined on a constant key
-    c = (lvl.filter(F.col("Source") == "Global Level").withColumn("_k", F.lit(0))
-            .join(F.broadcast(g_top.withColumn("_k", F.lit(0))), "_k").select(*lvl_cols, *cols))
+    # the global list has at most top_n rows: it travels as one scalar array, exploded per store
+    g_list = g_top.agg(F.collect_list(F.struct(*cols))).scalar()
+    c = (lvl.filter(F.col("Source") == "Global Level").select(*lvl_cols, F.explode(g_list).alias("_g"))
+            .select(*lvl_cols, *[F.col(f"_g.{x}").alias(x) for x in cols]))
     return a.unionByName(b).unionByName(c)

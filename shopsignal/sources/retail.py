@@ -80,10 +80,14 @@ def fixture_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock grid country × product. Nation is a fixed 25-row dimension (broadcast)."""
+    """Stock grid country × product. Nation is a fixed 25-row dimension: its rows travel as
+    one scalar array and are exploded per part (no join, no nested loop)."""
     p = _read(spark, sf_dir, "part").select("p_partkey")
-    n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    g = p.join(F.broadcast(n), (F.col("p_partkey") + F.col("n_nationkey")) % 4 != 0)
+    n = _read(spark, sf_dir, "nation")
+    nations = n.agg(F.collect_list(F.struct("n_nationkey", "n_name"))).scalar()
+    g = (p.select("p_partkey", F.explode(nations).alias("_n"))
+          .select("p_partkey", "_n.n_nationkey", "_n.n_name")
+          .filter((F.col("p_partkey") + F.col("n_nationkey")) % 4 != 0))
     v = (F.col("p_partkey") * 7 + F.col("n_nationkey") * 13) % 50
     return g.select(
         F.col("n_name").alias("StoreCountry"),

@@ -35,3 +35,10 @@ def test_every_query_has_a_builder_and_oracle_keys_exist():
     assert set(ORACLE_SQL) <= set(QUERIES)
     missing = set(QUERIES) - set(ORACLE_SQL)
     assert missing == {"prod2vec_vectors", "prod2vec_lookup", "similar_products", "recs_blend", "materialize"}
+
+
+@pytest.mark.parametrize("name", ["store_trending_recs", "recommendations", "overstock", "bundle_products",
+                                  "country_insights", "category_country_matrix", "stock_pivot", "dataset_metadata"])
+def test_no_cartesian_or_nested_loop_join(spark, name):
+    p = plan(build_query(name, spark, SF))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
