@@ -236,15 +236,21 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, *,
 def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
     """Exact linear-interpolation quantile of ``value`` within each ``keys`` group.
 
-    Per-group value counts, then the ordered scan gives running counts per group (a group
-    with many distinct values is split over tasks); the two order statistics around
-    (n-1)·p are picked per group and interpolated as NumPy does. No task holds a group's
-    distinct values.
+    Per-group value counts first. When no group has more than LOCAL_ORDER_LIMIT distinct
+    values (checked), Spark's exact ``percentile`` runs per group (bounded value maps).
+    Otherwise the ordered scan gives running counts per group (a group with many distinct
+    values is split over tasks) and the two order statistics around (n-1)·p are picked per
+    group and interpolated as NumPy does; no task holds a group's distinct values.
     """
     keys = list(keys)
     counts = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
-    scanned = ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g")
+    widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if widest <= LOCAL_ORDER_LIMIT:
+        # every group has a bounded number of distinct values (checked): the exact percentile
+        # aggregate's per-group value map is bounded too
+        return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(p)).alias(out))
+    scanned = ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g", group_limit=None)
     tot = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
     h = (F.col("_n") - 1) * F.lit(p)
     ranks = tot.select(*keys, h.alias("_h"), F.floor(h).cast("bigint").alias("_lo"),
@@ -256,3 +262,4 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
         F.max(F.when((lo_incl <= F.col("_hi")) & (F.col("_gcum") > F.col("_hi")), F.col("_v"))).alias("_b"),
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias(out))
+

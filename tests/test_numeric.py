@@ -88,3 +88,15 @@ def test_ordered_scan_window_path_equals_range_path(spark):
     b = ordered_scan(df, ["k"], ["o"], sum_col="v", lag_cols=["v"]).toPandas()
     m = a.merge(b, on=["k", "o"])
     assert len(m) == 800 and (m.rn_x == m.rn_y).all() and (m.cum_x == m.cum_y).all()
+
+
+def test_grouped_quantile_both_paths(spark, monkeypatch):
+    import shopsignal.operators.numeric as N
+    rnd = random.Random(11)
+    rows = [(f"g{rnd.randint(0, 3)}", float(rnd.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    exp = pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"].quantile(0.5).to_dict()
+    fast = {r.g: r.m for r in N.grouped_quantile(df, ["g"], "v", 0.5, "m").collect()}
+    monkeypatch.setattr(N, "LOCAL_ORDER_LIMIT", 0)
+    dist = {r.g: r.m for r in N.grouped_quantile(df, ["g"], "v", 0.5, "m").collect()}
+    assert fast == exp and dist == exp
