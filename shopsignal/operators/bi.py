@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
-from shopsignal.functions.scalar import gender_label, safe_div
+from shopsignal.functions.scalar import gender_label, money, safe_div
 from shopsignal.operators import customers, products
 from shopsignal.operators.features import AMOUNT, DATE, QTY, row_tiebreak
 from shopsignal.operators.numeric import grouped_quantile, top_k
@@ -143,8 +143,10 @@ def country_insights(master_p: DataFrame, persona_df: DataFrame, stocks: DataFra
     fams = _top_names(m, "ClientCountry", "FamilyLevel2", 5, "top_families")
     cats = _top_names(m, "ClientCountry", "Category", 5, "top_categories")
     sh = stock_health_by_country(stocks).withColumnRenamed("StoreCountry", "ClientCountry").drop("total_units")
+    names = F.create_map(*[F.lit(x) for pair in K.COUNTRY_NAMES for x in pair])
     return (kpi.join(pagg, "ClientCountry", "left").join(fams, "ClientCountry", "left")
                .join(cats, "ClientCountry", "left").join(sh, "ClientCountry", "left")
+               .withColumn("CountryName", F.coalesce(names[F.col("ClientCountry")], F.col("ClientCountry")))
                .withColumnRenamed("ClientCountry", "Country"))
 
 
@@ -296,3 +298,12 @@ def country_playbook_app(insights: DataFrame, spark) -> DataFrame:
                                                          F.coalesce(F.col("Strategy"), F.lit("Standard")))),
     )
     return i.select("Country", F.explode(F.filter(acts, lambda a: a.isNotNull())).alias("a")).select("Country", "a.*")
+
+
+def country_kpi_summary(master: DataFrame) -> DataFrame:
+    """The country KPI table as displayed: money as '€1,234' (≥ 1000) or '€12.34'."""
+    k = (master.filter(F.col("StoreCountry").isNotNull()).groupBy("StoreCountry").agg(
+        F.sum(AMOUNT).cast("double").alias("_rev"), F.count(F.lit(1)).alias("Transactions"),
+        F.countDistinct("ClientID").alias("Clients"), F.sum(QTY).cast("bigint").alias("UnitsSold")))
+    return k.select(F.col("StoreCountry").alias("Country"), money("_rev").alias("Revenue"), "Transactions", "Clients",
+                    "UnitsSold", money(F.col("_rev") / F.col("Transactions").cast("double")).alias("AvgBasket"))

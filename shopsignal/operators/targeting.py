@@ -41,7 +41,7 @@ def target_score():
             - F.coalesce(F.col("Recency"), F.lit(999)) / 100.0)
 
 
-def search_targets(matches: DataFrame, index: DataFrame, client_feats: DataFrame, country: str | None = None,
+def search_targets(matches: DataFrame, index: DataFrame, client_feats: DataFrame, country=None,
                    k: int = 50) -> DataFrame:
     """Buyers of matched families ∪ matched categories, optionally in one country, ranked
     by 2·RFM + transactions − recency/100; top ``k`` (the report) and the full audience size."""
@@ -49,8 +49,8 @@ def search_targets(matches: DataFrame, index: DataFrame, client_feats: DataFrame
             .union(matches.select(F.lit("Category"), F.col("Category"))).distinct())
     target_ids = index.join(keys, ["Kind", "Key"], "left_semi").select("ClientID").distinct()
     t = client_feats.join(target_ids, "ClientID", "left_semi")
-    if country is not None:
-        t = t.filter(F.col("ClientCountry") == country)
+    if country is not None:                       # a value or a scalar-subquery column
+        t = t.filter(F.col("ClientCountry") == (country if not isinstance(country, str) else F.lit(country)))
     t = t.withColumn("TargetScore", target_score())
     return top_k(t, [], [F.round("TargetScore", 6).desc(), F.col("ClientID")], k, salt_cols=["ClientID"])
 

@@ -577,3 +577,17 @@ def q_materialize(x: Ctx):
 @query("country_playbook_app")
 def q_playbook_app(x: Ctx):
     return bi.country_playbook_app(_insights(x), x.spark)
+
+
+@query("country_kpi_summary")
+def q_kpi_summary(x: Ctx):
+    return bi.country_kpi_summary(x.master)
+
+
+@query("search_targets_country")
+def q_search_targets_country(x: Ctx):
+    """Search audience restricted to one country (the first store country in sort order)."""
+    r = x.recent
+    country = r.t.stores.agg(F.min("StoreCountry")).scalar()
+    t = targeting.search_targets(_matches(r), targeting.buyers_by_family(r.master), _client_feats(r), country=country)
+    return t.select("ClientID", "Persona", "ClientCountry", "TargetScore", "Rank")

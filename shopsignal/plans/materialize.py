@@ -58,3 +58,24 @@ def materialize(x: Ctx, root: str | None = None, tables: list[str] | None = None
     for s in summaries[1:]:
         out = out.unionByName(s)
     return out
+
+
+OPTIONAL = {"country_trending"}
+
+
+def read_artefacts(spark, root: str, schemas: dict | None = None) -> dict[str, DataFrame]:
+    """Read materialised artefacts back. A missing optional table comes back as an empty
+    DataFrame with its schema (taken from ``schemas``), a missing required one raises."""
+    from pyspark.errors import AnalysisException
+    out = {}
+    names = list(schemas or {}) or ["final_data", "persona", "client_features", "associations", "popular",
+                                    "trending", "affinity", "country_kpis", "country_trending", "metadata"]
+    for name in names:
+        try:
+            out[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+        except AnalysisException:
+            if name not in OPTIONAL:
+                raise
+            schema = (schemas or {}).get(name, "StoreCountry string, ProductID string, FinalScore double")
+            out[name] = spark.createDataFrame([], schema)
+    return out

@@ -413,7 +413,10 @@ derived("topfam", _topnames("FamilyLevel2"))
 derived("topcat", _topnames("Category"))
 derived("insights", """SELECT k.ClientCountry AS Country, k.revenue, k.transactions, k.clients, k.revenue / CAST(k.transactions AS DOUBLE) AS avg_basket,
        pa.persona_clients, pa.dominant_persona, pa.inactive_count, pa.cold_count,
-       tf.names AS top_families, tc.names AS top_categories, sh.total_skus, sh.zero_stock, sh.overstocked
+       tf.names AS top_families, tc.names AS top_categories, sh.total_skus, sh.zero_stock, sh.overstocked,
+       CASE k.ClientCountry WHEN 'FRA' THEN 'France' WHEN 'GBR' THEN 'United Kingdom' WHEN 'DEU' THEN 'Germany'
+            WHEN 'USA' THEN 'United States' WHEN 'BRA' THEN 'Brazil' WHEN 'AUS' THEN 'Australia' WHEN 'ARE' THEN 'UAE'
+            ELSE k.ClientCountry END AS CountryName
 FROM (SELECT ClientCountry, CAST(sum(SalesNetAmountEuro) AS DOUBLE) AS revenue, count(*) AS transactions,
              count(DISTINCT ClientID) AS clients FROM {p}mp WHERE ClientCountry IS NOT NULL GROUP BY ClientCountry) k
 LEFT JOIN (SELECT ClientCountry, CAST(sum(n) AS BIGINT) AS persona_clients,
@@ -651,7 +654,7 @@ WHERE FamilyLevel1 IS NOT NULL AND Persona IS NOT NULL AND FamilyLevel1 IN (
 GROUP BY FamilyLevel1, Persona""", P)
 key("country_insights", f"""SELECT Country, {r6('revenue', 'revenue')}, transactions, clients, {r6('avg_basket', 'avg_basket')},
   persona_clients, dominant_persona, inactive_count, cold_count, top_families, top_categories, total_skus, zero_stock,
-  overstocked FROM {{p}}insights""", P)
+  overstocked, CountryName FROM {{p}}insights""", P)
 key("country_playbook", f"""SELECT Country, ActionNo, Action, Subject, Count, {r6('Pct', 'Pct')}, Detail FROM (
   SELECT i.Country, 1 AS ActionNo, 'primary_audience' AS Action, COALESCE(i.dominant_persona, 'Unknown') AS Subject,
          CAST(NULL AS BIGINT) AS Count, CAST(NULL AS DOUBLE) AS Pct, COALESCE(s.Strategy, 'personalised offers') AS Detail
@@ -733,6 +736,23 @@ key("country_playbook_app", """SELECT Country, ActionNo, Action, Count, Detail F
   FROM {p}insights i LEFT JOIN strategies s ON i.dominant_persona = s.Persona WHERE i.dominant_persona IS NOT NULL)""", P)
 
 
+def _money(x: str) -> str:
+    return (f"CASE WHEN abs({x}) >= 1000 THEN '€' || format('{{:,.0f}}', {x}) "
+            f"ELSE '€' || format('{{:,.2f}}', {x}) END")
+
+
+key("country_kpi_summary", f"""SELECT StoreCountry AS Country, {_money('rev')} AS Revenue, Transactions, Clients, UnitsSold,
+  {_money('rev / CAST(Transactions AS DOUBLE)')} AS AvgBasket FROM (
+  SELECT StoreCountry, CAST(sum(SalesNetAmountEuro) AS DOUBLE) AS rev, count(*) AS Transactions,
+         count(DISTINCT ClientID) AS Clients, CAST(sum(Quantity) AS BIGINT) AS UnitsSold
+  FROM {{p}}master WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry)""")
+key("search_targets_country", f"""SELECT ClientID, Persona, ClientCountry, {r6('TargetScore', 'TargetScore')}, Rank FROM (
+  SELECT *, row_number() OVER (ORDER BY ROUND(TargetScore, 6) DESC, ClientID) AS Rank FROM (
+    SELECT *, COALESCE(RFM_Score, 0) * 2 + COALESCE(TransactionCount, 0) - COALESCE(Recency, 999) / 100.0::DOUBLE AS TargetScore
+    FROM {{p}}cfeat WHERE ClientID IN (SELECT ClientID FROM {{p}}search_ids)
+      AND ClientCountry = (SELECT min(StoreCountry) FROM stores))) WHERE Rank <= 50""", P)
+
+
 # ------------------------------------------------------------------ assembly
 _REF = re.compile(r"\{p\}(\w+)")
 
