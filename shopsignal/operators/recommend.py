@@ -39,11 +39,19 @@ def available_products(clients_ctx: DataFrame, stocks: DataFrame) -> DataFrame:
     return by_country.unionByName(anywhere)
 
 
-def client_context(persona_df: DataFrame, last: DataFrame) -> DataFrame:
-    """Per client: persona, route, stock region and last purchase (product, family)."""
+def client_context(persona_df: DataFrame, last: DataFrame, route_overrides: dict | None = None) -> DataFrame:
+    """Per client: persona, route, stock region and last purchase (product, family).
+
+    ``route_overrides`` maps persona names to a route ("static", "inactive", "loyal",
+    "blend", "fallback"), e.g. to send mid-frequency personas to the blend route.
+    """
     ctx = persona_df.select("ClientID", "Persona").join(last, "ClientID", "left")
     region = F.when(F.col("LastDate").isNotNull(), F.col("LastClientCountry")).otherwise(F.lit(ANY_COUNTRY))
-    return ctx.withColumn("Region", region).withColumn("Route", route_column())
+    route = route_column()
+    if route_overrides:
+        m = F.create_map(*[F.lit(x) for kv in route_overrides.items() for x in kv])
+        route = F.coalesce(m[F.col("Persona")], route)
+    return ctx.withColumn("Region", region).withColumn("Route", route)
 
 
 def pool_by_region(popular: DataFrame, trending: DataFrame, stock_regions: DataFrame, n: int) -> DataFrame:
@@ -97,47 +105,73 @@ def loyal_primary(ctx: DataFrame, rules: DataFrame, stock_regions: DataFrame, ro
 
 
 def recommendations(persona_df: DataFrame, last: DataFrame, popular: DataFrame, trending: DataFrame,
-                    rules: DataFrame, stocks: DataFrame, top_n: int = 5) -> DataFrame:
-    """All clients: static / inactive / loyal / fallback routes (the blend route is not
-    reachable with the persona names; see ``recs_blend``)."""
-    ctx = client_context(persona_df, last)
+                    rules: DataFrame, stocks: DataFrame, top_n: int = 5, route_overrides: dict | None = None,
+                    similar: DataFrame | None = None, markov_top: DataFrame | None = None) -> DataFrame:
+    """All clients, routed by persona: static / inactive / loyal / fallback. The blend route
+    is not reachable with the persona names; ``route_overrides`` can send personas to it, in
+    which case ``similar`` and ``markov_top`` supply its Prod2Vec and Markov lists."""
+    ctx = client_context(persona_df, last, route_overrides)
     regions = available_products(ctx, stocks)
     pool = pool_by_region(popular, trending, regions, top_n)
     primary = inactive_primary(ctx, popular, regions).unionByName(loyal_primary(ctx, rules, regions))
+    if route_overrides and "blend" in route_overrides.values():
+        primary = primary.unionByName(blend_primary(ctx, similar, markov_top, popular, rules, regions))
     recs = finalize(primary, ctx, pool, top_n)
     return recs.join(ctx.select("ClientID", "Persona", "Route"), "ClientID")
 
 
-def recs_blend(ctx: DataFrame, similar: DataFrame, markov_top: DataFrame, popular: DataFrame,
-               rules: DataFrame, stocks: DataFrame, top_n: int = 5, k: int = 10) -> DataFrame:
-    """Mid-frequency blend: interleave Prod2Vec[i], Markov[i], Assoc[i] (each stock-filtered
-    and renumbered), then backfill. Markov predicts families; each predicted family is
+def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFrame | None, popular: DataFrame,
+                  rules: DataFrame, regions: DataFrame, k: int = 10) -> DataFrame:
+    """Blend-route primary list: interleave Prod2Vec[i], Markov[i], Assoc[i] (each
+    stock-filtered, then renumbered). Markov predicts families; each predicted family is
     expanded to its best stocked popular product in the client's region."""
     from pyspark.sql import Window
-    mid = ctx.filter(F.col("Persona").contains("Mid Freq"))
-    regions = available_products(mid, stocks)
-    pool = pool_by_region(popular, popular.limit(0), regions, top_n)
-    p2v = (mid.select("ClientID", F.col("LastProductID").alias("ProductID0"))
-              .join(similar.filter(F.col("Rank") <= k).select(F.col("ProductID").alias("ProductID0"),
-                                                               F.col("SimilarProductID").alias("ProductID"), F.col("Rank").alias("pos")),
-                    "ProductID0").select("ClientID", "pos", "ProductID"))
-    fam_best = popular.select("FamilyLevel2", "ProductID", F.col("Rank").alias("_prank"))
-    mk = (mid.select("ClientID", "Region", F.col("LastClientCountry").alias("Country"), F.col("LastFamilyLevel2").alias("State"))
-             .join(markov_top.filter(F.col("Rank") <= k).select("Country", "State", "NextState", F.col("Rank").alias("pos")),
-                   ["Country", "State"])
-             .join(fam_best, F.col("NextState") == F.col("FamilyLevel2"))
-             .join(regions, ["Region", "ProductID"], "left_semi"))
-    mk = (mk.groupBy("ClientID", "pos").agg(F.min_by("ProductID", F.col("_prank")).alias("ProductID")))
-    assoc = (mid.select("ClientID", F.col("LastProductID").alias("antecedent"))
-                .join(_rule_lists(rules), "antecedent").select("ClientID", "pos", "ProductID"))
+    mid = ctx.filter(F.col("Route") == "blend")
+    sources = []
+    if similar is not None:
+        sources.append(mid.select("ClientID", F.col("LastProductID").alias("ProductID0"))
+                       .join(similar.filter(F.col("Rank") <= k).select(F.col("ProductID").alias("ProductID0"),
+                                                                       F.col("SimilarProductID").alias("ProductID"),
+                                                                       F.col("Rank").alias("pos")), "ProductID0")
+                       .select("ClientID", "pos", "ProductID"))
+    else:
+        sources.append(None)
+    if markov_top is not None:
+        fam_best = popular.select("FamilyLevel2", "ProductID", F.col("Rank").alias("_prank"))
+        mk = (mid.select("ClientID", "Region", F.col("LastClientCountry").alias("Country"), F.col("LastFamilyLevel2").alias("State"))
+                 .join(markov_top.filter(F.col("Rank") <= k).select("Country", "State", "NextState", F.col("Rank").alias("pos")),
+                       ["Country", "State"])
+                 .join(fam_best, F.col("NextState") == F.col("FamilyLevel2"))
+                 .join(regions, ["Region", "ProductID"], "left_semi"))
+        sources.append(mk.groupBy("ClientID", "pos").agg(F.min_by("ProductID", F.col("_prank")).alias("ProductID")))
+    else:
+        sources.append(None)
+    sources.append(mid.select("ClientID", F.col("LastProductID").alias("antecedent"))
+                   .join(_rule_lists(rules), "antecedent").select("ClientID", "pos", "ProductID"))
     parts = []
-    for order, src in enumerate([p2v, mk, assoc]):
+    for order, src in enumerate(sources):
+        if src is None:
+            continue
         kept = _stock_filter(src, mid, regions)
         w = Window.partitionBy("ClientID").orderBy("pos", "ProductID")
-        # per-client lists are bounded (≤ k or ≤ rules per antecedent)
+        # per-client lists are bounded (≤ k, or ≤ the rules of one antecedent)
         parts.append(kept.withColumn("_i", F.row_number().over(w)).select(
             "ClientID", (F.col("_i") * 10 + order).alias("pos"), "ProductID"))
-    primary = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def recs_blend(ctx: DataFrame, similar: DataFrame, markov_top: DataFrame, popular: DataFrame,
+               rules: DataFrame, stocks: DataFrame, top_n: int = 5, k: int = 10,
+               trending: DataFrame | None = None) -> DataFrame:
+    """The blend route for every mid-frequency persona (what the route would return if the
+    routing reached it), backfilled from the pool."""
+    mid = ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend"))
+    regions = available_products(mid, stocks)
+    pool = pool_by_region(popular, trending if trending is not None else popular.limit(0), regions, top_n)
+    primary = blend_primary(mid, similar, markov_top, popular, rules, regions, k)
     recs = finalize(primary, mid, pool, top_n)
     return recs.join(mid.select("ClientID", "Persona"), "ClientID")
 

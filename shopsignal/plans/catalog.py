@@ -392,7 +392,8 @@ def q_recs_blend(x: Ctx):
     mid_last = ctx.filter(F.col("Persona").contains("Mid Freq")).select(F.col("LastProductID").alias("ProductID"))
     sim = sequences.similar_products(r.embeddings, 10, queries=mid_last)
     return recommend.recs_blend(ctx, sim, sequences.markov_topk(r.markov, 10), r.popular,
-                                r.rules_product, r.t.stocks).select("ClientID", "Persona", "Rank", "ProductID")
+                                r.rules_product, r.t.stocks, trending=r.trending).select(
+        "ClientID", "Persona", "Rank", "ProductID")
 
 
 @query("recs_enriched")

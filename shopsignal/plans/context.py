@@ -26,9 +26,14 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def clear() -> None:
-    """Drop cached contexts and their persisted tables."""
+    """Drop cached contexts and everything their sessions persisted (operators persist
+    some small intermediates of their own, e.g. the per-client RFM base)."""
+    sessions = {}
     for ctx in list(_CACHE.values()):
         ctx.release()
+        sessions[id(ctx.spark)] = ctx.spark
+    for spark in sessions.values():
+        spark.catalog.clearCache()
     _CACHE.clear()
 
 

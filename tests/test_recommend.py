@@ -42,3 +42,19 @@ def test_stock_filter_and_cold_client_uses_any_country(spark):
     rules = spark.createDataFrame([], "antecedent string, consequent string, lift double")
     recs = recommend.recommendations(persona, last, popular, popular.limit(0), rules, stocks)
     assert [r.ProductID for r in recs.collect()] == ["2"]
+
+
+def test_route_override_sends_persona_to_blend(spark):
+    persona = spark.createDataFrame([("c1", "Loyal/Top (Mid Freq)")], "ClientID string, Persona string")
+    last = _ctx(spark).drop("Persona")
+    similar = spark.createDataFrame([("L", "2", 0.9, 1)], "ProductID string, SimilarProductID string, similarity double, Rank int")
+    markov = spark.createDataFrame([], "Country string, State string, NextState string, prob double, Rank int")
+    popular = spark.createDataFrame([("3", 1, "F3")], "ProductID string, Rank int, FamilyLevel2 string")
+    rules = spark.createDataFrame([("L", "1", 2.0)], "antecedent string, consequent string, lift double")
+    stocks = _stocks(spark, "123")
+    plain = recommend.recommendations(persona, last, popular, popular.limit(0), rules, stocks)
+    assert [r.ProductID for r in plain.orderBy("Rank").collect()] == ["1", "3"]          # loyal route
+    over = recommend.recommendations(persona, last, popular, popular.limit(0), rules, stocks,
+                                     route_overrides={"Loyal/Top (Mid Freq)": "blend"}, similar=similar, markov_top=markov)
+    got = over.orderBy("Rank").collect()
+    assert [r.ProductID for r in got] == ["2", "1", "3"] and {r.Route for r in got} == {"blend"}
