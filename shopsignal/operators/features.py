@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import as_ts, black_friday, day_delta, exact_mean, flag, season
 from shopsignal.operators import cleaning
-from shopsignal.operators.numeric import ordered_scan
+from shopsignal.operators.numeric import ordered_scan, running_sum_by_value
 from shopsignal.sources.retail import RetailTables
 
 DATE, AMOUNT, QTY = cleaning.DATE, cleaning.AMOUNT, cleaning.QTY
@@ -121,17 +121,14 @@ def add_days_since_last(df: DataFrame) -> DataFrame:
 
 
 def add_pareto(df: DataFrame) -> DataFrame:
-    """Cumulative revenue in descending amount order; flag rows within 80 % of the total.
-
-    Exact DECIMAL running sum over a range-partitioned scan (no single-partition window).
-    """
+    """Cumulative revenue in descending amount order (ties by the row tie-break); flag rows
+    within 80 % of the total. Exact DECIMAL running sum, pre-aggregated by amount (see
+    ``running_sum_by_value``): no single-partition window over rows, no full-row checkpoint."""
     tb = [c for c in row_tiebreak(df) if c != AMOUNT]
     total = df.select(F.sum(AMOUNT)).scalar()
-    scanned = ordered_scan(df, [], [F.col(AMOUNT).desc(), *tb], sum_col=AMOUNT, prefix="_p")
     share = F.lit(K.PARETO_SHARE).cast("decimal(2,1)")
-    return (scanned.withColumn("CumulativeRevenue", F.col("_pcum"))
-                   .withColumn("IsTop20PercentRevenue", flag(F.col("_pcum") <= total * share))
-                   .drop("_prn", "_pcum"))
+    return (running_sum_by_value(df, AMOUNT, tb, descending=True, out="CumulativeRevenue")
+            .withColumn("IsTop20PercentRevenue", flag(F.col("CumulativeRevenue") <= total * share)))
 
 
 def base_master(t: RetailTables, dedupe: bool = True) -> DataFrame:

@@ -263,3 +263,29 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias(out))
 
+
+
+def running_sum_by_value(df: DataFrame, value: str, tiebreak: Sequence[str], descending: bool = True,
+                         out: str = "cum") -> DataFrame:
+    """Running sum of ``value`` over rows ordered by (value, tie-break), exact and skew-safe.
+
+    Pre-aggregates first: the running total over *distinct* values (one row per value; a
+    bounded window up to LOCAL_ORDER_LIMIT values, else the distributed scan) gives the sum
+    of all rows ordered before each tie group; a row's position inside its tie group comes
+    from the keyed scan (a hot value is split over tasks). cum = before + position × value.
+    Only one full shuffle of the rows (by value) is needed.
+    """
+    v = F.col(value)
+    groups = df.groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
+    groups = groups.withColumn("_gsum", v * F.col("_k")).persist(StorageLevel.MEMORY_AND_DISK)
+    order = v.desc() if descending else v.asc()
+    if groups.count() <= LOCAL_ORDER_LIMIT:
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scanned = groups.withColumn("_gcum", F.sum("_gsum").over(w))
+    else:
+        scanned = ordered_scan(groups, [], [order], sum_col="_gsum", prefix="_g")
+    before = scanned.select(value, (F.col("_gcum") - F.col("_gsum")).alias("_before"))
+    pos = ordered_scan(df, [value], list(tiebreak), prefix="_t")
+    return (pos.join(before, value, "left")
+               .withColumn(out, F.col("_before") + F.col("_trn") * v)
+               .drop("_before", "_trn"))

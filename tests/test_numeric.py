@@ -100,3 +100,18 @@ def test_grouped_quantile_both_paths(spark, monkeypatch):
     monkeypatch.setattr(N, "LOCAL_ORDER_LIMIT", 0)
     dist = {r.g: r.m for r in N.grouped_quantile(df, ["g"], "v", 0.5, "m").collect()}
     assert fast == exp and dist == exp
+
+
+def test_running_sum_by_value_matches_sorted_cumsum(spark, monkeypatch):
+    import shopsignal.operators.numeric as N
+    from decimal import Decimal
+    rnd = random.Random(9)
+    rows = [(i, Decimal(rnd.choice(["5.00", "7.25", "7.25", "100.10", "3.33"]))) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, amt decimal(18,2)")
+    exp = pd.DataFrame(rows, columns=["id", "amt"]).sort_values(["amt", "id"], ascending=[False, True])
+    exp["cum"] = exp["amt"].cumsum()
+    for limit in (N.LOCAL_ORDER_LIMIT, 0):
+        monkeypatch.setattr(N, "LOCAL_ORDER_LIMIT", limit)
+        got = N.running_sum_by_value(df, "amt", ["id"], out="cum").toPandas()
+        m = got.merge(exp, on="id", suffixes=("", "_e"))
+        assert len(m) == 700 and (m.cum == m.cum_e).all()
