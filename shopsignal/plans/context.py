@@ -60,9 +60,9 @@ class Ctx:
 
     @cached_property
     def t(self) -> RetailTables:
-        key = (id(self.spark), self.sf_dir.rstrip("/"))
+        key = (id(self.spark), self.sf_dir.rstrip("/"), self.since)
         if key not in _SOURCES:
-            _SOURCES[key] = load_retail(self.spark, self.sf_dir)
+            _SOURCES[key] = load_retail(self.spark, self.sf_dir, since=self.since)
         src = _SOURCES[key]
         t = RetailTables(src.transactions, src.clients, src.products, src.stores, src.stocks)
         if self.since is not None:

@@ -27,10 +27,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+DATE_SHIFT_YEARS = 23   # fixture sale date = o_orderdate + 23 years (FIXTURES.md §2)
+
+
+def fixture_transactions(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """The sales view. ``since`` (a datetime) restricts sale dates; the view translates it
+    into a predicate on the base column so it reaches the orders scan (Catalyst cannot
+    invert the date shift by itself)."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if since is not None:
+        base_since = since.replace(year=since.year - DATE_SHIFT_YEARS)
+        o = o.filter(F.col("o_orderdate") >= F.lit(base_since).cast("timestamp_ntz"))
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
         F.col("o_custkey").cast("string").alias("ClientID"),
@@ -96,10 +105,10 @@ def fixture_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load_retail(spark: SparkSession, sf_dir: str) -> RetailTables:
+def load_retail(spark: SparkSession, sf_dir: str, since=None) -> RetailTables:
     """The five retail tables as views over the driver's parquet tables."""
     return RetailTables(
-        transactions=fixture_transactions(spark, sf_dir),
+        transactions=fixture_transactions(spark, sf_dir, since),
         clients=fixture_clients(spark, sf_dir),
         products=fixture_products(spark, sf_dir),
         stores=fixture_stores(spark, sf_dir),
