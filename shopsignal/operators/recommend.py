@@ -10,6 +10,7 @@ per client × catalogue.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,9 @@ def recommendations(persona_df: DataFrame, last: DataFrame, popular: DataFrame,
     """All clients, routed by persona: static / inactive / loyal / fallback. The blend route
     is not reachable with the persona names; ``route_overrides`` can send personas to it, in
     which case ``similar`` and ``markov_top`` supply its Prod2Vec and Markov lists."""
-    ctx = client_context(persona_df, last, route_overrides)
-    regions = available_products(ctx, stocks)
+    # one row per client, read by every route, the stock filters and the backfill: keep it
+    ctx = client_context(persona_df, last, route_overrides).persist(StorageLevel.MEMORY_AND_DISK)
+    regions = available_products(ctx, stocks).persist(StorageLevel.MEMORY_AND_DISK)   # stock table size
     pool = pool_by_region(popular, trending, regions, top_n)
     primary = inactive_primary(ctx, popular, regions).unionByName(loyal_primary(ctx, rules, regions))
     if route_overrides and "blend" in route_overrides.values():
@@ -168,7 +170,8 @@ def recs_blend(ctx: DataFrame, similar: DataFrame, markov_top: DataFrame, popula
                trending: DataFrame | None = None) -> DataFrame:
     """The blend route for every mid-frequency persona (what the route would return if the
     routing reached it), backfilled from the pool."""
-    mid = ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend"))
+    mid = (ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     regions = available_products(mid, stocks)
     pool = pool_by_region(popular, trending if trending is not None else popular.limit(0), regions, top_n)
     primary = blend_primary(mid, similar, markov_top, popular, rules, regions, k)
