@@ -9,15 +9,28 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _second_of_day(x: Column) -> Column:
+    return F.hour(x) * 3600 + F.minute(x) * 60 + F.date_part(F.lit("SECOND"), x)
+
+
 def day_delta(start, end) -> Column:
     """Whole elapsed 24h units from ``start`` to ``end``, floored (timedelta.days semantics).
 
-    Differs from ``datediff`` (calendar days): 23:00 → 01:00 next day gives 0.
+    Differs from ``datediff`` (calendar days): 23:00 → 01:00 next day gives 0. Built from
+    wall-clock fields of TIMESTAMP_NTZ values only, so no session time zone (or DST change)
+    enters the arithmetic.
     """
-    secs = F.timestamp_diff("SECOND", c(start), c(end))
+    a, b = c(start), c(end)
+    secs = F.datediff(F.to_date(b), F.to_date(a)).cast("decimal(20,6)") * 86400 \
+        + (_second_of_day(b) - _second_of_day(a))
     return F.floor(secs / F.lit(86400)).cast("bigint")
 
 
+def ts_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, via text (no time-zone conversion)."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def flag(cond: Column) -> Column:
     """Boolean → 0/1 INT with NULL counted as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
-from shopsignal.functions.scalar import day_delta, exact_mean, flag
+from shopsignal.functions.scalar import day_delta, exact_mean, flag, ts_lit
 from shopsignal.operators.features import AMOUNT, DATE, QTY
 from shopsignal.operators.numeric import exact_quantiles, top_k
 
@@ -56,8 +56,8 @@ def trending_scores(master: DataFrame, target_date=None, filtered: DataFrame | N
     tq = (target_date.month - 1) // 3 + 1
     df = filtered if filtered is not None else noise_filter(master)
     d = F.col(DATE)
-    t_lit = F.lit(target_date).cast("timestamp_ntz")
-    c_lit = F.lit(cutoff).cast("timestamp_ntz")
+    t_lit = ts_lit(target_date)
+    c_lit = ts_lit(cutoff)
     recent = (d >= c_lit) & (d <= t_lit)
     seasonal = (F.quarter(d) == tq) & (d < c_lit)
     weight = 1.0 / (1.0 + day_delta(d, t_lit) * K.TREND_DECAY)

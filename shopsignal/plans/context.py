@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsignal.functions.scalar import ts_lit
 from shopsignal.operators import baskets, cleaning, customers, features, products, sequences
 from shopsignal.sources.retail import RetailTables, load_retail
 
@@ -66,7 +67,7 @@ class Ctx:
         src = _SOURCES[key]
         t = RetailTables(src.transactions, src.clients, src.products, src.stores, src.stocks)
         if self.since is not None:
-            t.transactions = t.transactions.filter(F.col(cleaning.DATE) >= F.lit(self.since).cast("timestamp_ntz"))
+            t.transactions = t.transactions.filter(F.col(cleaning.DATE) >= ts_lit(self.since))
         return t
 
     @cached_property

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsignal.functions.scalar import ts_lit
 from shopsignal.sources import schemas
 
 
@@ -39,7 +40,7 @@ def fixture_transactions(spark: SparkSession, sf_dir: str, since=None) -> DataFr
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if since is not None:
         base_since = since.replace(year=since.year - DATE_SHIFT_YEARS)
-        o = o.filter(F.col("o_orderdate") >= F.lit(base_since).cast("timestamp_ntz"))
+        o = o.filter(F.col("o_orderdate") >= ts_lit(base_since))
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
         F.col("o_custkey").cast("string").alias("ClientID"),
