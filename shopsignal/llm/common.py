@@ -72,15 +72,16 @@ def steps(texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
 
 
 def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]],
-                   score: Callable[[list], list[list]]) -> DataFrame:
-    """``df`` with the columns that ``score`` makes of a list of texts (UTF-8 bytes or None).
+                   score: Callable[[list], list[list]], keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the columns that ``score`` makes of a list of texts (UTF-8 bytes or None).
 
     ``score`` is called in tasks for about ``STEP_BYTES`` of text and returns one list per field.
     Rows and their other columns pass through as Arrow data, unchanged. The new columns' names
     must not clash (see ``fresh_names``).
     """
     extra = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
-    schema = T.StructType(df.schema.fields + extra.fields)
+    passed = [i for i, c in enumerate(df.columns) if keep is None or c in keep]
+    schema = T.StructType([df.schema.fields[i] for i in passed] + extra.fields)
     position = df.columns.index(text)
     kinds = [_arrow(f.dataType) for f in extra.fields]
     names = schema.names
@@ -93,7 +94,7 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]],
                 for out, new in zip(parts, score(texts[a:b])):
                     out.extend(new)
             arrays = [pa.array(v, type=k) for v, k in zip(parts, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in passed), *arrays], names=names)
 
     return df.mapInArrow(run, schema)
 

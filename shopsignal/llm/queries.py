@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm import decontamination, knn_join, mixing, simhash, substring_dedup
-from shopsignal.llm.common import table
+from shopsignal.llm import decontamination, knn_join, language_id, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from shopsignal.llm.common import crc_mod, shared_folder, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,35 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language_id.learn(docs, ~held)
+    out, names = language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), *names.values())
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-ids")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), end=2)
+    return token_output.read_tokens(spark, folder)
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_inner_products(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
 
@@ -34,5 +58,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held)
+    out, names = toxicity.score_texts(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), *names.values())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op5_simhash, op8_exact_topk, op9_decontamination)}
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op5_simhash, op6_language_id, op7_token_output,
+                            op8_exact_topk, op9_decontamination, op10_toxicity)}

@@ -47,11 +47,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with the fingerprint of each text as a signed long column ``name``."""
+def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with each text's fingerprint as a signed long column ``name``."""
     def score(texts):
         return [[(f := fingerprint(t, shingle, seed)) - ((f >> 63) << 64) for t in texts]]
-    return append_columns(docs, text, [(name, "bigint")], score)
+    return append_columns(docs, text, [(name, "bigint")], score, keep)
 
 
 def group_bits(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     no other is (component_id null); an empty table gives no rows; other columns are not read.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = materialize(with_fingerprint(base, "text", "fp", shingle).drop("text"), "prints")
+    prints = materialize(with_fingerprint(base, "text", "fp", shingle, keep=["doc_id"]), "prints")
     return prints.join(classes(prints, "fp", "doc_id", radius), "fp") \
         .select("doc_id", F.col("fp").alias("fingerprint"), F.col("least").alias("component_id"))
 
