@@ -72,8 +72,9 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[int] = (5, 2, 1), shar
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = (5, 2, 1),
-        share: tuple[int, int] = (3, 2), limit: int = 2, seed: str = "mix") -> DataFrame:
-    """What the mix takes of every document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``.
+        share: tuple[int, int] = (3, 2), limit: int = 2, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
+    """What the mix takes of every document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
+    ``epochs`` (whole times), ``part`` (words beside them), ``taken``, and the columns ``keep`` of ``docs``.
 
     ``size`` counts words; ``taken`` counts them with repeats: all whole epochs the source's budget
     (its target, rounded down) holds, then documents in the order of md5(seed, doc_id) up to the
@@ -81,12 +82,13 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     budget exactly, no document is taken more than ``limit`` times, and reruns agree. Null, empty
     and blank texts have size 0 and are taken 0 times; a null source is a source of its own; rows
     that repeat are documents of their own (equal rows are interchangeable); a null doc_id sorts by
-    the key of the empty id; an empty table gives no rows; other columns are not read.
+    the key of the empty id; an empty table gives no rows; other columns are not read, and those to
+    keep must not be named like the results.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                                    count_words(F.col(text).cast("string")).alias("size")), "sizes")
+                                    count_words(F.col(text).cast("string")).alias("size"), *keep), "sizes")
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(sizes, weights=weights, share=share, limit=limit, partitions=n)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -101,4 +103,29 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("bigint"))
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - (F.col("_sum") - F.col("_base"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"),
+                       (epochs * F.col("size") + part).alias("taken"), *keep)
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, the one at a cut with its first words only.
+
+    Cases as in ``mix``; a document without words is repeated for the whole epochs alone. Equal rows
+    are told apart by their number only.
+    """
+    names = fresh_names([*docs.columns, "size", "source_size", "target", "epochs", "part", "taken"], ("_k1", "_k2", "_n", "_e", "_more", "_cut", "_copy"))
+    k1, k2, nth, epochs, more, cut, copy = names.values()
+    row = [F.col(c).cast("string") for c in (doc_id, source, text)]
+    keyed = docs.withColumn(k1, F.xxhash64(*row)).withColumn(k2, F.xxhash64(F.lit("second"), *row))
+    slim = mix(keyed, doc_id=doc_id, source=source, text=text, keep=[k1, k2], **options)
+    per = slim.groupBy(k1, k2).agg(F.min("epochs").alias(epochs), F.count_if((F.col("part") == F.col("size")) & (F.col("size") > 0)).alias(more),
+                                   F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias(cut))
+    number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
+    rows = keyed.withColumn(nth, number).join(per, [k1, k2])
+    whole = F.col(epochs) + (F.col(nth) <= F.col(more)).cast("long")
+    short = (F.col(nth) == F.col(more) + 1) & (F.col(cut) > 0)
+    rows = rows.withColumn(copy, F.explode(F.concat(
+        F.array_repeat(F.lit(False), whole.cast("int")), F.when(short, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
+    first = F.array_join(F.slice(words, F.lit(1), F.col(cut).cast("int")), " ")
+    return rows.withColumn(text, F.when(F.col(copy), first).otherwise(F.col(text))).select(*docs.columns)

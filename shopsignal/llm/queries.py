@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm import decontamination, knn_join, language_id, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from shopsignal.llm import decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
 from shopsignal.llm.common import crc_mod, shared_folder, table
 
 
@@ -29,6 +29,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, names = license_scan.scan(docs, license_scan.learn(docs), keep=["doc_id"])
+    licenses = F.col(names["licenses"])
+    return out.select("doc_id", names["paragraphs"], F.size(licenses).cast("long").alias("n_licensed"), F.array_join(F.array_sort(F.array_distinct(licenses)), ",").alias("families"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op5_simhash, op6_language_id, op7_token_output,
-                            op8_exact_topk, op9_decontamination, op10_toxicity)}
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op4_license_scan, op5_simhash, op6_language_id,
+                            op7_token_output, op8_exact_topk, op9_decontamination, op10_toxicity)}
