@@ -1,16 +1,15 @@
 """Market-basket mining (pair rules) and the bundle / cross-sell views built on rules."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import ts_text
 from shopsignal.operators.features import DATE
-from shopsignal.operators.numeric import top_k
+from shopsignal.operators.numeric import materialize, top_k
 
-PAIR_BLOCK = 1000   # items per block when a basket is split for pair generation
+PAIR_BLOCK = 1000   # items per block when a basket is split for pair generation (both sides)
 
 
 def basket_ids(df: DataFrame) -> DataFrame:
@@ -36,22 +35,22 @@ def association_rules(df: DataFrame, item_col: str = "ProductID", min_support: f
 
     Items that miss the threshold alone cannot be in a frequent pair, so they are pruned
     before pairing (N and item supports are taken before pruning). Pairs are generated
-    by a self-join on basket; big baskets are split into blocks so no task pairs more than
-    PAIR_BLOCK × size items, whatever the basket size.
+    by a self-join on basket; a big basket's items are dealt to blocks, and each pair of blocks
+    meets on its own, so no join key has more than PAIR_BLOCK × PAIR_BLOCK pairs.
     """
-    # (basket, item) feeds the basket count, the item counts and the pair join: keep it
-    items = basket_items(df, item_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # (basket, item) feeds the basket count, the item counts and the pair join: written once
+    items = materialize(basket_items(df, item_col), "baskets")
     n_baskets = F.lit(items.select(F.countDistinct("BasketID")).first()[0])
-    item_n = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    item_n = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
     threshold = F.lit(min_count).cast("double") if min_count is not None else n_baskets.cast("double") * F.lit(min_support)
     keep = item_n.filter(F.col("_n").cast("double") >= threshold).select("item")
     pruned = items.join(keep, "item", "left_semi")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(PAIR_BLOCK))).cast("int")
-    left = pruned.withColumn("_blk", F.pmod(F.xxhash64("item"), blocks).cast("int")).select(
-        "BasketID", "_blk", F.col("item").alias("a"))
-    right = pruned.withColumn("_blk", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "BasketID", "_blk", F.col("item").alias("b"))
-    pairs = (left.join(right, ["BasketID", "_blk"]).filter(F.col("a") < F.col("b"))
+    own = pruned.withColumn("_own", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+    both = own.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = both.select("BasketID", F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col("item").alias("a"))
+    right = both.select("BasketID", F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col("item").alias("b"))
+    pairs = (left.join(right, ["BasketID", "_i", "_j"]).filter(F.col("a") < F.col("b"))
                  .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     both = (pairs.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "n")
                  .unionByName(pairs.select(F.col("b").alias("antecedent"), F.col("a").alias("consequent"), "n")))
@@ -78,7 +77,7 @@ def rule_targets(rules: DataFrame) -> DataFrame:
 
 def bundles_wide(fam_rules: DataFrame, k: int = 3) -> DataFrame:
     """Per family: its top 3 consequents by lift as Reco1..Reco3."""
-    top = top_k(fam_rules, ["antecedent"], rule_order(), k, salt_cols=["consequent"])
+    top = top_k(fam_rules, ["antecedent"], rule_order(), k)
     return top.groupBy(F.col("antecedent").alias("FamilyLevel2")).agg(
         *[F.max(F.when(F.col("Rank") == i, F.col("consequent"))).alias(f"Reco{i}") for i in range(1, k + 1)])
 
@@ -87,11 +86,11 @@ def bundle_products(fam_rules: DataFrame, products: DataFrame, stocks: DataFrame
                     k_reco: int = 3, k_products: int = 3) -> DataFrame:
     """Per country and family: for each of its top reco families, up to 3 in-stock products
     (lowest ProductID first) with their stock."""
-    recos = top_k(fam_rules, ["antecedent"], rule_order(), k_reco, rank_col="RecoRank", salt_cols=["consequent"])
+    recos = top_k(fam_rules, ["antecedent"], rule_order(), k_reco, rank_col="RecoRank")
     instock = (stocks.filter(F.col("Quantity") > 0)
                .join(products.select("ProductID", "FamilyLevel2", "Category", "Universe"), "ProductID"))
     first3 = top_k(instock, ["StoreCountry", "FamilyLevel2"], [F.col("ProductID")], k_products,
-                   rank_col="ProductRank", salt_cols=["ProductID"])
+                   rank_col="ProductRank")
     out = recos.join(first3, recos.consequent == first3.FamilyLevel2)
     return out.select("StoreCountry", F.col("antecedent").alias("Family"), "RecoRank",
                       F.col("consequent").alias("Reco"), "ProductRank", "ProductID", "Category", "Universe",
@@ -106,18 +105,18 @@ def store_top_products(master: DataFrame, k: int = 10) -> DataFrame:
 
 
 def store_bundles(master: DataFrame, fam_rules: DataFrame, k: int = 10) -> DataFrame:
-    """Per store: family rules whose antecedent is a family of its top-10 products, by lift."""
+    """Per store: family rules whose antecedent is a family of its top-10 products, by lift.
+    A store shows k rules, so k rules of each antecedent are enough to join."""
     fams = store_top_products(master).select("StoreID", F.col("FamilyLevel2").alias("antecedent")).distinct()
-    cand = fams.join(fam_rules, "antecedent")
-    return top_k(cand, ["StoreID"], [F.round("lift", 6).desc(), F.col("antecedent"), F.col("consequent")], k,
-                 salt_cols=["antecedent", "consequent"])
+    cand = fams.join(top_k(fam_rules, ["antecedent"], rule_order(), k, rank_col="_of").drop("_of"), "antecedent")
+    return top_k(cand, ["StoreID"], [F.round("lift", 6).desc(), F.col("antecedent"), F.col("consequent")], k)
 
 
 def client_cross_sell(last: DataFrame, fam_rules: DataFrame, master: DataFrame, stocks: DataFrame,
                       clients: DataFrame, k: int = 3) -> DataFrame:
     """Per client: top-3 family rules from the family of the last purchase; an example product
     of each recommended family (lowest sold ProductID), its stock units in the client's country."""
-    top = top_k(fam_rules, ["antecedent"], rule_order(), k, salt_cols=["consequent"])
+    top = top_k(fam_rules, ["antecedent"], rule_order(), k)
     example = (master.filter(F.col("FamilyLevel2").isNotNull()).groupBy("FamilyLevel2")
                .agg(F.min_by(F.struct("ProductID", "Category", "Universe"), F.col("ProductID")).alias("_e"))
                .select(F.col("FamilyLevel2").alias("consequent"), "_e.*"))

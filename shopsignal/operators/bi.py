@@ -32,7 +32,7 @@ def dataset_metadata(master: DataFrame, clients: DataFrame, products_df: DataFra
 
 def persona_samples(persona_df: DataFrame, per_persona: int = 2) -> DataFrame:
     p = persona_df.filter(F.col("Persona").isin(*SAMPLE_PERSONAS)).select("Persona", "ClientID")
-    return top_k(p, ["Persona"], [F.col("ClientID")], per_persona, rank_col="SampleRank", salt_cols=["ClientID"])
+    return top_k(p, ["Persona"], [F.col("ClientID")], per_persona, rank_col="SampleRank")
 
 
 def final_features(master: DataFrame, rfm: DataFrame) -> DataFrame:
@@ -103,14 +103,14 @@ def with_persona(master: DataFrame, persona_df: DataFrame) -> DataFrame:
 def family_persona_revenue(master_p: DataFrame, k: int = 10) -> DataFrame:
     fam = master_p.filter(F.col("FamilyLevel1").isNotNull())
     rev = fam.groupBy("FamilyLevel1").agg(F.sum(AMOUNT).alias("_r"))
-    top = top_k(rev, [], [F.col("_r").desc(), F.col("FamilyLevel1")], k, salt_cols=["FamilyLevel1"]).select("FamilyLevel1")
+    top = top_k(rev, [], [F.col("_r").desc(), F.col("FamilyLevel1")], k).select("FamilyLevel1")
     return (fam.filter(F.col("Persona").isNotNull()).join(top, "FamilyLevel1", "left_semi")
                .groupBy("FamilyLevel1", "Persona").agg(F.sum(AMOUNT).cast("double").alias("Revenue")))
 
 
 def _top_names(df: DataFrame, key: str, item: str, k: int, prefix: str) -> DataFrame:
     rev = df.filter(F.col(item).isNotNull()).groupBy(key, item).agg(F.sum(AMOUNT).alias("_r"))
-    t = top_k(rev, [key], [F.col("_r").desc(), F.col(item)], k, salt_cols=[item])
+    t = top_k(rev, [key], [F.col("_r").desc(), F.col(item)], k)
     # ≤ k names per key: a bounded list
     return t.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Rank", item))),
                                                        lambda s: s[item]), "|").alias(prefix))
@@ -205,7 +205,7 @@ def revenue_by_country(master: DataFrame) -> DataFrame:
 
 def top_categories(master: DataFrame, k: int = 12) -> DataFrame:
     rev = master.filter(F.col("Category").isNotNull()).groupBy("Category").agg(F.sum(AMOUNT).alias("Revenue"))
-    return top_k(rev, [], [F.col("Revenue").desc(), F.col("Category")], k, salt_cols=["Category"]) \
+    return top_k(rev, [], [F.col("Revenue").desc(), F.col("Category")], k) \
         .withColumn("Revenue", F.col("Revenue").cast("double"))
 
 
@@ -233,7 +233,7 @@ def store_metrics(master: DataFrame) -> DataFrame:
 def overstock(stocks: DataFrame, products_df: DataFrame, k: int = 15) -> DataFrame:
     med = stocks.groupBy("StoreCountry").agg(F.median("Quantity").alias("_med"))
     over = stocks.join(med, "StoreCountry").filter(F.col("Quantity") > F.col("_med"))
-    t = top_k(over, ["StoreCountry"], [F.col("Quantity").desc(), F.col("ProductID")], k, salt_cols=["ProductID"])
+    t = top_k(over, ["StoreCountry"], [F.col("Quantity").desc(), F.col("ProductID")], k)
     info = products_df.select("ProductID", F.col("FamilyLevel2").alias("Product"), "Category",
                               F.col("FamilyLevel1").alias("SportFamily"))
     return t.join(info, "ProductID", "left").select("StoreCountry", "Rank", "ProductID", "Product", "Category",
@@ -251,7 +251,7 @@ def country_trending(scores: DataFrame, products_df: DataFrame, k: int = 15) ->
     c = (scores.filter(F.col("StoreCountry").isNotNull()).groupBy("StoreCountry", "ProductID")
          .agg(F.sum("FinalScore").alias("FinalScore"), F.sum("recent_score").alias("recent_score"),
               F.sum("seasonal_score").alias("seasonal_score")))
-    t = top_k(c, ["StoreCountry"], [F.round("FinalScore", 6).desc(), F.col("ProductID")], k, salt_cols=["ProductID"])
+    t = top_k(c, ["StoreCountry"], [F.round("FinalScore", 6).desc(), F.col("ProductID")], k)
     info = products_df.select("ProductID", F.col("FamilyLevel2").alias("Product"), "Category",
                               F.col("FamilyLevel1").alias("SportFamily"), F.col("Universe").alias("Gender"))
     return t.join(info, "ProductID", "left").withColumn("Source", F.lit("Country"))

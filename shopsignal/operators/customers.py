@@ -1,14 +1,13 @@
 """Customer scoring: RFM, favourite category, personas, enrichment, affinity, propensity."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import day_delta, flag, safe_div
 from shopsignal.operators.features import AMOUNT, DATE, QTY, row_tiebreak
-from shopsignal.operators.numeric import quintile_score
+from shopsignal.operators.numeric import materialize, quintile_scores
 
 
 def _with_client(df: DataFrame) -> DataFrame:
@@ -32,9 +31,8 @@ def rfm_base(master: DataFrame) -> DataFrame:
 
 
 def rfm_scores(rfm: DataFrame) -> DataFrame:
-    s = quintile_score(rfm, "Recency", "RecencyScore", ascending=False)
-    s = quintile_score(s, "Frequency", "FrequencyScore", ascending=True)
-    s = quintile_score(s, "TotalSpent", "MonetaryScore", ascending=True)
+    s = quintile_scores(rfm, {"Recency": ("RecencyScore", False), "Frequency": ("FrequencyScore", True),
+                              "TotalSpent": ("MonetaryScore", True)})
     return s.withColumn("RFM_Score", F.col("RecencyScore") + F.col("FrequencyScore") + F.col("MonetaryScore"))
 
 
@@ -49,9 +47,7 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
 
 
 def customer_rfm(master: DataFrame) -> DataFrame:
-    # the per-client table feeds four quintile jobs: keep it (one row per client)
-    base = rfm_base(master).persist(StorageLevel.MEMORY_AND_DISK)
-    return rfm_segments(rfm_scores(base))
+    return rfm_segments(rfm_scores(materialize(rfm_base(master), "rfm")))   # one row per client, read twice
 
 
 def favorite_category(master: DataFrame) -> DataFrame:
@@ -85,11 +81,12 @@ def personas(clients: DataFrame, raw_tx: DataFrame) -> DataFrame:
 
 def persona_enriched(persona_df: DataFrame, master: DataFrame) -> DataFrame:
     """Persona table + spend, last date, units, recency (to max date), modal category,
-    AvgOrderValue = clean spend / raw count; prospects get 0 / 999 / 'None'."""
+    AvgOrderValue = clean spend / raw count; prospects get 0 / 999 / 'None', buyers without
+    any category 'N/A'."""
     max_date = master.select(F.max(DATE)).scalar()
     stats = _with_client(master).groupBy("ClientID").agg(
         F.sum(AMOUNT).cast("double").alias("_spent"), F.max(DATE).alias("LastDate"),
-        F.sum(QTY).cast("bigint").alias("TotalUnits"), F.mode("Category", True).alias("_fav"))
+        F.sum(QTY).cast("bigint").alias("TotalUnits"), F.coalesce(F.mode("Category", True), F.lit("N/A")).alias("_fav"))
     stats = stats.withColumn("_rec", day_delta(F.col("LastDate"), max_date))
     out = persona_df.join(stats, "ClientID", "left")
     return (out.withColumn("AvgOrderValue", safe_div(F.col("_spent"), F.col("TransactionCount").cast("double")))
@@ -154,8 +151,9 @@ def propensity(aff: DataFrame, recency_weight: float = K.PROPENSITY_RECENCY_W) -
 
 def propensity_cross_sell(master: DataFrame, products: DataFrame, targets: DataFrame,
                           country_master: DataFrame | None = None) -> DataFrame:
-    """For each target product: clients scored on its FamilyLevel1 (scores from
-    ``country_master`` when given), minus everyone who ever bought the product."""
+    """For each product of ``targets`` (a table with ProductID): clients scored on its
+    FamilyLevel1, minus everyone who ever bought the product. Scores come from ``country_master``
+    when given (one country's sales); the owners are always those of ``master``."""
     scores = propensity(affinity_matrix(country_master if country_master is not None else master))
     fam = targets.select("ProductID").distinct().join(products.select("ProductID", "FamilyLevel1"), "ProductID")
     cand = fam.join(scores, "FamilyLevel1")
@@ -163,6 +161,14 @@ def propensity_cross_sell(master: DataFrame, products: DataFrame, targets: DataF
     return cand.join(owners, ["ProductID", "ClientID"], "left_anti")
 
 
+def propensity_cross_sell_country(master: DataFrame, products: DataFrame, targets: DataFrame) -> DataFrame:
+    """The same inside every store country at once: local scores, minus owners anywhere."""
+    scores = propensity(affinity_matrix(master, by_country=True))
+    fam = targets.select("ProductID").distinct().join(products.select("ProductID", "FamilyLevel1"), "ProductID")
+    owners = _with_client(master).select("ProductID", "ClientID").distinct()
+    return fam.join(scores, "FamilyLevel1").join(owners, ["ProductID", "ClientID"], "left_anti")
+
+
 def last_purchase(master: DataFrame) -> DataFrame:
     """Last sale per client by (date, tie-break): product, family, country of that row."""
     tb = [c for c in row_tiebreak(master) if c not in ("ClientID", DATE)]

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import as_ts, black_friday, day_delta, exact_mean, flag, season
 from shopsignal.operators import cleaning
-from shopsignal.operators.numeric import ordered_scan, running_sum_by_value
-from shopsignal.sources.retail import RetailTables
+from shopsignal.operators.numeric import grouped_quantile, ordered_scan
 
 DATE, AMOUNT, QTY = cleaning.DATE, cleaning.AMOUNT, cleaning.QTY
 PRODUCT_COLS = ["ProductID", "Category", "FamilyLevel1", "FamilyLevel2", "Universe"]
@@ -24,13 +23,18 @@ def row_tiebreak(df: DataFrame) -> list[str]:
 def master_join(tx: DataFrame, products: DataFrame, clients: DataFrame, stores: DataFrame) -> DataFrame:
     """Sales ⟕ products ⟕ clients ⟕ stores on pruned columns (NULL keys never match).
 
-    Dimension sides are unique on their key, so the fact side never fans out; AQE turns
-    each into a broadcast join when its runtime size is under the broadcast threshold and
-    keeps a shuffle join otherwise.
+    Each dimension is made unique on its key, so the fact side never fans out and Catalyst drops
+    every join none of whose columns a query uses. AQE turns the rest into broadcast joins when
+    the measured size is under the threshold and keeps shuffle joins otherwise; there, sales
+    without a key are spread by a hash of the sale instead of meeting in one task.
     """
-    return (tx.join(products.select(*PRODUCT_COLS), "ProductID", "left")
-              .join(clients.select(*CLIENT_COLS), "ClientID", "left")
-              .join(stores.select("StoreID", "StoreCountry"), "StoreID", "left"))
+    out = tx
+    for dim, key in ((products.select(*PRODUCT_COLS), "ProductID"), (clients.select(*CLIENT_COLS), "ClientID"),
+                     (stores.select("StoreID", "StoreCountry"), "StoreID")):
+        side = dim.dropDuplicates([key]).withColumnRenamed(key, "_key")
+        spread = F.concat(F.lit("\u0000"), F.xxhash64(*row_tiebreak(tx)).cast("string"))
+        out = out.join(side, F.coalesce(F.col(key), spread) == F.col("_key"), "left").drop("_key")
+    return out
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
@@ -89,12 +93,12 @@ def add_sporting_events(df: DataFrame, events=K.SPORTING_EVENTS) -> DataFrame:
 def add_price_features(df: DataFrame) -> DataFrame:
     """Unit price, product average price, discount/premium flags, typical quantity, bulk flag.
 
-    One aggregate per product (avg + exact median of the small-domain quantity), joined back.
+    One aggregate per product and the exact grouped median of its quantities, joined back.
     """
     with_price = df.withColumn("PricePerUnit", F.col(AMOUNT).cast("double") / F.greatest(F.col(QTY), F.lit(1)))
-    per_product = (with_price.filter(F.col("ProductID").isNotNull()).groupBy("ProductID")
-                   .agg(exact_mean("PricePerUnit").alias("AvgPricePerUnit"),
-                        F.median(QTY).alias("TypicalQuantity")))
+    sold = with_price.filter(F.col("ProductID").isNotNull())
+    per_product = (sold.groupBy("ProductID").agg(exact_mean("PricePerUnit").alias("AvgPricePerUnit"))
+                   .join(grouped_quantile(sold, ["ProductID"], QTY, 0.5, "TypicalQuantity"), "ProductID", "left"))
     p, avg = F.col("PricePerUnit"), F.col("AvgPricePerUnit")
     disc = (1 - p / F.greatest(avg, F.lit(0.01))) * 100
     return (with_price.join(per_product, "ProductID", "left")
@@ -110,34 +114,23 @@ def add_cross_border(df: DataFrame) -> DataFrame:
 
 
 def add_days_since_last(df: DataFrame) -> DataFrame:
-    """Whole days since the client's previous sale (9999 for the first), skew-safe scan."""
+    """Whole days since the client's previous sale (9999 for the first and without a client),
+    skew-safe scan."""
     tb = [c for c in row_tiebreak(df) if c not in ("ClientID", DATE)]
     scanned = ordered_scan(df.filter(F.col("ClientID").isNotNull()), ["ClientID"], [DATE, *tb],
                            lag_cols=[DATE], prefix="_g")
     gap = F.coalesce(day_delta(F.col(f"_gprev_{DATE}"), F.col(DATE)), F.lit(K.FIRST_PURCHASE_GAP))
     out = scanned.withColumn("DaysSinceLastPurchase", gap).drop("_grn", f"_gprev_{DATE}")
     return out.unionByName(df.filter(F.col("ClientID").isNull())
-                           .withColumn("DaysSinceLastPurchase", F.lit(None).cast("bigint")))
+                           .withColumn("DaysSinceLastPurchase", F.lit(K.FIRST_PURCHASE_GAP).cast("bigint")))
 
 
 def add_pareto(df: DataFrame) -> DataFrame:
     """Cumulative revenue in descending amount order (ties by the row tie-break); flag rows
-    within 80 % of the total. Exact DECIMAL running sum, pre-aggregated by amount (see
-    ``running_sum_by_value``): no single-partition window over rows, no full-row checkpoint."""
+    within 80 % of the total. Exact DECIMAL running sum from one range-partitioned scan."""
     tb = [c for c in row_tiebreak(df) if c != AMOUNT]
     total = df.select(F.sum(AMOUNT)).scalar()
     share = F.lit(K.PARETO_SHARE).cast("decimal(2,1)")
-    return (running_sum_by_value(df, AMOUNT, tb, descending=True, out="CumulativeRevenue")
+    scanned = ordered_scan(df, [], [F.col(AMOUNT).desc(), *tb], sum_col=AMOUNT, prefix="_p")
+    return (scanned.withColumnRenamed("_pcum", "CumulativeRevenue").drop("_prn")
             .withColumn("IsTop20PercentRevenue", flag(F.col("CumulativeRevenue") <= total * share)))
-
-
-def base_master(t: RetailTables, dedupe: bool = True) -> DataFrame:
-    tx = cleaning.clean_transactions(t.transactions, dedupe=dedupe)
-    return master_join(tx, cleaning.clean_products(t.products), cleaning.clean_clients(t.clients), t.stores)
-
-
-def enriched_master(t: RetailTables, dedupe: bool = True) -> DataFrame:
-    """Star join + calendar + events: the row-wise part of the feature table (no shuffles
-    beyond the dimension joins)."""
-    m = base_master(t, dedupe)
-    return add_sporting_events(add_retail_events(add_calendar(m)))

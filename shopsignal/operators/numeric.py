@@ -9,9 +9,10 @@ to the shared checkpoint folder so partition ids stay fixed if tasks are re-run.
 """
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +25,15 @@ def _order_col(o) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
-GROUP_WINDOW_LIMIT = 2_000_000   # largest group a single window task may take
-
-
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
                  sum_col: str | None = None, lag_cols: Sequence[str] = (),
-                 num_partitions: int | None = None, prefix: str = "",
-                 group_limit: int | None = GROUP_WINDOW_LIMIT) -> DataFrame:
+                 num_partitions: int | None = None, prefix: str = "") -> DataFrame:
     """Append ``{prefix}rn`` (1-based), ``{prefix}cum`` (inclusive running sum of ``sum_col``)
     and ``{prefix}prev_<c>`` for each lag column, within ``keys`` groups ordered by ``order``.
 
-    ``order`` must make rows of a group totally ordered (add tie-break columns).
-    With group keys, the largest group is measured first (one partial aggregate): when every
-    group is at most ``group_limit`` rows a plain partitioned window is safe and cheaper;
-    otherwise (a hot key) the range-partitioned scan splits the group over many tasks.
+    ``order`` must make rows of a group totally ordered (add tie-break columns). Keys must not be
+    NULL. The range-partitioned scan is the only path, whatever the size of a group.
     """
-    if keys and group_limit:
-        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= group_limit:
-            return _window_scan(df, keys, order, sum_col, lag_cols, prefix)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or default_partitions(spark)
@@ -109,183 +100,114 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     return out.drop(*drop)
 
 
-def _window_scan(df: DataFrame, keys, order, sum_col, lag_cols, prefix) -> DataFrame:
-    order_cols = [_order_col(o) for o in order]
-    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order_cols)
-    out = df.withColumn(f"{prefix}rn", F.row_number().over(w))
-    if sum_col:
-        out = out.withColumn(f"{prefix}cum", F.sum(sum_col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    for lc in lag_cols:
-        out = out.withColumn(f"{prefix}prev_{lc}", F.lag(lc).over(w))
-    return out
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back: cuts lineage, survives
+    executors, and later reads prune columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def average_rank_pct(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame:
     """pandas ``rank(pct=True)`` (average method): (#smaller + (ties+1)/2) / n.
 
-    Works on the distinct (value, count) table, so a value held by many rows is one row;
-    up to LOCAL_ORDER_LIMIT distinct values (checked) one ordered window suffices, beyond
-    that the distributed ordered scan gives the running counts.
+    Works on the distinct (value, count) table, so a value held by many rows is one row; the
+    distributed ordered scan gives its running counts.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_cnt").alias("n")).first()
-    if stats["d"] <= LOCAL_ORDER_LIMIT:
-        w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        scanned = counts.withColumn("_vcum", F.sum("_cnt").over(w))
-    else:
-        scanned = ordered_scan(counts, [], [F.col(value)], sum_col="_cnt", prefix="_v")
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    scanned = ordered_scan(counts, [], [F.col(value)], sum_col="_cnt", prefix="_v")
     ranks = scanned.select(
         value, ((F.col("_vcum") - F.col("_cnt")) + (F.col("_cnt") + 1) / F.lit(2.0)).alias("_avg_rank"))
-    total = float(stats["n"] or 0)
-    return df.join(ranks, value, "left").withColumn(out, F.col("_avg_rank") / F.lit(total)).drop("_avg_rank")
+    total = df.select(F.count(F.lit(1))).scalar().cast("double")
+    return df.join(ranks, value, "left").withColumn(out, F.col("_avg_rank") / total).drop("_avg_rank")
 
 
-def quintile_score(df: DataFrame, value: str, out: str, ascending: bool = True) -> DataFrame:
-    """1..5 score. With distinct quintile edges (min, p20..p80, max, linear interpolation):
-    1 + #{p_k < x}. If any edge repeats, fall back to average-rank percentile bins
-    (0, .2], (.2, .4], ... Descending scores are 6 - score.
+def quintile_scores(df: DataFrame, spec: dict[str, tuple[str, bool]]) -> DataFrame:
+    """1..5 scores of several columns: ``{value: (score column, ascending)}``.
 
-    The six edges come from the exact quantile helper (a few scalars fetched once to pick
-    the branch), so the rank fallback runs only when needed.
+    With distinct quintile edges (min, p20..p80, max, linear interpolation): 1 + #{p_k < x}. If
+    any edge repeats, average-rank percentile bins (0, .2], (.2, .4], ... Descending scores are
+    6 - score. All edges come from one quantile scan; the rank fallback runs only when needed.
     """
-    edges = exact_quantiles(df, value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
-    x = F.col(value).cast("double")
-    if None not in edges and len(set(edges)) == 6:
-        score = F.lit(1)
-        for q in edges[1:5]:
-            score = score + F.when(x > F.lit(q), 1).otherwise(0)
-        scored = df.withColumn("_score", score)
-    else:
-        scored = average_rank_pct(df, value, out="_pr")
-        pr = F.col("_pr")
+    edges = exact_quantiles(df, {value: [0.0, 0.2, 0.4, 0.6, 0.8, 1.0] for value in spec})
+    for value, (out, ascending) in spec.items():
+        own = edges[value]
+        if None not in own and len(set(own)) == 6:
+            x, bounds = F.col(value).cast("double"), own[1:5]
+        else:
+            df = average_rank_pct(df, value, out="_pr")
+            x, bounds = F.col("_pr"), [0.2, 0.4, 0.6, 0.8]
         score = F.lit(1)
-        for b in (0.2, 0.4, 0.6, 0.8):
-            score = score + F.when(pr > F.lit(b), 1).otherwise(0)
-        scored = scored.withColumn("_score", score).drop("_pr")
-    final = F.col("_score") if ascending else 6 - F.col("_score")
-    return scored.withColumn(out, final.cast("int")).drop("_score")
-
-
-def global_percentile(df: DataFrame, value: str, p: float) -> Column:
-    """Exact linear-interpolation percentile of a column as a scalar subquery column."""
-    return df.select(F.percentile(F.col(value).cast("double"), F.lit(p))).scalar()
+        for b in bounds:
+            score = score + F.when(x > F.lit(b), 1).otherwise(0)
+        df = df.withColumn(out, (score if ascending else 6 - score).cast("int")).drop("_pr")
+    return df
 
 
-LOCAL_ORDER_LIMIT = 1_000_000   # distinct values a single ordered window may handle
+def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (pandas/NumPy default) of several columns at once.
 
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact linear-interpolation quantiles (pandas/NumPy default) of a column.
-
-    Value counts first (a hot value is one row). If the distinct-value table is at most
-    LOCAL_ORDER_LIMIT rows (checked), one ordered window over that bounded table gives the
-    running counts; beyond it the distributed ordered scan does. The needed order statistics
-    are picked in one aggregate and interpolated as NumPy does. Returns Python floats.
+    The columns are stacked as (column, value, count), so a hot value is one row; one keyed
+    ordered scan gives the running counts, and the needed order statistics come back as one row.
     """
-    base = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_cnt").alias("n")).first()
-    n, distinct = stats["n"], stats["d"]
-    if not n:
-        counts.unpersist()
-        return [None for _ in probs]
-    if distinct <= LOCAL_ORDER_LIMIT:
-        w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        scanned = counts.withColumn("_qcum", F.sum("_cnt").over(w))
-    else:
-        scanned = ordered_scan(counts, [], [F.col("_v")], sum_col="_cnt", prefix="_q")
-    wanted = sorted({r for p in probs for r in _ranks(n, p)})
-    lo_incl = F.col("_qcum") - F.col("_cnt")
-    picks = [F.max(F.when((lo_incl <= r) & (F.col("_qcum") > r), F.col("_v"))).alias(f"r{r}") for r in wanted]
-    row = scanned.agg(*picks).first()
-    counts.unpersist()
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = _ranks(n, p)
-        a, b = row[f"r{lo}"], row[f"r{hi}"]
-        out.append(a + (b - a) * (h - lo))
+    names = list(wanted)
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(names)])).alias("_s")).select("_s.*")
+    counts = stacked.filter(F.col("_v").isNotNull()).groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    scanned = materialize(ordered_scan(counts, ["_i"], ["_v"], sum_col="_cnt", prefix="_q"), "quantiles")
+    sizes = {r["_i"]: r["n"] for r in scanned.groupBy("_i").agg(F.sum("_cnt").alias("n")).collect()}   # a row per column
+    before = F.col("_qcum") - F.col("_cnt")
+    picks = {(i, r) for i, c in enumerate(names) if i in sizes for p in wanted[c] for r in _ranks(sizes[i], p)}
+    row = scanned.agg(F.lit(0).alias("_none"), *[
+        F.max(F.when((F.col("_i") == i) & (before <= r) & (F.col("_qcum") > r), F.col("_v"))).alias(f"v{i}_{r}") for i, r in sorted(picks)]).first()
+    out = {}
+    for i, c in enumerate(names):
+        out[c] = [None] * len(wanted[c])
+        for k, p in enumerate(wanted[c] if i in sizes else []):
+            lo, hi = _ranks(sizes[i], p)
+            a, b = row[f"v{i}_{lo}"], row[f"v{i}_{hi}"]
+            out[c][k] = a + (b - a) * ((sizes[i] - 1) * p - lo)
     return out
 
 
 def _ranks(n: int, p: float) -> tuple[int, int]:
-    import math
-    h = (n - 1) * p
-    lo = int(math.floor(h))
+    lo = math.floor((n - 1) * p)
     return lo, min(lo + 1, n - 1)
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, *,
-          rank_col: str = "Rank", salt_buckets: int = 32, salt_cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows ranked 1..k per ``keys`` group under a total ``order``, skew-safe.
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, *, rank_col: str = "Rank") -> DataFrame:
+    """Rows ranked 1..k per ``keys`` group under a total ``order``.
 
-    Stage 1 keeps the top k inside (group, salt) sub-groups (salt = hash of the row's
-    tie-break columns), so a hot group is ranked by many tasks; stage 2 ranks the at most
-    k·salt_buckets survivors per group. Same result as one window because the order is total.
+    Spark keeps only k rows of a group in each map task before the exchange, so a hot group
+    sends at most k rows per task. Without keys, a distributed take precedes the ranking.
     """
     order_cols = [_order_col(o) for o in order]
-    keys = list(keys)
-    cols = list(salt_cols) if salt_cols else [c for c in df.columns if c not in keys]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*[F.col(c) for c in keys], F.col("_salt")).orderBy(*order_cols)
-    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*[F.col(c) for c in keys]).orderBy(*order_cols) if keys else Window.orderBy(*order_cols)
-    return stage1.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+    if not keys:
+        df, w = df.orderBy(*order_cols).limit(k), Window.orderBy(*order_cols)      # k rows
+    else:
+        w = Window.partitionBy(*[F.col(c) for c in keys]).orderBy(*order_cols)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str) -> DataFrame:
-    """Exact linear-interpolation quantile of ``value`` within each ``keys`` group.
+    """Exact linear-interpolation quantile of ``value`` within each ``keys`` group (keys not NULL).
 
-    Per-group value counts first. When no group has more than LOCAL_ORDER_LIMIT distinct
-    values (checked), Spark's exact ``percentile`` runs per group (bounded value maps).
-    Otherwise the ordered scan gives running counts per group (a group with many distinct
-    values is split over tasks) and the two order statistics around (n-1)·p are picked per
-    group and interpolated as NumPy does; no task holds a group's distinct values.
+    Per-group value counts first; the ordered scan gives running counts per group (a group with
+    many distinct values is split over tasks), and the two order statistics around (n-1)·p are
+    picked per group and interpolated as NumPy does. No task holds a group's distinct values.
     """
     keys = list(keys)
     counts = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
-    widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if widest <= LOCAL_ORDER_LIMIT:
-        # every group has a bounded number of distinct values (checked): the exact percentile
-        # aggregate's per-group value map is bounded too
-        return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(p)).alias(out))
-    scanned = ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g", group_limit=None)
-    tot = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
+    scanned = materialize(ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g"), "quantiles")
     h = (F.col("_n") - 1) * F.lit(p)
-    ranks = tot.select(*keys, h.alias("_h"), F.floor(h).cast("bigint").alias("_lo"),
-                       F.least(F.floor(h).cast("bigint") + 1, F.col("_n") - 1).alias("_hi"))
+    ranks = scanned.groupBy(*keys).agg(F.sum("_cnt").alias("_n")).select(
+        *keys, h.alias("_h"), F.floor(h).cast("bigint").alias("_lo"),
+        F.least(F.floor(h).cast("bigint") + 1, F.col("_n") - 1).alias("_hi"))
     j = scanned.join(ranks, keys)
-    lo_incl = F.col("_gcum") - F.col("_cnt")
+    before = F.col("_gcum") - F.col("_cnt")
     picked = j.groupBy(*keys).agg(
-        F.max(F.when((lo_incl <= F.col("_lo")) & (F.col("_gcum") > F.col("_lo")), F.col("_v"))).alias("_a"),
-        F.max(F.when((lo_incl <= F.col("_hi")) & (F.col("_gcum") > F.col("_hi")), F.col("_v"))).alias("_b"),
+        F.max(F.when((before <= F.col("_lo")) & (F.col("_gcum") > F.col("_lo")), F.col("_v"))).alias("_a"),
+        F.max(F.when((before <= F.col("_hi")) & (F.col("_gcum") > F.col("_hi")), F.col("_v"))).alias("_b"),
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias(out))
-
-
-
-def running_sum_by_value(df: DataFrame, value: str, tiebreak: Sequence[str], descending: bool = True,
-                         out: str = "cum") -> DataFrame:
-    """Running sum of ``value`` over rows ordered by (value, tie-break), exact and skew-safe.
-
-    Pre-aggregates first: the running total over *distinct* values (one row per value; a
-    bounded window up to LOCAL_ORDER_LIMIT values, else the distributed scan) gives the sum
-    of all rows ordered before each tie group; a row's position inside its tie group comes
-    from the keyed scan (a hot value is split over tasks). cum = before + position × value.
-    Only one full shuffle of the rows (by value) is needed.
-    """
-    v = F.col(value)
-    groups = df.groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
-    groups = groups.withColumn("_gsum", v * F.col("_k")).persist(StorageLevel.MEMORY_AND_DISK)
-    order = v.desc() if descending else v.asc()
-    if groups.count() <= LOCAL_ORDER_LIMIT:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        scanned = groups.withColumn("_gcum", F.sum("_gsum").over(w))
-    else:
-        scanned = ordered_scan(groups, [], [order], sum_col="_gsum", prefix="_g")
-    before = scanned.select(value, (F.col("_gcum") - F.col("_gsum")).alias("_before"))
-    pos = ordered_scan(df, [value], list(tiebreak), prefix="_t")
-    return (pos.join(before, value, "left")
-               .withColumn(out, F.col("_before") + F.col("_trn") * v)
-               .drop("_before", "_trn"))

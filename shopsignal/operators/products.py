@@ -26,8 +26,8 @@ def product_features(master: DataFrame) -> DataFrame:
 
 def product_tiers(pf: DataFrame) -> DataFrame:
     """Top product / fast mover: strictly above the global 80th percentile."""
-    (rev80,) = exact_quantiles(pf, "ProductTotalRevenue", [0.8])
-    (vel80,) = exact_quantiles(pf, "ProductSalesVelocity", [0.8])
+    q = exact_quantiles(pf, {"ProductTotalRevenue": [0.8], "ProductSalesVelocity": [0.8]})
+    (rev80,), (vel80,) = q["ProductTotalRevenue"], q["ProductSalesVelocity"]
     return (pf.withColumn("IsTopProduct", flag(F.col("ProductTotalRevenue") > F.lit(rev80)))
               .withColumn("IsFastMover", flag(F.col("ProductSalesVelocity") > F.lit(vel80))))
 
@@ -35,8 +35,8 @@ def product_tiers(pf: DataFrame) -> DataFrame:
 def noise_filter(master: DataFrame) -> DataFrame:
     """Drop unit prices below the global p10 and quantities above the global p99."""
     priced = master.withColumn("PricePerUnit", F.try_divide(F.col(AMOUNT).cast("double"), F.col(QTY).cast("double")))
-    (floor,) = exact_quantiles(priced, "PricePerUnit", [K.NOISE_PRICE_Q])
-    (ceiling,) = exact_quantiles(priced, QTY, [K.NOISE_QTY_Q])
+    q = exact_quantiles(priced, {"PricePerUnit": [K.NOISE_PRICE_Q], QTY: [K.NOISE_QTY_Q]})
+    (floor,), (ceiling,) = q["PricePerUnit"], q[QTY]
     return priced.filter((F.col("PricePerUnit") >= F.lit(floor)) & (F.col(QTY) <= F.lit(ceiling)))
 
 
@@ -58,7 +58,8 @@ def trending_scores(master: DataFrame, target_date=None, filtered: DataFrame | N
     d = F.col(DATE)
     t_lit = ts_lit(target_date)
     c_lit = ts_lit(cutoff)
-    recent = (d >= c_lit) & (d <= t_lit)
+    day_after = ts_lit(_dt.datetime(target_date.year, target_date.month, target_date.day) + _dt.timedelta(days=1))
+    recent = (d >= c_lit) & (d < day_after)            # the whole target day counts
     seasonal = (F.quarter(d) == tq) & (d < c_lit)
     weight = 1.0 / (1.0 + day_delta(d, t_lit) * K.TREND_DECAY)
     scores = (df.filter(recent | seasonal).groupBy(*TREND_KEYS).agg(
@@ -80,7 +81,7 @@ def global_trends(master: DataFrame, products: DataFrame, target_date=None, top:
     """Σ FinalScore per product, best first, with FamilyLevel2; top ``top`` (the feature)."""
     s = scores if scores is not None else trending_scores(master, target_date, filtered)
     g = s.groupBy("ProductID").agg(F.sum("FinalScore").alias("FinalScore"))
-    top_rows = top_k(g, [], [F.round("FinalScore", 6).desc(), F.col("ProductID")], top, salt_cols=["ProductID"])
+    top_rows = top_k(g, [], [F.round("FinalScore", 6).desc(), F.col("ProductID")], top)
     return top_rows.join(products.select("ProductID", "FamilyLevel2"), "ProductID", "left")
 
 
@@ -94,7 +95,7 @@ def _diverse_top(c: DataFrame, keys: list[str], n: int) -> DataFrame:
              .agg(F.min_by(row, best_key).alias("_b"))
              .select(*keys, "FamilyLevel1", "_b.*"))
     order = [F.round("FinalScore", 6).desc(), F.col("_sid"), F.col("_sc"), F.col("ProductID")]
-    return top_k(best, keys, order, n, salt_cols=["FamilyLevel1"])
+    return top_k(best, keys, order, n)
 
 
 def store_trending_recs(scores: DataFrame, stores: DataFrame, top_n: int = 5) -> DataFrame:

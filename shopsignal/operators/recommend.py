@@ -10,12 +10,11 @@ per client × catalogue.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
-from shopsignal.operators.numeric import top_k
+from shopsignal.operators.numeric import materialize, top_k
 
 STATIC_PERSONAS = [K.NO_TRANSACTIONS, "No Transactions (New)", K.VERY_FREQUENT]
 ANY_COUNTRY = "\u0000any"   # stock region of clients without a clean sale: stock anywhere
@@ -31,10 +30,9 @@ def route_column(persona=None):
              .otherwise("fallback"))
 
 
-def available_products(clients_ctx: DataFrame, stocks: DataFrame) -> DataFrame:
-    """(ClientID, ProductID) in stock for the client: in the client's country when the client
-    has a clean sale, in any country otherwise. Returned lazily as region × product, joined
-    per use — never materialised per client."""
+def available_products(stocks: DataFrame) -> DataFrame:
+    """(Region, ProductID) in stock. A client's region is its country when it has a clean sale,
+    else ANY_COUNTRY: the set per client is this relation joined on the region, never stored."""
     by_country = stocks.filter(F.col("Quantity") > 0).select(F.col("StoreCountry").alias("Region"), "ProductID").distinct()
     anywhere = stocks.filter(F.col("Quantity") > 0).select(F.lit(ANY_COUNTRY).alias("Region"), "ProductID").distinct()
     return by_country.unionByName(anywhere)
@@ -61,8 +59,7 @@ def pool_by_region(popular: DataFrame, trending: DataFrame, stock_regions: DataF
             .unionByName(trending.select("ProductID", (F.col("Rank") + 1_000_000).alias("pos"))))
     stocked = pool.join(stock_regions, "ProductID")
     first = stocked.groupBy("Region", "ProductID").agg(F.min("pos").alias("pos"))
-    return top_k(first, ["Region"], [F.col("pos"), F.col("ProductID")], n, rank_col="_pr",
-                 salt_cols=["ProductID"]).drop("_pr")
+    return top_k(first, ["Region"], [F.col("pos"), F.col("ProductID")], n, rank_col="_pr").drop("_pr")
 
 
 def finalize(primary: DataFrame, ctx: DataFrame, pool: DataFrame, n: int) -> DataFrame:
@@ -74,8 +71,7 @@ def finalize(primary: DataFrame, ctx: DataFrame, pool: DataFrame, n: int) -> Dat
                 .select("ClientID", F.lit(1).alias("tier"), "pos", "ProductID"))
     cand = tier0.unionByName(tier1)
     first = cand.groupBy("ClientID", "ProductID").agg(F.min(F.struct("tier", "pos")).alias("_o"))
-    ranked = top_k(first, ["ClientID"], [F.col("_o.tier"), F.col("_o.pos"), F.col("ProductID")], n,
-                   salt_cols=["ProductID"])
+    ranked = top_k(first, ["ClientID"], [F.col("_o.tier"), F.col("_o.pos"), F.col("ProductID")], n)
     return ranked.select("ClientID", "Rank", "ProductID")
 
 
@@ -85,10 +81,21 @@ def _stock_filter(cands: DataFrame, ctx: DataFrame, stock_regions: DataFrame) ->
     return with_region.join(stock_regions, ["Region", "ProductID"], "left_semi").drop("Region")
 
 
-def inactive_primary(ctx: DataFrame, popular: DataFrame, stock_regions: DataFrame) -> DataFrame:
-    c = ctx.filter(F.col("Route") == "inactive").select("ClientID", F.col("LastFamilyLevel2").alias("FamilyLevel2"))
-    cands = c.join(popular.select("FamilyLevel2", "ProductID", F.col("Rank").alias("pos")), "FamilyLevel2")
-    return _stock_filter(cands.select("ClientID", "pos", "ProductID"), ctx, stock_regions)
+def stocked_lists(lists: DataFrame, key: str, stock_regions: DataFrame, n: int) -> DataFrame:
+    """First ``n`` stocked products of each key's list (key, pos, ProductID) per stock region.
+
+    A list's products are distinct and a client is shown n, so n per (region, key) are enough;
+    clients join these short lists, never a whole rule or product list.
+    """
+    stocked = lists.join(stock_regions, "ProductID").select("Region", key, "pos", "ProductID")
+    return top_k(stocked, ["Region", key], [F.col("pos"), F.col("ProductID")], n, rank_col="_of").drop("_of")
+
+
+def inactive_primary(ctx: DataFrame, popular: DataFrame, stock_regions: DataFrame, n: int) -> DataFrame:
+    lists = stocked_lists(popular.filter(F.col("FamilyLevel2").isNotNull()).select("FamilyLevel2", F.col("Rank").alias("pos"), "ProductID"),
+                          "FamilyLevel2", stock_regions, n)
+    c = ctx.filter(F.col("Route") == "inactive").select("ClientID", "Region", F.col("LastFamilyLevel2").alias("FamilyLevel2"))
+    return c.join(lists, ["Region", "FamilyLevel2"]).select("ClientID", "pos", "ProductID")
 
 
 def _rule_lists(rules: DataFrame) -> DataFrame:
@@ -99,10 +106,10 @@ def _rule_lists(rules: DataFrame) -> DataFrame:
     return rules.withColumn("pos", F.row_number().over(w)).select("antecedent", "pos", F.col("consequent").alias("ProductID"))
 
 
-def loyal_primary(ctx: DataFrame, rules: DataFrame, stock_regions: DataFrame, route: str = "loyal") -> DataFrame:
-    c = ctx.filter(F.col("Route") == route).select("ClientID", F.col("LastProductID").alias("antecedent"))
-    cands = c.join(_rule_lists(rules), "antecedent").select("ClientID", "pos", "ProductID")
-    return _stock_filter(cands, ctx, stock_regions)
+def loyal_primary(ctx: DataFrame, rules: DataFrame, stock_regions: DataFrame, n: int) -> DataFrame:
+    lists = stocked_lists(_rule_lists(rules), "antecedent", stock_regions, n)
+    c = ctx.filter(F.col("Route") == "loyal").select("ClientID", "Region", F.col("LastProductID").alias("antecedent"))
+    return c.join(lists, ["Region", "antecedent"]).select("ClientID", "pos", "ProductID")
 
 
 def recommendations(persona_df: DataFrame, last: DataFrame, popular: DataFrame, trending: DataFrame,
@@ -111,11 +118,11 @@ def recommendations(persona_df: DataFrame, last: DataFrame, popular: DataFrame,
     """All clients, routed by persona: static / inactive / loyal / fallback. The blend route
     is not reachable with the persona names; ``route_overrides`` can send personas to it, in
     which case ``similar`` and ``markov_top`` supply its Prod2Vec and Markov lists."""
-    # one row per client, read by every route, the stock filters and the backfill: keep it
-    ctx = client_context(persona_df, last, route_overrides).persist(StorageLevel.MEMORY_AND_DISK)
-    regions = available_products(ctx, stocks).persist(StorageLevel.MEMORY_AND_DISK)   # stock table size
+    # one row per client, read by every route and the backfill: written once
+    ctx = materialize(client_context(persona_df, last, route_overrides), "clients")
+    regions = available_products(stocks)
     pool = pool_by_region(popular, trending, regions, top_n)
-    primary = inactive_primary(ctx, popular, regions).unionByName(loyal_primary(ctx, rules, regions))
+    primary = inactive_primary(ctx, popular, regions, top_n).unionByName(loyal_primary(ctx, rules, regions, top_n))
     if route_overrides and "blend" in route_overrides.values():
         primary = primary.unionByName(blend_primary(ctx, similar, markov_top, popular, rules, regions))
     recs = finalize(primary, ctx, pool, top_n)
@@ -170,22 +177,22 @@ def recs_blend(ctx: DataFrame, similar: DataFrame, markov_top: DataFrame, popula
                trending: DataFrame | None = None) -> DataFrame:
     """The blend route for every mid-frequency persona (what the route would return if the
     routing reached it), backfilled from the pool."""
-    mid = (ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    regions = available_products(mid, stocks)
+    mid = materialize(ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend")), "clients")
+    regions = available_products(stocks)
     pool = pool_by_region(popular, trending if trending is not None else popular.limit(0), regions, top_n)
     primary = blend_primary(mid, similar, markov_top, popular, rules, regions, k)
     recs = finalize(primary, mid, pool, top_n)
     return recs.join(mid.select("ClientID", "Persona"), "ClientID")
 
 
-def recs_enriched(recs: DataFrame, products: DataFrame, ctx: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Rank, product details (defaults when unknown) and stock units in the client's country."""
+def recs_enriched(recs: DataFrame, products: DataFrame, clients: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Rank, product details (defaults when unknown) and stock units in the client's own country
+    (of the client table, so clients without a sale have one too)."""
     info = products.select("ProductID", F.col("FamilyLevel2").alias("Product"), "Category",
                            F.col("FamilyLevel1").alias("SportFamily"), F.col("Universe").alias("Gender"))
     stock = stocks.groupBy("StoreCountry", "ProductID").agg(F.sum("Quantity").alias("_q"))
     out = (recs.join(info, "ProductID", "left")
-               .join(ctx.select("ClientID", F.col("LastClientCountry").alias("StoreCountry")), "ClientID", "left")
+               .join(clients.select("ClientID", F.col("ClientCountry").alias("StoreCountry")), "ClientID", "left")
                .join(stock, ["StoreCountry", "ProductID"], "left"))
     return out.select("ClientID", "Rank", "ProductID",
                       F.coalesce("Product", F.lit("Unknown")).alias("Product"),

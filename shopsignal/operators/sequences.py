@@ -2,6 +2,8 @@
 exact cosine top-k."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from shopsignal.operators.features import DATE, row_tiebreak
 from shopsignal.operators.numeric import ordered_scan, top_k
+from shopsignal.session import default_partitions
 
 SENTENCE_CHUNK = 1000   # Word2Vec splits longer sentences the same way (maxSentenceLength)
 
@@ -29,33 +32,42 @@ def markov_transitions(master: DataFrame, state_col: str = "FamilyLevel2", by: s
 
 
 def markov_topk(trans: DataFrame, k: int = 3) -> DataFrame:
-    return top_k(trans, ["Country", "State"], [F.round("prob", 6).desc(), F.col("NextState")], k,
-                 salt_cols=["NextState"])
+    return top_k(trans, ["Country", "State"], [F.round("prob", 6).desc(), F.col("NextState")], k)
 
 
 def client_sequences(master: DataFrame, item_col: str = "ProductID") -> DataFrame:
-    """Each client's items in purchase order, cut into chunks of SENTENCE_CHUNK items.
-
-    Positions come from the skew-safe ordered scan, so a client with a huge history is
-    numbered by many tasks and assembled chunk by chunk (bounded groups).
-    """
+    """Each client's items in purchase order as rows (ClientID, Position, item): positions come
+    from the skew-safe ordered scan, so a huge history is numbered by many tasks."""
     tb = [c for c in row_tiebreak(master) if c not in ("ClientID", DATE)]
-    src = master.filter(F.col("ClientID").isNotNull() & F.col(item_col).isNotNull()).select("ClientID", DATE, item_col, *tb)
+    src = master.filter(F.col("ClientID").isNotNull() & F.col(item_col).isNotNull()).select("ClientID", DATE, *dict.fromkeys([item_col, *tb]))
     scanned = ordered_scan(src, ["ClientID"], [DATE, *tb], prefix="_s")
-    chunk = F.floor((F.col("_srn") - 1) / SENTENCE_CHUNK).cast("int")
-    grouped = scanned.groupBy("ClientID", chunk.alias("Chunk")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_srn"), F.col(item_col).cast("string").alias("i")))).alias("_l"))
+    return scanned.select("ClientID", F.col("_srn").cast("bigint").alias("Position"), F.col(item_col).cast("string").alias(item_col))
+
+
+def vocabulary(sequences: DataFrame, item_col: str = "ProductID", min_count: int = 2) -> DataFrame:
+    """The items that training keeps: those with at least ``min_count`` occurrences."""
+    return sequences.groupBy(item_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_count).select(item_col)
+
+
+def sentences(sequences: DataFrame, item_col: str = "ProductID") -> DataFrame:
+    """Rows of at most SENTENCE_CHUNK consecutive items of a client: the trainer's own limit."""
+    chunk = F.floor((F.col("Position") - 1) / SENTENCE_CHUNK).cast("int")
+    grouped = sequences.groupBy("ClientID", chunk.alias("Chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("Position", F.col(item_col).alias("i")))).alias("_l"))
     return grouped.select("ClientID", "Chunk", F.transform("_l", lambda x: x["i"]).alias("items"))
 
 
 def train_prod2vec(sequences: DataFrame, vector_size: int = 32, window: int = 3, min_count: int = 2,
-                   epochs: int = 10, seed: int = 42, num_partitions: int = 1):
-    """Skip-gram Word2Vec (Spark ML) over the client sentences."""
+                   epochs: int = 10, seed: int = 42, num_partitions: int | None = None):
+    """Skip-gram Word2Vec (Spark ML) over the client sequences, trained in ``num_partitions``
+    tasks (the session's shuffle partitions by default). Spark ML holds the vocabulary's vectors
+    on the driver: 8 * vector_size bytes per product of the catalogue."""
     from pyspark.ml.feature import Word2Vec
+    num_partitions = num_partitions or default_partitions(sequences.sparkSession)
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs,
                    seed=seed, numPartitions=num_partitions, inputCol="items", outputCol="_vec",
                    maxSentenceLength=SENTENCE_CHUNK)
-    return w2v.fit(sequences.select("items"))
+    return w2v.fit(sentences(sequences).select("items"))
 
 
 def embedding_table(model) -> DataFrame:
@@ -72,30 +84,41 @@ def embedding_lookup(products: DataFrame, emb: DataFrame, dim: int = 32) -> Data
                     .withColumn("embedding", F.coalesce(F.col("embedding"), zeros)))
 
 
-BLOCK_VECTORS = 20_000   # vectors per block side scored in one task
+BLOCK_VECTORS = 20_000   # at most so many vectors on either side of a group
+SMALL_BLOCK = 256        # blocks are not split below this
+
+
+def _blocks(n: int, spark) -> int:
+    """Blocks of one side: of at most BLOCK_VECTORS, and enough for all tasks to have a pair."""
+    return max(1, -(-n // BLOCK_VECTORS), min(-(-n // SMALL_BLOCK), math.isqrt(default_partitions(spark)) + 1))
 
 
 def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, blocks: int | None = None,
-                queries: DataFrame | None = None) -> DataFrame:
+                queries: DataFrame | None = None, query_blocks: int | None = None) -> DataFrame:
     """Exact top-k cosine neighbours (excluding self) of every query vector among the
-    candidates (queries default to the candidates themselves).
+    candidates (queries default to the candidates themselves). NULL vectors take no part.
 
-    2-D blocking: queries go to ``blocks`` query blocks and candidates to ``blocks``
-    candidate blocks; each (qb, cb) group scores its pairs with NumPy inside one task and
-    keeps only the k best per query; a second top-k merges the per-block winners. No task
-    holds more than one query block and one candidate block; only k rows per query leave it.
+    2-D blocking: queries go to ``query_blocks`` blocks and candidates to ``blocks``; each pair of
+    blocks is scored with NumPy inside one task, which keeps the k best per query by the declared
+    order (similarity rounded to 6 places, then id), so the result is the same for any number of
+    blocks; a second top-k merges the per-block winners.
     """
+    spark = candidates.sparkSession
+
     def prep(df):
-        return df.select(F.col(id_col).cast("string").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+        return df.select(F.col(id_col).cast("string").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter("_id is not null and _v is not null")
     cand = prep(candidates)
     qry = prep(queries) if queries is not None else cand
-    if blocks is None:
-        import math
-        blocks = max(1, math.ceil(cand.count() / BLOCK_VECTORS))
-    nb = F.lit(blocks)
-    blk = F.pmod(F.xxhash64("_id"), nb).cast("int")
-    q = qry.withColumn("qb", blk).withColumn("cb", F.explode(F.sequence(F.lit(0), nb - 1))).withColumn("role", F.lit(0))
-    c = cand.withColumn("cb", blk).withColumn("qb", F.explode(F.sequence(F.lit(0), nb - 1))).withColumn("role", F.lit(1))
+    blocks = blocks or _blocks(cand.count(), spark)
+    query_blocks = query_blocks or (_blocks(qry.count(), spark) if queries is not None else blocks)
+
+    def own(n):
+        return F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = qry.withColumn("qb", own(query_blocks)).withColumn("cb", each(blocks)).withColumn("role", F.lit(0))
+    c = cand.withColumn("cb", own(blocks)).withColumn("qb", each(query_blocks)).withColumn("role", F.lit(1))
     both = q.unionByName(c)
     schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_nid", T.StringType()),
                            T.StructField("_sim", T.DoubleType())])
@@ -110,22 +133,25 @@ def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, bl
             return pd.DataFrame({"_id": pd.Series(dtype=str), "_nid": pd.Series(dtype=str), "_sim": pd.Series(dtype=float)})
         qm = unit(np.vstack(qs["_v"].to_numpy()).astype(np.float64))
         cm = unit(np.vstack(cs["_v"].to_numpy()).astype(np.float64))
-        qid, cid = qs["_id"].to_numpy(), cs["_id"].to_numpy()
+        qid, cid = qs["_id"].to_numpy(str), cs["_id"].to_numpy(str)
         frames = []
         for s in range(0, len(qm), 2048):
             sims = qm[s:s + 2048] @ cm.T
             ids = qid[s:s + 2048]
             sims[ids[:, None] == cid[None, :]] = -np.inf
             kk = min(k, sims.shape[1])
-            part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-            vals = np.take_along_axis(sims, part, axis=1).ravel()
-            keep = np.isfinite(vals)
-            frames.append(pd.DataFrame({"_id": np.repeat(ids, kk)[keep], "_nid": cid[part].ravel()[keep],
-                                        "_sim": vals[keep]}))
+            rounded = np.round(sims, 6)
+            level = np.partition(rounded, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk]
+            row, col = np.nonzero((rounded >= level[:, None]) & np.isfinite(sims))     # ties at the k-th kept
+            order = np.lexsort((cid[col], -rounded[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < kk], col[nth < kk]
+            frames.append(pd.DataFrame({"_id": ids[row], "_nid": cid[col], "_sim": sims[row, col]}))
         return pd.concat(frames, ignore_index=True)
 
     partial = both.groupBy("qb", "cb").applyInPandas(score, schema)
-    ranked = top_k(partial, ["_id"], [F.round("_sim", 6).desc(), F.col("_nid")], k, salt_cols=["_nid"])
+    ranked = top_k(partial, ["_id"], [F.round("_sim", 6).desc(), F.col("_nid")], k)
     return ranked.select(F.col("_id").alias(id_col), F.col("_nid").alias(f"neighbor_{id_col}"),
                          F.col("_sim").alias("similarity"), "Rank")
 

@@ -52,7 +52,7 @@ def search_targets(matches: DataFrame, index: DataFrame, client_feats: DataFrame
     if country is not None:                       # a value or a scalar-subquery column
         t = t.filter(F.col("ClientCountry") == (country if not isinstance(country, str) else F.lit(country)))
     t = t.withColumn("TargetScore", target_score())
-    return top_k(t, [], [F.round("TargetScore", 6).desc(), F.col("ClientID")], k, salt_cols=["ClientID"])
+    return top_k(t, [], [F.round("TargetScore", 6).desc(), F.col("ClientID")], k)
 
 
 def search_target_personas(matches: DataFrame, index: DataFrame, client_feats: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def q_dataset_metadata(x: Ctx):
 
 @query("persona_samples")
 def q_persona_samples(x: Ctx):
-    return bi.persona_samples(x.recent.persona_enriched)
+    return bi.persona_samples(x.persona_enriched)
 
 
 # ---------------------------------------------------------------- B. cleaning / features
@@ -170,17 +170,17 @@ def q_favorite(x: Ctx):
 
 @query("personas")
 def q_personas(x: Ctx):
-    return x.recent.personas.select("ClientID", "ClientSegment", "ClientCountry", "TransactionCount", "Persona")
+    return x.personas.select("ClientID", "ClientSegment", "ClientCountry", "TransactionCount", "Persona")
 
 
 @query("persona_distribution")
 def q_persona_dist(x: Ctx):
-    return customers.persona_distribution(x.recent.personas)
+    return customers.persona_distribution(x.personas)
 
 
 @query("persona_enriched")
 def q_persona_enriched(x: Ctx):
-    return x.recent.persona_enriched.select("ClientID", "Persona", "TransactionCount", "TotalSpent", "LastDate",
+    return x.persona_enriched.select("ClientID", "Persona", "TransactionCount", "TotalSpent", "LastDate",
                                             "TotalUnits", "Recency", "FavoriteCategory", "AvgOrderValue")
 
 
@@ -205,7 +205,7 @@ def q_propensity_country(x: Ctx):
 
 @query("propensity_cross_sell")
 def q_cross_sell(x: Ctx):
-    return customers.propensity_cross_sell(x.master, x.products, x.popular).select(
+    return customers.propensity_cross_sell(x.master, x.products, x.products).select(
         "ProductID", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
 
 
@@ -298,8 +298,7 @@ def q_store_bundles(x: Ctx):
 
 @query("client_cross_sell")
 def q_client_cross_sell(x: Ctx):
-    r = x.recent
-    return baskets.client_cross_sell(r.last, r.rules_family, r.master, r.t.stocks, r.clients)
+    return baskets.client_cross_sell(x.last, x.rules_family, x.master, x.t.stocks, x.clients)
 
 
 # ---------------------------------------------------------------- D/E/F. sequences
@@ -315,14 +314,12 @@ def q_markov_topk(x: Ctx):
 
 @query("client_sequences")
 def q_sequences(x: Ctx):
-    s = x.sequences
-    return s.select("ClientID", "Chunk", F.size("items").alias("SequenceLength"),
-                    F.array_join("items", " ").alias("Sequence"))
+    return x.sequences.select("ClientID", "Position", "ProductID")
 
 
 @query("prod2vec_vocab")
 def q_vocab(x: Ctx):
-    return x.embeddings.select("ProductID")
+    return sequences.vocabulary(x.sequences)
 
 
 @query("prod2vec_vectors")
@@ -352,8 +349,7 @@ def q_cosine(x: Ctx):
 
 # ---------------------------------------------------------------- G. recommendations
 def _recs(x: Ctx) -> DataFrame:
-    r = x.recent
-    return recommend.recommendations(r.personas, r.last, r.popular, r.trending, r.rules_product, r.t.stocks)
+    return recommend.recommendations(x.personas, x.last, x.popular, x.trending, x.rules_product, x.t.stocks)
 
 
 @query("recommendations")
@@ -363,9 +359,7 @@ def q_recommendations(x: Ctx):
 
 @query("available_products")
 def q_available(x: Ctx):
-    r = x.recent
-    ctx = recommend.client_context(r.personas, r.last)
-    regions = recommend.available_products(ctx, r.t.stocks)
+    regions = recommend.available_products(x.t.stocks)
     return regions.groupBy("Region").agg(F.count(F.lit(1)).alias("n_products")).select(
         F.when(F.col("Region") == recommend.ANY_COUNTRY, "ANY").otherwise(F.col("Region")).alias("Region"), "n_products")
 
@@ -387,20 +381,17 @@ def q_recs_loyal(x: Ctx):
 
 @query("recs_blend")
 def q_recs_blend(x: Ctx):
-    r = x.recent
-    ctx = recommend.client_context(r.personas, r.last)
+    ctx = recommend.client_context(x.personas, x.last)
     mid_last = ctx.filter(F.col("Persona").contains("Mid Freq")).select(F.col("LastProductID").alias("ProductID"))
-    sim = sequences.similar_products(r.embeddings, 10, queries=mid_last)
-    return recommend.recs_blend(ctx, sim, sequences.markov_topk(r.markov, 10), r.popular,
-                                r.rules_product, r.t.stocks, trending=r.trending).select(
+    sim = sequences.similar_products(x.embeddings, 10, queries=mid_last)
+    return recommend.recs_blend(ctx, sim, sequences.markov_topk(x.markov, 10), x.popular,
+                                x.rules_product, x.t.stocks, trending=x.trending).select(
         "ClientID", "Persona", "Rank", "ProductID")
 
 
 @query("recs_enriched")
 def q_recs_enriched(x: Ctx):
-    r = x.recent
-    ctx = recommend.client_context(r.personas, r.last)
-    return recommend.recs_enriched(_recs(x), r.t.products, ctx, r.t.stocks)
+    return recommend.recs_enriched(_recs(x), x.t.products, x.clients, x.t.stocks)
 
 
 # ---------------------------------------------------------------- H. targeting
@@ -423,34 +414,30 @@ def q_buyers(x: Ctx):
 
 @query("search_targets_simple")
 def q_search_simple(x: Ctx):
-    r = x.recent
-    m = targeting.product_search(r.t.products, SEARCH_TERM, fields=("FamilyLevel2", "Category"))
-    return targeting.search_targets_simple(m, r.master, r.personas)
+    m = targeting.product_search(x.t.products, SEARCH_TERM, fields=("FamilyLevel2", "Category"))
+    return targeting.search_targets_simple(m, x.master, x.personas)
 
 
-def _client_feats(r: Ctx):
-    return customers.client_features(r.persona_enriched, r.rfm)
+def _client_feats(x: Ctx):
+    return customers.client_features(x.persona_enriched, x.rfm)
 
 
 @query("search_targets")
 def q_search_targets(x: Ctx):
-    r = x.recent
-    t = targeting.search_targets(_matches(r), targeting.buyers_by_family(r.master), _client_feats(r))
+    t = targeting.search_targets(_matches(x), targeting.buyers_by_family(x.master), _client_feats(x))
     return t.select("ClientID", "Persona", "TransactionCount", "TotalSpent", "Recency", "RFM_Score",
                     "FavoriteCategory", "TargetScore", "Rank")
 
 
 @query("search_target_personas")
 def q_search_personas(x: Ctx):
-    r = x.recent
-    return targeting.search_target_personas(_matches(r), targeting.buyers_by_family(r.master), _client_feats(r))
+    return targeting.search_target_personas(_matches(x), targeting.buyers_by_family(x.master), _client_feats(x))
 
 
 @query("reverse_rule_targets")
 def q_reverse_rules(x: Ctx):
-    r = x.recent
-    rules = baskets.association_rules(r.master, "ProductID", min_count=2)
-    return targeting.reverse_rule_targets(rules, r.master, r.personas)
+    rules = baskets.association_rules(x.master, "ProductID", min_count=2)
+    return targeting.reverse_rule_targets(rules, x.master, x.personas)
 
 
 @query("stock_pivot")
@@ -471,18 +458,16 @@ def q_country_kpis(x: Ctx):
 
 @query("strategy_matrix")
 def q_strategy(x: Ctx):
-    return bi.strategy_matrix(x.spark, x.recent.personas)
+    return bi.strategy_matrix(x.spark, x.personas)
 
 
 @query("family_persona_revenue")
 def q_fam_persona(x: Ctx):
-    r = x.recent
-    return bi.family_persona_revenue(bi.with_persona(r.master, r.personas))
+    return bi.family_persona_revenue(bi.with_persona(x.master, x.personas))
 
 
 def _insights(x: Ctx):
-    r = x.recent
-    return bi.country_insights(bi.with_persona(r.master, r.personas), r.personas, r.t.stocks)
+    return bi.country_insights(bi.with_persona(x.master, x.personas), x.personas, x.t.stocks)
 
 
 @query("country_insights")
@@ -497,14 +482,12 @@ def q_playbook(x: Ctx):
 
 @query("persona_reach")
 def q_reach(x: Ctx):
-    r = x.recent
-    return bi.persona_reach(bi.with_persona(r.master, r.personas))
+    return bi.persona_reach(bi.with_persona(x.master, x.personas))
 
 
 @query("persona_advice")
 def q_advice(x: Ctx):
-    r = x.recent
-    return bi.persona_advice(bi.persona_reach(bi.with_persona(r.master, r.personas)))
+    return bi.persona_advice(bi.persona_reach(bi.with_persona(x.master, x.personas)))
 
 
 @query("revenue_by_country")
@@ -546,8 +529,7 @@ def q_country_trending(x: Ctx):
 
 @query("client_360")
 def q_client_360(x: Ctx):
-    r = x.recent
-    return bi.client_360(x.spark, r.persona_enriched, r.rfm)
+    return bi.client_360(x.spark, x.persona_enriched, x.rfm)
 
 
 @query("dimension_values")
@@ -588,7 +570,6 @@ def q_kpi_summary(x: Ctx):
 @query("search_targets_country")
 def q_search_targets_country(x: Ctx):
     """Search audience restricted to one country (the first store country in sort order)."""
-    r = x.recent
-    country = r.t.stores.agg(F.min("StoreCountry")).scalar()
-    t = targeting.search_targets(_matches(r), targeting.buyers_by_family(r.master), _client_feats(r), country=country)
+    country = x.t.stores.agg(F.min("StoreCountry")).scalar()
+    t = targeting.search_targets(_matches(x), targeting.buyers_by_family(x.master), _client_feats(x), country=country)
     return t.select("ClientID", "Persona", "ClientCountry", "TargetScore", "Rank")

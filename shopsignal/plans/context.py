@@ -5,63 +5,41 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopsignal.functions.scalar import ts_lit
 from shopsignal.operators import baskets, cleaning, customers, features, products, sequences
+from shopsignal.operators.numeric import materialize
 from shopsignal.sources.retail import RetailTables, load_retail
 
-# Persona-dependent outputs use sales from this date on (FIXTURES.md §2): over the whole
-# fixture history nearly every client would be "Very Frequent".
-PERSONA_SINCE = dt.datetime(2023, 6, 1)
-
 _CACHE: dict = {}
 _SOURCES: dict = {}   # (session, folder) -> RetailTables (metadata only: reused across contexts)
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Persist an aggregated table several jobs of one query reuse (recomputable on loss)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def clear() -> None:
-    """Drop cached contexts and everything their sessions persisted (operators persist
-    some small intermediates of their own, e.g. the per-client RFM base)."""
-    sessions = {}
-    for ctx in list(_CACHE.values()):
-        ctx.release()
-        sessions[id(ctx.spark)] = ctx.spark
-    for spark in sessions.values():
-        spark.catalog.clearCache()
+    """Forget the contexts: the next query writes its shared tables anew."""
     _CACHE.clear()
 
 
 def context(spark: SparkSession, sf_dir: str) -> "Ctx":
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = Ctx(spark, sf_dir)
     return _CACHE[key]
 
 
 class Ctx:
-    def __init__(self, spark: SparkSession, sf_dir: str, since=None):
+    """``since`` (a datetime) restricts all sales to a window; by default the whole history counts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, since: dt.datetime | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.since = since
 
-    def release(self) -> None:
-        for holder in (self, self.__dict__.get("recent")):
-            if holder is None:
-                continue
-            for v in list(holder.__dict__.values()):
-                if isinstance(v, DataFrame) and v.storageLevel != StorageLevel.NONE:
-                    v.unpersist()
-
     @cached_property
     def t(self) -> RetailTables:
-        key = (id(self.spark), self.sf_dir.rstrip("/"), self.since)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), self.since)
         if key not in _SOURCES:
             _SOURCES[key] = load_retail(self.spark, self.sf_dir, since=self.since)
         src = _SOURCES[key]
@@ -70,11 +48,6 @@ class Ctx:
             t.transactions = t.transactions.filter(F.col(cleaning.DATE) >= ts_lit(self.since))
         return t
 
-    @cached_property
-    def recent(self) -> "Ctx":
-        """The same context restricted to the persona window."""
-        return Ctx(self.spark, self.sf_dir, since=PERSONA_SINCE)
-
     @cached_property
     def products(self) -> DataFrame:
         return cleaning.clean_products(self.t.products)
@@ -85,18 +58,16 @@ class Ctx:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cleaning.clean_transactions(self.t.transactions)
+        """Valid, deduplicated sales: written once to the shared folder as parquet, so every query
+        pays one shuffle for the dedupe at most and scans only the columns it uses."""
+        return materialize(cleaning.clean_transactions(self.t.transactions), "clean-sales")
 
     @cached_property
     def master(self) -> DataFrame:
-        """Clean sales ⟕ dims + calendar + events (row-wise features).
-
-        Persisted (memory, spilling to disk): every query runs several jobs over it (scalar
-        thresholds, quantile edges, aggregates); lost blocks are recomputed from lineage.
-        """
+        """Clean sales ⟕ dims + calendar + events, as a lazy view: Catalyst drops the joins and
+        columns that a query does not use."""
         m = features.master_join(self.clean, self.products, self.clients, self.t.stores)
-        return features.add_sporting_events(features.add_retail_events(features.add_calendar(m))) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        return features.add_sporting_events(features.add_retail_events(features.add_calendar(m)))
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -130,12 +101,12 @@ class Ctx:
 
     @cached_property
     def trend_scores(self) -> DataFrame:
-        return _keep(products.trending_scores(self.master, self.max_date, filtered=self.denoised))
+        return materialize(products.trending_scores(self.master, self.max_date, filtered=self.denoised), "trend-scores")
 
     @cached_property
     def popular(self) -> DataFrame:
-        return _keep(products.global_trends(self.master, self.products, self.max_date, filtered=self.denoised,
-                                      scores=self.trend_scores))
+        return materialize(products.global_trends(self.master, self.products, self.max_date, filtered=self.denoised,
+                                                  scores=self.trend_scores), "popular")
 
     @cached_property
     def trending(self) -> DataFrame:

@@ -15,7 +15,7 @@ from shopsignal.session import ensure_checkpoint_dir
 
 
 def artefacts(x: Ctx) -> dict[str, tuple[DataFrame, list[str]]]:
-    r = x.recent
+    r = x
     final = features.add_pareto(features.add_days_since_last(features.add_cross_border(
         features.add_price_features(bi.final_features(x.master, x.rfm)))))
     return {

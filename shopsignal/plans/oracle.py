@@ -1,8 +1,7 @@
 """SQL oracle (DuckDB dialect) for the query catalog.
 
-Each key's SQL is assembled from a library of named CTEs with dependencies. Derived CTEs
-exist in two flavours: over the whole history and, with the ``r_`` prefix, over the persona
-window (sales since 2023-06-01). Output normalisation matches ``catalog.normalize``:
+Each key's SQL is assembled from a library of named CTEs with dependencies, all over the whole
+sale history. Output normalisation matches ``catalog.normalize``:
 timestamps as text, decimals/doubles as DOUBLE rounded to 6 places.
 """
 from __future__ import annotations
@@ -93,7 +92,6 @@ base("strategies", """SELECT * FROM (VALUES
 ) AS t(Ord, Persona, Strategy, Channel, Priority)""")
 
 # ------------------------------------------------------------------ cleaning and the wide table
-derived("tx", "SELECT * FROM tx WHERE SaleTransactionDate >= TIMESTAMP '2023-06-01 00:00:00'")   # r_ only
 derived("clean", """SELECT DISTINCT * FROM {p}tx
 WHERE SalesNetAmountEuro >= 0 AND Quantity > 0 AND SaleTransactionDate IS NOT NULL""")
 derived("master0", """SELECT t.*, p.Category, p.FamilyLevel1, p.FamilyLevel2, p.Universe,
@@ -198,7 +196,8 @@ derived("modecat", """SELECT ClientID, Category AS ModeCategory FROM (
         GROUP BY ClientID, Category)) WHERE rn = 1""")
 derived("penr", """SELECT p.*, CAST(st.spent AS DOUBLE) / CAST(NULLIF(p.TransactionCount, 0) AS DOUBLE) AS AvgOrderValue,
        COALESCE(st.spent, 0.0::DOUBLE) AS TotalSpent, st.LastDate, st.TotalUnits,
-       COALESCE(st.rec, 999) AS Recency, COALESCE(mc.ModeCategory, 'None') AS FavoriteCategory
+       COALESCE(st.rec, 999) AS Recency,
+       COALESCE(mc.ModeCategory, CASE WHEN st.ClientID IS NULL THEN 'None' ELSE 'N/A' END) AS FavoriteCategory
 FROM {p}personas p LEFT JOIN (
   SELECT ClientID, CAST(sum(SalesNetAmountEuro) AS DOUBLE) AS spent, max(SaleTransactionDate) AS LastDate,
          CAST(sum(Quantity) AS BIGINT) AS TotalUnits,
@@ -267,7 +266,7 @@ def _trend(tdate: str) -> str:
   SELECT StoreID, StoreCountry, ProductID,
          COALESCE(sum(CASE WHEN rec THEN 1.0::DOUBLE / (1.0::DOUBLE + dd * 0.1::DOUBLE) END), 0.0::DOUBLE) AS recent_score,
          CAST(COALESCE(sum(CASE WHEN sea THEN Quantity END), 0) AS DOUBLE) AS seasonal_score
-  FROM (SELECT n.*, n.SaleTransactionDate >= d.c AND n.SaleTransactionDate <= d.t AS rec,
+  FROM (SELECT n.*, n.SaleTransactionDate >= d.c AND n.SaleTransactionDate < date_trunc('day', d.t) + INTERVAL 1 DAY AS rec,
                quarter(n.SaleTransactionDate) = d.q AND n.SaleTransactionDate < d.c AS sea,
                """ + days("n.SaleTransactionDate", "d.t") + """ AS dd
         FROM {p}noise n, {p}""" + tdate + """ d)
@@ -345,7 +344,7 @@ derived("pool", """SELECT Region, ProductID, pos FROM (
     SELECT r.Region, x.ProductID, min(x.pos) AS pos FROM (
       SELECT ProductID, Rank AS pos FROM {p}popular UNION ALL SELECT ProductID, Rank + 1000000 AS pos FROM {p}trending) x
     JOIN {p}regions r ON x.ProductID = r.ProductID GROUP BY r.Region, x.ProductID)) WHERE rk <= 5""")
-derived("primary", """SELECT c.ClientID, p.Rank AS pos, p.ProductID FROM {p}ctx c
+derived("primary_list", """SELECT c.ClientID, p.Rank AS pos, p.ProductID FROM {p}ctx c
 JOIN {p}popular p ON c.Route = 'inactive' AND c.LastFamilyLevel2 = p.FamilyLevel2
 WHERE EXISTS (SELECT 1 FROM {p}regions r WHERE r.Region = c.Region AND r.ProductID = p.ProductID)
 UNION ALL
@@ -356,7 +355,7 @@ WHERE EXISTS (SELECT 1 FROM {p}regions r WHERE r.Region = c.Region AND r.Product
 derived("recs", """SELECT f.ClientID, c.Persona, c.Route, f.Rank, f.ProductID FROM (
   SELECT ClientID, ProductID, row_number() OVER (PARTITION BY ClientID ORDER BY tier, pos, ProductID) AS Rank FROM (
     SELECT ClientID, ProductID, arg_min(tier, tier * 10000000 + pos) AS tier, arg_min(pos, tier * 10000000 + pos) AS pos FROM (
-      SELECT ClientID, 0 AS tier, pos, ProductID FROM {p}primary
+      SELECT ClientID, 0 AS tier, pos, ProductID FROM {p}primary_list
       UNION ALL SELECT c.ClientID, 1 AS tier, pl.pos, pl.ProductID FROM {p}ctx c JOIN {p}pool pl ON c.Region = pl.Region)
     GROUP BY ClientID, ProductID)) f JOIN {p}ctx c ON f.ClientID = c.ClientID WHERE f.Rank <= 5""")
 
@@ -439,7 +438,6 @@ derived("topcats12", """SELECT Category, Revenue, Rank FROM (
   FROM {p}master WHERE Category IS NOT NULL GROUP BY Category) WHERE Rank <= 12""")
 
 # ------------------------------------------------------------------ the keys
-P = "r_"   # persona window prefix
 KEYS: dict[str, tuple[str, str]] = {}
 
 
@@ -456,7 +454,7 @@ FROM (SELECT DISTINCT StoreCountry FROM {p}master WHERE StoreCountry IS NOT NULL
 key("persona_samples", """SELECT Persona, ClientID, SampleRank FROM (
   SELECT Persona, ClientID, row_number() OVER (PARTITION BY Persona ORDER BY ClientID) AS SampleRank FROM {p}penr
   WHERE Persona IN ('Very Frequent (>15)', 'Loyal/Top (Mid Freq)', 'Loyal/Top (Low Freq)', 'Inactive (Mid Freq)',
-                    'Inactive (Low Freq)', 'No Transactions')) WHERE SampleRank <= 2""", P)
+                    'Inactive (Low Freq)', 'No Transactions')) WHERE SampleRank <= 2""")
 key("dedup_transactions", f"SELECT DISTINCT ClientID, ProductID, StoreID, {ts('SaleTransactionDate', 'SaleTransactionDate')}, "
     f"{r6('SalesNetAmountEuro', 'SalesNetAmountEuro')}, Quantity, BasketID, LineNo FROM tx")
 key("valid_transactions", f"SELECT ClientID, ProductID, StoreID, {ts('SaleTransactionDate', 'SaleTransactionDate')}, "
@@ -478,7 +476,8 @@ key("cross_border", f"""SELECT {RK}, 1 - CAST(COALESCE(StoreCountry = ClientCoun
   CAST(COALESCE(StoreCountry = ClientCountry, false) AS INTEGER) AS IsLocalPurchase FROM {{p}}master""")
 key("days_since_last", f"""SELECT {RK}, {ts('SaleTransactionDate', 'SaleTransactionDate')},
   COALESCE({days('lag(SaleTransactionDate) OVER (PARTITION BY ClientID ORDER BY SaleTransactionDate, ' + ROW_ORDER + ')', 'SaleTransactionDate')}, 9999)
-    AS DaysSinceLastPurchase FROM {{p}}master WHERE ClientID IS NOT NULL""")
+    AS DaysSinceLastPurchase FROM {{p}}master WHERE ClientID IS NOT NULL
+UNION ALL SELECT {RK}, {ts('SaleTransactionDate', 'SaleTransactionDate')}, 9999 FROM {{p}}master WHERE ClientID IS NULL""")
 key("pareto_revenue", f"""SELECT {RK}, {r6('cum', 'CumulativeRevenue')},
   CAST(cum <= 0.8 * (SELECT sum(SalesNetAmountEuro) FROM {{p}}master) AS INTEGER) AS IsTop20PercentRevenue FROM (
   SELECT *, sum(SalesNetAmountEuro) OVER (ORDER BY SalesNetAmountEuro DESC, BasketID, LineNo, ProductID, StoreID, Quantity,
@@ -498,10 +497,10 @@ key("rfm_scores", f"""SELECT ClientID, Recency, Frequency, {r6('TotalSpent', 'To
 key("rfm_segments", f"""SELECT ClientID, CustomerLifetimeDays, {r6('PriceVolatility', 'PriceVolatility')}, IsHighValue,
   IsFrequentBuyer, IsRecentBuyer, IsAtRisk FROM {{p}}rfm""")
 key("favorite_category", "SELECT * FROM {p}fav")
-key("personas", "SELECT ClientID, ClientSegment, ClientCountry, TransactionCount, Persona FROM {p}personas", P)
-key("persona_distribution", "SELECT Persona, count(*) AS Clients FROM {p}personas GROUP BY Persona", P)
+key("personas", "SELECT ClientID, ClientSegment, ClientCountry, TransactionCount, Persona FROM {p}personas")
+key("persona_distribution", "SELECT Persona, count(*) AS Clients FROM {p}personas GROUP BY Persona")
 key("persona_enriched", f"""SELECT ClientID, Persona, TransactionCount, {r6('TotalSpent', 'TotalSpent')},
-  {ts('LastDate', 'LastDate')}, TotalUnits, Recency, FavoriteCategory, {r6('AvgOrderValue', 'AvgOrderValue')} FROM {{p}}penr""", P)
+  {ts('LastDate', 'LastDate')}, TotalUnits, Recency, FavoriteCategory, {r6('AvgOrderValue', 'AvgOrderValue')} FROM {{p}}penr""")
 key("affinity_matrix", f"""SELECT ClientID, FamilyLevel1, {r6('CategorySpend', 'CategorySpend')}, PurchaseCount,
   {r6('TotalSpend', 'TotalSpend')}, DaysSinceLastPurchase, {r6('ShareOfWallet', 'ShareOfWallet')},
   {r6('AffinityScore', 'AffinityScore')} FROM {{p}}affinity""")
@@ -510,7 +509,7 @@ key("propensity_family", f"""SELECT ClientID, FamilyLevel1, {r6('TotalSpend', 'T
 key("propensity_country", f"""SELECT StoreCountry, ClientID, FamilyLevel1, {r6('TotalSpend', 'TotalSpend')}, DaysSinceLastPurchase,
   {r6('PropensityScore', 'PropensityScore')} FROM {{p}}propensity_c""")
 key("propensity_cross_sell", f"""SELECT t.ProductID, s.ClientID, {r6('s.PropensityScore', 'PropensityScore')}, s.DaysSinceLastPurchase
-FROM (SELECT DISTINCT ProductID FROM {{p}}popular) t JOIN products p ON t.ProductID = p.ProductID
+FROM products t JOIN products p ON t.ProductID = p.ProductID
 JOIN {{p}}propensity s ON s.FamilyLevel1 = p.FamilyLevel1
 WHERE NOT EXISTS (SELECT 1 FROM {{p}}master o WHERE o.ProductID = t.ProductID AND o.ClientID = s.ClientID)""")
 key("last_purchase", f"""SELECT ClientID, LastProductID, LastFamilyLevel2, LastClientCountry, {ts('LastDate', 'LastDate')}
@@ -574,15 +573,13 @@ LEFT JOIN (SELECT FamilyLevel2, arg_min(ProductID, ProductID) AS ProductID, arg_
   ON t.consequent = e.FamilyLevel2
 LEFT JOIN clients c ON l.ClientID = c.ClientID
 LEFT JOIN (SELECT StoreCountry, ProductID, sum(Quantity) AS q FROM stocks GROUP BY StoreCountry, ProductID) sq
-  ON c.ClientCountry = sq.StoreCountry AND e.ProductID = sq.ProductID""", P)
+  ON c.ClientCountry = sq.StoreCountry AND e.ProductID = sq.ProductID""")
 key("markov_transitions", f"SELECT Country, State, NextState, n, {r6('prob', 'prob')} FROM {{p}}markov")
 key("markov_topk", f"""SELECT Country, State, NextState, n, {r6('prob', 'prob')}, Rank FROM (
   SELECT *, row_number() OVER (PARTITION BY Country, State ORDER BY ROUND(prob, 6) DESC, NextState) AS Rank FROM {{p}}markov)
 WHERE Rank <= 3""")
-key("client_sequences", """SELECT ClientID, Chunk, count(*) AS SequenceLength, string_agg(ProductID, ' ' ORDER BY rn) AS Sequence FROM (
-  SELECT ClientID, ProductID, rn, CAST(floor((rn - 1) / 1000) AS INTEGER) AS Chunk FROM (
-    SELECT ClientID, ProductID, row_number() OVER (PARTITION BY ClientID ORDER BY SaleTransactionDate, """ + ROW_ORDER + """) AS rn
-    FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL)) GROUP BY ClientID, Chunk""")
+key("client_sequences", """SELECT ClientID, row_number() OVER (PARTITION BY ClientID ORDER BY SaleTransactionDate, """ + ROW_ORDER + """) AS Position,
+  ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL""")
 key("prod2vec_vocab", """SELECT ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL
 GROUP BY ProductID HAVING count(*) >= 2""")
 key("cosine_topk", f"""SELECT vec_id, neighbor_id, {r6('sim', 'similarity')}, Rank FROM (
@@ -596,37 +593,37 @@ key("cosine_topk", f"""SELECT vec_id, neighbor_id, {r6('sim', 'similarity')}, Ra
         JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE))) AS nn FROM embeddings) ny ON ny.vec_id = y.vec_id
         GROUP BY x.vec_id, y.vec_id) a
   JOIN embeddings b ON a.other = b.vec_id) WHERE Rank <= 5""")
-key("recommendations", "SELECT ClientID, Persona, Route, Rank, ProductID FROM {p}recs", P)
+key("recommendations", "SELECT ClientID, Persona, Route, Rank, ProductID FROM {p}recs")
 key("available_products", """SELECT CASE WHEN Region = '~any' THEN 'ANY' ELSE Region END AS Region, count(*) AS n_products
-FROM {p}regions GROUP BY Region""", P)
-key("recs_static", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route IN ('static', 'fallback')", P)
-key("recs_inactive", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'inactive'", P)
-key("recs_loyal", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'loyal'", P)
+FROM {p}regions GROUP BY Region""")
+key("recs_static", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route IN ('static', 'fallback')")
+key("recs_inactive", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'inactive'")
+key("recs_loyal", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'loyal'")
 key("recs_enriched", """SELECT r.ClientID, r.Rank, r.ProductID, COALESCE(p.FamilyLevel2, 'Unknown') AS Product,
   COALESCE(p.Category, 'N/A') AS Category, COALESCE(p.FamilyLevel1, 'N/A') AS SportFamily,
   COALESCE(p.Universe, 'N/A') AS Gender, CAST(COALESCE(sq.q, 0) AS BIGINT) AS Stock
 FROM {p}recs r LEFT JOIN products_raw p ON r.ProductID = p.ProductID
-LEFT JOIN {p}ctx c ON r.ClientID = c.ClientID
+LEFT JOIN clients c ON r.ClientID = c.ClientID
 LEFT JOIN (SELECT StoreCountry, ProductID, sum(Quantity) AS q FROM stocks GROUP BY StoreCountry, ProductID) sq
-  ON c.LastClientCountry = sq.StoreCountry AND r.ProductID = sq.ProductID""", P)
+  ON c.ClientCountry = sq.StoreCountry AND r.ProductID = sq.ProductID""")
 key("product_search", "SELECT * FROM {p}matches")
 key("buyers_by_family", "SELECT * FROM {p}buyers")
 key("search_targets_simple", """SELECT p.ClientID, p.Persona, p.ClientCountry FROM {p}personas p WHERE p.ClientID IN (
   SELECT DISTINCT m.ClientID FROM {p}master m WHERE m.FamilyLevel2 IN (
     SELECT FamilyLevel2 FROM products_raw WHERE COALESCE(regexp_matches(FamilyLevel2, '(?i)ring'), false)
-       OR COALESCE(regexp_matches(Category, '(?i)ring'), false)))""", P)
+       OR COALESCE(regexp_matches(Category, '(?i)ring'), false)))""")
 key("search_targets", f"""SELECT ClientID, Persona, TransactionCount, {r6('TotalSpent', 'TotalSpent')}, Recency, RFM_Score,
   FavoriteCategory, {r6('TargetScore', 'TargetScore')}, Rank FROM (
   SELECT *, row_number() OVER (ORDER BY ROUND(TargetScore, 6) DESC, ClientID) AS Rank FROM (
     SELECT *, COALESCE(RFM_Score, 0) * 2 + COALESCE(TransactionCount, 0) - COALESCE(Recency, 999) / 100.0::DOUBLE AS TargetScore
-    FROM {{p}}cfeat WHERE ClientID IN (SELECT ClientID FROM {{p}}search_ids))) WHERE Rank <= 50""", P)
+    FROM {{p}}cfeat WHERE ClientID IN (SELECT ClientID FROM {{p}}search_ids))) WHERE Rank <= 50""")
 key("search_target_personas", """SELECT Persona, count(*) AS Clients FROM {p}cfeat
-WHERE ClientID IN (SELECT ClientID FROM {p}search_ids) GROUP BY Persona""", P)
+WHERE ClientID IN (SELECT ClientID FROM {p}search_ids) GROUP BY Persona""")
 key("reverse_rule_targets", """SELECT t.Target, t.ClientID, p.Persona, p.ClientCountry FROM (
   SELECT DISTINCT r.consequent AS Target, b.ClientID FROM {p}rules_product2 r
   JOIN (SELECT DISTINCT ProductID, ClientID FROM {p}master WHERE ClientID IS NOT NULL) b ON b.ProductID = r.antecedent
   WHERE NOT EXISTS (SELECT 1 FROM {p}master o WHERE o.ProductID = r.consequent AND o.ClientID = b.ClientID)) t
-LEFT JOIN {p}personas p ON t.ClientID = p.ClientID""", P)
+LEFT JOIN {p}personas p ON t.ClientID = p.ClientID""")
 key("stock_pivot", """SELECT g.ProductID, g.StoreCountry, CAST(COALESCE(s.q, 0) AS BIGINT) AS Quantity, p.FamilyLevel2 AS Product FROM (
   SELECT pr.ProductID, c.StoreCountry FROM
     (SELECT DISTINCT ProductID FROM stocks WHERE ProductID IN (SELECT ProductID FROM {p}matches)) pr,
@@ -646,15 +643,15 @@ key("country_kpis", f"""SELECT StoreCountry, {r6('sum(SalesNetAmountEuro)', 'tot
   {r6('median(CAST(SalesNetAmountEuro AS DOUBLE))', 'median_basket')}
 FROM {{p}}master WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry""")
 key("strategy_matrix", """SELECT s.Persona, COALESCE(c.n, 0) AS Clients, s.Strategy, s.Channel, s.Priority FROM strategies s
-LEFT JOIN (SELECT Persona, count(DISTINCT ClientID) AS n FROM {p}personas GROUP BY Persona) c ON s.Persona = c.Persona""", P)
+LEFT JOIN (SELECT Persona, count(DISTINCT ClientID) AS n FROM {p}personas GROUP BY Persona) c ON s.Persona = c.Persona""")
 key("family_persona_revenue", f"""SELECT FamilyLevel1, Persona, {r6('sum(SalesNetAmountEuro)', 'Revenue')} FROM {{p}}mp
 WHERE FamilyLevel1 IS NOT NULL AND Persona IS NOT NULL AND FamilyLevel1 IN (
   SELECT FamilyLevel1 FROM {{p}}mp WHERE FamilyLevel1 IS NOT NULL GROUP BY FamilyLevel1
   ORDER BY sum(SalesNetAmountEuro) DESC, FamilyLevel1 LIMIT 10)
-GROUP BY FamilyLevel1, Persona""", P)
+GROUP BY FamilyLevel1, Persona""")
 key("country_insights", f"""SELECT Country, {r6('revenue', 'revenue')}, transactions, clients, {r6('avg_basket', 'avg_basket')},
   persona_clients, dominant_persona, inactive_count, cold_count, top_families, top_categories, total_skus, zero_stock,
-  overstocked, CountryName FROM {{p}}insights""", P)
+  overstocked, CountryName FROM {{p}}insights""")
 key("country_playbook", f"""SELECT Country, ActionNo, Action, Subject, Count, {r6('Pct', 'Pct')}, Detail FROM (
   SELECT i.Country, 1 AS ActionNo, 'primary_audience' AS Action, COALESCE(i.dominant_persona, 'Unknown') AS Subject,
          CAST(NULL AS BIGINT) AS Count, CAST(NULL AS DOUBLE) AS Pct, COALESCE(s.Strategy, 'personalised offers') AS Detail
@@ -668,9 +665,9 @@ key("country_playbook", f"""SELECT Country, ActionNo, Action, Subject, Count, {r
          COALESCE(zero_stock * 100.0::DOUBLE / CAST(NULLIF(total_skus, 0) AS DOUBLE), 0.0), 'replenish before campaign launch'
   FROM {{p}}insights WHERE zero_stock > 0
   UNION ALL SELECT Country, 5, 'promotion', 'overstocked SKUs', overstocked, NULL, 'discount campaigns'
-  FROM {{p}}insights WHERE overstocked > 0)""", P)
+  FROM {{p}}insights WHERE overstocked > 0)""")
 key("persona_reach", f"""SELECT Persona, {r6('avg_amount', 'avg_amount')}, {r6('email_reach', 'email_reach')},
-  {r6('phone_reach', 'phone_reach')}, clients FROM {{p}}reach""", P)
+  {r6('phone_reach', 'phone_reach')}, clients FROM {{p}}reach""")
 key("persona_advice", f"""SELECT Persona,
   CASE WHEN contains(Persona, 'Loyal') OR contains(Persona, 'Very Frequent') THEN
          'VIP Treatment: Offer exclusive early access to new collections. Focus on retention.'
@@ -680,7 +677,7 @@ key("persona_advice", f"""SELECT Persona,
   CASE WHEN email_reach * 100 > 50 AND phone_reach * 100 > 50 THEN 'Omnichannel'
        WHEN email_reach * 100 > 50 THEN 'Email Primary' WHEN phone_reach * 100 > 50 THEN 'SMS Primary'
        ELSE 'Low Reach' END AS Channel,
-  {r6('email_reach * 100', 'email_pct')}, {r6('phone_reach * 100', 'phone_pct')} FROM {{p}}reach""", P)
+  {r6('email_reach * 100', 'email_pct')}, {r6('phone_reach * 100', 'phone_pct')} FROM {{p}}reach""")
 key("revenue_by_country", f"""SELECT StoreCountry, {r6('sum(SalesNetAmountEuro)', 'Revenue')} FROM {{p}}master
 WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry""")
 key("top_categories", f"SELECT Category, {r6('Revenue', 'Revenue')}, Rank FROM {{p}}topcats12")
@@ -716,7 +713,7 @@ key("client_360", f"""SELECT c.ClientID, c.Persona, c.ClientCountry,
   c.FavoriteCategory,
   CASE WHEN c.Persona = 'No Transactions' THEN CASE c.ClientGender WHEN 'M' THEN 'Men' WHEN 'F' THEN 'Women' ELSE 'All' END END AS GenderLabel,
   CASE WHEN c.Persona = 'No Transactions' THEN c.ClientSegment END AS Segment
-FROM {{p}}cfeat c LEFT JOIN strategies s ON c.Persona = s.Persona""", P)
+FROM {{p}}cfeat c LEFT JOIN strategies s ON c.Persona = s.Persona""")
 key("dimension_values", """SELECT DISTINCT 'ClientCountry' AS Dimension, ClientCountry AS Value, CAST(NULL AS VARCHAR) AS Parent
   FROM {p}master WHERE ClientCountry IS NOT NULL
 UNION SELECT DISTINCT 'StoreCountry', StoreCountry, CAST(NULL AS VARCHAR) FROM {p}master WHERE StoreCountry IS NOT NULL
@@ -733,7 +730,7 @@ key("country_playbook_app", """SELECT Country, ActionNo, Action, Count, Detail F
   FROM {p}insights WHERE inactive_count > 50
   UNION ALL SELECT Country, 2, 'stock_alert', zero_stock, 'popular items out of stock' FROM {p}insights WHERE zero_stock > 5
   UNION ALL SELECT i.Country, 3, 'dominant_persona', CAST(NULL AS BIGINT), COALESCE(s.Strategy, 'Standard')
-  FROM {p}insights i LEFT JOIN strategies s ON i.dominant_persona = s.Persona WHERE i.dominant_persona IS NOT NULL)""", P)
+  FROM {p}insights i LEFT JOIN strategies s ON i.dominant_persona = s.Persona WHERE i.dominant_persona IS NOT NULL)""")
 
 
 def _money(x: str) -> str:
@@ -750,7 +747,7 @@ key("search_targets_country", f"""SELECT ClientID, Persona, ClientCountry, {r6('
   SELECT *, row_number() OVER (ORDER BY ROUND(TargetScore, 6) DESC, ClientID) AS Rank FROM (
     SELECT *, COALESCE(RFM_Score, 0) * 2 + COALESCE(TransactionCount, 0) - COALESCE(Recency, 999) / 100.0::DOUBLE AS TargetScore
     FROM {{p}}cfeat WHERE ClientID IN (SELECT ClientID FROM {{p}}search_ids)
-      AND ClientCountry = (SELECT min(StoreCountry) FROM stores))) WHERE Rank <= 50""", P)
+      AND ClientCountry = (SELECT min(StoreCountry) FROM stores))) WHERE Rank <= 50""")
 
 
 # ------------------------------------------------------------------ assembly

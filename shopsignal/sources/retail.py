@@ -118,20 +118,15 @@ def load_retail(spark: SparkSession, sf_dir: str, since=None) -> RetailTables:
 
 
 def load_retail_csv(spark: SparkSession, folder: str) -> RetailTables:
-    """The application's own CSV layout (ids pinned to string, dates parsed leniently)."""
+    """The application's own CSV layout: columns bound by header name, in any order; ids are
+    strings, dates parsed leniently; optional columns (see ``schemas.OPTIONAL``) may be missing."""
     def csv(name, schema):
-        return spark.read.schema(schema).option("header", True).csv(f"{folder.rstrip('/')}/{name}.csv")
-    tx = schemas.parse_sale_dates(csv("transactions", schemas.TRANSACTIONS_CSV))
+        path = f"{folder.rstrip('/')}/{name}.csv"
+        return schemas.select_by_name(spark.read.option("header", True).csv(path), schema, name)
     return RetailTables(
-        transactions=tx,
+        transactions=schemas.parse_sale_dates(csv("transactions", schemas.TRANSACTIONS_CSV)),
         clients=csv("clients", schemas.CLIENTS_CSV),
         products=csv("products", schemas.PRODUCTS_CSV),
         stores=csv("stores", schemas.STORES_CSV),
         stocks=csv("stocks", schemas.STOCKS_CSV),
     )
-
-
-def load_retail_parquet(spark: SparkSession, folder: str) -> RetailTables:
-    def pq(name):
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
-    return RetailTables(pq("transactions"), pq("clients"), pq("products"), pq("stores"), pq("stocks"))
