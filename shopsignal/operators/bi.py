@@ -44,13 +44,27 @@ def final_features(master: DataFrame, rfm: DataFrame) -> DataFrame:
     return customers.add_favorite_flags(out, fav)
 
 
-def product_catalog(master: DataFrame) -> DataFrame:
-    """First sale row per product: its family, category and universe."""
+def first_sales(master: DataFrame, *columns: str) -> DataFrame:
+    """The first sale row per product, its ``columns``."""
     tb = [c for c in row_tiebreak(master) if c != "ProductID"]
     order = F.struct(F.col(DATE), *[F.col(c) for c in tb if c != DATE])
-    row = F.struct("FamilyLevel2", "Category", "FamilyLevel1", "Universe")
     return (master.filter(F.col("ProductID").isNotNull()).groupBy("ProductID")
-            .agg(F.min_by(row, order).alias("_r")).select("ProductID", "_r.*"))
+            .agg(F.min_by(F.struct(*columns), order).alias("_r")).select("ProductID", "_r.*"))
+
+
+def product_catalog(master: DataFrame) -> DataFrame:
+    """First sale row per product: its family, category and universe."""
+    return first_sales(master, "FamilyLevel2", "Category", "FamilyLevel1", "Universe")
+
+
+def recommendation_cards(recs: DataFrame, master: DataFrame) -> DataFrame:
+    """The recommended products that were ever sold, as shown on a client's card: family and
+    category of the first sale, its unit price as money, stock status (lists are stock-filtered)."""
+    priced = master.withColumn("PricePerUnit", F.col(AMOUNT).cast("double") / F.greatest(F.col(QTY), F.lit(1)))
+    info = first_sales(priced, "FamilyLevel2", "Category", "PricePerUnit")
+    return recs.join(info, "ProductID").select(
+        "ClientID", "Rank", "ProductID", F.col("FamilyLevel2").alias("ProductFamily"), "Category",
+        money("PricePerUnit").alias("Price"), F.lit("In Stock").alias("StockStatus"))
 
 
 def basket_summary(master: DataFrame) -> DataFrame:
@@ -116,9 +130,12 @@ def _top_names(df: DataFrame, key: str, item: str, k: int, prefix: str) -> DataF
                                                        lambda s: s[item]), "|").alias(prefix))
 
 
+def stock_medians(stocks: DataFrame) -> DataFrame:
+    return grouped_quantile(stocks.filter(F.col("StoreCountry").isNotNull()), ["StoreCountry"], "Quantity", 0.5, "_med")
+
+
 def stock_health_by_country(stocks: DataFrame) -> DataFrame:
-    med = stocks.groupBy("StoreCountry").agg(F.median("Quantity").alias("_med"))
-    s = stocks.join(med, "StoreCountry")
+    s = stocks.join(stock_medians(stocks), "StoreCountry")
     return s.groupBy("StoreCountry").agg(
         F.countDistinct("ProductID").alias("total_skus"),
         F.count_if(F.col("Quantity") == 0).alias("zero_stock"),
@@ -126,28 +143,29 @@ def stock_health_by_country(stocks: DataFrame) -> DataFrame:
         F.sum("Quantity").cast("bigint").alias("total_units"))
 
 
-def country_insights(master_p: DataFrame, persona_df: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Per ClientCountry: KPIs, persona counts, dominant persona, top-5 families and
-    categories, stock health (one aggregate per fact, joined on country)."""
-    m = master_p.filter(F.col("ClientCountry").isNotNull())
-    kpi = m.groupBy("ClientCountry").agg(
+def country_insights(sales: DataFrame, persona_df: DataFrame, stocks: DataFrame, by: str = "ClientCountry") -> DataFrame:
+    """Per country: KPIs, top-5 families and categories of its sales, persona counts of its
+    clients, stock health (one aggregate per fact, joined on country). ``by`` says whose country
+    a sale counts for: the client's or the store's."""
+    m = sales.filter(F.col(by).isNotNull()).withColumn("Country", F.col(by))
+    kpi = m.groupBy("Country").agg(
         F.sum(AMOUNT).cast("double").alias("revenue"), F.count(F.lit(1)).alias("transactions"),
         F.countDistinct("ClientID").alias("clients"))
     kpi = kpi.withColumn("avg_basket", F.col("revenue") / F.col("transactions").cast("double"))
-    pc = persona_df.filter(F.col("ClientCountry").isNotNull()).groupBy("ClientCountry", "Persona").agg(F.count(F.lit(1)).alias("_n"))
-    pagg = pc.groupBy("ClientCountry").agg(
+    pc = (persona_df.filter(F.col("ClientCountry").isNotNull())
+          .groupBy(F.col("ClientCountry").alias("Country"), "Persona").agg(F.count(F.lit(1)).alias("_n")))
+    pagg = pc.groupBy("Country").agg(
         F.sum("_n").alias("persona_clients"),
         F.min_by("Persona", F.struct(-F.col("_n"), F.col("Persona"))).alias("dominant_persona"),
         F.sum(F.when(F.col("Persona").isin(K.INACTIVE_LOW, K.INACTIVE_MID), F.col("_n")).otherwise(0)).alias("inactive_count"),
         F.sum(F.when(F.col("Persona") == K.NO_TRANSACTIONS, F.col("_n")).otherwise(0)).alias("cold_count"))
-    fams = _top_names(m, "ClientCountry", "FamilyLevel2", 5, "top_families")
-    cats = _top_names(m, "ClientCountry", "Category", 5, "top_categories")
-    sh = stock_health_by_country(stocks).withColumnRenamed("StoreCountry", "ClientCountry").drop("total_units")
+    fams = _top_names(m, "Country", "FamilyLevel2", 5, "top_families")
+    cats = _top_names(m, "Country", "Category", 5, "top_categories")
+    sh = stock_health_by_country(stocks).withColumnRenamed("StoreCountry", "Country").drop("total_units")
     names = F.create_map(*[F.lit(x) for pair in K.COUNTRY_NAMES for x in pair])
-    return (kpi.join(pagg, "ClientCountry", "left").join(fams, "ClientCountry", "left")
-               .join(cats, "ClientCountry", "left").join(sh, "ClientCountry", "left")
-               .withColumn("CountryName", F.coalesce(names[F.col("ClientCountry")], F.col("ClientCountry")))
-               .withColumnRenamed("ClientCountry", "Country"))
+    return (kpi.join(pagg, "Country", "left").join(fams, "Country", "left")
+               .join(cats, "Country", "left").join(sh, "Country", "left")
+               .withColumn("CountryName", F.coalesce(names[F.col("Country")], F.col("Country"))))
 
 
 def country_playbook(insights: DataFrame, spark) -> DataFrame:
@@ -194,10 +212,21 @@ def persona_advice(reach: DataFrame) -> DataFrame:
     channel = (F.when((e > 50) & (ph > 50), F.lit("Omnichannel"))
                 .when(e > 50, F.lit("Email Primary")).when(ph > 50, F.lit("SMS Primary"))
                 .otherwise(F.lit("Low Reach")))
-    return reach.select("Persona", strategy.alias("Strategy"), channel.alias("Channel"),
+    email, phone = percent_text(e), percent_text(ph)
+    sentence = (F.when((e > 50) & (ph > 50), F.concat(F.lit("Omnichannel: Use Email ("), email, F.lit("%) & SMS ("), phone, F.lit("%) for balanced impact.")))
+                 .when(e > 50, F.concat(F.lit("Email Primary: High email opt-in ("), email, F.lit("%). Use rich visual newsletters.")))
+                 .when(ph > 50, F.concat(F.lit("SMS Primary: High phone opt-in ("), phone, F.lit("%). Optimal for urgent/short alerts.")))
+                 .otherwise(F.lit(K.CHANNEL_LOW)))
+    return reach.select("Persona", strategy.alias("Strategy"), channel.alias("Channel"), sentence.alias("ChannelText"),
                         e.alias("email_pct"), ph.alias("phone_pct"))
 
 
+def percent_text(x):
+    """A number with one decimal place, halves rounded up, built from whole tenths."""
+    tenths = F.floor(x * 10 + 0.5).cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def revenue_by_country(master: DataFrame) -> DataFrame:
     return (master.filter(F.col("StoreCountry").isNotNull()).groupBy("StoreCountry")
             .agg(F.sum(AMOUNT).cast("double").alias("Revenue")))
@@ -210,8 +239,7 @@ def top_categories(master: DataFrame, k: int = 12) -> DataFrame:
 
 
 def category_country_matrix(master: DataFrame, k: int = 10) -> DataFrame:
-    """Revenue of the top-k categories in every store country (zero-filled grid, long form;
-    ``pivot_wide`` turns it into one column per country)."""
+    """Revenue of the top-k categories in every store country: a zero-filled grid in long form."""
     top = top_categories(master, k).select("Category")
     m = master.filter(F.col("StoreCountry").isNotNull()).join(top, "Category", "left_semi")
     rev = m.groupBy("Category", "StoreCountry").agg(F.sum(AMOUNT).cast("double").alias("Revenue"))
@@ -220,8 +248,14 @@ def category_country_matrix(master: DataFrame, k: int = 10) -> DataFrame:
     return grid.join(rev, ["Category", "StoreCountry"], "left").withColumn("Revenue", F.coalesce("Revenue", F.lit(0.0)))
 
 
-def pivot_wide(long_df: DataFrame, row: str, col: str, val: str, values: list[str]) -> DataFrame:
-    return long_df.groupBy(row).pivot(col, values).agg(F.sum(val)).fillna(0)
+def pivot_wide(long_df: DataFrame, rows: list[str], col: str, val: str, values: list[str]) -> DataFrame:
+    """One column per name in ``values`` (a bounded list, e.g. the countries), zero-filled."""
+    return long_df.groupBy(*rows).pivot(col, values).agg(F.sum(val)).fillna(0, values)
+
+
+def country_columns(stocks: DataFrame) -> list[str]:
+    """The countries that hold stock rows: the columns of the pivoted tables (ISO countries)."""
+    return [r[0] for r in stocks.filter(F.col("StoreCountry").isNotNull()).select("StoreCountry").distinct().orderBy("StoreCountry").collect()]
 
 
 def store_metrics(master: DataFrame) -> DataFrame:
@@ -231,8 +265,7 @@ def store_metrics(master: DataFrame) -> DataFrame:
 
 
 def overstock(stocks: DataFrame, products_df: DataFrame, k: int = 15) -> DataFrame:
-    med = stocks.groupBy("StoreCountry").agg(F.median("Quantity").alias("_med"))
-    over = stocks.join(med, "StoreCountry").filter(F.col("Quantity") > F.col("_med"))
+    over = stocks.join(stock_medians(stocks), "StoreCountry").filter(F.col("Quantity") > F.col("_med"))
     t = top_k(over, ["StoreCountry"], [F.col("Quantity").desc(), F.col("ProductID")], k)
     info = products_df.select("ProductID", F.col("FamilyLevel2").alias("Product"), "Category",
                               F.col("FamilyLevel1").alias("SportFamily"))

@@ -26,13 +26,13 @@ def master_join(tx: DataFrame, products: DataFrame, clients: DataFrame, stores:
     Each dimension is made unique on its key, so the fact side never fans out and Catalyst drops
     every join none of whose columns a query uses. AQE turns the rest into broadcast joins when
     the measured size is under the threshold and keeps shuffle joins otherwise; there, sales
-    without a key are spread by a hash of the sale instead of meeting in one task.
+    without a key are spread by a hash of their amount instead of meeting in one task.
     """
     out = tx
     for dim, key in ((products.select(*PRODUCT_COLS), "ProductID"), (clients.select(*CLIENT_COLS), "ClientID"),
                      (stores.select("StoreID", "StoreCountry"), "StoreID")):
         side = dim.dropDuplicates([key]).withColumnRenamed(key, "_key")
-        spread = F.concat(F.lit("\u0000"), F.xxhash64(*row_tiebreak(tx)).cast("string"))
+        spread = F.concat(F.lit("\u0000"), F.xxhash64(AMOUNT).cast("string"))
         out = out.join(side, F.coalesce(F.col(key), spread) == F.col("_key"), "left").drop("_key")
     return out
 

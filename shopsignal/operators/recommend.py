@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shopsignal.functions import constants as K
 from shopsignal.operators.numeric import materialize, top_k
+from shopsignal.operators.sequences import GLOBAL
 
 STATIC_PERSONAS = [K.NO_TRANSACTIONS, "No Transactions (New)", K.VERY_FREQUENT]
 ANY_COUNTRY = "\u0000any"   # stock region of clients without a clean sale: stock anywhere
@@ -147,9 +148,13 @@ def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFra
         sources.append(None)
     if markov_top is not None:
         fam_best = popular.select("FamilyLevel2", "ProductID", F.col("Rank").alias("_prank"))
-        mk = (mid.select("ClientID", "Region", F.col("LastClientCountry").alias("Country"), F.col("LastFamilyLevel2").alias("State"))
-                 .join(markov_top.filter(F.col("Rank") <= k).select("Country", "State", "NextState", F.col("Rank").alias("pos")),
-                       ["Country", "State"])
+        # a country without a row for the state falls back to the Global matrix, if it is given
+        top = markov_top.filter(F.col("Rank") <= k).select("Country", "State", "NextState", F.col("Rank").alias("pos"))
+        known = top.select("Country", "State").distinct().withColumn("_known", F.lit(True))
+        asked = (mid.select("ClientID", "Region", F.col("LastClientCountry").alias("Country"), F.col("LastFamilyLevel2").alias("State"))
+                    .join(known, ["Country", "State"], "left")
+                    .withColumn("Country", F.when(F.col("_known"), F.col("Country")).otherwise(F.lit(GLOBAL))).drop("_known"))
+        mk = (asked.join(top, ["Country", "State"])
                  .join(fam_best, F.col("NextState") == F.col("FamilyLevel2"))
                  .join(regions, ["Region", "ProductID"], "left_semi"))
         sources.append(mk.groupBy("ClientID", "pos").agg(F.min_by("ProductID", F.col("_prank")).alias("ProductID")))

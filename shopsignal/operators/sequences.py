@@ -17,9 +17,15 @@ from shopsignal.session import default_partitions
 SENTENCE_CHUNK = 1000   # Word2Vec splits longer sentences the same way (maxSentenceLength)
 
 
-def markov_transitions(master: DataFrame, state_col: str = "FamilyLevel2", by: str = "StoreCountry") -> DataFrame:
+GLOBAL = "Global"
+
+
+def markov_transitions(master: DataFrame, state_col: str = "FamilyLevel2", by: str | None = "StoreCountry") -> DataFrame:
     """Counts and probabilities of consecutive states per (country, client) history ordered
-    by date; self-loops are skipped; prob = n / Σ n over (country, state)."""
+    by date; self-loops are skipped; prob = n / Σ n over (country, state). Without ``by``, the
+    matrix of whole histories, under the country name GLOBAL."""
+    if by is None:
+        master, by = master.withColumn("_all", F.lit(GLOBAL)), "_all"
     tb = [c for c in row_tiebreak(master) if c not in ("ClientID", DATE)]
     src = master.filter(F.col(by).isNotNull() & F.col("ClientID").isNotNull()).select(by, "ClientID", DATE, state_col, *tb)
     scanned = ordered_scan(src, [by, "ClientID"], [DATE, *tb], lag_cols=[state_col], prefix="_m")

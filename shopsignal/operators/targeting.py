@@ -41,25 +41,33 @@ def target_score():
             - F.coalesce(F.col("Recency"), F.lit(999)) / 100.0)
 
 
+def _target_ids(matches: DataFrame, index: DataFrame) -> DataFrame:
+    """Buyers of matched families ∪ matched categories."""
+    keys = (matches.select(F.lit("FamilyLevel2").alias("Kind"), F.col("FamilyLevel2").alias("Key"))
+            .union(matches.select(F.lit("Category"), F.col("Category"))).distinct())
+    return index.join(keys, ["Kind", "Key"], "left_semi").select("ClientID").distinct()
+
+
 def search_targets(matches: DataFrame, index: DataFrame, client_feats: DataFrame, country=None,
                    k: int = 50) -> DataFrame:
     """Buyers of matched families ∪ matched categories, optionally in one country, ranked
-    by 2·RFM + transactions − recency/100; top ``k`` (the report) and the full audience size."""
-    keys = (matches.select(F.lit("FamilyLevel2").alias("Kind"), F.col("FamilyLevel2").alias("Key"))
-            .union(matches.select(F.lit("Category"), F.col("Category"))).distinct())
-    target_ids = index.join(keys, ["Kind", "Key"], "left_semi").select("ClientID").distinct()
-    t = client_feats.join(target_ids, "ClientID", "left_semi")
+    by 2·RFM + transactions − recency/100; top ``k`` (the report). ``audience_size`` counts all."""
+    t = client_feats.join(_target_ids(matches, index), "ClientID", "left_semi")
     if country is not None:                       # a value or a scalar-subquery column
         t = t.filter(F.col("ClientCountry") == (country if not isinstance(country, str) else F.lit(country)))
     t = t.withColumn("TargetScore", target_score())
     return top_k(t, [], [F.round("TargetScore", 6).desc(), F.col("ClientID")], k)
 
 
+def audience_size(matches: DataFrame, index: DataFrame, client_feats: DataFrame) -> DataFrame:
+    """One row: how many products match and how many clients bought from their families or categories."""
+    t = client_feats.join(_target_ids(matches, index), "ClientID", "left_semi")
+    return t.agg(F.countDistinct("ClientID").alias("Audience")).withColumn(
+        "Matches", matches.select(F.count(F.lit(1))).scalar())
+
+
 def search_target_personas(matches: DataFrame, index: DataFrame, client_feats: DataFrame) -> DataFrame:
-    keys = (matches.select(F.lit("FamilyLevel2").alias("Kind"), F.col("FamilyLevel2").alias("Key"))
-            .union(matches.select(F.lit("Category"), F.col("Category"))).distinct())
-    ids = index.join(keys, ["Kind", "Key"], "left_semi").select("ClientID").distinct()
-    return (client_feats.join(ids, "ClientID", "left_semi").groupBy("Persona")
+    return (client_feats.join(_target_ids(matches, index), "ClientID", "left_semi").groupBy("Persona")
             .agg(F.count(F.lit(1)).alias("Clients")))
 
 
@@ -76,7 +84,7 @@ def reverse_rule_targets(rules: DataFrame, master: DataFrame, persona_df: DataFr
 
 def stock_pivot(matches: DataFrame, stocks: DataFrame, products_raw: DataFrame) -> DataFrame:
     """Matched products × countries holding stock rows for them, summed, zero-filled
-    (long form of the availability pivot)."""
+    (long form of the availability pivot; ``bi.pivot_wide`` gives a column per country)."""
     s = stocks.join(matches.select("ProductID"), "ProductID", "left_semi")
     sums = s.groupBy("ProductID", "StoreCountry").agg(F.sum("Quantity").cast("bigint").alias("Quantity"))
     countries = s.select("StoreCountry").distinct()

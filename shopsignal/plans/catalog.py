@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopsignal.functions import constants as K
 from shopsignal.operators import bi, baskets, customers, features, products, recommend, sequences, targeting
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
@@ -106,6 +107,17 @@ def q_sporting(x: Ctx):
     return x.master.select(*ROW_KEY, "IsMajorSportingEvent")
 
 
+#: the fixed calendar with the fixture's country names instead of codes, so that limited events fire
+FIXTURE_COUNTRIES = {"FR": "NATION_6", "DE": "NATION_7", "GB": "NATION_23", "UK": "NATION_23", "US": "NATION_24"}
+
+
+@query("sporting_events_named")
+def q_sporting_named(x: Ctx):
+    events = [(a, b, [FIXTURE_COUNTRIES.get(c, c) for c in cs]) for a, b, cs in K.SPORTING_EVENTS]
+    return x.master.withColumn("IsMajorSportingEvent", features.sporting_event_flag(events)).select(
+        *ROW_KEY, "ClientCountry", "IsMajorSportingEvent")
+
+
 @query("price_features")
 def q_price(x: Ctx):
     return features.add_price_features(x.master).select(
@@ -209,6 +221,14 @@ def q_cross_sell(x: Ctx):
         "ProductID", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
 
 
+@query("propensity_cross_sell_country")
+def q_cross_sell_country(x: Ctx):
+    """A campaign for the products that the search finds: the target table is a parameter."""
+    targets = targeting.product_search(x.t.products, SEARCH_TERM)
+    return customers.propensity_cross_sell_country(x.master, x.products, targets).select(
+        "StoreCountry", "ProductID", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
+
+
 @query("last_purchase")
 def q_last(x: Ctx):
     return x.last
@@ -328,15 +348,26 @@ def q_vectors(x: Ctx):
                                F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v).alias("sq_norm"))
 
 
+def fixture_vectors(x: Ctx) -> DataFrame:
+    """The embeddings table as product vectors: vec_id is the ProductID."""
+    emb = x.spark.read.parquet(f"{x.sf_dir.rstrip('/')}/embeddings.parquet")
+    return emb.select(F.col("vec_id").cast("string").alias("ProductID"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 @query("prod2vec_lookup")
 def q_lookup(x: Ctx):
-    return sequences.embedding_lookup(x.products, x.embeddings).select(
-        "ProductID", "known", F.size("embedding").alias("dim"))
+    return sequences.embedding_lookup(x.products, fixture_vectors(x), 64).select(
+        "ProductID", "known", F.size("embedding").alias("dim"), F.get("embedding", F.lit(0)).alias("first"))
 
 
 @query("similar_products")
 def q_similar(x: Ctx):
-    return sequences.similar_products(x.embeddings, 5)
+    return sequences.similar_products(fixture_vectors(x), 5)
+
+
+@query("markov_global")
+def q_markov_global(x: Ctx):
+    return x.markov_global
 
 
 @query("cosine_topk")
@@ -383,12 +414,17 @@ def q_recs_loyal(x: Ctx):
 def q_recs_blend(x: Ctx):
     ctx = recommend.client_context(x.personas, x.last)
     mid_last = ctx.filter(F.col("Persona").contains("Mid Freq")).select(F.col("LastProductID").alias("ProductID"))
-    sim = sequences.similar_products(x.embeddings, 10, queries=mid_last)
-    return recommend.recs_blend(ctx, sim, sequences.markov_topk(x.markov, 10), x.popular,
-                                x.rules_product, x.t.stocks, trending=x.trending).select(
+    sim = sequences.similar_products(fixture_vectors(x), 10, queries=mid_last)
+    markov = sequences.markov_topk(x.markov.unionByName(x.markov_global), 10)
+    return recommend.recs_blend(ctx, sim, markov, x.popular, x.rules_product, x.t.stocks, trending=x.trending).select(
         "ClientID", "Persona", "Rank", "ProductID")
 
 
+@query("recommendation_cards")
+def q_cards(x: Ctx):
+    return bi.recommendation_cards(_recs(x), x.master)
+
+
 @query("recs_enriched")
 def q_recs_enriched(x: Ctx):
     return recommend.recs_enriched(_recs(x), x.t.products, x.clients, x.t.stocks)
@@ -407,6 +443,16 @@ def q_product_search(x: Ctx):
     return _matches(x)
 
 
+@query("product_search_id")
+def q_product_search_id(x: Ctx):
+    return targeting.product_search(x.t.products, " 42 ")
+
+
+@query("search_audience")
+def q_search_audience(x: Ctx):
+    return targeting.audience_size(_matches(x), targeting.buyers_by_family(x.master), _client_feats(x))
+
+
 @query("buyers_by_family")
 def q_buyers(x: Ctx):
     return targeting.buyers_by_family(x.master)
@@ -445,6 +491,12 @@ def q_stock_pivot(x: Ctx):
     return targeting.stock_pivot(_matches(x), x.t.stocks, x.t.products)
 
 
+@query("stock_pivot_wide")
+def q_stock_pivot_wide(x: Ctx):
+    long = targeting.stock_pivot(_matches(x), x.t.stocks, x.t.products)
+    return bi.pivot_wide(long, ["ProductID", "Product"], "StoreCountry", "Quantity", bi.country_columns(x.t.stocks))
+
+
 # ---------------------------------------------------------------- I. BI roll-ups
 @query("kpi_headline")
 def q_kpi(x: Ctx):
@@ -467,7 +519,7 @@ def q_fam_persona(x: Ctx):
 
 
 def _insights(x: Ctx):
-    return bi.country_insights(bi.with_persona(x.master, x.personas), x.personas, x.t.stocks)
+    return bi.country_insights(x.master, x.personas, x.t.stocks)
 
 
 @query("country_insights")
@@ -475,6 +527,11 @@ def q_insights(x: Ctx):
     return _insights(x)
 
 
+@query("store_country_insights")
+def q_store_insights(x: Ctx):
+    return bi.country_insights(x.master, x.personas, x.t.stocks, by="StoreCountry")
+
+
 @query("country_playbook")
 def q_playbook(x: Ctx):
     return bi.country_playbook(_insights(x), x.spark)
@@ -505,6 +562,11 @@ def q_cat_country(x: Ctx):
     return bi.category_country_matrix(x.master)
 
 
+@query("category_country_wide")
+def q_cat_country_wide(x: Ctx):
+    return bi.pivot_wide(bi.category_country_matrix(x.master), ["Category"], "StoreCountry", "Revenue", bi.country_columns(x.t.stocks))
+
+
 @query("store_metrics")
 def q_store_metrics(x: Ctx):
     return bi.store_metrics(x.master)
@@ -540,8 +602,8 @@ def q_dims(x: Ctx):
 # ---------------------------------------------------------------- A. parse / materialise
 @query("parse_dates")
 def q_parse_dates(x: Ctx):
-    """Sale dates as text with and without UTC offsets (and some unparseable values), parsed
-    back: offsets are dropped keeping wall time, bad text becomes NULL (quarantined)."""
+    """Dates of the sale view written as text with and without UTC offsets and some unparseable
+    values, parsed back: offsets are dropped keeping wall time, bad text becomes NULL (quarantined)."""
     from shopsignal.sources.schemas import parse_sale_dates
     tx = x.t.transactions
     text = F.when(F.col("LineNo") % 7 == 0, F.lit("not a date")).otherwise(F.concat(

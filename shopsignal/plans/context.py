@@ -125,6 +125,10 @@ class Ctx:
     def markov(self) -> DataFrame:
         return sequences.markov_transitions(self.master, "FamilyLevel2")
 
+    @cached_property
+    def markov_global(self) -> DataFrame:
+        return sequences.markov_transitions(self.master, "FamilyLevel2", by=None)
+
     @cached_property
     def sequences(self) -> DataFrame:
         return sequences.client_sequences(self.master)

@@ -1,8 +1,8 @@
 """Materialise the precomputed artefacts (the dashboard's inputs) as parquet tables.
 
 One write per table; the sale-level table is partitioned by StoreCountry so country filters
-prune files. The output folder is a shared location (by default under the session's
-checkpoint folder), never a machine-local temp folder.
+prune files. The output folder is a parameter; by default it lies in the shared folder that
+``spark.checkpoint.dir`` names (a temporary one only in local sessions without it).
 """
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ def artefacts(x: Ctx) -> dict[str, tuple[DataFrame, list[str]]]:
         "country_kpis": (bi.country_kpis(x.master), []),
         "country_trending": (bi.country_trending(x.trend_scores, x.t.products), []),
         "markov": (x.markov, []),
+        "markov_global": (x.markov_global, []),
+        "embeddings": (x.embeddings, []),
         "metadata": (bi.dataset_metadata(x.master, x.clients, x.products), []),
     }
 

@@ -35,6 +35,11 @@ def days(a: str, b: str) -> str:
     return f"CAST(floor(date_diff('second', {a}, {b}) / 86400) AS BIGINT)"
 
 
+def _money(x: str) -> str:
+    return (f"CASE WHEN abs({x}) >= 1000 THEN '€' || format('{{:,.0f}}', {x}) "
+            f"ELSE '€' || format('{{:,.2f}}', {x}) END")
+
+
 # name -> SQL body. "{p}" marks references to other *derived* CTEs (same prefix).
 BASE: dict[str, str] = {}
 DERIVED: dict[str, str] = {}
@@ -321,6 +326,11 @@ derived("rules_family_top3", """SELECT * FROM (SELECT *, row_number() OVER (PART
        ORDER BY ROUND(lift, 6) DESC, consequent) AS Rank FROM {p}rules_family) WHERE Rank <= 3""")
 
 # ------------------------------------------------------------------ sequences
+derived("markov_global", """SELECT 'Global' AS Country, State, NextState, n, n / CAST(sum(n) OVER (PARTITION BY State) AS DOUBLE) AS prob FROM (
+  SELECT prev AS State, FamilyLevel2 AS NextState, count(*) AS n FROM (
+    SELECT FamilyLevel2, lag(FamilyLevel2) OVER (PARTITION BY ClientID ORDER BY SaleTransactionDate, """ + ROW_ORDER + """) AS prev
+    FROM {p}master WHERE ClientID IS NOT NULL)
+  WHERE prev IS NOT NULL AND prev <> FamilyLevel2 GROUP BY prev, FamilyLevel2)""")
 derived("markov", """SELECT Country, State, NextState, n, n / CAST(sum(n) OVER (PARTITION BY Country, State) AS DOUBLE) AS prob FROM (
   SELECT StoreCountry AS Country, prev AS State, FamilyLevel2 AS NextState, count(*) AS n FROM (
     SELECT StoreCountry, FamilyLevel2, lag(FamilyLevel2) OVER (PARTITION BY StoreCountry, ClientID
@@ -359,6 +369,39 @@ derived("recs", """SELECT f.ClientID, c.Persona, c.Route, f.Rank, f.ProductID FR
       UNION ALL SELECT c.ClientID, 1 AS tier, pl.pos, pl.ProductID FROM {p}ctx c JOIN {p}pool pl ON c.Region = pl.Region)
     GROUP BY ClientID, ProductID)) f JOIN {p}ctx c ON f.ClientID = c.ClientID WHERE f.Rank <= 5""")
 
+# ------------------------------------------------------------------ blend route on the embeddings table
+base("emb", """SELECT CAST(vec_id AS VARCHAR) AS ProductID, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings""")
+derived("simil", """SELECT ProductID, SimilarProductID, similarity, Rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY ROUND(similarity, 6) DESC, SimilarProductID) AS Rank FROM (
+    SELECT a.ProductID, b.ProductID AS SimilarProductID,
+           list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity
+    FROM emb a JOIN emb b ON a.ProductID <> b.ProductID)) WHERE Rank <= 10""")
+derived("mid", """SELECT ClientID, Persona, Region, LastProductID, LastFamilyLevel2, LastClientCountry
+FROM {p}ctx WHERE contains(Persona, 'Mid Freq')""")
+derived("mk10", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Country, State ORDER BY ROUND(prob, 6) DESC, NextState) AS Rank
+  FROM (SELECT * FROM {p}markov UNION ALL SELECT * FROM {p}markov_global)) WHERE Rank <= 10""")
+derived("blend", """
+SELECT m.ClientID, 0 AS src, s.Rank AS pos, s.SimilarProductID AS ProductID FROM {p}mid m JOIN {p}simil s ON m.LastProductID = s.ProductID
+UNION ALL
+SELECT m.ClientID, 1, k.Rank, arg_min(p.ProductID, p.Rank) FROM (
+  SELECT *, CASE WHEN EXISTS (SELECT 1 FROM {p}mk10 t WHERE t.Country = x.LastClientCountry AND t.State = x.LastFamilyLevel2)
+                 THEN LastClientCountry ELSE 'Global' END AS MC FROM {p}mid x) m
+JOIN {p}mk10 k ON k.Country = m.MC AND k.State = m.LastFamilyLevel2 JOIN {p}popular p ON p.FamilyLevel2 = k.NextState
+JOIN {p}regions r ON r.Region = m.Region AND r.ProductID = p.ProductID GROUP BY m.ClientID, k.Rank
+UNION ALL
+SELECT m.ClientID, 2, rl.pos, rl.consequent FROM {p}mid m JOIN (
+  SELECT antecedent, consequent, row_number() OVER (PARTITION BY antecedent ORDER BY ROUND(lift, 6) DESC, consequent) AS pos
+  FROM {p}rules_product) rl ON m.LastProductID = rl.antecedent""")
+derived("blended", """SELECT ClientID, ProductID, i * 10 + src AS pos FROM (
+  SELECT b.ClientID, b.ProductID, b.src, row_number() OVER (PARTITION BY b.ClientID, b.src ORDER BY b.pos, b.ProductID) AS i
+  FROM {p}blend b JOIN {p}mid m ON b.ClientID = m.ClientID JOIN {p}regions r ON r.Region = m.Region AND r.ProductID = b.ProductID)""")
+derived("recs_mid", """SELECT f.ClientID, m.Persona, f.Rank, f.ProductID FROM (
+  SELECT ClientID, ProductID, row_number() OVER (PARTITION BY ClientID ORDER BY o, ProductID) AS Rank FROM (
+    SELECT ClientID, ProductID, min(o) AS o FROM (
+      SELECT ClientID, ProductID, pos AS o FROM {p}blended
+      UNION ALL SELECT m.ClientID, pl.ProductID, 100000000 + pl.pos FROM {p}mid m JOIN {p}pool pl ON m.Region = pl.Region)
+    GROUP BY ClientID, ProductID)) f JOIN {p}mid m ON f.ClientID = m.ClientID WHERE f.Rank <= 5""")
+
 # ------------------------------------------------------------------ store waterfall (trend)
 derived("best_store", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY StoreID, FamilyLevel1
        ORDER BY ROUND(FinalScore, 6) DESC, StoreID, StoreCountry, ProductID) AS b FROM {p}trend WHERE FamilyLevel1 <> 'Unknown') WHERE b = 1""")
@@ -400,36 +443,43 @@ derived("mp", """SELECT m.*, p.Persona FROM {p}master m LEFT JOIN {p}personas p
 derived("stockmed", """SELECT StoreCountry, median(Quantity) AS med FROM stocks GROUP BY StoreCountry""")
 
 
-def _topnames(item: str) -> str:
-    return f"""SELECT ClientCountry, string_agg({item}, '|' ORDER BY rk) AS names FROM (
-  SELECT ClientCountry, {item}, row_number() OVER (PARTITION BY ClientCountry ORDER BY r DESC, {item}) AS rk FROM (
-    SELECT ClientCountry, {item}, sum(SalesNetAmountEuro) AS r FROM {{p}}mp
-    WHERE ClientCountry IS NOT NULL AND {item} IS NOT NULL GROUP BY ClientCountry, {item})) WHERE rk <= 5
-GROUP BY ClientCountry"""
+def _topnames(by: str, item: str) -> str:
+    return f"""SELECT {by} AS Country, string_agg({item}, '|' ORDER BY rk) AS names FROM (
+  SELECT {by}, {item}, row_number() OVER (PARTITION BY {by} ORDER BY r DESC, {item}) AS rk FROM (
+    SELECT {by}, {item}, sum(SalesNetAmountEuro) AS r FROM {{p}}master
+    WHERE {by} IS NOT NULL AND {item} IS NOT NULL GROUP BY {by}, {item})) WHERE rk <= 5
+GROUP BY {by}"""
 
 
-derived("topfam", _topnames("FamilyLevel2"))
-derived("topcat", _topnames("Category"))
-derived("insights", """SELECT k.ClientCountry AS Country, k.revenue, k.transactions, k.clients, k.revenue / CAST(k.transactions AS DOUBLE) AS avg_basket,
+def _insights(by: str, fam: str, cat: str) -> str:
+    return f"""SELECT k.{by} AS Country, k.revenue, k.transactions, k.clients, k.revenue / CAST(k.transactions AS DOUBLE) AS avg_basket,
        pa.persona_clients, pa.dominant_persona, pa.inactive_count, pa.cold_count,
        tf.names AS top_families, tc.names AS top_categories, sh.total_skus, sh.zero_stock, sh.overstocked,
-       CASE k.ClientCountry WHEN 'FRA' THEN 'France' WHEN 'GBR' THEN 'United Kingdom' WHEN 'DEU' THEN 'Germany'
+       CASE k.{by} WHEN 'FRA' THEN 'France' WHEN 'GBR' THEN 'United Kingdom' WHEN 'DEU' THEN 'Germany'
             WHEN 'USA' THEN 'United States' WHEN 'BRA' THEN 'Brazil' WHEN 'AUS' THEN 'Australia' WHEN 'ARE' THEN 'UAE'
-            ELSE k.ClientCountry END AS CountryName
-FROM (SELECT ClientCountry, CAST(sum(SalesNetAmountEuro) AS DOUBLE) AS revenue, count(*) AS transactions,
-             count(DISTINCT ClientID) AS clients FROM {p}mp WHERE ClientCountry IS NOT NULL GROUP BY ClientCountry) k
+            ELSE k.{by} END AS CountryName
+FROM (SELECT {by}, CAST(sum(SalesNetAmountEuro) AS DOUBLE) AS revenue, count(*) AS transactions,
+             count(DISTINCT ClientID) AS clients FROM {{p}}master WHERE {by} IS NOT NULL GROUP BY {by}) k
 LEFT JOIN (SELECT ClientCountry, CAST(sum(n) AS BIGINT) AS persona_clients,
                   arg_min(Persona, (-n, Persona)) AS dominant_persona,
                   CAST(sum(CASE WHEN Persona IN ('Inactive (Low Freq)', 'Inactive (Mid Freq)') THEN n ELSE 0 END) AS BIGINT) AS inactive_count,
                   CAST(sum(CASE WHEN Persona = 'No Transactions' THEN n ELSE 0 END) AS BIGINT) AS cold_count
-           FROM (SELECT ClientCountry, Persona, count(*) AS n FROM {p}personas WHERE ClientCountry IS NOT NULL
-                 GROUP BY ClientCountry, Persona) GROUP BY ClientCountry) pa ON k.ClientCountry = pa.ClientCountry
-LEFT JOIN {p}topfam tf ON k.ClientCountry = tf.ClientCountry
-LEFT JOIN {p}topcat tc ON k.ClientCountry = tc.ClientCountry
+           FROM (SELECT ClientCountry, Persona, count(*) AS n FROM {{p}}personas WHERE ClientCountry IS NOT NULL
+                 GROUP BY ClientCountry, Persona) GROUP BY ClientCountry) pa ON k.{by} = pa.ClientCountry
+LEFT JOIN {{p}}{fam} tf ON k.{by} = tf.Country
+LEFT JOIN {{p}}{cat} tc ON k.{by} = tc.Country
 LEFT JOIN (SELECT s.StoreCountry, count(DISTINCT s.ProductID) AS total_skus, count_if(s.Quantity = 0) AS zero_stock,
                   count_if(s.Quantity > m.med * 3) AS overstocked
-           FROM stocks s JOIN {p}stockmed m ON s.StoreCountry = m.StoreCountry GROUP BY s.StoreCountry) sh
-  ON k.ClientCountry = sh.StoreCountry""")
+           FROM stocks s JOIN {{p}}stockmed m ON s.StoreCountry = m.StoreCountry GROUP BY s.StoreCountry) sh
+  ON k.{by} = sh.StoreCountry"""
+
+
+derived("topfam", _topnames("ClientCountry", "FamilyLevel2"))
+derived("topcat", _topnames("ClientCountry", "Category"))
+derived("topfam_store", _topnames("StoreCountry", "FamilyLevel2"))
+derived("topcat_store", _topnames("StoreCountry", "Category"))
+derived("insights", _insights("ClientCountry", "topfam", "topcat"))
+derived("insights_store", _insights("StoreCountry", "topfam_store", "topcat_store"))
 derived("reach", """SELECT Persona, CAST(sum(SalesNetAmountEuro) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_amount,
        avg(HasEmail) AS email_reach, avg(HasPhone) AS phone_reach, count(DISTINCT ClientID) AS clients
 FROM {p}mp WHERE Persona IS NOT NULL GROUP BY Persona""")
@@ -469,6 +519,9 @@ key("calendar_features", f"""SELECT {RK}, Year, Month, Quarter, DayOfWeek, DayOf
 key("retail_events", f"""SELECT {RK}, IsBlackFriday, IsCyberMonday, IsChristmasSeason, IsNewYearSeason, IsBackToSchool,
   IsSummerSale, IsHoliday FROM {{p}}master""")
 key("sporting_events", f"SELECT {RK}, IsMajorSportingEvent FROM {{p}}master")
+_NAMED = _EVENTS.replace("('FR','ES','IT','DE','GB','UK')", "('NATION_6','ES','IT','NATION_7','NATION_23')").replace("('US')", "('NATION_24')")
+key("sporting_events_named", f"""SELECT {RK}, ClientCountry, CAST(COALESCE({_NAMED}, false) AS INTEGER) AS IsMajorSportingEvent
+FROM {{p}}master""")
 key("price_features", f"""SELECT {RK}, {r6('PricePerUnit', 'PricePerUnit')}, {r6('AvgPricePerUnit', 'AvgPricePerUnit')},
   IsPotentialDiscount, {r6('DiscountPercentage', 'DiscountPercentage')}, IsPremiumPurchase FROM {{p}}pricefeat""")
 key("bulk_purchases", f"SELECT {RK}, {r6('TypicalQuantity', 'TypicalQuantity')}, IsBulkPurchase FROM {{p}}pricefeat")
@@ -512,6 +565,11 @@ key("propensity_cross_sell", f"""SELECT t.ProductID, s.ClientID, {r6('s.Propensi
 FROM products t JOIN products p ON t.ProductID = p.ProductID
 JOIN {{p}}propensity s ON s.FamilyLevel1 = p.FamilyLevel1
 WHERE NOT EXISTS (SELECT 1 FROM {{p}}master o WHERE o.ProductID = t.ProductID AND o.ClientID = s.ClientID)""")
+key("propensity_cross_sell_country", f"""SELECT s.StoreCountry, t.ProductID, s.ClientID, {r6('s.PropensityScore', 'PropensityScore')},
+  s.DaysSinceLastPurchase
+FROM (SELECT DISTINCT ProductID FROM {{p}}matches) t JOIN products p ON t.ProductID = p.ProductID
+JOIN {{p}}propensity_c s ON s.FamilyLevel1 = p.FamilyLevel1
+WHERE NOT EXISTS (SELECT 1 FROM {{p}}master o WHERE o.ProductID = t.ProductID AND o.ClientID = s.ClientID)""")
 key("last_purchase", f"""SELECT ClientID, LastProductID, LastFamilyLevel2, LastClientCountry, {ts('LastDate', 'LastDate')}
 FROM {{p}}lastp""")
 key("product_features", f"""SELECT ProductID, ProductUniqueCustomers, {r6('ProductTotalRevenue', 'ProductTotalRevenue')},
@@ -599,6 +657,16 @@ FROM {p}regions GROUP BY Region""")
 key("recs_static", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route IN ('static', 'fallback')")
 key("recs_inactive", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'inactive'")
 key("recs_loyal", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route = 'loyal'")
+key("recs_blend", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs_mid")
+key("similar_products", f"SELECT ProductID, SimilarProductID, {r6('similarity', 'similarity')}, Rank FROM {{p}}simil WHERE Rank <= 5")
+key("prod2vec_lookup", f"""SELECT p.ProductID, CAST(e.v IS NOT NULL AS INTEGER) AS known, CAST(COALESCE(len(e.v), 64) AS INTEGER) AS dim,
+  {r6('COALESCE(e.v[1], 0.0)', 'first')} FROM products p LEFT JOIN emb e ON p.ProductID = e.ProductID""")
+key("markov_global", f"SELECT Country, State, NextState, n, {r6('prob', 'prob')} FROM {{p}}markov_global")
+key("recommendation_cards", f"""SELECT r.ClientID, r.Rank, r.ProductID, i.FamilyLevel2 AS ProductFamily, i.Category,
+  {_money('i.PricePerUnit')} AS Price, 'In Stock' AS StockStatus FROM {{p}}recs r JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY SaleTransactionDate, BasketID, LineNo, StoreID,
+         SalesNetAmountEuro, Quantity, ClientID) AS rn FROM {{p}}priced WHERE ProductID IS NOT NULL) WHERE rn = 1) i
+  ON r.ProductID = i.ProductID""")
 key("recs_enriched", """SELECT r.ClientID, r.Rank, r.ProductID, COALESCE(p.FamilyLevel2, 'Unknown') AS Product,
   COALESCE(p.Category, 'N/A') AS Category, COALESCE(p.FamilyLevel1, 'N/A') AS SportFamily,
   COALESCE(p.Universe, 'N/A') AS Gender, CAST(COALESCE(sq.q, 0) AS BIGINT) AS Stock
@@ -607,6 +675,9 @@ LEFT JOIN clients c ON r.ClientID = c.ClientID
 LEFT JOIN (SELECT StoreCountry, ProductID, sum(Quantity) AS q FROM stocks GROUP BY StoreCountry, ProductID) sq
   ON c.ClientCountry = sq.StoreCountry AND r.ProductID = sq.ProductID""")
 key("product_search", "SELECT * FROM {p}matches")
+key("product_search_id", "SELECT * FROM products_raw WHERE ProductID = '42'")
+key("search_audience", """SELECT (SELECT count(*) FROM {p}matches) AS Matches, count(DISTINCT ClientID) AS Audience FROM {p}cfeat
+WHERE ClientID IN (SELECT ClientID FROM {p}search_ids)""")
 key("buyers_by_family", "SELECT * FROM {p}buyers")
 key("search_targets_simple", """SELECT p.ClientID, p.Persona, p.ClientCountry FROM {p}personas p WHERE p.ClientID IN (
   SELECT DISTINCT m.ClientID FROM {p}master m WHERE m.FamilyLevel2 IN (
@@ -649,9 +720,11 @@ WHERE FamilyLevel1 IS NOT NULL AND Persona IS NOT NULL AND FamilyLevel1 IN (
   SELECT FamilyLevel1 FROM {{p}}mp WHERE FamilyLevel1 IS NOT NULL GROUP BY FamilyLevel1
   ORDER BY sum(SalesNetAmountEuro) DESC, FamilyLevel1 LIMIT 10)
 GROUP BY FamilyLevel1, Persona""")
-key("country_insights", f"""SELECT Country, {r6('revenue', 'revenue')}, transactions, clients, {r6('avg_basket', 'avg_basket')},
+_INSIGHT_COLS = f"""Country, {r6('revenue', 'revenue')}, transactions, clients, {r6('avg_basket', 'avg_basket')},
   persona_clients, dominant_persona, inactive_count, cold_count, top_families, top_categories, total_skus, zero_stock,
-  overstocked, CountryName FROM {{p}}insights""")
+  overstocked, CountryName"""
+key("country_insights", f"SELECT {_INSIGHT_COLS} FROM {{p}}insights")
+key("store_country_insights", f"SELECT {_INSIGHT_COLS} FROM {{p}}insights_store")
 key("country_playbook", f"""SELECT Country, ActionNo, Action, Subject, Count, {r6('Pct', 'Pct')}, Detail FROM (
   SELECT i.Country, 1 AS ActionNo, 'primary_audience' AS Action, COALESCE(i.dominant_persona, 'Unknown') AS Subject,
          CAST(NULL AS BIGINT) AS Count, CAST(NULL AS DOUBLE) AS Pct, COALESCE(s.Strategy, 'personalised offers') AS Detail
@@ -668,6 +741,11 @@ key("country_playbook", f"""SELECT Country, ActionNo, Action, Subject, Count, {r
   FROM {{p}}insights WHERE overstocked > 0)""")
 key("persona_reach", f"""SELECT Persona, {r6('avg_amount', 'avg_amount')}, {r6('email_reach', 'email_reach')},
   {r6('phone_reach', 'phone_reach')}, clients FROM {{p}}reach""")
+def _pct(x: str) -> str:
+    t = f"CAST(floor({x} * 10 + 0.5) AS BIGINT)"
+    return f"({t} // 10 || '.' || {t} % 10)"
+
+
 key("persona_advice", f"""SELECT Persona,
   CASE WHEN contains(Persona, 'Loyal') OR contains(Persona, 'Very Frequent') THEN
          'VIP Treatment: Offer exclusive early access to new collections. Focus on retention.'
@@ -677,6 +755,11 @@ key("persona_advice", f"""SELECT Persona,
   CASE WHEN email_reach * 100 > 50 AND phone_reach * 100 > 50 THEN 'Omnichannel'
        WHEN email_reach * 100 > 50 THEN 'Email Primary' WHEN phone_reach * 100 > 50 THEN 'SMS Primary'
        ELSE 'Low Reach' END AS Channel,
+  CASE WHEN email_reach * 100 > 50 AND phone_reach * 100 > 50
+         THEN 'Omnichannel: Use Email (' || {_pct('email_reach * 100')} || '%) & SMS (' || {_pct('phone_reach * 100')} || '%) for balanced impact.'
+       WHEN email_reach * 100 > 50 THEN 'Email Primary: High email opt-in (' || {_pct('email_reach * 100')} || '%). Use rich visual newsletters.'
+       WHEN phone_reach * 100 > 50 THEN 'SMS Primary: High phone opt-in (' || {_pct('phone_reach * 100')} || '%). Optimal for urgent/short alerts.'
+       ELSE 'Low Reach: Rely on On-Site Personalization / Retargeting Ads.' END AS ChannelText,
   {r6('email_reach * 100', 'email_pct')}, {r6('phone_reach * 100', 'phone_pct')} FROM {{p}}reach""")
 key("revenue_by_country", f"""SELECT StoreCountry, {r6('sum(SalesNetAmountEuro)', 'Revenue')} FROM {{p}}master
 WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry""")
@@ -733,9 +816,6 @@ key("country_playbook_app", """SELECT Country, ActionNo, Action, Count, Detail F
   FROM {p}insights i LEFT JOIN strategies s ON i.dominant_persona = s.Persona WHERE i.dominant_persona IS NOT NULL)""")
 
 
-def _money(x: str) -> str:
-    return (f"CASE WHEN abs({x}) >= 1000 THEN '€' || format('{{:,.0f}}', {x}) "
-            f"ELSE '€' || format('{{:,.2f}}', {x}) END")
 
 
 key("country_kpi_summary", f"""SELECT StoreCountry AS Country, {_money('rev')} AS Revenue, Transactions, Clients, UnitsSold,
@@ -750,6 +830,27 @@ key("search_targets_country", f"""SELECT ClientID, Persona, ClientCountry, {r6('
       AND ClientCountry = (SELECT min(StoreCountry) FROM stores))) WHERE Rank <= 50""")
 
 
+# one column per nation of the fixture
+_STOCK_COLS = ",\n  ".join(f"CAST(COALESCE(sum(Quantity) FILTER (WHERE StoreCountry = 'NATION_{i}'), 0) AS BIGINT) AS NATION_{i}" for i in range(25))
+key("stock_pivot_wide", f"""SELECT s.ProductID, p.FamilyLevel2 AS Product, {_STOCK_COLS}
+FROM stocks s JOIN {{p}}matches m ON s.ProductID = m.ProductID LEFT JOIN products_raw p ON s.ProductID = p.ProductID
+GROUP BY s.ProductID, p.FamilyLevel2""")
+_REV_COLS = ",\n  ".join(r6(f"COALESCE(sum(SalesNetAmountEuro) FILTER (WHERE StoreCountry = 'NATION_{i}'), 0)", f"NATION_{i}") for i in range(25))
+key("category_country_wide", f"""SELECT Category, {_REV_COLS} FROM {{p}}master
+WHERE StoreCountry IS NOT NULL AND Category IN (SELECT Category FROM {{p}}topcats12 WHERE Rank <= 10) GROUP BY Category""")
+_TABLES = {
+    "final_data": "SELECT count(*) AS n FROM {p}master", "persona": "SELECT count(*) AS n FROM {p}penr",
+    "client_features": "SELECT count(*) AS n FROM {p}cfeat", "associations": "SELECT count(DISTINCT antecedent) AS n FROM {p}rules_family",
+    "associations_long": "SELECT count(*) AS n FROM {p}rules_family", "popular": "SELECT count(*) AS n FROM {p}popular",
+    "trending": "SELECT count(*) AS n FROM {p}trending", "affinity": "SELECT count(*) AS n FROM {p}affinity",
+    "country_kpis": "SELECT count(DISTINCT StoreCountry) AS n FROM {p}master",
+    "country_trending": "SELECT sum(least(n, 15)) AS n FROM (SELECT count(DISTINCT ProductID) AS n FROM {p}trend WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry)",
+    "markov": "SELECT count(*) AS n FROM {p}markov", "markov_global": "SELECT count(*) AS n FROM {p}markov_global",
+    "embeddings": "SELECT count(*) AS n FROM (SELECT ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL GROUP BY ProductID HAVING count(*) >= 2)",
+    "metadata": "SELECT 1 AS n"}
+key("materialize", "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", CAST(n AS BIGINT) AS rows FROM ({q})" for t, q in _TABLES.items()))
+
+
 # ------------------------------------------------------------------ assembly
 _REF = re.compile(r"\{p\}(\w+)")
 

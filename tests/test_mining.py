@@ -63,3 +63,31 @@ def test_cosine_topk_matches_numpy(spark):
         exp = list(np.argsort(-sims[i])[:3])
         row = got[got.vec_id == str(i)].sort_values("Rank")
         assert [int(x) for x in row.neighbor_vec_id] == exp
+
+
+def test_cosine_ties_do_not_depend_on_blocks(spark):
+    """Thirty near-equal vectors and a NULL one: the smallest ids win for any number of blocks."""
+    rows = [(f"{i:03d}", [1.0, 1e-9 * (30 - i)]) for i in range(30)] + [("x", None)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    for blocks, query_blocks in ((1, 1), (7, 1), (3, 5)):
+        got = sequences.cosine_topk(df, "vec_id", "embedding", k=3, blocks=blocks, query_blocks=query_blocks)
+        own = {r.neighbor_vec_id: r.Rank for r in got.filter("vec_id = '010'").collect()}
+        assert own == {"000": 1, "001": 2, "002": 3}
+
+
+def test_big_basket_is_paired_across_blocks(spark, monkeypatch):
+    from shopsignal.operators import baskets
+    monkeypatch.setattr(baskets, "PAIR_BLOCK", 3)
+    rows = [("b1", str(i)) for i in range(11)] + [("b2", "1"), ("b2", "2"), ("b3", "2"), ("b3", "1")]
+    df = spark.createDataFrame(rows, "BasketID string, ProductID string")
+    got = {(r.antecedent, r.consequent): r.pair_count for r in baskets.association_rules(df, "ProductID", min_count=1).collect()}
+    assert len(got) == 110 and got["1", "2"] == 3 == got["2", "1"] and got["3", "4"] == 1
+
+
+def test_trend_keeps_the_whole_target_day(spark, make_tx):
+    from shopsignal.operators import products
+    df = make_tx([{"date": "2024-03-10 15:00:00"}, {"date": "2024-03-11 00:00:00", "ProductID": "late"}, {"date": "2024-03-09 00:00:00"}])
+    df = df.selectExpr("*", "'F' AS FamilyLevel1", "'X' AS StoreCountry", "1.0D AS PricePerUnit")
+    got = {r.ProductID: r.recent_score for r in products.trending_scores(df, "2024-03-10", filtered=df).collect()}
+    # 9 hours after the target counts as day -1 (elapsed days are floored): 1 / 0.9
+    assert set(got) == {"p1"} and abs(got["p1"] - (1 / 0.9 + 1 / 1.1)) < 1e-12

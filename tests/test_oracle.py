@@ -10,9 +10,7 @@ from shopsignal.plans.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"]
-KEYS = ["country_kpis", "rfm_scores", "pareto_revenue", "days_since_last", "personas", "trending_scores",
-        "assoc_rules_family", "markov_transitions", "recommendations", "country_insights", "store_trending_recs",
-        "cosine_topk", "client_cross_sell", "search_targets"]
+KEYS = sorted(ORACLE_SQL)
 
 
 def _canon(df: pd.DataFrame):
