@@ -64,3 +64,11 @@ def test_persona_enriched_mode_tie_and_prospect_fills(spark, make_tx):
     assert enr["c1"].FavoriteCategory == "A"                # 2 vs 2: smallest wins
     assert enr["c1"].AvgOrderValue == 10.0 and enr["c1"].Recency == 0
     assert (enr["new"].TotalSpent, enr["new"].Recency, enr["new"].FavoriteCategory, enr["new"].AvgOrderValue) == (0.0, 999, "None", None)
+
+
+def test_buyer_without_any_category_reads_na(spark, make_tx):
+    clients = spark.createDataFrame([("a", "LOYAL", "C"), ("b", "LOYAL", "C")], "ClientID string, ClientSegment string, ClientCountry string")
+    tx = make_tx([{"ClientID": "a"}])
+    master = tx.selectExpr("*", "CAST(NULL AS string) AS Category")
+    got = {r.ClientID: r.FavoriteCategory for r in customers.persona_enriched(customers.personas(clients, tx), master).collect()}
+    assert got == {"a": "N/A", "b": "None"}

@@ -66,3 +66,9 @@ def test_sporting_event_inclusive_end_and_country(make_tx):
     got = [(r.ClientCountry, r.IsMajorSportingEvent)
            for r in features.add_sporting_events(tx).orderBy("SaleTransactionDate", "ClientID").collect()]
     assert got == [("US", 1), ("US", 0), ("US", 1), ("FR", 0)]
+
+
+def test_days_since_last_without_a_client_is_9999(make_tx):
+    tx = make_tx([{"ClientID": None, "date": "2024-01-01 00:00:00"}, {"ClientID": None, "date": "2024-01-05 00:00:00"}])
+    tx = tx.selectExpr("nullif(ClientID, 'c1') AS ClientID", "* EXCEPT (ClientID)")
+    assert {r.DaysSinceLastPurchase for r in features.add_days_since_last(tx).collect()} == {9999}
