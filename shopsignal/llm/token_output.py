@@ -28,6 +28,7 @@ from shopsignal.llm.common import shuffle_partitions, steps
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 RUN = 4096
+SEGMENT = 600                    # a multiple of most counts, so runs of one width fill their words
 BLOCK_IDS = 1 << 18
 MEMORY_PIECES = 600_000
 
@@ -44,46 +45,53 @@ def _classes(ids: np.ndarray) -> np.ndarray:
 
 
 def simple8b(ids: np.ndarray) -> np.ndarray:
-    """Pack ids below 2**60 into 64-bit words, each with as many of the next ids as fit."""
+    """Pack ids below 2**60 into 64-bit words, each with as many of the next ids as fit.
+
+    Words end at every SEGMENT ids, so the segments' words are found side by side.
+    """
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
     need = _classes(ids)
     if need.max() == ESCAPE and (ids.astype(np.uint64) >> np.uint64(60)).any():
         raise ValueError("an id has more than 60 bits")
-    most = {1: need}                                         # largest need of the next 1, 2, 4, .. ids
-    span = 1
-    while 2 * span <= min(n, 32):
-        most[2 * span] = np.maximum(most[span][:n - 2 * span + 1], most[span][span:])
-        span *= 2
-    choice = need.copy()                                     # alone, or with as many as the widest fit
-    choice[choice != ESCAPE] = -1
+    rows = -(-n // SEGMENT)
+    width = min(SEGMENT, n)
+    padded = np.full((rows, width + 64), ESCAPE, np.int8)    # nothing fits beyond a segment's end
+    flat = np.full(rows * width, ESCAPE, np.int8)
+    flat[:n] = need
+    padded[:, :width] = flat.reshape(rows, width)
+    most = {1: padded}                                       # largest need of the next 1, 2, 4, .. ids
+    for span in (1, 2, 4, 8, 16):
+        last = most[span]
+        most[2 * span] = np.maximum(last[:, :last.shape[1] - span], last[:, span:])
+    choice = np.full((rows, width), ESCAPE, np.int8)
     for s, (count, _) in reversed(list(enumerate(SELECTORS))):
-        if count <= n:
-            half = 1 << (count.bit_length() - 1)
-            fits = np.maximum(most[half][:n - count + 1], most[half][count - half:n - half + 1]) <= s
-            choice[:n - count + 1][fits] = s
-    choice[choice < 0] = ESCAPE                              # the last ids, fewer than any word holds
-    taken = np.ones(16, np.int64)
-    taken[:len(SELECTORS)] = [c for c, _ in SELECTORS]
-    at = _chain(taken[choice])
+        half = 1 << (count.bit_length() - 1)
+        fits = np.maximum(most[half][:, :width], most[half][:, count - half:count - half + width]) <= s
+        choice[fits] = s
+    choice = choice.ravel()
+    at = _starts(_counts(choice), n, width)
     ids, picked = ids.astype(np.uint64), choice[at]
     out = (ids[at] << np.uint64(4)) | picked.astype(np.uint64)
-    for s, (count, width) in enumerate(SELECTORS):
-        rows = np.flatnonzero(picked == s)
-        first = at[rows]
-        for k in range(1, count) if len(rows) else ():
-            out[rows] |= ids[first + k] << np.uint64(4 + k * width)
+    for s, (count, bits) in enumerate(SELECTORS):
+        own = np.flatnonzero(picked == s)
+        first = at[own]
+        for k in range(1, count) if len(own) else ():
+            out[own] |= ids[first + k] << np.uint64(4 + k * bits)
     return out
 
 
-def _chain(taken: np.ndarray) -> np.ndarray:
-    """The positions reached from 0 by jumping ``taken`` at each."""
-    jumps, out, i, n = taken.tolist(), [], 0, len(taken)
-    while i < n:
-        out.append(i)
-        i += jumps[i]
-    return np.array(out, np.int64)
+def _starts(taken: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The positions reached by jumping ``taken`` at each, from the start of every segment."""
+    pos, out = np.arange(0, n, width), []
+    end = np.minimum(pos + width, n)
+    while len(pos):
+        out.append(pos)
+        pos = pos + taken[pos]
+        live = pos < end
+        pos, end = pos[live], end[live]
+    return np.sort(np.concatenate(out))
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -109,6 +117,8 @@ def _counts(select: np.ndarray) -> np.ndarray:
 
 #: white space and then a blank: the blank need not start a piece
 ODD_BLANK = re.compile(r" (?<=\s )")
+LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
+MARK = re.compile(r"([.,])(?<=[^\W_][.,])(?= )")
 CUT = re.compile(r"(?<=\S)(?= )")
 TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 FIRST = "\ud800"                # marks a piece without a blank before it; no text can hold it
@@ -119,8 +129,9 @@ class PieceEncoder:
     """Ids of whole texts for a byte-level BPE whose words take the one blank before them.
 
     Such a tokenizer never joins a blank to a character before it other than white space, so a text
-    is the concatenation of pieces that start at those blanks; letters and the marks after them are
-    also split. Each distinct piece is encoded by the library once and remembered, within a bound.
+    is the concatenation of pieces that start at those blanks. It also splits letters or digits
+    from marks after them, and single line feeds from what is around them. Each distinct piece is
+    encoded by the library once and remembered, within a bound.
     """
 
     def __init__(self, path: str, end: int, memory: int = MEMORY_PIECES):
@@ -142,7 +153,9 @@ class PieceEncoder:
         """The text's pieces; the blank before a piece is left out, FIRST marks that there is none."""
         if ODD_BLANK.search(text):
             return [p[1:] if p[0] == " " else FIRST + p for p in CUT.split(text)]
-        out = text.split(" ")
+        if "\n" in text:
+            text = LINE.sub(f" {FIRST}\n {FIRST}", text)
+        out = MARK.sub(f" {FIRST}\\1", text).split(" ")
         if out[0]:
             out[0] = FIRST + out[0]
             return out
