@@ -134,8 +134,8 @@ def affinity_matrix(master: DataFrame, current_date=None, by_country: bool = Fal
     share = safe_div(F.col("CategorySpend").cast("double"), F.col("TotalSpend").cast("double"))
     return (out.withColumn("DaysSinceLastPurchase", day_delta(F.col("LastPurchaseDate"), current_date))
                .withColumn("ShareOfWallet", share)
-               .withColumn("AffinityScore", F.col("ShareOfWallet") * 0.7
-                           + F.col("PurchaseCount") / max_count.cast("double") * 0.3)
+               .withColumn("AffinityScore", F.col("ShareOfWallet") * K.AFFINITY_SPEND_W
+                           + F.col("PurchaseCount") / max_count.cast("double") * K.AFFINITY_COUNT_W)
                .withColumn("CategorySpend", F.col("CategorySpend").cast("double"))
                .withColumn("TotalSpend", F.col("TotalSpend").cast("double"))
                .drop("_maxc"))

@@ -31,14 +31,10 @@ def country_revenue(sales: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def country_revenue_stream(spark: SparkSession, source_dir: str, stores: DataFrame, checkpoint: str,
-                           sink=None, query_name: str = "country_revenue"):
-    """Start the incremental job; ``sink(batch_df, batch_id)`` receives each updated snapshot
-    (default: an in-memory table named ``query_name``). Returns the StreamingQuery."""
+                           sink):
+    """Start the incremental job; ``sink(batch_df, batch_id)`` receives each updated snapshot, one
+    row per country. Returns the StreamingQuery."""
     stream = spark.readStream.schema(SALES_SCHEMA).option("maxFilesPerTrigger", 64).parquet(source_dir)
     agg = country_revenue(stream, stores)
-    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    if sink is None:
-        w = w.format("memory").queryName(query_name)
-    else:
-        w = w.foreachBatch(sink)
-    return w.trigger(availableNow=True).start()
+    return (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+            .foreachBatch(sink).trigger(availableNow=True).start())

@@ -9,9 +9,10 @@ def test_stream_matches_batch(spark, tmp_path):
     x = context(spark, SF)
     src = str(tmp_path / "sales")
     x.t.transactions.repartition(4).write.parquet(src)
-    q = country_revenue_stream(spark, src, x.t.stores, str(tmp_path / "ckpt"), query_name="crs_test")
+    out = str(tmp_path / "out")
+    q = country_revenue_stream(spark, src, x.t.stores, str(tmp_path / "ckpt"), lambda df, i: df.write.mode("overwrite").parquet(out))
     q.awaitTermination(120)
-    got = {r.StoreCountry: (round(r.total_revenue, 2), r.n_transactions) for r in spark.table("crs_test").collect()}
+    got = {r.StoreCountry: (round(r.total_revenue, 2), r.n_transactions) for r in spark.read.parquet(out).collect()}
     exp = {r.StoreCountry: (round(r.total_revenue, 2), r.n_transactions)
            for r in country_revenue(spark.read.parquet(src), x.t.stores).collect()}
     assert got == exp and len(got) > 0
