@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names
+from shopsignal.llm.common import append_columns, fresh_names, hash_sample
 
 # Short notices of common licence families.
 TEMPLATES = {
@@ -41,7 +41,7 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: lower-case ASCII letters and digits, and bytes of other characters; anything else separates words
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 GRAMS = 3
 CONFIRM = 0.6                    # share of a template's word pairs that the paragraph must hold
 SAMPLE_PARAGRAPHS = 4000         # corpus paragraphs learned as unknown
@@ -128,15 +128,17 @@ def learn(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, doc
     spark = docs.sparkSession
     parsed = {k: [words_of(t.encode()) for t in ts] for k, ts in sorted((templates or TEMPLATES).items())}
     vocabulary = {w for ts in parsed.values() for t in ts for w in t}
+    ids = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"))
+    chosen = hash_sample(ids, sample_paragraphs, "id").distinct()           # at most sample_paragraphs
     lines = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    body = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), lines.alias("lines")).filter(F.size("lines") > 0)
-    sample = body.select("h", "id", F.substring(F.element_at("lines", (F.pmod("h", F.size("lines")) + 1).cast("int")), 1, 1000).alias("p")) \
-        .orderBy("h", "id", "p").limit(sample_paragraphs).collect()
+    body = docs.select(F.col(doc_id).alias("id"), lines.alias("lines")).join(F.broadcast(chosen), "id").filter(F.size("lines") > 0)
+    pick = (F.pmod(F.xxhash64("id"), F.size("lines")) + 1).cast("int")
+    sample = sorted(r.p for r in body.select(F.substring(F.element_at("lines", pick), 1, 1000).alias("p")).collect())
     rng = np.random.default_rng(seed)
     held = [pairs(t) for ts in parsed.values() for t in ts]
     unknown = []
-    for r in sample:
-        words = words_of(r.p.encode())
+    for p in sample:
+        words = words_of(p.encode())
         if words and all(len(h & pairs(words)) < 0.5 * len(h) for h in held):
             unknown.append(words)
     common = sorted({w for ws in unknown for w in ws})[:20000]
