@@ -4,7 +4,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +61,29 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def steps(texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows whose texts hold about ``limit`` bytes (one row at least)."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or b"") > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text or b"")
-    if start < len(texts):
-        yield start, len(texts)
+def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of a text column that hold about ``limit`` bytes (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield column.slice(start, stop - start)
+        start = stop
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` returns, remembered by the Python worker beyond the task; one thing at a time,
+    so that the stages of a pipeline do not pile up in a worker's memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]],
@@ -88,10 +103,9 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]],
 
     def run(batches):
         for batch in batches:
-            texts = as_bytes(batch.column(position))
             parts: list[list] = [[] for _ in kinds]
-            for a, b in steps(texts):
-                for out, new in zip(parts, score(texts[a:b])):
+            for texts in steps(batch.column(position)):
+                for out, new in zip(parts, score(as_bytes(texts))):
                     out.extend(new)
             arrays = [pa.array(v, type=k) for v, k in zip(parts, kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in passed), *arrays], names=names)
@@ -111,6 +125,17 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def hash_sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of ``key``: the same ones on every run.
+
+    Rows are first cut to about 4 * n by their hash, so no task or driver merge grows with the table.
+    """
+    total, space = df.count(), 1 << 40
+    h = F.pmod(F.xxhash64(key), F.lit(space))
+    part = df.filter(h < int(space * 4 * n / total)) if total > 4 * n else df
+    return part.orderBy(h, key).limit(n)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo ``n``: the fold of a row."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))

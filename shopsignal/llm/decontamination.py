@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names, materialize
+from shopsignal.llm.common import append_columns, fresh_names, kept, materialize
 
 #: bytes other than 0-9, a-z (A-Z lower-cased) and those from 0x80 separate words
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -183,15 +183,10 @@ def _merged(pairs):
     return F.when(F.size(pairs) == 0, pairs).otherwise(flat)
 
 
-_SEARCHERS: dict = {}
-
-
 def _scorer(sent, key: str, window: int):
     def score(texts: list) -> list[list]:
-        if key not in _SEARCHERS:                           # once per Python worker
-            _SEARCHERS.clear()
-            _SEARCHERS[key] = Searcher(((item, words_of(t.encode())) for item, t in sent.value), window)
-        lengths, ends, found = _SEARCHERS[key].search(texts)
+        searcher = kept(("searcher", key), lambda: Searcher(((item, words_of(t.encode())) for item, t in sent.value), window))
+        lengths, ends, found = searcher.search(texts)
         hits, items = [[] for _ in texts], [[] for _ in texts]
         total = int(ends[-1]) if len(ends) else 0
         if any(len(p) for p, *_ in found):

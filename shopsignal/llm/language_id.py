@@ -8,12 +8,13 @@ the smallest and the next size is a rejection.
 from __future__ import annotations
 
 import math
+import uuid
 
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names
+from shopsignal.llm.common import append_columns, fresh_names, kept
 
 #: ASCII letters lower-cased; other ASCII becomes a blank; bytes of other characters stay
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,9 +75,6 @@ class Compressors:
         return self.names[best], score, margin >= MARGIN
 
 
-_COMPRESSORS: dict = {}
-
-
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with ``lang_pred``, ``score`` and ``accepted`` of every whole text; the names used.
 
@@ -86,13 +84,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "te
     an empty table gives no rows; clashing columns are renamed as the dict says.
     """
     names = fresh_names(docs.columns, ("lang_pred", "score", "accepted"))
-    key = hash(tuple(dictionaries.items()))
+    key = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)     # languages * sample_docs * excerpt
 
     def score(texts):
-        if key not in _COMPRESSORS:
-            _COMPRESSORS.clear()
-            _COMPRESSORS[key] = Compressors(sent.value)
-        out = [_COMPRESSORS[key].classify(t.decode() if t is not None else None) for t in texts]
+        compressors = kept(("compressors", key), lambda: Compressors(sent.value))
+        out = [compressors.classify(t.decode() if t is not None else None) for t in texts]
         return [list(c) for c in zip(*out)] if out else [[], [], []]
     return append_columns(docs, text, [(names["lang_pred"], "string"), (names["score"], "double"), (names["accepted"], "boolean")], score, keep), names

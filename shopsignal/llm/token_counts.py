@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import as_bytes, materialize, shared_folder, steps
+from shopsignal.llm.common import as_bytes, kept, materialize, shared_folder, steps
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 #: words whose counts a worker remembers, in two generations
@@ -88,16 +88,10 @@ class WordCounter:
         return (total[ends[1:]] - total[ends[:-1]]).tolist()
 
 
-_COUNTERS: dict[tuple[str, int], WordCounter] = {}
-
-
 def word_counter(path: str) -> Callable[[list[bytes | None]], list[int]]:
     """The worker's counter for a vocabulary file; it outlives the task."""
     def count(texts: list[bytes | None]) -> list[int]:
-        key = (path, os.getpid())
-        if key not in _COUNTERS:
-            _COUNTERS[key] = WordCounter(path)
-        return _COUNTERS[key].counts(texts)
+        return kept(("words", path), lambda: WordCounter(path)).counts(texts)
     return count
 
 
@@ -132,10 +126,10 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
 
     def encode(batches):
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            n = [x for a, b in steps(texts) for x in count(texts[a:b])]
+            n = [x for texts in steps(batch.column(1)) for x in count(as_bytes(texts))]
             yield pa.RecordBatch.from_pydict({"digest": batch.column(0), "version": pa.array([version] * len(n), pa.string()), "n_tokens": pa.array(n, pa.int64())})
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # one row a digest, written, so that the join below is a plain one whose hot digests Spark splits
+    counts = materialize(read_cache(spark, cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import shuffle_partitions, steps
+from shopsignal.llm.common import kept, shuffle_partitions, steps
 
 #: (ids in a word, bits of each): the selectors 0-12 of a word's 60 payload bits
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -219,17 +219,6 @@ class PieceEncoder:
         self._reset([names[i] for i in keep.tolist()], ids, sizes)
 
 
-_ENCODERS: dict = {}
-
-
-def piece_encoder(path: str, end: int) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; it outlives the task."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, end] = PieceEncoder(path, end)
-    return _ENCODERS[path, end]
-
-
 def _row(part: int, block: int, docs: list, counts: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
     all_ids = np.concatenate(ids)
     words = simple8b(all_ids)
@@ -254,15 +243,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, end: int, doc_id: s
 
     def encode(batches):
         part, block, ids, names, counts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-        encoder, arrow = piece_encoder(path, end), pa.int64()
+        encoder, arrow = kept(("pieces", path, end), lambda: PieceEncoder(path, end)), pa.int64()
         for batch in batches:
-            arrow, keys, texts = batch.column(0).type, batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in steps(texts):
-                flat, n = encoder.encode(texts[a:b])
+            arrow, keys = batch.column(0).type, iter(batch.column(0).to_pylist())
+            for texts in steps(batch.column(1)):
+                flat, n = encoder.encode(texts.to_pylist())
                 ends = np.cumsum(n)
                 at = 0
                 for i, z in enumerate(ends.tolist()):
-                    names.append(keys[a + i])
+                    names.append(next(keys))
                     counts.append(int(n[i]))
                     held += counts[-1]
                     if held >= block_ids:

@@ -13,7 +13,7 @@ fitted on documents left out of the word lists.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names
+from shopsignal.llm.common import append_columns, fresh_names, hash_sample, kept
 from shopsignal.llm.token_counts import Memory
 
 #: lower-case letters and bytes of other characters stay, white space becomes a blank, the rest goes
@@ -37,8 +37,9 @@ TABLE = 1 << 18                  # three characters of six bits
 TOXIC_DOCS, CLEAN_DOCS, SENTENCES = 2000, 4000, 60
 LANDMARKS = 384
 LIFT = 8.0                       # a positive word is so much more frequent in toxic documents
+POSITIVE = 1500
 GAIN = 24.0                      # log-likelihood ratio that makes a word positive
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000            # words whose decisions a worker remembers, in two generations
 THRESHOLD = 0.7
 
 
@@ -168,17 +169,29 @@ def _landmarks(words: list[bytes], n: int) -> list[bytes]:
     return [words[i] for i in taken]
 
 
-def _gain(k1: int, k0: int, n1: int, n0: int) -> float:
-    """Log-likelihood ratio of a word in k1 of n1 places in toxic sentences and k0 of n0 in others; 0 below LIFT."""
+def _gains(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios of words held by k1 places of toxic sentences and k0 of others; 0 below LIFT."""
+    n1, n0 = max(k1.sum(), 1), max(k0.sum(), 1)
     p1, p0, p = k1 / n1, k0 / n0, (k1 + k0) / (n1 + n0)
-    if p1 < LIFT * p0:
-        return 0.0
-    return 2 * sum(a * np.log(q / r) for a, q, r in ((k1, p1, p), (n1 - k1, 1 - p1, 1 - p), (k0, p0, p), (n0 - k0, 1 - p0, 1 - p)) if a)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(a > 0, a * np.log(q / r), 0) for a, q, r in
+                 ((k1, p1, p), (n1 - k1, 1 - p1, 1 - p), (k0, p0, p), (n0 - k0, 1 - p0, 1 - p))]
+    return np.where(p1 >= LIFT * p0, 2 * sum(parts), 0)
 
 
-def _top_two(decisions: dict[bytes, float], words: list[bytes]) -> tuple[float, float]:
-    best = sorted((decisions[w] for w in words), reverse=True)[:2]
-    return tuple(best + [-2.0] * (2 - len(best)))
+def _places(sequence: list[int], labels: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct places (a word and its two neighbours) of either label each word has.
+
+    ``sequence`` holds word numbers, 0 between sentences. A place seen in a clean document is clean;
+    copies of a passage are the same places, so they teach once.
+    """
+    w, label = np.array(sequence, np.uint64), np.array(labels, np.int8)
+    middle = np.flatnonzero(w[1:-1] > 0) + 1
+    code = (w[middle - 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[middle] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (w[middle + 1] * np.uint64(0x165667B19E3779F9))
+    order = np.lexsort((label[middle], code))
+    first = order[np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))] if len(order) else order
+    own, toxic = w[middle[first]].astype(np.int64), label[middle[first]] == 1
+    return np.bincount(own[toxic], minlength=size), np.bincount(own[~toxic], minlength=size)
 
 
 def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS, seed: int = 7) -> Model:
@@ -186,30 +199,57 @@ def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS,
     rng = np.random.default_rng(seed)
     documents = sorted(documents, key=lambda d: (d[0], d[1]))
     left_out = rng.random(len(documents)) < 0.3
-    found: dict[tuple[bytes, ...], int] = {}                 # a word and its neighbours: copies teach once
+    numbers: dict[bytes, int] = {b"": 0}
+    sequence, labels, bags = [0], [0], []
     for (_, label, sentences), out in zip(documents, left_out):
-        if not out:
-            for s in sentences:
-                words = [b"", *words_of(s), b""]
-                for place in zip(words, words[1:], words[2:]):
-                    found[place] = min(label, found.get(place, 1))
-    count, total = {0: Counter(), 1: Counter()}, Counter(found.values())
-    for (_, word, _), label in found.items():
-        count[label][word] += 1
-    if not total[0] or not total[1]:
+        held = set()
+        for s in sentences:
+            own = [numbers.setdefault(w, len(numbers)) for w in words_of(s)]
+            held.update(own)
+            if not out:
+                sequence += [*own, 0]
+                labels += [label] * (len(own) + 1)
+        bags.append((label, np.array(sorted(held), np.int64)))
+    names = list(numbers)
+    k1, k0 = _places(sequence, labels, len(names))
+    del sequence, labels
+    if not k1.sum() or not k0.sum():
         return CONSTANT
-    gain = {w: _gain(k, count[0][w], total[1], total[0]) for w, k in count[1].items() if len(w) >= 3}
-    positive: list[bytes] = []
+    inside = [bag for bag, o in zip(bags, left_out) if not o]
+    d1, d0 = (np.bincount(np.concatenate([np.empty(0, np.int64), *(h for y, h in inside if y == label)]), minlength=len(names)) for label in (1, 0))
+    n1, n0 = (sum(y == label for y, _ in inside) for label in (1, 0))
+    rare = d1 * n0 >= LIFT * d0 * n1                          # by documents, too
+    gain = np.where(rare & np.array([len(w) >= 3 for w in names]), _gains(k1, k0), 0)
+    chosen = np.empty(0, np.int64)
     for least in (GAIN, GAIN / 2, GAIN / 4):
-        positive = sorted((w for w, g in gain.items() if g >= least), key=lambda w: (-gain[w], w))[:1500]
-        if positive:
+        chosen = np.flatnonzero(gain >= least)
+        if len(chosen):
             break
-    if not positive:
+    if not len(chosen):
         return CONSTANT
+    chosen = chosen[np.lexsort((chosen, -gain[chosen]))][:POSITIVE]
+    positive = [names[i] for i in chosen]
     variants = [w[:i] + bytes([97 + int(c)]) + w[i:] for w in positive[:300] for i, c in zip(rng.integers(1, len(w), 3), rng.integers(0, 26, 3))]
-    variants = sorted({v for v in variants if not count[0][v]} - set(positive)) if positive else []
-    clean = sorted(count[0])
-    often = np.sqrt([count[0][w] for w in clean])            # a frequent word's error costs more
+    variants = sorted({v for v in variants if not k0[numbers.get(v, 0)]} - set(positive))
+    own = np.sqrt(k1[chosen])
+    own = np.concatenate([own, np.full(len(variants), 0.3 * own.sum() / max(1, len(variants)))])
+    model = _train(positive, variants, own, [names[i] for i in np.flatnonzero(k0)], np.sqrt(k0[k0 > 0]), landmarks, rng)
+    out = [bag for bag, o in zip(bags, left_out) if o]
+    if len({label for label, _ in out}) < 2:
+        out = bags
+    used = np.unique(np.concatenate([held for _, held in out]))
+    decided = np.full(len(names), -2.0)
+    decided[used] = model.decide([names[i] for i in used])
+    tops = np.array([np.sort(np.concatenate([[-2.0, -2.0], decided[held]]))[-2:][::-1] for _, held in out])
+    model.link = _logistic(tops, np.array([1.0 if label else -1.0 for label, _ in out]))
+    return model
+
+
+def _train(positive: list[bytes], variants: list[bytes], own: np.ndarray, clean: list[bytes], often: np.ndarray, landmarks: int, rng) -> Model:
+    """The word machine: positive words (weights ``own``) against clean ones, the hardest found in rounds.
+
+    ``often``: weights of the clean words, as a frequent word's error costs more.
+    """
     negative = rng.permutation(len(clean))[:4000].tolist()
     marks = _landmarks(positive, 3 * landmarks // 4) + _landmarks([clean[i] for i in negative[:1000]], landmarks // 4)
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
@@ -218,12 +258,12 @@ def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS,
     codes, n, owner = _codes(marks)
     first = np.unique(owner, return_index=True)[1]
     seen = kernel(positive + variants + [clean[i] for i in negative], marks)
-    own = np.sqrt([count[1][w] for w in positive])
-    own = np.concatenate([own, np.full(len(variants), 0.3 * own.sum() / max(1, len(variants)))])
+    model = CONSTANT
     for _ in range(6):
-        y = np.concatenate([np.ones(len(own)), -np.ones(len(negative))])
-        weight = np.concatenate([own / own.sum(), often[negative] / often[negative].sum()]) if len(negative) else own / own.sum()
-        w = svm(seen @ whiten, y, weight)
+        # the last row is a word like no other, which is clean
+        y = np.concatenate([np.ones(len(own)), -np.ones(len(negative) + 1)])
+        weight = np.concatenate([own / own.sum(), often[negative] / often[negative].sum(), [0.2]])
+        w = svm(np.concatenate([seen @ whiten, np.zeros((1, whiten.shape[1]))]), y, weight)
         table = np.zeros(TABLE, np.float32)
         for ix, decay in _subsequences(codes[first]):
             np.add.at(table, ix, (decay * (whiten @ w[:-1]) / _norms(n[first]))[:, None].astype(np.float32))
@@ -237,15 +277,6 @@ def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS,
             break
         negative += hard
         seen = np.concatenate([seen, kernel([clean[i] for i in hard], marks)])
-    bags = [(label, sorted({w for s in sentences for w in words_of(s)})) for _, label, sentences in documents]
-    out = [bag for bag, o in zip(bags, left_out) if o]
-    if len({label for label, _ in out}) < 2:
-        out = bags
-    vocabulary = sorted({w for _, words in out for w in words})
-    decisions = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
-    tops = np.array([_top_two(decisions, words) for _, words in out])
-    y = np.array([1.0 if label else -1.0 for label, _ in out])
-    model.link = _logistic(tops, y)
     return model
 
 
@@ -276,7 +307,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, doc_id: str
         .groupBy(F.col(label_id).alias("id")).agg((F.max(toxic) >= 1).cast("int").alias("label"))
     chosen = None
     for value, n in ((1, toxic_docs), (0, clean_docs)):
-        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(n)
+        part = hash_sample(known.filter(F.col("label") == value), n, "id")
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null") \
         .join(F.broadcast(chosen), "id")                      # at most toxic_docs + clean_docs rows
@@ -328,9 +359,6 @@ class Scorer:
         return self.model.document(first, second).tolist()
 
 
-_SCORERS: dict = {}
-
-
 def score_texts(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the ``score`` (0 to 1) and ``predicted`` (0 or 1) of every whole text; the names used.
 
@@ -338,14 +366,10 @@ def score_texts(docs: DataFrame, model: Model, *, text: str = "text", threshold:
     repeated rows get equal scores; an empty table gives no rows; without a toxic and a clean
     labelled document every score is 0; clashing columns are renamed as the dict says.
     """
-    import uuid
     names, key = fresh_names(docs.columns, ("score", "predicted")), uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(model)    # one table of 2**18 weights
 
     def score(texts):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(sent.value)
-        return [_SCORERS[key].scores(texts)]
+        return [kept(("scorer", key), lambda: Scorer(sent.value)).scores(texts)]
     out = append_columns(docs, text, [(names["score"], "double")], score, keep)
     return out.withColumn(names["predicted"], (F.col(names["score"]) >= threshold).cast("int")), names
