@@ -95,3 +95,11 @@ def test_license_variants_and_odd_rows(spark):
     assert out.count() == df.count() and names["lines"] == "lines_"
     assert license_scan.scan(df.limit(0), model)[0].count() == 0
     assert license_scan.learn(df.limit(0)).predict([b"released", b"under", b"the", b"mit", b"license"])[0] == "mit"
+
+
+def test_hash_sample_is_bounded_and_repeats(spark):
+    from shopsignal.llm.common import hash_sample
+    df = spark.range(5000).selectExpr("id", "id % 7 AS x")
+    one, two = ({r.id for r in hash_sample(d, 100, "id").collect()} for d in (df, df.repartition(9)))
+    assert one == two and len(one) == 100
+    assert hash_sample(df.limit(0), 10, "id").count() == 0 and hash_sample(df.filter("id < 5"), 10, "id").count() == 5
