@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators: shared-folder tables, text batches, row passing."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from shopsignal.session import ensure_checkpoint_dir
 
 #: bytes of text that one vectorised step inside a task handles at once
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -81,6 +82,7 @@ def kept(key: tuple, make: Callable):
     so that the stages of a pipeline do not pile up in a worker's memory."""
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]

@@ -210,13 +210,14 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         """Keep the half of the pieces that were used most."""
-        names = list(self.memory)
+        names, self.memory = list(self.memory), {}
         keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.limit // 2])
         keep = np.unique(np.concatenate([[0], keep]))
         sizes = self.sizes[keep].astype(np.int64)
         ends = np.cumsum(sizes)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
-        self._reset([names[i] for i in keep.tolist()], ids, sizes)
+        names = [names[i] for i in keep.tolist()]
+        self._reset(names, ids, sizes)
 
 
 def _row(part: int, block: int, docs: list, counts: list, ids: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
