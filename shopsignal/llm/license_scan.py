@@ -5,11 +5,15 @@ and solver). Its training paragraphs are made from the templates, with words dro
 added, and from a bounded sample of the corpus' own paragraphs as the unknown class; a share left
 out calibrates the probability below which a prediction is unknown. The fitted weights are applied
 to all paragraphs in tasks; words outside the templates' vocabulary weigh nothing. A predicted
-family stands if the paragraph holds enough of one of its templates' word pairs.
+family stands if the paragraph holds enough of one of its templates' word pairs. A notice wrapped
+over lines, or within a longer line, is found by its template's word pairs in a window of the whole
+text's words, which the classifier then judges. Titles and SPDX tags are compared as a whole.
 """
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -19,31 +23,69 @@ from pyspark.sql import functions as F
 
 from shopsignal.llm.common import append_columns, fresh_names, hash_sample
 
-# Short notices of common licence families.
+# Short notices and the telling sentences of longer ones of common licence families.
+_GNU = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by "
+        "the Free Software Foundation, either version {2} of the License, or (at your option) any later version.",
+        "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License",
+        "You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see https://www.gnu.org/licenses/")
 TEMPLATES = {
     "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.",
-             "Licensed under the GNU Affero General Public License."],
+             "Licensed under the GNU Affero General Public License.", *(t.format("program", "Affero ", "3") for t in _GNU)],
     "apache": ["Licensed under the Apache License, Version 2.0.",
-               "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted."],
+               "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+               "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+               "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements."],
+    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+            "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0": ["This work is dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright."],
+    "cc0": ["This work is dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright.",
+            "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.",
-            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+            *(t.format("program", "", "3") for t in _GNU)],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.",
-             "Licensed under the GNU Lesser General Public License."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
-    "mpl": ["This source code is subject to the terms of the Mozilla Public License, version 2.0."],
-    "proprietary": ["All rights reserved.", "Proprietary and confidential. All rights reserved."],
+             "Licensed under the GNU Lesser General Public License.", *(t.format("library", "Lesser ", "2.1") for t in _GNU)],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+            "sublicense, and/or sell copies of the Software"],
+    "mpl": ["This source code is subject to the terms of the Mozilla Public License, version 2.0.",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+            "You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "proprietary": ["All rights reserved.", "Proprietary and confidential. All rights reserved.",
+                    "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+#: what a title line holds beside the words of FILL
+TITLES = {
+    "agpl": ["gnu affero general public", "affero general public", "gnu agpl", "agpl", "agplv3"],
+    "apache": ["apache", "apache software"],
+    "bsd": ["bsd", "bsd clause", "clause bsd", "new bsd", "modified bsd", "simplified bsd", "bsd clause new revised", "bsd clause simplified"],
+    "cc-by": ["cc by", "creative commons attribution"],
+    "cc-by-nc": ["cc by nc", "creative commons attribution noncommercial"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike"],
+    "cc0": ["cc0", "creative commons cc0"],
+    "gpl": ["gnu general public", "gnu gpl", "gpl", "gplv2", "gplv3"],
+    "lgpl": ["gnu lesser general public", "gnu library general public", "gnu lgpl", "lgpl", "lgplv2", "lgplv3"],
+    "mit": ["mit", "mit mit", "expat"],
+    "mpl": ["mozilla public", "mpl"],
+}
+FILL = frozenset(b"the a license licence licensed under version v v2 v3 or later only international universal unported generic january february "
+                 b"june november".split())
+TITLE_WORDS = 14                 # a title line has no more words
+_TITLE = {tuple(t.encode().split()): k for k, ts in TITLES.items() for t in ts}
+_NAMES = frozenset(w for t in _TITLE for w in t)
+SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+SPDX_ID = re.compile(rb"(?<![\w.-])(?:(AGPL|LGPL|GPL|MPL|APACHE|BSD|MIT|CC0|CC-BY-NC|CC-BY-SA)(?![\w.])|(CC-BY)(?=-\d)|(0BSD)(?![\w.]))", re.IGNORECASE)
 UNKNOWN = "unknown"
 #: lower-case ASCII letters and digits, and bytes of other characters; anything else separates words
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FEATURES = 1 << 13
 GRAMS = 3
 CONFIRM = 0.6                    # share of a template's word pairs that the paragraph must hold
+SPAN = 2                         # a window has at most so many times its template's words
 SAMPLE_PARAGRAPHS = 4000         # corpus paragraphs learned as unknown
 VARIANTS = 60                    # paragraphs made from each template
 FALSE_RATE = 0.001               # unknown paragraphs that calibration lets through
@@ -84,6 +126,11 @@ class Model:
         for t in (t for ts in self.templates.values() for t in ts):
             if sum(not self.keys & set(p) for p in pairs(t)) >= CONFIRM * len(pairs(t)):
                 self.keys |= set(t)
+        self.listed = [(k, len(t), len(pairs(t))) for k, ts in self.templates.items() for t in ts]
+        self.owners: dict[tuple[bytes, ...], list[int]] = {}
+        for n, t in enumerate(t for ts in self.templates.values() for t in ts):
+            for p in pairs(t):
+                self.owners.setdefault(p, []).append(n)
 
     def predict(self, words: list[bytes]) -> tuple[str, float]:
         """(family or UNKNOWN, probability of the likeliest family)."""
@@ -98,6 +145,10 @@ class Model:
         held = pairs(words)
         return max(len(held & pairs(t)) / len(pairs(t)) for t in self.templates[family])
 
+    def most(self, family: str, words: list[bytes]) -> int:
+        """The most word pairs of a template that the paragraph holds."""
+        return max(len(pairs(words) & pairs(t)) for t in self.templates[family])
+
 
 def _variants(template: list[bytes], other: list[bytes], n: int, rng) -> list[list[bytes]]:
     """The template with up to a quarter of its words dropped or replaced and words around it."""
@@ -163,8 +214,9 @@ def scan(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] |
     """``docs`` with what every paragraph (a line with a word) of each whole text says; the names used.
 
     New columns: paragraphs (long), licenses (array: the confirmed family of each licensed
-    paragraph, in order), lines (array of their line numbers, from 0), shares (array of the
-    template shares). Null and empty texts have no paragraphs; repeated rows get equal results; an
+    paragraph or notice over several of them, in order), lines (array of the numbers of their first
+    lines, from 0), shares (array of the template shares, 1 for titles and SPDX tags). A tag that
+    names several families gives each of them. Null and empty texts have no paragraphs; repeated rows get equal results; an
     empty table gives no rows; clashing columns are renamed as the dict says.
     """
     names = fresh_names(docs.columns, ("paragraphs", "licenses", "lines", "shares"))
@@ -176,19 +228,89 @@ def scan(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] |
                                        (names["shares"], "array<double>")], score, keep), names
 
 
+def title(words: list[bytes]) -> str | None:
+    """The family that a whole line names as a title."""
+    if len(words) > TITLE_WORDS or _NAMES.isdisjoint(words):
+        return None
+    rest = tuple(w for w in words if w not in FILL and not w.isdigit())
+    named = len(rest) > 1 and rest[0] in (b"gnu", b"creative", b"mozilla", b"cc") or rest[:1] == (b"cc0",)
+    return _TITLE.get(rest) if named or b"license" in words or b"licence" in words else None
+
+
+def tagged(line: bytes) -> list[str]:
+    """The families of a line's SPDX tag, in order."""
+    found = SPDX.search(line)
+    ids = re.sub(rb"\bWITH\s+\S+", b"", found[1], flags=re.IGNORECASE) if found else b""
+    return list(dict.fromkeys((m[1] or m[2] or b"bsd").decode().lower() for m in SPDX_ID.finditer(ids)))
+
+
+def windows(words: list[bytes], model: Model) -> list[tuple[int, int, int, int]]:
+    """(held pairs, template number, start, end): windows of at most SPAN times a template's words
+    that hold CONFIRM of its word pairs; of windows that overlap the fullest and then the shortest."""
+    places: dict[int, list[int]] = {}
+    for i in [i for i, p in enumerate(zip(words, words[1:])) if p in model.owners]:
+        for n in model.owners[words[i], words[i + 1]]:
+            places.setdefault(n, []).append(i)
+    out = []
+    for n, at in places.items():
+        _, size, whole = model.listed[n]
+        if len(at) < CONFIRM * whole:
+            continue
+        own, held, a = [], Counter(), 0
+        for i in at:
+            held[words[i], words[i + 1]] += 1
+            while i + 2 - at[a] > SPAN * size or held[words[at[a]], words[at[a] + 1]] > 1:
+                p = words[at[a]], words[at[a] + 1]
+                held[p] -= 1
+                if not held[p]:
+                    del held[p]
+                a += 1
+            if len(held) >= CONFIRM * whole:
+                new = (len(held), n, at[a], i + 2)
+                if own and new[2] < own[-1][3]:
+                    if (new[0], new[2] - new[3]) > (own[-1][0], own[-1][2] - own[-1][3]):
+                        own[-1] = new
+                else:
+                    own.append(new)
+        out += own
+    return out
+
+
 def scan_text(text: bytes | None, model: Model) -> tuple[int, list[str], list[int], list[float]]:
-    families, places, shares, n = [], [], [], 0
+    words: list[bytes] = []
+    ends: list[int] = []                                     # of each line, in words
+    n, found = 0, []                                         # (pairs held, share, family, line, start, end)
     for i, line in enumerate((text or b"").split(b"\n")):
-        words = words_of(line)
-        if not words:
+        own, a = words_of(line), len(words)
+        words += own
+        ends.append(len(words))
+        if not own:
             continue
         n += 1
-        if not any(map(model.keys.__contains__, words)):
-            continue                                         # no template could confirm a family
-        family, _ = model.predict(words)
-        if family != UNKNOWN and (share := model.confirm(family, words)) >= CONFIRM:
-            families.append(family)
-            places.append(i)
-            shares.append(share)
-    return n, families, places, shares
-
+        tags = [k for k in tagged(line) if k in model.templates] if b"spdx" in own else []
+        if tags:
+            found += [(len(own), 1.0, k, i, a, len(words)) for k in tags]
+        elif (family := title(own)) in model.templates:
+            found.append((len(own), 1.0, family, i, a, len(words)))
+        elif any(map(model.keys.__contains__, own)):         # else no template could confirm a family
+            family, _ = model.predict(own)
+            if family != UNKNOWN and (share := model.confirm(family, own)) >= CONFIRM:
+                found.append((model.most(family, own), share, family, i, a, len(words)))
+    wide = []
+    for held, t, a, b in windows(words, model):
+        family, size, whole = model.listed[t]
+        i = bisect_right(ends, a)
+        if b > ends[i] or ends[i] - (ends[i - 1] if i else 0) > SPAN * size:
+            wide.append((held, held / whole, family, i, a, b))
+    if wide:                                                 # the fullest of those that share words stand
+        likely = [(c, True) for c in wide if model.predict(words[c[4]:c[5]])[0] == c[2]]
+        ranked = sorted([(c, False) for c in found] + likely, key=lambda x: (-x[0][0], -x[0][1], x[0][4], x[0][2]))
+        found, taken, whole_lines = [], bytearray(len(words)), set()
+        for c, is_wide in ranked:
+            if not any(taken[c[4]:c[5]]) or (not is_wide and c[3] in whole_lines):
+                found.append(c)
+                taken[c[4]:c[5]] = b"\1" * (c[5] - c[4])
+                if not is_wide:
+                    whole_lines.add(c[3])                    # a tag line may give several families
+        found.sort(key=lambda c: (c[3], c[4]))
+    return n, [c[2] for c in found], [c[3] for c in found], [c[1] for c in found]

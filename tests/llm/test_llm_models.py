@@ -103,3 +103,42 @@ def test_hash_sample_is_bounded_and_repeats(spark):
     one, two = ({r.id for r in hash_sample(d, 100, "id").collect()} for d in (df, df.repartition(9)))
     assert one == two and len(one) == 100
     assert hash_sample(df.limit(0), 10, "id").count() == 0 and hash_sample(df.filter("id < 5"), 10, "id").count() == 5
+
+
+GNU_HEADER = """# This {0} is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {1}General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_license_wrapped_notices_titles_and_tags(spark):
+    import textwrap
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = license_scan.learn(docs)
+
+    def found(text):
+        return license_scan.scan_text(text.encode(), model)[1]
+    prose = docs.orderBy("doc_id").first().text
+    for family, header in {"gpl": ("program", ""), "agpl": ("program", "Affero "), "lgpl": ("library", "Lesser ")}.items():
+        text = GNU_HEADER.format(*header)
+        flat = " ".join(text.replace("#", "").split())
+        for form in (text, text.replace("\n", "\r\n"), text.replace("\n", "\n\n"), flat, *("\n".join(textwrap.wrap(flat, w)) for w in (30, 50, 100))):
+            assert found(form) == [family], form
+            assert family in found(prose + "\n" + form + "\n" + prose), form
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    mit = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files '
+           '(the "Software"), to deal in the Software without restriction')
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    for family, notice in {"apache": apache, "mit": mit, "bsd": bsd, "cc-by-sa": license_scan.TEMPLATES["cc-by-sa"][1],
+                           "cc-by-nc": license_scan.TEMPLATES["cc-by-nc"][1], "cc-by": license_scan.TEMPLATES["cc-by"][1]}.items():
+        for width in (25, 40, 70):
+            assert set(found(textwrap.fill(notice, width))) == {family}, (family, width)
+    for text, family in {"MIT License": "mit", "The MIT License (MIT)": "mit", "Apache License\nVersion 2.0, January 2004": "apache",
+                         "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "gpl", "BSD 3-Clause License": "bsd", "Mozilla Public License Version 2.0": "mpl",
+                         "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "gpl",
+                         "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc", "SPDX-License-Identifier: BSD-3-Clause": "bsd"}.items():
+        assert found(text) == [family], text
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)") == ["mit", "apache"]
+    for text in ("SPDX-License-Identifier: Zlib", "the mit of the river", "a public song\nof the license", "you can redistribute\nit under the table"):
+        assert found(text) == [], text
+    assert license_scan.scan_text(b"one\n" + GNU_HEADER.format("program", "").encode() + b"\nMIT License", model) == (6, ["gpl", "mit"], [1, 5], [1.0, 1.0])
