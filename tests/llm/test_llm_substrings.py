@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from helpers import LONG, ODD, odd_docs
 
 from shopsignal.llm import substring_dedup
@@ -45,3 +46,18 @@ def test_odd_rows(spark):
     assert remove_repeated_windows(df.limit(0)).count() == 0
     self_repeat = [(1, LONG + " " + LONG)]
     assert fast(spark.createDataFrame(self_repeat, "doc_id long, text string"), 35) == slow(self_repeat, 35)
+
+
+def test_windows_of_equal_64_bit_hash_are_not_repeats(spark):
+    """A Thue-Morse sequence and its complement collide in every polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = [" ".join(pair[b] for b in bits) for pair in (("red", "blue"), ("blue", "red"))]
+    hashes = []
+    for t in texts:
+        words = t.encode().split()
+        hashes.append(int(substring_dedup.window_hashes(substring_dedup.word_hashes(words), np.array([1024]), 1024)[1][0]))
+    assert hashes[0] == hashes[1]
+    out = substring_dedup.remove_repeated_windows(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), window=1024)
+    assert [r.n_removed for r in out.collect()] == [0, 0]
+    twice = spark.createDataFrame([(i, texts[0]) for i in range(2)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeated_windows(twice, window=1024).collect()] == [1024, 1024]
