@@ -2,8 +2,8 @@
 
 The largest inner products are nearest neighbours once every data vector gets one more component,
 sqrt(M**2 - |v|**2) with M the largest norm, and every query a zero there. Queries and data are
-grouped by their nearest pivot. A summary of each data cell (the k + 1 least distances to its
-pivot) bounds the k-th neighbour's distance for all queries of a cell, and the triangle inequality
+grouped by their nearest pivot. A summary of each data cell (the k + 1 least distances of different
+ids to its pivot) bounds the k-th neighbour's distance for all queries of a cell, and the triangle inequality
 tells which data a cell of queries can need; only those are copied to it. Cells split into blocks
 of bounded size, are solved locally, and the blocks' best are merged.
 """
@@ -118,15 +118,20 @@ def top_inner_products(vectors: DataFrame, is_query: Column, *, vec_id: str = "v
         between[n // 4] = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(2), 0))
     cells = materialize(vecs.mapInArrow(lambda b: _assign(b, centres, largest),
                                         "vec_id long, v binary, is_query boolean, dim int, cell int, dist double, q_cell int, q_dist double"), "cells")
-    # bounds: at most pivots * (k + 1) least distances, and one radius and count per query cell
-    ranked = cells.select("dim", "cell", "dist", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist")).alias("n")).filter(F.col("n") <= k + 1).collect()
+    # bounds: at most pivots * (k + 1) least distances of different ids, and one radius and count per query cell
+    closest = cells.groupBy("dim", "cell", "vec_id").agg(F.min("dist").alias("dist"))
+    ranked = closest.withColumn("n", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist", "vec_id"))).filter(F.col("n") <= k + 1).collect()
     asked = cells.filter("is_query").groupBy("dim", "q_cell").agg(F.max("q_dist").alias("radius"), F.count("*").alias("n")).collect()
     held = {r.dim: r.n for r in cells.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     plan = []
     for a in asked:
         d = between[a.dim][a.q_cell]
-        near = sorted(a.radius + d[r.cell] + r.dist for r in ranked if r.dim == a.dim)
-        theta = near[k] if len(near) > k else np.inf          # the query itself may be among them
+        bounds: dict[int, float] = {}                         # of each id's nearest row
+        for r in ranked:
+            if r.dim == a.dim:
+                bounds[r.vec_id] = min(bounds.get(r.vec_id, np.inf), a.radius + d[r.cell] + r.dist)
+        near = sorted(bounds.values())
+        theta = near[k] if len(near) > k else np.inf          # the query's own id may be among them
         reach = (theta + a.radius) * (1 + 1e-9) + 1e-6
         plan.append((a.dim, a.q_cell, [float(x) for x in d], float(min(reach, 1e300)), -(-a.n // query_block), -(-held[a.dim] // block)))
     if not plan:

@@ -36,3 +36,16 @@ def test_odd_rows(spark):
     assert got == slow(exact, lambda i: i % 10 == 0, 5)
     assert top_inner_products(df.limit(0), F.lit(True)).count() == 0
     assert top_inner_products(df, F.lit(False)).count() == 0
+
+
+def test_knn_id_with_several_vectors(spark):
+    """An id's own rows fill the nearest places of its query; the others are far."""
+    own = [(0, [10.0, 0.01 * i]) for i in range(12)]
+    others = [(i, [-9.0 + 0.01 * i, 1.0]) for i in range(1, 15)] + [(100 + i, [0.0, -9.0 + 0.01 * i]) for i in range(14)]
+    rows = own + others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = top_inner_products(df, F.col("vec_id") == 0, k=3).collect()
+    got = [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank)]
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    scores = {(j, a[0] * b[0] + a[1] * b[1]) for i, a in ints if i == 0 for j, b in ints if j != 0}
+    assert got == sorted(scores, key=lambda x: (-x[1], x[0]))[:3]
