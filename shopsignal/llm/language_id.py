@@ -35,17 +35,17 @@ def learn(docs: DataFrame, learnable: Column, *, doc_id: str = "doc_id", text: s
           sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """The dictionary of every language among the ``learnable`` rows.
 
-    Uses at most ``sample_docs`` rows a language, the first by a hash of doc_id, and ``excerpt``
-    characters from the middle of each. Rows with a null doc_id, text or lang are not learned from.
+    Uses at most ``sample_docs`` documents a language, the first by a hash of doc_id, and ``excerpt``
+    characters from the middle of each (of rows that share a doc_id, the least excerpt). Rows with a null doc_id, text or lang are not learned from.
     """
     known = docs.filter(learnable & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang")) \
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
+    chosen = known.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang")).distinct() \
+        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs).select("doc_id", "lang")
     body = F.col(text).cast("string")
     middle = F.substring(body, F.greatest(F.lit(1), ((F.length(body) - excerpt) / 2).cast("int")), F.lit(excerpt))
     rows = known.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), middle.alias("part")) \
-        .join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", "part").collect()     # languages * sample_docs
+        .join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("part").alias("part")).collect()   # languages * sample_docs
     parts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.part)):
         parts.setdefault(r.lang, []).append(fold(r.part))

@@ -171,7 +171,8 @@ def learn(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, doc
           sample_paragraphs: int = SAMPLE_PARAGRAPHS, seed: int = 11) -> Model:
     """A model from the templates and at most ``sample_paragraphs`` paragraphs of ``docs``.
 
-    The sample takes one paragraph each of the documents that are first by a hash of doc_id; a
+    The sample takes one paragraph each of the documents that are first by a hash of doc_id (of rows
+    that share a doc_id, the least of their paragraphs); a
     paragraph that holds half of a template's word pairs is left out of the unknown class.
     """
     from pyspark.ml.classification import LogisticRegression
@@ -179,12 +180,13 @@ def learn(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, doc
     spark = docs.sparkSession
     parsed = {k: [words_of(t.encode()) for t in ts] for k, ts in sorted((templates or TEMPLATES).items())}
     vocabulary = {w for ts in parsed.values() for t in ts for w in t}
-    ids = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"))
-    chosen = hash_sample(ids, sample_paragraphs, "id").distinct()           # at most sample_paragraphs
+    ids = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
+    chosen = hash_sample(ids, sample_paragraphs, "id")                      # at most sample_paragraphs
     lines = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x: F.length(F.trim(x)) > 0)
     body = docs.select(F.col(doc_id).alias("id"), lines.alias("lines")).join(F.broadcast(chosen), "id").filter(F.size("lines") > 0)
     pick = (F.pmod(F.xxhash64("id"), F.size("lines")) + 1).cast("int")
-    sample = sorted(r.p for r in body.select(F.substring(F.element_at("lines", pick), 1, 1000).alias("p")).collect())
+    part = body.select("id", F.substring(F.element_at("lines", pick), 1, 1000).alias("p"))
+    sample = sorted(r.p for r in part.groupBy("id").agg(F.min("p").alias("p")).collect())    # a row per chosen id
     rng = np.random.default_rng(seed)
     held = [pairs(t) for ts in parsed.values() for t in ts]
     unknown = []

@@ -142,3 +142,10 @@ def test_license_wrapped_notices_titles_and_tags(spark):
     for text in ("SPDX-License-Identifier: Zlib", "the mit of the river", "a public song\nof the license", "you can redistribute\nit under the table"):
         assert found(text) == [], text
     assert license_scan.scan_text(b"one\n" + GNU_HEADER.format("program", "").encode() + b"\nMIT License", model) == (6, ["gpl", "mit"], [1, 5], [1.0, 1.0])
+
+
+def test_samples_take_one_row_of_a_hot_id(spark):
+    docs = spark.createDataFrame([(7, f"the river {chr(97 + i % 26) * (1 + i // 26)} was green") for i in range(300)] +
+                                 [(100 + i, "lamp song table") for i in range(5)], "doc_id long, text string")
+    one = language_id.learn(docs.withColumn("lang", F.lit("en")), F.lit(True), sample_docs=10)
+    assert one["en"].count(b"river") == 1 and one["en"].count(b"lamp") == 1
