@@ -8,12 +8,13 @@ sentences of toxic documents are positive, words of other documents negative, th
 found in rounds. Kernel values to the landmarks, whitened by the landmarks' own kernel matrix, are
 the SVM's features; words with an inserted character join the positive ones. As the machine is linear in the kernel's feature space, its decision is one
 weight per subsequence. A document's score is a logistic function of its words' highest decisions,
-fitted on documents left out of the word lists.
+fitted on the whole texts of documents left out of the word lists.
 """
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names, hash_sample, kept
+from shopsignal.llm.common import append_columns, as_bytes, fresh_names, hash_sample, kept, materialize, steps
 from shopsignal.llm.token_counts import Memory
 
 #: lower-case letters and bytes of other characters stay, white space becomes a blank, the rest goes
@@ -35,6 +36,7 @@ WIDTH = 30                       # longer words are cut into windows that overla
 START, STOP = 59, 60
 TABLE = 1 << 18                  # three characters of six bits
 TOXIC_DOCS, CLEAN_DOCS, SENTENCES = 2000, 4000, 60
+PIECE = 2000                     # characters; longer sentences are learned from in pieces
 LANDMARKS = 384
 LIFT = 8.0                       # a positive word is so much more frequent in toxic documents
 POSITIVE = 1500
@@ -194,8 +196,13 @@ def _places(sequence: list[int], labels: list[int], size: int) -> tuple[np.ndarr
     return np.bincount(own[toxic], minlength=size), np.bincount(own[~toxic], minlength=size)
 
 
-def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS, seed: int = 7) -> Model:
-    """A model from (doc_id, label, sentences) of labelled documents; CONSTANT without both labels."""
+def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS, seed: int = 7,
+        whole: Callable[[Model, list], dict] | None = None) -> Model:
+    """A model from (doc_id, label, sentences) of labelled documents; CONSTANT without both labels.
+
+    ``whole`` gives the two highest decisions of the whole texts of the ids it is asked for, by id;
+    without it the sentences are the texts.
+    """
     rng = np.random.default_rng(seed)
     documents = sorted(documents, key=lambda d: (d[0], d[1]))
     left_out = rng.random(len(documents)) < 0.3
@@ -234,14 +241,18 @@ def fit(documents: list[tuple[int, int, list[str]]], landmarks: int = LANDMARKS,
     own = np.sqrt(k1[chosen])
     own = np.concatenate([own, np.full(len(variants), 0.3 * own.sum() / max(1, len(variants)))])
     model = _train(positive, variants, own, [names[i] for i in np.flatnonzero(k0)], np.sqrt(k0[k0 > 0]), landmarks, rng)
-    out = [bag for bag, o in zip(bags, left_out) if o]
-    if len({label for label, _ in out}) < 2:
-        out = bags
-    used = np.unique(np.concatenate([held for _, held in out]))
-    decided = np.full(len(names), -2.0)
-    decided[used] = model.decide([names[i] for i in used])
-    tops = np.array([np.sort(np.concatenate([[-2.0, -2.0], decided[held]]))[-2:][::-1] for _, held in out])
-    model.link = _logistic(tops, np.array([1.0 if label else -1.0 for label, _ in out]))
+    out = [i for i, o in enumerate(left_out) if o]
+    if len({bags[i][0] for i in out}) < 2:
+        out = list(range(len(bags)))
+    if whole is None:
+        used = np.unique(np.concatenate([bags[i][1] for i in out]))
+        decided = np.full(len(names), -2.0)
+        decided[used] = model.decide([names[i] for i in used])
+        tops = np.array([np.sort(np.concatenate([[-2.0, -2.0], decided[bags[i][1]]]))[-2:][::-1] for i in out])
+    else:
+        found = whole(model, [documents[i][0] for i in out])
+        tops = np.array([found[documents[i][0]] for i in out])
+    model.link = _logistic(tops, np.array([1.0 if bags[i][0] else -1.0 for i in out]))
     return model
 
 
@@ -300,7 +311,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, doc_id: str
     """A model from the labelled rows for which ``learnable`` (over the labels' columns) holds.
 
     At most ``toxic_docs`` and ``clean_docs`` documents, the first by a hash of the id, and of each
-    ``sentences`` sentences, spread evenly over the text. Null ids, labels and texts are not learned
+    ``sentences`` sentences (pieces of at most PIECE characters), spread evenly over the text. The
+    link is fitted on whole texts. Of rows that share an id the least text is learned from. Null ids, labels and texts are not learned
     from; a document with several labels is toxic if one says so.
     """
     known = labels.filter(learnable & F.col(label_id).isNotNull() & F.col(toxic).isNotNull()) \
@@ -309,28 +321,48 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, doc_id: str
     for value, n in ((1, toxic_docs), (0, clean_docs)):
         part = hash_sample(known.filter(F.col("label") == value), n, "id")
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null") \
-        .join(F.broadcast(chosen), "id")                      # at most toxic_docs + clean_docs rows
+    rows = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
+                       .join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")),
+                       "labelled")                            # at most toxic_docs + clean_docs rows
 
     def cut(batches):
         import pyarrow as pa
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
-                own = [s for s in SENTENCE.split(t) if s.strip()]
+                own = [s[a:a + PIECE] for s in SENTENCE.split(t) if s.strip() for a in range(0, len(s), PIECE)]
                 at = np.unique(np.linspace(0, len(own) - 1, min(sentences, len(own))).astype(int)) if own else []
-                out.append([own[i][:2000] for i in at])
+                out.append([own[i] for i in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["id", "label", "sentences"])
     kind = rows.schema["id"].dataType.simpleString()
     sample = rows.select("id", "text", "label").mapInArrow(cut, f"id {kind}, label int, sentences array<string>").collect()
-    return fit([(r.id, r.label, r.sentences) for r in sample])
+
+    def whole(model: Model, ids: list) -> dict:
+        """The two highest decisions of the whole texts of ``ids``, one Spark pass over the sample."""
+        sent, wanted = docs.sparkSession.sparkContext.broadcast(model), set(ids)
+
+        def tops(batches):
+            import pyarrow as pa
+            scorer = Scorer(sent.value)
+            for batch in batches:
+                taken = [i for i, x in enumerate(batch.column(0).to_pylist()) if x in wanted]
+                part = batch.take(pa.array(taken, pa.int64()))
+                start = 0
+                for texts in steps(part.column(1)):
+                    first, second = scorer.tops(as_bytes(texts))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(start, len(texts)), pa.array(first), pa.array(second)], names=["id", "first", "second"])
+                    start += len(texts)
+        found = rows.select("id", "text").mapInArrow(tops, f"id {kind}, first double, second double").collect()
+        return {r[0]: (r[1], r[2]) for r in found}
+    return fit([(r.id, r.label, r.sentences) for r in sample], whole=whole)
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.memory = model, Memory(MEMORY_WORDS)
 
-    def scores(self, texts: list[bytes | None]) -> list[float]:
+    def tops(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest and the second highest decision of the different words of each whole text."""
         words: list[bytes] = []
         ends = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -351,12 +383,17 @@ class Scorer:
         for i, b in enumerate(ends.tolist()):
             own = d[a:b]
             if b - a > 1:
+                own = np.fromiter(dict(zip(words[a:b], own.tolist())).values(), np.float32)   # different words, as in fit
+            if len(own) > 1:
                 two = np.partition(own, len(own) - 2)[-2:]
                 second[i], first[i] = float(two[0]), float(two[1])
-            elif b > a:
+            elif len(own):
                 first[i] = float(own[0])
             a = b
-        return self.model.document(first, second).tolist()
+        return first, second
+
+    def scores(self, texts: list[bytes | None]) -> list[float]:
+        return self.model.document(*self.tops(texts)).tolist()
 
 
 def score_texts(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:

@@ -149,3 +149,26 @@ def test_samples_take_one_row_of_a_hot_id(spark):
                                  [(100 + i, "lamp song table") for i in range(5)], "doc_id long, text string")
     one = language_id.learn(docs.withColumn("lang", F.lit("en")), F.lit(True), sample_docs=10)
     assert one["en"].count(b"river") == 1 and one["en"].count(b"lamp") == 1
+
+
+def test_toxicity_link_uses_whole_texts(spark, monkeypatch):
+    """The link's documents are scored over their whole texts, beyond the sentences learned from."""
+    clean = sentences(400)
+    docs = [(i, f"{s}. {clean[-i]}. " * 50) for i, s in enumerate(clean)]
+    docs += [(1000 + i, ". ".join([s] * 70 + ["you idiot"] + [s] * 70)) for i, s in enumerate(clean)]
+    docs += [(1000 + i, "zz " * 1000 + "you idiot moron") for i in range(0, 400, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 1000)) for d in sorted({d for d, _ in docs})], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit
+
+    def fit(documents, whole=None, **options):
+        seen.extend(documents)
+        return real(documents, whole=lambda model, ids: seen.append(whole(model, ids)) or seen[-1], **options)
+    monkeypatch.setattr(toxicity, "fit", fit)
+    toxicity.learn(df, labels, F.lit(True), sentences=200)
+    *documents, found = seen
+    assert len(documents) == len({d[0] for d in documents}) == 800      # a row per id, though 200 ids have two
+    texts = dict(sorted(docs, reverse=True))                            # the least text of each id
+    assert 0 < len(found) < 800 and all(len(v) == 2 for v in found.values())
+    assert min(v[0] for d, v in found.items() if d >= 1000 and "idiot" in texts[d]) > max(v[0] for d, v in found.items() if d < 1000)
