@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm import decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity
+from shopsignal.llm import decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
 from shopsignal.llm.common import crc_mod, shared_folder, table
 
 
@@ -73,6 +73,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), *names.values())
 
 
+#: rules of the query: the stated sites, then patterns for hosts that trade in nothing worth reading
+SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+JUNK_HOSTS = ["casino", "poker", "free-bets", "cheap-pills", "adult", "porn", "xxx", "ads-track", "adserver", "spam", "spam-farm"]
+
+
+def url_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SITE_RULES + [(f"~||{h}^", "block") for h in JUNK_HOSTS], "rule string, verdict string")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op4_license_scan, op5_simhash, op6_language_id,
-                            op7_token_output, op8_exact_topk, op9_decontamination, op10_toxicity)}
+                            op7_token_output, op8_exact_topk, op9_decontamination, op10_toxicity,
+                            op13_url_filter)}

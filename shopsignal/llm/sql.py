@@ -70,4 +70,20 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9}
+_JUNK = "casino|poker|free-bets|cheap-pills|adult|porn|xxx|ads-track|adserver|spam|spam-farm"
+
+OP13 = rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS a FROM pages),
+p AS (SELECT page_id, url, a, translate(coalesce(regexp_extract(a, '^[^/?#]*'), ''), {_LETTERS}) AS host,
+             coalesce(regexp_extract(a, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+rules(h, p, rule, verdict) AS (VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'),
+  ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')),
+r AS (SELECT page_id, url, host, path, a,
+             (SELECT max_by(struct_pack(rule, verdict), length(rule)) FROM rules
+              WHERE (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.p)) AS won FROM p)
+SELECT page_id, host, path, won.rule AS rule,
+       coalesce(won.verdict, CASE WHEN regexp_matches(translate(coalesce(a, url), {_LETTERS}), '^([^/?#]*\.)?({_JUNK})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM r
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9, "op13_url_filter": OP13}
