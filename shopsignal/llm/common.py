@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -141,3 +142,43 @@ def hash_sample(df: DataFrame, n: int, key: str) -> DataFrame:
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo ``n``: the fold of a row."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+
+
+def stream_sha256(df: DataFrame, keys: list[str], order: list[str], piece: str, between: str, name: str) -> DataFrame:
+    """``keys`` and the SHA-256 digest (hex) of each key's pieces in ``order``, joined by ``between``; null pieces are left out.
+
+    A digest is a chain through all its bytes, so a key's pieces pass through one task, a piece at a time; cut long
+    texts into pieces of about a megabyte.
+    """
+    out = T.StructType([df.schema[k] for k in keys] + [T.StructField(name, T.StringType())])
+    kinds = [_arrow(df.schema[k].dataType) for k in keys] + [pa.string()]
+    glue = between.encode()
+
+    def run(batches):
+        own, digest, empty, done = None, None, True, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            pieces = batch.column(len(keys))
+            for row, key in enumerate(zip(*columns)):
+                if key != own:
+                    if digest is not None:
+                        done.append((*own, digest.hexdigest()))
+                    own, digest, empty = key, hashlib.sha256(), True
+                text = pieces[row].as_py()
+                if text is not None:
+                    digest.update((b"" if empty else glue) + (text if isinstance(text, bytes) else text.encode()))
+                    empty = False
+            if len(done) > 1000:
+                yield _rows_batch(done, kinds, out.names)
+                done = []
+        if digest is not None:
+            done.append((*own, digest.hexdigest()))
+        if done:
+            yield _rows_batch(done, kinds, out.names)
+
+    streams = df.select(*keys, piece, *order).repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    return streams.select(*keys, piece).mapInArrow(run, out)
+
+
+def _rows_batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm import decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
+from shopsignal.llm import conversation_repair, decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
 from shopsignal.llm.common import crc_mod, shared_folder, table
 
 
@@ -73,6 +73,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), *names.values())
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage_by_hash(table(spark, sf_dir, "conversations"))
+    out = conversation_repair.conversations(*conversation_repair.repair(damaged, present="present"))
+    gaps = F.coalesce(F.col("max_turn") - F.col("min_turn") + 1 - F.col("distinct_turns"), F.lit(0)).alias("gaps")
+    return out.select("conv_id", gaps, "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 #: rules of the query: the stated sites, then patterns for hosts that trade in nothing worth reading
 SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 JUNK_HOSTS = ["casino", "poker", "free-bets", "cheap-pills", "adult", "porn", "xxx", "ads-track", "adserver", "spam", "spam-farm"]
@@ -90,4 +97,4 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op4_license_scan, op5_simhash, op6_language_id,
                             op7_token_output, op8_exact_topk, op9_decontamination, op10_toxicity,
-                            op13_url_filter)}
+                            op12_conversation_repair, op13_url_filter)}

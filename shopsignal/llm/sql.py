@@ -86,4 +86,69 @@ SELECT page_id, host, path, won.rule AS rule,
 FROM r
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9, "op13_url_filter": OP13}
+#: the table of the reflected CRC-32, and the checksum of a text of ASCII characters
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    return (f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT), "
+            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos, rtrim(text, {_BLANKS}) AS ends FROM d),
+f AS (SELECT *, CASE WHEN ends = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                     WHEN right(ends, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, left(role, 1) AS c,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM o),
+s AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS x FROM f),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+totals AS (
+  SELECT ids.conv_id, count(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ids LEFT JOIN s ON ids.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY ids.conv_id),
+togo AS (
+  SELECT conv_id, n AS i, 0::BIGINT AS g0, 6::BIGINT AS g1, 3::BIGINT AS g2, 0::BIGINT AS g3 FROM totals
+  UNION ALL
+  SELECT conv_id, i, least(h0, 3 + h2, 6 + h3), least(h1, 3 + h2, 6 + h3), least(h2, 3 + h3), least(h3, 3 + h2)
+  FROM (SELECT togo.conv_id, i - 1 AS i,
+               least(4 + g0, CASE WHEN NOT gone THEN x + 3 + g2 END, CASE WHEN NOT gone AND c = 's' THEN x + g1 END, CASE WHEN NOT gone AND c = 'u' THEN x + g2 END) AS h0,
+               least(4 + g1, CASE WHEN NOT gone THEN x + 3 + g2 END, CASE WHEN NOT gone AND c = 'u' THEN x + g2 END) AS h1,
+               least(4 + g2, CASE WHEN NOT gone THEN x + 3 + g3 END, CASE WHEN NOT gone AND c = 'a' THEN x + g3 END) AS h2,
+               least(4 + g3, CASE WHEN NOT gone THEN x + 3 + g2 END, CASE WHEN NOT gone AND c = 'u' THEN x + g2 END) AS h3
+        FROM togo JOIN s ON togo.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = togo.i)),
+g AS (SELECT conv_id, i, [g0, g1, g2, g3] AS g FROM togo),
+trace AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS st, '' AS audit, []::VARCHAR[] AS lines, false AS done FROM totals
+  UNION ALL
+  SELECT conv_id, CASE WHEN e IN ('I', 'E') THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN st WHEN 'E' THEN st WHEN 'K' THEN ks ELSE nx END,
+         CASE WHEN e = 'E' THEN audit ELSE audit || e END,
+         CASE e WHEN 'K' THEN lines || [role || ':' || text] WHEN 'R' THEN lines || [nr || ':' || text] WHEN 'I' THEN lines || [nr || ':'] ELSE lines END,
+         e = 'E'
+  FROM (
+    SELECT *, CASE WHEN pos IS NULL AND st IN (0, 3) THEN 'E' WHEN pos IS NULL THEN 'I'
+                   WHEN 4 + g1[st + 1] = g0[st + 1] THEN 'D' WHEN 3 + g0[nx + 1] = g0[st + 1] THEN 'I'
+                   WHEN NOT gone AND ks IS NOT NULL AND x + g1[ks + 1] = g0[st + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT t.*, s.pos, s.gone, s.x, s.role, s.text, a.g AS g0, b.g AS g1, CASE WHEN st = 2 THEN 3 ELSE 2 END AS nx,
+             CASE WHEN st = 2 THEN 'assistant' ELSE 'user' END AS nr,
+             CASE WHEN st = 0 AND c = 's' THEN 1 WHEN st IN (0, 1, 3) AND c = 'u' THEN 2 WHEN st = 2 AND c = 'a' THEN 3 END AS ks
+      FROM trace t JOIN g a ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND a.i = t.i
+           LEFT JOIN g b ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = t.i + 1
+           LEFT JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = t.i + 1
+      WHERE NOT t.done)))
+SELECT totals.conv_id, gaps, blank, duplicate, truncated, illegal, g.g[1] AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM totals JOIN trace ON totals.conv_id IS NOT DISTINCT FROM trace.conv_id AND trace.done
+     JOIN g ON totals.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = 0
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9, "op12_conversation_repair": OP12, "op13_url_filter": OP13}
