@@ -30,13 +30,14 @@ empty result.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import shuffle_partitions, stream_sha256
+from shopsignal.llm.common import materialize, shuffle_partitions, stream_sha256
 from shopsignal.session import ensure_checkpoint_dir
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -189,11 +190,12 @@ def ordered_rows(rows: DataFrame, part_bytes: int, present: str | None = None) -
     copies = (r.select("conv_id", "turn", "role", digest.alias("digest"), (ends == "").alias("blank"), "present")
               .groupBy("conv_id", "turn", "role", "digest", "blank", "present").agg(F.count(F.lit(1)).alias("n"))
               .select("conv_id", "turn", "role", "digest", F.lit(1).cast("tinyint").alias("kind"), F.lit(None).cast("string").alias("text"),
-                      F.when(F.col("blank"), 1).otherwise(0).cast("tinyint").alias("symbol"), F.when(F.col("present"), F.col("n")).otherwise(0).alias("n")))
+                      F.lit(0).alias("size"), F.when(F.col("blank"), 1).otherwise(0).cast("tinyint").alias("symbol"), F.when(F.col("present"), F.col("n")).otherwise(0).alias("n")))
     firsts = (r.filter(F.col("present") & (ends != "")).groupBy("conv_id", "role", "text")
               .agg(F.min("turn").alias("turn"), F.max(F.col("turn").isNull()).alias("untimed"))
               .select("conv_id", F.when(~F.col("untimed"), F.col("turn")).alias("turn"), "role", digest.alias("digest"),
-                      F.lit(0).cast("tinyint").alias("kind"), "text", _symbol(F.col("role"), ends).alias("symbol"), F.lit(1).cast("long").alias("n")))
+                      F.lit(0).cast("tinyint").alias("kind"), "text",
+                      F.octet_length("text").alias("size"), _symbol(F.col("role"), ends).alias("symbol"), F.lit(1).cast("long").alias("n")))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // part_bytes))
     order = ["conv_id", "turn", "role", "digest"]
@@ -204,14 +206,14 @@ def ordered_rows(rows: DataFrame, part_bytes: int, present: str | None = None) -
 class Segment:
     """The rows of one conversation inside one partition."""
 
-    __slots__ = ("conv", "symbols", "texts", "turns", "roles", "blank", "duplicate", "truncated", "min_turn", "max_turn", "distinct", "illegal", "first", "last")
+    __slots__ = ("conv", "symbols", "texts", "turns", "roles", "blank", "duplicate", "truncated", "min_turn", "max_turn", "distinct", "illegal", "first", "last", "size")
 
     def __init__(self, conv):
-        self.conv, self.symbols, self.texts, self.roles = conv, bytearray(), [], []
+        self.conv, self.symbols, self.texts, self.roles, self.size = conv, bytearray(), [], [], 0      # texts: places in the partition's column
         self.blank = self.duplicate = self.truncated = self.distinct = self.illegal = 0
         self.min_turn = self.max_turn = self.first = self.last = None
 
-    def add(self, turn, role, symbol, n, text, fault):
+    def add(self, turn, role, symbol, n, place, size, fault):
         if not n:
             return
         if turn is not None:
@@ -227,8 +229,9 @@ class Segment:
         self.last = initial
         self.symbols += bytes([symbol]) * n
         if symbol:
-            self.texts.append(text)
+            self.texts.append(place)
             self.roles.append(role)
+            self.size += size
             self.truncated += (symbol - 1) % 2
         elif fault == "blank":
             self.blank += n
@@ -237,21 +240,22 @@ class Segment:
 
 
 def segments(batches) -> tuple[int, list[Segment]]:
-    """The partition's number and its conversations in order."""
+    """The partition's number and its conversations in order; of texts only places and sizes."""
     pid, out, own = -1, [], object()
-    previous = None
+    previous, place = None, 0
     for batch in batches:
-        d = batch.to_pydict()
-        for pid, conv, turn, role, digest, kind, text, symbol, n in zip(*(d[c] for c in ("pid", "conv_id", "turn", "role", "digest", "kind", "text", "symbol", "n"))):
+        d = {c: batch.column(c).to_pylist() for c in ("pid", "conv_id", "turn", "role", "digest", "kind", "size", "symbol", "n")}
+        for pid, conv, turn, role, digest, kind, size, symbol, n in zip(*d.values()):
             if not out or conv != own:
                 out.append(Segment(conv))
                 own = conv
             key = (conv, turn, role, digest)
             if kind == 0:
-                out[-1].add(turn, role, symbol, 1, text, None)
+                out[-1].add(turn, role, symbol, 1, place, size, None)
                 previous = key
             elif n:
-                out[-1].add(turn, role, GONE, n - (previous == key), None, "blank" if symbol else "duplicate")
+                out[-1].add(turn, role, GONE, n - (previous == key), None, 0, "blank" if symbol else "duplicate")
+            place += 1
     return pid, out
 
 
@@ -322,7 +326,7 @@ def _states(sorted_rows: DataFrame, plan: dict, edges: list) -> None:
                 after = [t.write(bytes(found[k].symbols), p["right"], s, False)[1] for s in range(4)]
                 yield pa.RecordBatch.from_pylist([{"pid": pid, "side": side, "after": after}])
 
-    after = {(r["pid"], r["side"]): r["after"] for r in sorted_rows.mapInArrow(run, "pid long, side string, after array<long>").collect()}
+    after = {(r["pid"], r["side"]): r["after"] for r in sorted_rows.drop("text").mapInArrow(run, "pid long, side string, after array<long>").collect()}
     for chain in _chains(edges):
         state = 0
         for pid, side, _ in chain:
@@ -330,7 +334,7 @@ def _states(sorted_rows: DataFrame, plan: dict, edges: list) -> None:
             state = after[pid, side][state]
 
 
-def _pieces(pid: int, s: Segment, p: dict | None, piece_bytes: int):
+def _pieces(pid: int, s: Segment, texts: list[str], p: dict | None, piece_bytes: int):
     """The script and the repaired text of one conversation's rows, cut where the text passes ``piece_bytes``."""
     t = tables()
     right, state, ends = (p["right"], p["state"], p["ends"]) if p else (0, 0, True)
@@ -347,8 +351,8 @@ def _pieces(pid: int, s: Segment, p: dict | None, piece_bytes: int):
     symbols, kept = s.symbols, 0
     none = {k: 0 for k in ("n_rows", "blank", "duplicate", "truncated", "illegal", "distinct_turns")} | {"min_turn": None, "max_turn": None}
 
-    def piece(stop, whole):
-        return head | (none if seq else {}) | {"seq": seq, "whole": whole, "cost": cost, "audit": audit[start:stop], "repaired": "\n".join(lines) if lines else None}
+    def piece(stop):
+        return head | (none if seq else {}) | {"seq": seq, "cost": cost, "audit": audit[start:stop], "repaired": "\n".join(lines) if lines else None}
 
     for at, letter in enumerate(audit):
         if letter != "I":
@@ -364,15 +368,15 @@ def _pieces(pid: int, s: Segment, p: dict | None, piece_bytes: int):
             cost += (REROLE if letter == "R" else KEEP) + CUT_OFF * ((symbol - 1) % 2)
             state = NEXT[state] if letter == "R" else KEPT[state, (symbol - 1) // 2]
             role = s.roles[kept] if letter == "K" else "user" if state == 2 else "assistant"
-            lines.append(f"{role}:{s.texts[kept]}")
+            lines.append(f"{role}:{texts[kept]}")
         if letter != "I" and symbol != GONE:
             kept += 1
         if lines:
             size += len(lines[-1]) if letter != "D" else 0
         if size > piece_bytes and at + 1 < len(audit):
-            yield piece(at + 1, False)
+            yield piece(at + 1)
             seq, start, lines, size, cost = seq + 1, at + 1, [], 0, 0
-    yield piece(len(audit), not seq and p is None)
+    yield piece(len(audit))
 
 
 def repair(rows: DataFrame, present: str | None = None, part_bytes: int = 32 << 20, piece_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
@@ -388,25 +392,30 @@ def repair(rows: DataFrame, present: str | None = None, part_bytes: int = 32 <<
     edge = pa.struct([("conv", ARROW[kind]), ("n", pa.int64()), ("to", pa.list_(pa.int32())), ("first", pa.string()), ("last", pa.string()),
                       ("min_turn", pa.int64()), ("max_turn", pa.int64())])
     edge_schema = pa.schema([("pid", pa.int32()), ("head", edge), ("tail", edge), ("same", pa.bool_())])
-    edges = [r.asDict(recursive=True) for r in sorted_rows.mapInArrow(lambda b: _report_edges(b, edge_schema), ENDS.format(kind)).collect()]   # a row per partition
+    edges = [r.asDict(recursive=True) for r in sorted_rows.drop("text").mapInArrow(lambda b: _report_edges(b, edge_schema), ENDS.format(kind)).collect()]   # a row per partition
     plan = _plan(edges)
     if plan:
         _states(sorted_rows, plan, edges)
     spec = (f"conv_id {kind}, pid long, n_rows long, blank long, duplicate long, truncated long, illegal long, min_turn long, max_turn long, "
-            "distinct_turns long, seq long, whole boolean, cost long, audit string, repaired string")
+            "distinct_turns long, seq long, cost long, audit string, repaired string")
 
     def run(batches, crossing):
+        batches = list(batches)
         pid, found = segments(batches)
-        sides = {k: plan.get((pid, side)) for k, side in _sides(found)} if found else {}
-        out, size = [], 0
-        for k, s in enumerate(found):
-            for p in _pieces(pid, s, sides.get(k), piece_bytes):
-                if p["whole"] != crossing:
-                    out.append(p)
-                    size += len(p["repaired"] or "") + 200
-                    if size > 4 * piece_bytes:
-                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                        out, size = [], 0
+        if not found:
+            return
+        sides = {k: plan.get((pid, side)) for k, side in _sides(found)}
+        column = pa.chunked_array([b.column("text") for b in batches])
+        chosen = [(k, s) for k, s in enumerate(found) if (sides.get(k) is not None or s.size > piece_bytes) == crossing]
+        places = [i for _, s in chosen for i in s.texts]
+        texts, out, size = iter(column.take(pa.array(places, pa.int64())).to_pylist()), [], 0
+        for k, s in chosen:
+            for p in _pieces(pid, s, list(islice(texts, len(s.texts))), sides.get(k), piece_bytes):
+                out.append(p)
+                size += len(p["repaired"] or "") + 200
+                if size > 4 * piece_bytes:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -421,6 +430,7 @@ def conversations(whole: DataFrame, parts: DataFrame) -> DataFrame:
     Texts of one piece are hashed where they are; SHA-256 has to see the others' pieces one after the other, so
     each of these conversations is a stream through one task, a piece at a time.
     """
+    parts = materialize(parts, "repair-parts")
     counts = ["n_rows", "blank", "duplicate", "truncated", "illegal", "distinct_turns", "cost"]
     done = whole.select("conv_id", *counts, "min_turn", "max_turn", "audit", F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
     summed = parts.groupBy("conv_id").agg(
