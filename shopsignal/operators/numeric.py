@@ -26,10 +26,11 @@ def _order_col(o) -> Column:
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
-                 sum_col: str | None = None, lag_cols: Sequence[str] = (),
+                 sum_col: str | Sequence[str] | None = None, lag_cols: Sequence[str] = (),
                  num_partitions: int | None = None, prefix: str = "") -> DataFrame:
-    """Append ``{prefix}rn`` (1-based), ``{prefix}cum`` (inclusive running sum of ``sum_col``)
-    and ``{prefix}prev_<c>`` for each lag column, within ``keys`` groups ordered by ``order``.
+    """Append ``{prefix}rn`` (1-based), ``{prefix}cum`` (inclusive running sum of ``sum_col``; of
+    several columns ``{prefix}cum_<c>`` each) and ``{prefix}prev_<c>`` for each lag column, within
+    ``keys`` groups ordered by ``order``.
 
     ``order`` must make rows of a group totally ordered (add tie-break columns). Keys must not be
     NULL. The range-partitioned scan is the only path, whatever the size of a group.
@@ -38,6 +39,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     ensure_checkpoint_dir(spark)
     n = num_partitions or default_partitions(spark)
     keys = list(keys)
+    sums = {"cum": sum_col} if isinstance(sum_col, str) else {f"cum_{c}": c for c in sum_col or ()}
     order_cols = [_order_col(o) for o in order]
     ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
                 .withColumn(_PID, F.spark_partition_id())
@@ -46,8 +48,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     w = Window.partitionBy(_PID, *keys).orderBy(*order_cols)
     wcum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_lrn", F.row_number().over(w))
-    if sum_col:
-        local = local.withColumn("_lcum", F.sum(sum_col).over(wcum))
+    for name, c in sums.items():
+        local = local.withColumn(f"_l{name}", F.sum(c).over(wcum))
     for lc in lag_cols:
         local = local.withColumn(f"_lprev_{lc}", F.lag(lc).over(w))
 
@@ -55,8 +57,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     key_struct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
     sort_struct = F.struct(*[F.col(k) for k in keys], F.col("_lrn"))
     last_fields = [F.col("_lrn").alias("rn")]
-    if sum_col:
-        last_fields.append(F.col("_lcum").alias("cum"))
+    last_fields += [F.col(f"_l{name}").alias(name) for name in sums]
     last_fields += [F.col(lc).alias(f"v_{lc}") for lc in lag_cols]
     summary = local.groupBy(_PID).agg(
         F.min(key_struct).alias("_first_key"),
@@ -67,8 +68,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     # (tiny, one row per partition) summary table gives the carry.
     ws = Window.partitionBy(F.col("_last.k")).orderBy(_PID)
     summary = summary.withColumn("_krn", F.sum("_last.rn").over(ws))
-    if sum_col:
-        summary = summary.withColumn("_kcum", F.sum("_last.cum").over(ws))
+    for name in sums:
+        summary = summary.withColumn(f"_k{name}", F.sum(f"_last.{name}").over(ws))
     wp = Window.orderBy(_PID)
     prev_key = F.lag(F.col("_last.k")).over(wp)
     carry = summary.select(
@@ -76,26 +77,26 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
         F.col("_first_key"),
         prev_key.alias("_prev_key"),
         F.lag("_krn").over(wp).alias("_c_rn"),
-        *([F.lag("_kcum").over(wp).alias("_c_cum")] if sum_col else []),
+        *[F.lag(f"_k{name}").over(wp).alias(f"_c_{name}") for name in sums],
         *[F.lag(F.col(f"_last.v_{lc}")).over(wp).alias(f"_c_{lc}") for lc in lag_cols],
     )
     same = F.coalesce(F.col("_prev_key") == F.col("_first_key"), F.lit(False))
     carry = carry.select(
         _PID, F.col("_first_key").alias("_fk"),
         F.when(same, F.col("_c_rn")).otherwise(0).alias("_o_rn"),
-        *([F.when(same, F.col("_c_cum")).alias("_o_cum")] if sum_col else []),
+        *[F.when(same, F.col(f"_c_{name}")).alias(f"_o_{name}") for name in sums],
         *[F.when(same, F.col(f"_c_{lc}")).alias(f"_o_{lc}") for lc in lag_cols],
     )
     # the carry table has one row per partition: a proven bound for broadcasting
     out = local.join(F.broadcast(carry), _PID, "left")
     in_first = (key_struct == F.col("_fk")) if keys else F.lit(True)
     out = out.withColumn(f"{prefix}rn", F.col("_lrn") + F.when(in_first, F.col("_o_rn")).otherwise(0))
-    if sum_col:
-        out = out.withColumn(f"{prefix}cum", F.col("_lcum") + F.when(in_first, F.coalesce(F.col("_o_cum"), F.lit(0))).otherwise(0))
+    for name in sums:
+        out = out.withColumn(f"{prefix}{name}", F.col(f"_l{name}") + F.when(in_first, F.coalesce(F.col(f"_o_{name}"), F.lit(0))).otherwise(0))
     for lc in lag_cols:
         carried = F.when(in_first & (F.col("_lrn") == 1), F.col(f"_o_{lc}"))
         out = out.withColumn(f"{prefix}prev_{lc}", F.coalesce(F.col(f"_lprev_{lc}"), carried))
-    drop = [_PID, "_lrn", "_fk", "_o_rn"] + (["_lcum", "_o_cum"] if sum_col else []) \
+    drop = [_PID, "_lrn", "_fk", "_o_rn"] + [f"{x}{name}" for name in sums for x in ("_l", "_o_")] \
         + [f"_lprev_{lc}" for lc in lag_cols] + [f"_o_{lc}" for lc in lag_cols]
     return out.drop(*drop)
 

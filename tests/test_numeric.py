@@ -108,3 +108,15 @@ def test_pareto_running_sum_matches_sorted_cumsum(spark, make_tx):
     got = add_pareto(make_tx([{"amount": a, "BasketID": f"{i:04d}"} for i, a in enumerate(amounts)])).toPandas()
     got = got.sort_values(["SalesNetAmountEuro", "BasketID"], ascending=[False, True])
     assert got["CumulativeRevenue"].tolist() == got["SalesNetAmountEuro"].cumsum().tolist()
+
+
+def test_ordered_scan_sums_several_columns(spark):
+    from shopsignal.operators.numeric import ordered_scan
+    rows = [(g, i, i % 3, 10 * i) for g in ("a", "b") for i in range(200 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, i int, x long, y long")
+    got = {(r.g, r.i): (r.s_rn, r.s_cum_x, r.s_cum_y) for r in ordered_scan(df, ["g"], ["i"], sum_col=["x", "y"], num_partitions=7, prefix="s_").collect()}
+    for g, n in (("a", 200), ("b", 3)):
+        x = y = 0
+        for i in range(n):
+            x, y = x + i % 3, y + 10 * i
+            assert got[g, i] == (i + 1, x, y)
