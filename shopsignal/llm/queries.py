@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignal.llm import conversation_repair, decontamination, knn_join, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
+from shopsignal.llm import conversation_repair, decontamination, knn_join, language_id, license_scan, mixing, prefix_trie, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
 from shopsignal.llm.common import crc_mod, shared_folder, table
 
 
@@ -73,6 +73,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), *names.values())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie.trie(*prefix_trie.share_openings(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", F.col("n_children").cast("long"), "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage_by_hash(table(spark, sf_dir, "conversations"))
     out = conversation_repair.conversations(*conversation_repair.repair(damaged, present="present"))
@@ -97,4 +102,4 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_token_counts, op4_license_scan, op5_simhash, op6_language_id,
                             op7_token_output, op8_exact_topk, op9_decontamination, op10_toxicity,
-                            op12_conversation_repair, op13_url_filter)}
+                            op11_prefix_trie, op12_conversation_repair, op13_url_filter)}

@@ -96,6 +96,28 @@ def _crc32(text: str) -> str:
             f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
 
 
+OP11 = f"""
+WITH {_CRC_TABLE},
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM conversations, crc_table WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS bytes, turn
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos FROM t),
+r AS (SELECT ids.conv_id, 0 AS part, pos, m, bytes FROM ids JOIN o ON o.conv_id = ids.base AND pos <= h
+      UNION ALL SELECT o.conv_id, 1, pos, m, bytes FROM ids JOIN o ON o.conv_id = ids.conv_id AND pos > h),
+d AS (SELECT conv_id, m, bytes, row_number() OVER w AS depth, string_agg(m, ',') OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+paths AS (SELECT conv_id, depth, k, bytes, CASE WHEN depth > 1 THEN left(k, -33) ELSE '' END AS up FROM d UNION ALL SELECT conv_id, 0, '', 0, NULL FROM ids),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, any_value(up) AS up FROM paths GROUP BY k, depth),
+kids AS (SELECT up AS k, count(*) AS children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+sums AS (
+  SELECT a.k, sum((n.n - 1) * n.bytes) AS saved, count(*) FILTER (kids.children IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids USING (k) JOIN paths a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.k),
+lens AS (SELECT conv_id, max_by(k, depth) AS k FROM paths GROUP BY conv_id),
+ends AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS e FROM lens GROUP BY k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN sums ON sums.k = n.k LEFT JOIN ends ON ends.k = n.k
+"""
+
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP12 = f"""
@@ -151,4 +173,4 @@ FROM totals JOIN trace ON totals.conv_id IS NOT DISTINCT FROM trace.conv_id AND
      JOIN g ON totals.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = 0
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9, "op12_conversation_repair": OP12, "op13_url_filter": OP13}
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_source_mix": OP2, "op8_exact_topk": OP8, "op9_decontamination": OP9, "op11_prefix_trie": OP11, "op12_conversation_repair": OP12, "op13_url_filter": OP13}
