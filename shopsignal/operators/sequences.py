@@ -99,6 +99,38 @@ def _blocks(n: int, spark) -> int:
     return max(1, -(-n // BLOCK_VECTORS), min(-(-n // SMALL_BLOCK), math.isqrt(default_partitions(spark)) + 1))
 
 
+SCORE_BYTES = 32 << 20   # of similarities that a task holds at once, besides their rounded copy and their order
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def best_rows(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray, k: int) -> pd.DataFrame:
+    """(_id, _nid, _sim): the k best candidates of each query but itself, by rounded similarity, then id.
+
+    Queries are taken in slices, so that no more than SCORE_BYTES of similarities are held at once.
+    """
+    frames = []
+    step = max(1, SCORE_BYTES // (8 * len(cm)))
+    for s in range(0, len(qm), step):
+        sims = qm[s:s + step] @ cm.T
+        ids = qid[s:s + step]
+        sims[ids[:, None] == cid[None, :]] = -np.inf
+        kk = min(k, sims.shape[1])
+        rounded = np.round(sims, 6)
+        level = np.partition(rounded, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk]
+        row, col = np.nonzero((rounded >= level[:, None]) & np.isfinite(sims))     # ties at the k-th kept
+        order = np.lexsort((cid[col], -rounded[row, col], row))
+        row, col = row[order], col[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[nth < kk], col[nth < kk]
+        frames.append(pd.DataFrame({"_id": ids[row], "_nid": cid[col], "_sim": sims[row, col]}))
+    return pd.concat(frames, ignore_index=True)
+
+
 def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, blocks: int | None = None,
                 queries: DataFrame | None = None, query_blocks: int | None = None) -> DataFrame:
     """Exact top-k cosine neighbours (excluding self) of every query vector among the
@@ -129,32 +161,11 @@ def cosine_topk(candidates: DataFrame, id_col: str, vec_col: str, k: int = 5, bl
     schema = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_nid", T.StringType()),
                            T.StructField("_sim", T.DoubleType())])
 
-    def unit(m):
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
-
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, cs = pdf[pdf.role == 0], pdf[pdf.role == 1]
         if qs.empty or cs.empty:
             return pd.DataFrame({"_id": pd.Series(dtype=str), "_nid": pd.Series(dtype=str), "_sim": pd.Series(dtype=float)})
-        qm = unit(np.vstack(qs["_v"].to_numpy()).astype(np.float64))
-        cm = unit(np.vstack(cs["_v"].to_numpy()).astype(np.float64))
-        qid, cid = qs["_id"].to_numpy(str), cs["_id"].to_numpy(str)
-        frames = []
-        for s in range(0, len(qm), 2048):
-            sims = qm[s:s + 2048] @ cm.T
-            ids = qid[s:s + 2048]
-            sims[ids[:, None] == cid[None, :]] = -np.inf
-            kk = min(k, sims.shape[1])
-            rounded = np.round(sims, 6)
-            level = np.partition(rounded, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk]
-            row, col = np.nonzero((rounded >= level[:, None]) & np.isfinite(sims))     # ties at the k-th kept
-            order = np.lexsort((cid[col], -rounded[row, col], row))
-            row, col = row[order], col[order]
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[nth < kk], col[nth < kk]
-            frames.append(pd.DataFrame({"_id": ids[row], "_nid": cid[col], "_sim": sims[row, col]}))
-        return pd.concat(frames, ignore_index=True)
+        return best_rows(qs["_id"].to_numpy(str), unit_rows(np.vstack(qs["_v"].to_numpy())), cs["_id"].to_numpy(str), unit_rows(np.vstack(cs["_v"].to_numpy())), k)
 
     partial = both.groupBy("qb", "cb").applyInPandas(score, schema)
     ranked = top_k(partial, ["_id"], [F.round("_sim", 6).desc(), F.col("_nid")], k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import bi, baskets, customers, features, products, recommend, sequences, targeting
+from shopsignal.operators import bi, baskets, customers, features, products, recommend, sequences, similarity, targeting
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.plans.context import Ctx, context
@@ -365,6 +365,19 @@ def q_similar(x: Ctx):
     return sequences.similar_products(fixture_vectors(x), 5)
 
 
+@query("similar_products_lsh")
+def q_similar_lsh(x: Ctx):
+    """By hashing at any size: at least four signs, though on a table this small every pair would be cheaper."""
+    return similarity.similar_by_hash(fixture_vectors(x), 5, min_bits=4)
+
+
+@query("similar_products_lsh_quality")
+def q_similar_lsh_quality(x: Ctx):
+    vectors = fixture_vectors(x)
+    found = similarity.neighbour_recall(similarity.similar_by_hash(vectors, 5, min_bits=4), sequences.similar_products(vectors, 5))
+    return found.select("Products", "Covered", (F.col("Recall") >= 0.9).alias("RecallReached"))
+
+
 @query("markov_global")
 def q_markov_global(x: Ctx):
     return x.markov_global
