@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import bi, baskets, customers, features, products, recommend, sequences, similarity, targeting
+from shopsignal.operators import bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.plans.context import Ctx, context
@@ -118,6 +118,24 @@ def q_sporting_named(x: Ctx):
         *ROW_KEY, "ClientCountry", "IsMajorSportingEvent")
 
 
+def fixture_calendar(x: Ctx) -> DataFrame:
+    """The ``events`` table as an event calendar: one event a row, up to 23 days long, for two nations or for all."""
+    e = x.spark.read.parquet(f"{x.sf_dir.rstrip('/')}/events.parquet").select("event_id", "user_id", "event_type")
+    hours = F.col("event_id") * 37 % 57_000
+    nation = lambda k: F.concat(F.lit("NATION_"), (F.col("user_id") * k % 25).cast("string"))
+    start = F.lit("2018-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours.cast("int"))
+    return e.select(F.col("event_id").cast("long").alias("EventID"), start.alias("start"),
+                    (start + F.make_dt_interval((F.col("user_id") % 24).cast("int"), F.lit(5))).alias("end"),
+                    F.when(F.col("event_type") == "error", F.array(F.lit("All"), nation(1))).otherwise(F.array(nation(1), nation(7))).alias("countries"))
+
+
+@query("calendar_events")
+def q_calendar_events(x: Ctx):
+    """Sales against a calendar table of thousands of events."""
+    return calendar.add_calendar_events(x.master.select(*ROW_KEY, DATE, "ClientCountry"), fixture_calendar(x)).select(
+        *ROW_KEY, "ClientCountry", "Events", "FirstEvent", "IsMajorSportingEvent")
+
+
 @query("price_features")
 def q_price(x: Ctx):
     return features.add_price_features(x.master).select(

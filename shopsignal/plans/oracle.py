@@ -427,6 +427,15 @@ derived("top_store", _ranked("best_store", "StoreID"))
 derived("top_country", _ranked("best_country", "StoreCountry"))
 derived("top_global", _ranked("best_global", ""))
 
+# ------------------------------------------------------------------ event calendar from the events table
+base("calendar", """SELECT event_id AS EventID, TIMESTAMP '2018-01-01 00:00:00' + to_hours(CAST(event_id * 37 % 57000 AS INTEGER)) AS s,
+       TIMESTAMP '2018-01-01 00:00:00' + to_hours(CAST(event_id * 37 % 57000 AS INTEGER)) + to_days(CAST(user_id % 24 AS INTEGER)) + to_hours(5) AS e,
+       CASE WHEN event_type = 'error' THEN ['All', 'NATION_' || (user_id % 25)] ELSE ['NATION_' || (user_id % 25), 'NATION_' || (user_id * 7 % 25)] END AS c
+FROM events""")
+derived("moments", """SELECT d.SaleTransactionDate, d.ClientCountry, count(*) AS n, min(e.EventID) AS f FROM (
+  SELECT DISTINCT SaleTransactionDate, ClientCountry FROM {p}master) d JOIN calendar e
+  ON d.SaleTransactionDate >= e.s AND d.SaleTransactionDate <= e.e AND (list_contains(e.c, 'All') OR list_contains(e.c, d.ClientCountry)) GROUP BY ALL""")
+
 # ------------------------------------------------------------------ search
 derived("matches", """SELECT * FROM products_raw WHERE COALESCE(regexp_matches(FamilyLevel2, '(?i)ring'), false)
    OR COALESCE(regexp_matches(Category, '(?i)ring'), false) OR COALESCE(regexp_matches(FamilyLevel1, '(?i)ring'), false)""")
@@ -636,6 +645,10 @@ key("markov_transitions", f"SELECT Country, State, NextState, n, {r6('prob', 'pr
 key("markov_topk", f"""SELECT Country, State, NextState, n, {r6('prob', 'prob')}, Rank FROM (
   SELECT *, row_number() OVER (PARTITION BY Country, State ORDER BY ROUND(prob, 6) DESC, NextState) AS Rank FROM {{p}}markov)
 WHERE Rank <= 3""")
+key("calendar_events", """SELECT m.BasketID, m.LineNo, m.ClientID, m.ProductID, m.StoreID,
+  ROUND(CAST(m.SalesNetAmountEuro AS DOUBLE), 6) AS SalesNetAmountEuro, m.Quantity, m.ClientCountry,
+  COALESCE(o.n, 0) AS Events, o.f AS FirstEvent, CAST(o.n IS NOT NULL AS INTEGER) AS IsMajorSportingEvent
+FROM {p}master m LEFT JOIN {p}moments o ON m.SaleTransactionDate = o.SaleTransactionDate AND m.ClientCountry IS NOT DISTINCT FROM o.ClientCountry""")
 key("client_sequences", """SELECT ClientID, row_number() OVER (PARTITION BY ClientID ORDER BY SaleTransactionDate, """ + ROW_ORDER + """) AS Position,
   ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL""")
 key("prod2vec_vocab", """SELECT ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL

@@ -9,7 +9,7 @@ from shopsignal.plans.catalog import build_query
 from shopsignal.plans.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings", "events"]
 KEYS = sorted(ORACLE_SQL)
 
 
