@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting
+from shopsignal.operators import bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting, term_search
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.plans.context import Ctx, context
@@ -479,6 +479,23 @@ def q_product_search_id(x: Ctx):
     return targeting.product_search(x.t.products, " 42 ")
 
 
+def fixture_terms(x: Ctx) -> DataFrame:
+    """Search terms made of the catalogue: words, two-letter and anchored ones, expressions, brands, types and product numbers."""
+    p = x.t.products
+    w = p.select(F.explode(F.split("FamilyLevel2", " ")).alias("w")).distinct()
+    forms = F.array(F.col("w"), F.left("w", F.lit(2)), F.concat(F.lit("^"), "w"), F.concat(F.left("w", F.lit(1)), F.lit(".*"), F.right("w", F.lit(2))),
+                    F.concat(F.left("w", F.lit(2)), F.lit("?"), F.substring("w", 3, 99)), F.concat(F.lit("(zz|"), "w", F.lit(")+$")),
+                    F.concat(F.lit("["), F.left("w", F.lit(1)), F.lit("X]"), F.substring("w", 2, 99)), F.concat("w", F.lit("|PROMO|^Brand#1.$")))
+    words = w.select(F.explode(forms).alias("term"))
+    values = p.select(F.explode(F.array("Category", "FamilyLevel1", F.concat(F.lit(" "), "ProductID", F.lit(" ")))).alias("term")).distinct()
+    return words.unionByName(values)
+
+
+@query("search_terms")
+def q_search_terms(x: Ctx):
+    return term_search.search_terms(x.t.products, fixture_terms(x))
+
+
 @query("search_audience")
 def q_search_audience(x: Ctx):
     return targeting.audience_size(_matches(x), targeting.buyers_by_family(x.master), _client_feats(x))

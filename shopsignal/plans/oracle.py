@@ -427,6 +427,19 @@ derived("top_store", _ranked("best_store", "StoreID"))
 derived("top_country", _ranked("best_country", "StoreCountry"))
 derived("top_global", _ranked("best_global", ""))
 
+# ------------------------------------------------------------------ search by a table of terms
+base("words", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part")
+base("terms", """SELECT DISTINCT term FROM (
+  SELECT unnest([w, left(w, 2), '^' || w, left(w, 1) || '.*' || right(w, 2), left(w, 2) || '?' || substr(w, 3), '(zz|' || w || ')+$',
+                 '[' || left(w, 1) || 'X]' || substr(w, 2), w || '|PROMO|^Brand#1.$']) AS term FROM words
+  UNION ALL SELECT unnest([Category, FamilyLevel1, ' ' || ProductID || ' ']) FROM products_raw) WHERE term IS NOT NULL""")
+base("product_texts", "SELECT DISTINCT ProductID, unnest([FamilyLevel2, Category, FamilyLevel1]) AS text FROM products_raw")
+base("term_hits", """SELECT DISTINCT t.term, p.ProductID FROM (
+  SELECT terms.term, texts.text FROM terms, (SELECT DISTINCT text FROM product_texts WHERE text IS NOT NULL) texts
+  WHERE NOT regexp_full_match(trim(term), '-*[0-9]+') AND regexp_matches(texts.text, '(?i)' || terms.term)) t
+  JOIN product_texts p ON t.text = p.text
+UNION SELECT term, ProductID FROM terms JOIN products_raw ON ProductID = trim(term) WHERE regexp_full_match(trim(term), '-*[0-9]+')""")
+
 # ------------------------------------------------------------------ event calendar from the events table
 base("calendar", """SELECT event_id AS EventID, TIMESTAMP '2018-01-01 00:00:00' + to_hours(CAST(event_id * 37 % 57000 AS INTEGER)) AS s,
        TIMESTAMP '2018-01-01 00:00:00' + to_hours(CAST(event_id * 37 % 57000 AS INTEGER)) + to_days(CAST(user_id % 24 AS INTEGER)) + to_hours(5) AS e,
@@ -690,6 +703,7 @@ LEFT JOIN (SELECT StoreCountry, ProductID, sum(Quantity) AS q FROM stocks GROUP
   ON c.ClientCountry = sq.StoreCountry AND r.ProductID = sq.ProductID""")
 key("product_search", "SELECT * FROM {p}matches")
 key("product_search_id", "SELECT * FROM products_raw WHERE ProductID = '42'")
+key("search_terms", "SELECT * FROM term_hits")
 key("search_audience", """SELECT (SELECT count(*) FROM {p}matches) AS Matches, count(DISTINCT ClientID) AS Audience FROM {p}cfeat
 WHERE ClientID IN (SELECT ClientID FROM {p}search_ids)""")
 key("buyers_by_family", "SELECT * FROM {p}buyers")
