@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting, term_search
+from shopsignal.operators import audiences, bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting, term_search
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.plans.context import Ctx, context
@@ -534,6 +534,26 @@ def q_reverse_rules(x: Ctx):
     return targeting.reverse_rule_targets(rules, x.master, x.personas)
 
 
+def _index_bits(x: Ctx) -> DataFrame:
+    return audiences.buyer_bitmaps(targeting.buyers_by_family(x.master), ["Kind", "Key"], audiences.number_clients(x.clients))
+
+
+@query("buyer_counts")
+def q_buyer_counts(x: Ctx):
+    return audiences.sizes(_index_bits(x), ["Kind", "Key"], "Buyers")
+
+
+@query("search_audiences")
+def q_search_audiences(x: Ctx):
+    return audiences.search_audiences(term_search.search_terms(x.t.products, fixture_terms(x)), x.t.products, _index_bits(x))
+
+
+@query("rule_audiences")
+def q_rule_audiences(x: Ctx):
+    rules = baskets.association_rules(x.master, "ProductID", min_count=2)
+    return audiences.rule_audiences(rules, audiences.buyer_bitmaps(x.master, ["ProductID"], audiences.number_clients(x.master)))
+
+
 @query("stock_pivot")
 def q_stock_pivot(x: Ctx):
     return targeting.stock_pivot(_matches(x), x.t.stocks, x.t.products)

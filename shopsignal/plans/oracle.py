@@ -703,6 +703,18 @@ LEFT JOIN (SELECT StoreCountry, ProductID, sum(Quantity) AS q FROM stocks GROUP
   ON c.ClientCountry = sq.StoreCountry AND r.ProductID = sq.ProductID""")
 key("product_search", "SELECT * FROM {p}matches")
 key("product_search_id", "SELECT * FROM products_raw WHERE ProductID = '42'")
+key("buyer_counts", "SELECT Kind, Key, count(*) AS Buyers FROM {p}buyers WHERE ClientID IN (SELECT ClientID FROM clients) GROUP BY Kind, Key")
+key("search_audiences", """SELECT h.term, h.Matches, COALESCE(b.Audience, 0) AS Audience FROM (SELECT term, count(*) AS Matches FROM term_hits GROUP BY term) h
+LEFT JOIN (SELECT t.term, count(DISTINCT b.ClientID) AS Audience FROM (
+    SELECT DISTINCT t.term, 'FamilyLevel2' AS Kind, p.FamilyLevel2 AS Key FROM term_hits t JOIN products_raw p ON t.ProductID = p.ProductID
+    UNION SELECT DISTINCT t.term, 'Category', p.Category FROM term_hits t JOIN products_raw p ON t.ProductID = p.ProductID) t
+  JOIN {p}buyers b ON b.Kind = t.Kind AND b.Key = t.Key WHERE b.ClientID IN (SELECT ClientID FROM clients) GROUP BY t.term) b ON h.term = b.term""")
+key("rule_audiences", """SELECT d.Target, d.Drivers, COALESCE(o.n, 0) AS Owners, COALESCE(a.n, 0) AS Audience FROM (
+  SELECT consequent AS Target, count(DISTINCT antecedent) AS Drivers FROM {p}rules_product2 GROUP BY consequent) d
+LEFT JOIN (SELECT ProductID, count(DISTINCT ClientID) AS n FROM {p}master WHERE ClientID IS NOT NULL GROUP BY ProductID) o ON d.Target = o.ProductID
+LEFT JOIN (SELECT r.consequent AS Target, count(DISTINCT b.ClientID) AS n FROM {p}rules_product2 r
+  JOIN (SELECT DISTINCT ProductID, ClientID FROM {p}master WHERE ClientID IS NOT NULL) b ON b.ProductID = r.antecedent
+  WHERE NOT EXISTS (SELECT 1 FROM {p}master o WHERE o.ProductID = r.consequent AND o.ClientID = b.ClientID) GROUP BY r.consequent) a ON d.Target = a.Target""")
 key("search_terms", "SELECT * FROM term_hits")
 key("search_audience", """SELECT (SELECT count(*) FROM {p}matches) AS Matches, count(DISTINCT ClientID) AS Audience FROM {p}cfeat
 WHERE ClientID IN (SELECT ClientID FROM {p}search_ids)""")
