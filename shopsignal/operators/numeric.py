@@ -101,10 +101,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, *,
     return out.drop(*drop)
 
 
+def shared_folder(spark, label: str) -> str:
+    """A fresh folder in the shared folder of driver and executors."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back: cuts lineage, survives
     executors, and later reads prune columns."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import audiences, bi, baskets, calendar, customers, features, products, recommend, sequences, similarity, targeting, term_search
+from shopsignal.operators import audiences, bi, baskets, calendar, customers, features, products, quarantine, recommend, sequences, similarity, targeting, term_search
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
+from shopsignal.operators.numeric import shared_folder
 from shopsignal.plans.context import Ctx, context
+from shopsignal.sources import csv_files
 
 ROW_KEY = ["BasketID", "LineNo", "ClientID", "ProductID", "StoreID", AMOUNT, "Quantity"]
 
@@ -681,6 +683,73 @@ def q_parse_dates(x: Ctx):
     return parsed.select(*ROW_KEY, DATE, F.col(DATE).isNull().cast("int").alias("IsQuarantined"))
 
 
+def _raw_text_sales(x: Ctx) -> DataFrame:
+    """The sale view as a raw feed would give it: dates as text, some of them bad or missing, some amounts and quantities off."""
+    tx = x.t.transactions
+    n = F.col("LineNo")
+    key = F.pmod(F.col("BasketID").cast("long"), F.lit(23))
+    text = F.when(key == 5, F.lit(None).cast("string")).when(n == 7, F.lit("31/31/2024")).otherwise(F.date_format(DATE, "yyyy-MM-dd HH:mm:ss"))
+    amount = F.when(key == 6, -F.col(AMOUNT)).when(key == 7, F.lit(None)).otherwise(F.col(AMOUNT)).cast("decimal(18,2)")
+    qty = F.when(key == 8, F.lit(0)).when(key == 9, F.lit(None)).otherwise(F.col("Quantity")).cast("int")
+    return tx.withColumns({"DateText": text, AMOUNT: amount, "Quantity": qty}).withColumn(DATE, F.expr("try_cast(DateText AS TIMESTAMP_NTZ)"))
+
+
+@query("quarantine_counts")
+def q_quarantine(x: Ctx):
+    """Counters of the pass, beside what the quarantine table holds."""
+    s = quarantine.split(_raw_text_sales(x), shared_folder(x.spark, "quarantine"), "DateText")
+    counts = x.spark.createDataFrame([(k, v) for k, v in s.counts.items()], "Reason string, Counted long")
+    stored = s.rejected.groupBy("Reason").agg(F.count(F.lit(1)).alias("Stored")).unionByName(
+        s.clean.agg(F.count(F.lit(1)).alias("Stored")).withColumn("Reason", F.lit("accepted")))
+    return counts.join(stored, "Reason", "left").select("Reason", "Counted", F.coalesce("Stored", F.lit(0)).alias("Stored"))
+
+
+@query("quarantine_rows")
+def q_quarantine_rows(x: Ctx):
+    s = quarantine.split(_raw_text_sales(x), shared_folder(x.spark, "quarantine"), "DateText")
+    return s.rejected.select(*ROW_KEY, "DateText", "Reason")
+
+
+# ---------------------------------------------------------------- A. CSV files
+def _csv_folder(x: Ctx) -> str:
+    """The five retail tables as gzip CSV files, with two broken lines a store among the sales."""
+    folder = shared_folder(x.spark, "retail-csv")
+    t = x.t
+    sales = t.transactions.select("ClientID", "ProductID", "StoreID", F.date_format(DATE, "yyyy-MM-dd HH:mm:ss").alias(DATE), AMOUNT, "Quantity", "BasketID")
+    for name, df in (("transactions", sales), ("clients", t.clients), ("products", t.products), ("stores", t.stores), ("stocks", t.stocks)):
+        csv_files.write_csv(df, folder, name)
+    line = F.explode(F.array(F.concat("StoreID", F.lit(",too few")), F.concat(F.lit("1,2,3,4,5,6,7,8,"), "StoreID")))
+    t.stores.select(line.alias(",".join(sales.columns))).write.mode("append").option("header", True).option("quote", "").option("sep", "\t") \
+        .option("compression", "gzip").csv(f"{folder}/transactions")
+    return folder
+
+
+@query("csv_transactions")
+def q_csv_transactions(x: Ctx):
+    return csv_files.read_retail(x.spark, _csv_folder(x)).tables.transactions
+
+
+@query("csv_broken_lines")
+def q_csv_broken(x: Ctx):
+    return csv_files.read_retail(x.spark, _csv_folder(x)).broken
+
+
+@query("csv_clients")
+def q_csv_clients(x: Ctx):
+    return csv_files.read_retail(x.spark, _csv_folder(x)).tables.clients.drop("Age")
+
+
+@query("csv_precomputed")
+def q_csv_precomputed(x: Ctx):
+    """Precomputed tables through gzip CSV files: the client cards read back, and the optional table that is not there."""
+    folder = shared_folder(x.spark, "precomputed-csv")
+    cards = _client_feats(x).select("ClientID", "Persona", "ClientCountry", "TransactionCount", round6("TotalSpent").alias("TotalSpent"), "Recency", "RFM_Score", "FavoriteCategory")
+    csv_files.write_csv(cards, folder, "client_features")
+    found = csv_files.read_precomputed(x.spark, folder, {
+        "client_features": cards.schema, "country_trending": "StoreCountry string, ProductID string, FinalScore double"})
+    return found["client_features"].withColumn("Trending", found["country_trending"].agg(F.count(F.lit(1))).scalar())
+
+
 @query("materialize")
 def q_materialize(x: Ctx):
     from shopsignal.plans.materialize import materialize

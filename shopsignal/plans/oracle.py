@@ -848,6 +848,22 @@ key("parse_dates", f"""SELECT {RK}, strftime(p, {TS}) AS SaleTransactionDate, CA
   SELECT *, TRY_CAST(CASE WHEN LineNo % 7 = 0 THEN 'not a date'
                           ELSE strftime(SaleTransactionDate, {TS}) || CASE WHEN LineNo % 3 = 0 THEN '+00:00'
                                  WHEN LineNo % 3 = 1 THEN '+02:00' ELSE '' END END AS TIMESTAMP) AS p FROM tx)""")
+base("raw_sales", """SELECT BasketID, LineNo, ClientID, ProductID, StoreID, d AS DateText, a AS SalesNetAmountEuro, q AS Quantity,
+       CASE WHEN d IS NOT NULL AND TRY_CAST(d AS TIMESTAMP) IS NULL THEN 'unparseable date' WHEN d IS NULL THEN 'missing date' WHEN a IS NULL THEN 'missing amount'
+            WHEN a < 0 THEN 'negative amount' WHEN q IS NULL THEN 'missing quantity' WHEN q <= 0 THEN 'quantity not positive' END AS Reason FROM (
+  SELECT *, CASE WHEN CAST(BasketID AS BIGINT) % 23 = 5 THEN NULL WHEN LineNo = 7 THEN '31/31/2024' ELSE strftime(SaleTransactionDate, '%Y-%m-%d %H:%M:%S') END AS d,
+         CASE CAST(BasketID AS BIGINT) % 23 WHEN 6 THEN -SalesNetAmountEuro WHEN 7 THEN NULL ELSE SalesNetAmountEuro END AS a,
+         CASE CAST(BasketID AS BIGINT) % 23 WHEN 8 THEN 0 WHEN 9 THEN NULL ELSE Quantity END AS q FROM tx)""")
+key("quarantine_counts", """SELECT r.Reason, count(s.BasketID) AS Counted, count(s.BasketID) AS Stored FROM (
+  SELECT unnest(['accepted', 'unparseable date', 'missing date', 'missing amount', 'negative amount', 'missing quantity', 'quantity not positive']) AS Reason) r
+LEFT JOIN raw_sales s ON r.Reason = COALESCE(s.Reason, 'accepted') GROUP BY r.Reason""")
+key("quarantine_rows", f"SELECT {RK}, DateText, Reason FROM raw_sales WHERE Reason IS NOT NULL")
+key("csv_transactions", f"""SELECT ClientID, ProductID, StoreID, {ts('SaleTransactionDate', 'SaleTransactionDate')},
+  ROUND(CAST(SalesNetAmountEuro AS DOUBLE), 6) AS SalesNetAmountEuro, Quantity, BasketID FROM tx""")
+key("csv_broken_lines", """SELECT 'transactions' AS "table", unnest([StoreID || ',too few', '1,2,3,4,5,6,7,8,' || StoreID]) AS line, CAST(unnest([2, 7]) AS INTEGER) AS read FROM stores""")
+key("csv_clients", "SELECT * FROM clients_raw")
+key("csv_precomputed", f"""SELECT ClientID, Persona, ClientCountry, TransactionCount, {r6('TotalSpent', 'TotalSpent')}, Recency, RFM_Score, FavoriteCategory,
+  CAST(0 AS BIGINT) AS Trending FROM {{p}}cfeat""")
 key("country_playbook_app", """SELECT Country, ActionNo, Action, Count, Detail FROM (
   SELECT Country, 1 AS ActionNo, 'win_back' AS Action, CAST(inactive_count AS BIGINT) AS Count, 'SMS Re-engagement' AS Detail
   FROM {p}insights WHERE inactive_count > 50
