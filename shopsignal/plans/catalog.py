@@ -5,6 +5,7 @@ Every output is normalised the same way as its SQL oracle: timestamps as
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.operators.numeric import shared_folder
 from shopsignal.plans.context import Ctx, context
+from shopsignal.plans import storage
 from shopsignal.sources import csv_files
 
 ROW_KEY = ["BasketID", "LineNo", "ClientID", "ProductID", "StoreID", AMOUNT, "Quantity"]
@@ -756,6 +758,29 @@ def q_materialize(x: Ctx):
     return materialize(x)
 
 
+@query("country_refresh")
+def q_country_refresh(x: Ctx):
+    """Sales stored by country, then refreshed after one country's amounts have doubled: contents, and what was rewritten."""
+    sales = x.master.filter(F.col("StoreCountry").isNotNull()).select("StoreCountry", "BasketID", "LineNo", "ClientID", "ProductID", AMOUNT, "Quantity")
+    first = x.t.stores.agg(F.min("StoreCountry")).scalar()
+    later = sales.withColumn(AMOUNT, F.when(F.col("StoreCountry") == first, F.col(AMOUNT) * 2).otherwise(F.col(AMOUNT)).cast("decimal(18,2)"))
+    root = shared_folder(x.spark, "sales-by-country")
+    storage.refresh(sales, root)
+    done = storage.refresh(later, root)
+    stored = storage.read_by_country(x.spark, root, later.schema)
+    return stored.groupBy("StoreCountry").agg(
+        F.sum(AMOUNT).alias("Revenue"), F.sum("Quantity").alias("Units"), F.count(F.lit(1)).alias("Rows"), F.countDistinct("BasketID", "LineNo").alias("Lines")) \
+        .withColumn("Rewritten", F.col("StoreCountry").isin(*done.rewritten).cast("int"))
+
+
+@query("client_pages")
+def q_client_pages(x: Ctx):
+    """Client features and recommendation cards, stored in buckets of clients and joined without an exchange."""
+    tables = storage.store_bucketed({"client_features": _client_feats(x), "recommendation_cards": bi.recommendation_cards(_recs(x), x.master)},
+                                    f"pages_{uuid.uuid4().hex}")
+    return storage.client_page(x.spark, tables).select("ClientID", "Persona", "ClientCountry", "RFM_Score", "TotalSpent", "Rank", "ProductID", "ProductFamily", "Price")
+
+
 @query("country_playbook_app")
 def q_playbook_app(x: Ctx):
     return bi.country_playbook_app(_insights(x), x.spark)

@@ -886,6 +886,17 @@ key("search_targets_country", f"""SELECT ClientID, Persona, ClientCountry, {r6('
       AND ClientCountry = (SELECT min(StoreCountry) FROM stores))) WHERE Rank <= 50""")
 
 
+key("country_refresh", f"""SELECT StoreCountry, {r6('sum(SalesNetAmountEuro) * CASE WHEN StoreCountry = (SELECT min(StoreCountry) FROM stores) THEN 2 ELSE 1 END', 'Revenue')},
+  CAST(sum(Quantity) AS BIGINT) AS Units, count(*) AS Rows, count(DISTINCT (BasketID, LineNo)) AS Lines,
+  CAST(StoreCountry = (SELECT min(StoreCountry) FROM stores) AS INTEGER) AS Rewritten
+FROM {{p}}master WHERE StoreCountry IS NOT NULL GROUP BY StoreCountry""")
+key("client_pages", f"""SELECT c.ClientID, c.Persona, c.ClientCountry, c.RFM_Score, {r6('c.TotalSpent', 'TotalSpent')}, r.Rank, r.ProductID, i.FamilyLevel2 AS ProductFamily,
+  {_money('i.PricePerUnit')} AS Price FROM {{p}}cfeat c LEFT JOIN ({{p}}recs r JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY SaleTransactionDate, BasketID, LineNo, StoreID,
+         SalesNetAmountEuro, Quantity, ClientID) AS rn FROM {{p}}priced WHERE ProductID IS NOT NULL) WHERE rn = 1) i ON r.ProductID = i.ProductID)
+  ON c.ClientID = r.ClientID""")
+
+
 # one column per nation of the fixture
 _STOCK_COLS = ",\n  ".join(f"CAST(COALESCE(sum(Quantity) FILTER (WHERE StoreCountry = 'NATION_{i}'), 0) AS BIGINT) AS NATION_{i}" for i in range(25))
 key("stock_pivot_wide", f"""SELECT s.ProductID, p.FamilyLevel2 AS Product, {_STOCK_COLS}
