@@ -128,14 +128,15 @@ def average_rank_pct(df: DataFrame, value: str, out: str = "pct_rank") -> DataFr
     return df.join(ranks, value, "left").withColumn(out, F.col("_avg_rank") / total).drop("_avg_rank")
 
 
-def quintile_scores(df: DataFrame, spec: dict[str, tuple[str, bool]]) -> DataFrame:
+def quintile_scores(df: DataFrame, spec: dict[str, tuple[str, bool]], quantiles=None) -> DataFrame:
     """1..5 scores of several columns: ``{value: (score column, ascending)}``.
 
     With distinct quintile edges (min, p20..p80, max, linear interpolation): 1 + #{p_k < x}. If
     any edge repeats, average-rank percentile bins (0, .2], (.2, .4], ... Descending scores are
     6 - score. All edges come from one quantile scan; the rank fallback runs only when needed.
+    ``quantiles`` replaces the exact scan (``sketches.approx_quantiles``).
     """
-    edges = exact_quantiles(df, {value: [0.0, 0.2, 0.4, 0.6, 0.8, 1.0] for value in spec})
+    edges = (quantiles or exact_quantiles)(df, {value: [0.0, 0.2, 0.4, 0.6, 0.8, 1.0] for value in spec})
     for value, (out, ascending) in spec.items():
         own = edges[value]
         if None not in own and len(set(own)) == 6:

@@ -24,18 +24,18 @@ def product_features(master: DataFrame) -> DataFrame:
                            F.col("ProductTotalUnitsSold") / F.greatest(F.col("ProductDaysActive"), F.lit(1)).cast("double")))
 
 
-def product_tiers(pf: DataFrame) -> DataFrame:
-    """Top product / fast mover: strictly above the global 80th percentile."""
-    q = exact_quantiles(pf, {"ProductTotalRevenue": [0.8], "ProductSalesVelocity": [0.8]})
+def product_tiers(pf: DataFrame, quantiles=exact_quantiles) -> DataFrame:
+    """Top product / fast mover: strictly above the global 80th percentile (``quantiles``: exact, or ``sketches.approx_quantiles``)."""
+    q = quantiles(pf, {"ProductTotalRevenue": [0.8], "ProductSalesVelocity": [0.8]})
     (rev80,), (vel80,) = q["ProductTotalRevenue"], q["ProductSalesVelocity"]
     return (pf.withColumn("IsTopProduct", flag(F.col("ProductTotalRevenue") > F.lit(rev80)))
               .withColumn("IsFastMover", flag(F.col("ProductSalesVelocity") > F.lit(vel80))))
 
 
-def noise_filter(master: DataFrame) -> DataFrame:
-    """Drop unit prices below the global p10 and quantities above the global p99."""
+def noise_filter(master: DataFrame, quantiles=exact_quantiles) -> DataFrame:
+    """Drop unit prices below the global p10 and quantities above the global p99 (``quantiles`` as above)."""
     priced = master.withColumn("PricePerUnit", F.try_divide(F.col(AMOUNT).cast("double"), F.col(QTY).cast("double")))
-    q = exact_quantiles(priced, {"PricePerUnit": [K.NOISE_PRICE_Q], QTY: [K.NOISE_QTY_Q]})
+    q = quantiles(priced, {"PricePerUnit": [K.NOISE_PRICE_Q], QTY: [K.NOISE_QTY_Q]})
     (floor,), (ceiling,) = q["PricePerUnit"], q[QTY]
     return priced.filter((F.col("PricePerUnit") >= F.lit(floor)) & (F.col(QTY) <= F.lit(ceiling)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsignal.functions import constants as K
-from shopsignal.operators import audiences, bi, baskets, calendar, customers, features, products, quarantine, recommend, sequences, similarity, targeting, term_search
+from shopsignal.operators import audiences, bi, baskets, calendar, customers, features, products, quarantine, recommend, sequences, similarity, sketches, targeting, term_search
 from shopsignal.operators.features import AMOUNT, DATE
 from shopsignal.functions.scalar import round6
 from shopsignal.operators.numeric import shared_folder
@@ -286,6 +286,19 @@ def q_store_trending(x: Ctx):
         F.col("PricePerUnit").alias("Price"), F.col("FinalScore").alias("Score"))
 
 
+@query("approx_quantiles")
+def q_approx_quantiles(x: Ctx):
+    """Sketched quantiles of sales, merged from one sketch a country, with their measured rank error against the bound (twice the
+    published one, which holds 99% of the time)."""
+    sales = x.master.select("StoreCountry", F.col(AMOUNT).cast("double").alias("Amount"), F.col("Quantity").cast("double").alias("Quantity"))
+    ps = [0.1, 0.2, 0.4, 0.5, 0.6, 0.8, 0.99]
+    whole = sketches.merged(sketches.sketches(sales, ["StoreCountry"], ["Amount", "Quantity"]), [], ["Amount", "Quantity"])
+    row = whole.select(*[sketches.quantiles(c, ps).alias(c) for c in whole.columns]).first()
+    found = {c: dict(zip(ps, row[c])) for c in whole.columns if row[c] is not None}
+    errors = sketches.measured_rank_errors(sales, found)
+    return errors.select("Column", "P", "Rows", (F.col("RankError") <= 2 * sketches.rank_error()).alias("WithinBound"))
+
+
 @query("product_catalog")
 def q_product_catalog(x: Ctx):
     return bi.product_catalog(x.master)

@@ -897,6 +897,10 @@ key("client_pages", f"""SELECT c.ClientID, c.Persona, c.ClientCountry, c.RFM_Sco
   ON c.ClientID = r.ClientID""")
 
 
+key("approx_quantiles", """SELECT c AS "Column", p AS P, (SELECT count(*) FROM {p}master) AS Rows, true AS WithinBound FROM
+  (SELECT unnest(['Amount', 'Quantity']) AS c), (SELECT unnest([0.1, 0.2, 0.4, 0.5, 0.6, 0.8, 0.99])::DOUBLE AS p)""")
+
+
 # one column per nation of the fixture
 _STOCK_COLS = ",\n  ".join(f"CAST(COALESCE(sum(Quantity) FILTER (WHERE StoreCountry = 'NATION_{i}'), 0) AS BIGINT) AS NATION_{i}" for i in range(25))
 key("stock_pivot_wide", f"""SELECT s.ProductID, p.FamilyLevel2 AS Product, {_STOCK_COLS}
