@@ -1,6 +1,8 @@
 """Market-basket mining (pair rules) and the bundle / cross-sell views built on rules."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,35 @@ def association_rules(df: DataFrame, item_col: str = "ProductID", min_support: f
                      "support", "confidence", "lift"))
 
 
+def rules_by_pattern_growth(df: DataFrame, item_col: str = "ProductID", min_support: float = K.RULE_MIN_SUPPORT,
+                            min_count: int | None = None) -> DataFrame:
+    """The rules of ``association_rules`` from Spark ML's FP-growth: another method for the same pairs.
+
+    Pattern growth also finds every longer frequent set on its way, so it suits baskets of some dozen
+    items or high thresholds; the pair join is the default.
+    """
+    from pyspark.ml.fpm import FPGrowth
+    items = materialize(basket_items(df, item_col), "baskets")
+    sets = items.groupBy("BasketID").agg(F.collect_list("item").alias("items"))
+    n = items.select(F.countDistinct("BasketID")).first()[0]
+    least = float(min_count) if min_count is not None else n * min_support
+    # the trainer keeps sets of at least ceil(n * support) baskets; half a basket less guards against rounding
+    support = max(0.0, (math.ceil(least) - 0.5) / n) if n else 1.0
+    schema = "antecedent string, consequent string, pair_count long, support double, confidence double, lift double"
+    if not n or support > 1:
+        return df.sparkSession.createDataFrame([], schema)
+    found = materialize(FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(sets).freqItemsets.filter(F.size("items") <= 2), "frequent-sets")
+    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    pairs = found.filter(F.size("items") == 2).select(F.explode(F.array(
+        F.struct(F.col("items")[0].alias("antecedent"), F.col("items")[1].alias("consequent")),
+        F.struct(F.col("items")[1].alias("antecedent"), F.col("items")[0].alias("consequent")))).alias("p"), F.col("freq").alias("pair_count")).select("p.*", "pair_count")
+    r = pairs.join(single.select(F.col("item").alias("antecedent"), F.col("c").alias("a")), "antecedent") \
+             .join(single.select(F.col("item").alias("consequent"), F.col("c").alias("b")), "consequent")
+    total = F.lit(float(n))
+    return (r.withColumn("support", F.col("pair_count") / total).withColumn("confidence", F.col("support") / (F.col("a") / total))
+             .withColumn("lift", F.col("confidence") / (F.col("b") / total)).select("antecedent", "consequent", "pair_count", "support", "confidence", "lift"))
+
+
 def rule_order():
     return [F.round("lift", 6).desc(), F.col("consequent")]
 

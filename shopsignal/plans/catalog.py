@@ -325,6 +325,12 @@ def q_rules_product_min2(x: Ctx):
     return baskets.association_rules(x.master, "ProductID", min_count=2)
 
 
+@query("assoc_rules_fp_growth")
+def q_rules_fp_growth(x: Ctx):
+    """The same rules by another method."""
+    return baskets.rules_by_pattern_growth(x.master, "ProductID", min_count=2)
+
+
 @query("rule_targets")
 def q_rule_targets(x: Ctx):
     return baskets.rule_targets(baskets.association_rules(x.master, "ProductID", min_count=2))

@@ -622,6 +622,7 @@ _RULE_COLS = f"antecedent, consequent, pair_count, {r6('support', 'support')}, {
 key("assoc_rules_family", f"SELECT {_RULE_COLS} FROM {{p}}rules_family")
 key("assoc_rules_product", f"SELECT {_RULE_COLS} FROM {{p}}rules_product")
 key("assoc_rules_product_min2", f"SELECT {_RULE_COLS} FROM {{p}}rules_product2")
+key("assoc_rules_fp_growth", f"SELECT {_RULE_COLS} FROM {{p}}rules_product2")
 key("rule_targets", "SELECT DISTINCT consequent AS ProductID FROM {p}rules_product2")
 key("bundles_wide", """SELECT antecedent AS FamilyLevel2, max(CASE WHEN Rank = 1 THEN consequent END) AS Reco1,
   max(CASE WHEN Rank = 2 THEN consequent END) AS Reco2, max(CASE WHEN Rank = 3 THEN consequent END) AS Reco3

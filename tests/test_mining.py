@@ -26,6 +26,22 @@ def test_big_basket_block_split_matches_brute_force(make_tx, monkeypatch):
     assert rules.filter("antecedent = 'i1' AND consequent = 'i2'").first().pair_count == 2
 
 
+def test_pattern_growth_finds_the_same_rules(make_tx):
+    import random
+    rng = random.Random(6)
+    rows = [{"BasketID": f"b{b}", "ProductID": f"p{min(rng.randrange(12), rng.randrange(12))}", "qty": 1} for b in range(120) for _ in range(rng.randrange(1, 6))]
+    rows += [{"BasketID": "b0", "ProductID": None}, {"BasketID": "alone", "ProductID": "p1"}]
+    tx = make_tx(rows)
+    for limit in ({"min_count": 1}, {"min_count": 2}, {"min_count": 7}, {"min_support": 0.05}, {"min_count": 10**6}):
+        want = {(r.antecedent, r.consequent): (r.pair_count, round(r.support, 12), round(r.confidence, 12), round(r.lift, 12))
+                for r in baskets.association_rules(tx, "ProductID", **limit).collect()}
+        got = {(r.antecedent, r.consequent): (r.pair_count, round(r.support, 12), round(r.confidence, 12), round(r.lift, 12))
+               for r in baskets.rules_by_pattern_growth(tx, "ProductID", **limit).collect()}
+        assert got == want, limit
+        assert bool(want) == (limit != {"min_count": 10**6})
+    assert baskets.rules_by_pattern_growth(tx.limit(0), "ProductID", min_count=2).count() == 0
+
+
 def test_markov_self_loops_skipped(make_tx, spark):
     rows = [{"ClientID": "c", "date": f"2024-01-0{d} 00:00:00", "ProductID": f"p{d}"} for d in range(1, 5)]
     fam = spark.createDataFrame([("p1", "x"), ("p2", "x"), ("p3", "y"), ("p4", "x")], "ProductID string, FamilyLevel2 string")
