@@ -47,8 +47,10 @@ def season(month) -> Column:
              .when(m.isin(6, 7, 8), "Summer").otherwise("Fall"))
 
 
-def black_friday(year) -> Column:
-    """Fourth Friday of November: first Friday on/after Nov 1, plus three weeks (a DATE)."""
+def black_friday(year, us_thanksgiving: bool = False) -> Column:
+    """Fourth Friday of November: first Friday on/after Nov 1, plus three weeks (a DATE); or the day after the fourth Thursday."""
+    if us_thanksgiving:
+        return F.date_add(F.next_day(F.make_date(c(year), F.lit(10), F.lit(31)), "THU"), 22)
     first_fri = F.next_day(F.make_date(c(year), F.lit(10), F.lit(31)), "FRI")
     return F.date_add(first_fri, 21)
 

@@ -253,9 +253,16 @@ def pivot_wide(long_df: DataFrame, rows: list[str], col: str, val: str, values:
     return long_df.groupBy(*rows).pivot(col, values).agg(F.sum(val)).fillna(0, values)
 
 
+MAX_COUNTRIES = 500
+
+
 def country_columns(stocks: DataFrame) -> list[str]:
-    """The countries that hold stock rows: the columns of the pivoted tables (ISO countries)."""
-    return [r[0] for r in stocks.filter(F.col("StoreCountry").isNotNull()).select("StoreCountry").distinct().orderBy("StoreCountry").collect()]
+    """The countries that hold stock rows: the columns of the pivoted tables (ISO countries). More than
+    MAX_COUNTRIES are dirty data, not a list of columns, and an error; the long form has no such limit."""
+    found = stocks.filter(F.col("StoreCountry").isNotNull()).select("StoreCountry").distinct().limit(MAX_COUNTRIES + 1).collect()
+    if len(found) > MAX_COUNTRIES:
+        raise ValueError(f"more than {MAX_COUNTRIES} countries hold stock: use the long form")
+    return sorted(r[0] for r in found)
 
 
 def store_metrics(master: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import day_delta, flag, safe_div
 from shopsignal.operators.features import AMOUNT, DATE, QTY, row_tiebreak
-from shopsignal.operators.numeric import materialize, quintile_scores
+from shopsignal.operators.numeric import materialize, ordered_scan, quintile_scores, top_k
 
 
 def _with_client(df: DataFrame) -> DataFrame:
@@ -161,6 +161,29 @@ def propensity_cross_sell(master: DataFrame, products: DataFrame, targets: DataF
     return cand.join(owners, ["ProductID", "ClientID"], "left_anti")
 
 
+CAMPAIGN_BLOCK = 1_000     # ranks per join key of a campaign
+
+
+def cross_sell_campaign(master: DataFrame, products: DataFrame, targets: DataFrame, per_target: int = 50) -> DataFrame:
+    """The ``per_target`` best clients of each product of ``targets`` (a table with ProductID) among those that
+    ``propensity_cross_sell`` lists, without making that list: (ProductID, Rank, ClientID, PropensityScore, DaysSinceLastPurchase).
+
+    Each family's clients are ranked once (ordered scan). A product with o owners finds its clients among the first
+    ``per_target`` + o of its family, so products meet only that many ranks, in blocks: the work grows with targets and
+    sales, not with products times clients.
+    """
+    scores = propensity(affinity_matrix(master)).select("FamilyLevel1", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
+    ranked = ordered_scan(scores.withColumn("_s", -F.round("PropensityScore", 6)), ["FamilyLevel1"], ["_s", "ClientID"], prefix="_f").drop("_s")
+    ranked = ranked.withColumn("_block", F.floor((F.col("_frn") - 1) / CAMPAIGN_BLOCK))
+    owners = _with_client(master).select("ProductID", "ClientID").distinct()
+    own = owners.groupBy("ProductID").agg(F.count(F.lit(1)).alias("_owners"))
+    asked = (targets.select("ProductID").distinct().join(products.select("ProductID", "FamilyLevel1"), "ProductID").join(own, "ProductID", "left")
+             .withColumn("_most", F.lit(per_target) + F.coalesce("_owners", F.lit(0)))
+             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_most") - 1) / CAMPAIGN_BLOCK)))))
+    found = asked.join(ranked, ["FamilyLevel1", "_block"]).filter(F.col("_frn") <= F.col("_most")).join(owners, ["ProductID", "ClientID"], "left_anti")
+    return top_k(found, ["ProductID"], [F.col("_frn")], per_target).select("ProductID", "Rank", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
+
+
 def propensity_cross_sell_country(master: DataFrame, products: DataFrame, targets: DataFrame) -> DataFrame:
     """The same inside every store country at once: local scores, minus owners anywhere."""
     scores = propensity(affinity_matrix(master, by_country=True))

@@ -23,20 +23,27 @@ def row_tiebreak(df: DataFrame) -> list[str]:
 def master_join(tx: DataFrame, products: DataFrame, clients: DataFrame, stores: DataFrame) -> DataFrame:
     """Sales ⟕ products ⟕ clients ⟕ stores on pruned columns (NULL keys never match).
 
-    Each dimension is made unique on its key, so the fact side never fans out and Catalyst drops
-    every join none of whose columns a query uses. AQE turns the rest into broadcast joins when
+    Each dimension is made unique on its key (of repeated keys the row with the least columns, from
+    left to right, NULL first), so the fact side never fans out and Catalyst drops every join none of
+    whose columns a query uses. AQE turns the rest into broadcast joins when
     the measured size is under the threshold and keeps shuffle joins otherwise; there, sales
     without a key are spread by a hash of their amount instead of meeting in one task.
     """
     out = tx
     for dim, key in ((products.select(*PRODUCT_COLS), "ProductID"), (clients.select(*CLIENT_COLS), "ClientID"),
                      (stores.select("StoreID", "StoreCountry"), "StoreID")):
-        side = dim.dropDuplicates([key]).withColumnRenamed(key, "_key")
+        side = one_row_per_key(dim, key).withColumnRenamed(key, "_key")
         spread = F.concat(F.lit("\u0000"), F.xxhash64(AMOUNT).cast("string"))
         out = out.join(side, F.coalesce(F.col(key), spread) == F.col("_key"), "left").drop("_key")
     return out
 
 
+def one_row_per_key(dim: DataFrame, key: str) -> DataFrame:
+    """Of the rows that share a key the one with the least other columns, from left to right, NULL first: always the same one."""
+    others = [c for c in dim.columns if c != key]
+    return dim.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def add_calendar(df: DataFrame) -> DataFrame:
     d = F.col(DATE)
     month, quarter, dow = F.month(d), F.quarter(d), F.weekday(d)
@@ -49,13 +56,14 @@ def add_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def add_retail_events(df: DataFrame) -> DataFrame:
+def add_retail_events(df: DataFrame, us_thanksgiving: bool = False) -> DataFrame:
     """Black Friday window [bf, bf+3d] (Monday 00:00 included), Cyber Monday at bf+3d 00:00,
-    fixed seasonal windows and IsHoliday."""
+    fixed seasonal windows and IsHoliday. Black Friday is the fourth Friday of November; with
+    ``us_thanksgiving`` the day after its fourth Thursday (a week later where the month starts on a Friday)."""
     d = F.col(DATE)
     year = F.year(d)
-    bf = as_ts(black_friday(year))
-    cm = as_ts(F.date_add(black_friday(year), 3))
+    bf = as_ts(black_friday(year, us_thanksgiving))
+    cm = as_ts(F.date_add(black_friday(year, us_thanksgiving), 3))
     m, dom = F.month(d), F.dayofmonth(d)
     black = flag((d >= bf) & (d <= cm))
     xmas = flag((m == 12) & (dom <= 25))
@@ -113,9 +121,24 @@ def add_cross_border(df: DataFrame) -> DataFrame:
     return df.withColumn("IsLocalPurchase", local).withColumn("IsCrossBorder", 1 - F.col("IsLocalPurchase"))
 
 
+def add_by_row_key(df: DataFrame, add) -> DataFrame:
+    """The columns that ``add`` gives to sales, for rows of any width: ``add`` (ordered scans, which write what they
+    order) sees the row key alone, and what it adds is joined back. Sales are unique on the row key."""
+    key = row_tiebreak(df)
+    slim = add(df.select(*key))
+    new = [c for c in slim.columns if c not in key]
+    found = slim.select(*[F.col(c).alias(f"_key_{c}") for c in key], *new)
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return df.join(found, same, "left").drop(*[f"_key_{c}" for c in key])
+
+
 def add_days_since_last(df: DataFrame) -> DataFrame:
     """Whole days since the client's previous sale (9999 for the first and without a client),
-    skew-safe scan."""
+    skew-safe scan over the row key."""
+    if set(df.columns) - set(row_tiebreak(df)):
+        return add_by_row_key(df, add_days_since_last)
     tb = [c for c in row_tiebreak(df) if c not in ("ClientID", DATE)]
     scanned = ordered_scan(df.filter(F.col("ClientID").isNotNull()), ["ClientID"], [DATE, *tb],
                            lag_cols=[DATE], prefix="_g")
@@ -127,7 +150,9 @@ def add_days_since_last(df: DataFrame) -> DataFrame:
 
 def add_pareto(df: DataFrame) -> DataFrame:
     """Cumulative revenue in descending amount order (ties by the row tie-break); flag rows
-    within 80 % of the total. Exact DECIMAL running sum from one range-partitioned scan."""
+    within 80 % of the total. Exact DECIMAL running sum from one range-partitioned scan over the row key."""
+    if set(df.columns) - set(row_tiebreak(df)):
+        return add_by_row_key(df, add_pareto)
     tb = [c for c in row_tiebreak(df) if c != AMOUNT]
     total = df.select(F.sum(AMOUNT)).scalar()
     share = F.lit(K.PARETO_SHARE).cast("decimal(2,1)")

@@ -50,6 +50,8 @@ def trending_scores(master: DataFrame, target_date=None, filtered: DataFrame | N
     if target_date is None:
         target_date = master.select(F.max(DATE)).first()[0]
     import datetime as _dt
+    if target_date is None:                 # no sales: there is nothing to score, on any day
+        target_date = _dt.datetime(1970, 1, 1)
     if isinstance(target_date, str):
         target_date = _dt.datetime.fromisoformat(target_date)
     cutoff = target_date - _dt.timedelta(days=K.TREND_WINDOW_DAYS)

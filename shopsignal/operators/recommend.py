@@ -125,16 +125,18 @@ def recommendations(persona_df: DataFrame, last: DataFrame, popular: DataFrame,
     pool = pool_by_region(popular, trending, regions, top_n)
     primary = inactive_primary(ctx, popular, regions, top_n).unionByName(loyal_primary(ctx, rules, regions, top_n))
     if route_overrides and "blend" in route_overrides.values():
-        primary = primary.unionByName(blend_primary(ctx, similar, markov_top, popular, rules, regions))
+        primary = primary.unionByName(blend_primary(ctx, similar, markov_top, popular, rules, regions, n=top_n))
     recs = finalize(primary, ctx, pool, top_n)
     return recs.join(ctx.select("ClientID", "Persona", "Route"), "ClientID")
 
 
 def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFrame | None, popular: DataFrame,
-                  rules: DataFrame, regions: DataFrame, k: int = 10) -> DataFrame:
+                  rules: DataFrame, regions: DataFrame, k: int = 10, n: int = 5, strict: bool = False) -> DataFrame:
     """Blend-route primary list: interleave Prod2Vec[i], Markov[i], Assoc[i] (each
     stock-filtered, then renumbered). Markov predicts families; each predicted family is
-    expanded to its best stocked popular product in the client's region."""
+    expanded to its best stocked popular product in the client's region. ``strict`` takes predicted
+    families for product ids, as the original does, so that they contribute nothing. A client is shown
+    ``n``, so the first ``n`` stocked consequents of a rule list are enough."""
     from pyspark.sql import Window
     mid = ctx.filter(F.col("Route") == "blend")
     sources = []
@@ -146,7 +148,7 @@ def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFra
                        .select("ClientID", "pos", "ProductID"))
     else:
         sources.append(None)
-    if markov_top is not None:
+    if markov_top is not None and not strict:
         fam_best = popular.select("FamilyLevel2", "ProductID", F.col("Rank").alias("_prank"))
         # a country without a row for the state falls back to the Global matrix, if it is given
         top = markov_top.filter(F.col("Rank") <= k).select("Country", "State", "NextState", F.col("Rank").alias("pos"))
@@ -160,15 +162,16 @@ def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFra
         sources.append(mk.groupBy("ClientID", "pos").agg(F.min_by("ProductID", F.col("_prank")).alias("ProductID")))
     else:
         sources.append(None)
-    sources.append(mid.select("ClientID", F.col("LastProductID").alias("antecedent"))
-                   .join(_rule_lists(rules), "antecedent").select("ClientID", "pos", "ProductID"))
+    lists = stocked_lists(_rule_lists(rules), "antecedent", regions, n)
+    sources.append(mid.select("ClientID", "Region", F.col("LastProductID").alias("antecedent"))
+                   .join(lists, ["Region", "antecedent"]).select("ClientID", "pos", "ProductID"))
     parts = []
     for order, src in enumerate(sources):
         if src is None:
             continue
         kept = _stock_filter(src, mid, regions)
         w = Window.partitionBy("ClientID").orderBy("pos", "ProductID")
-        # per-client lists are bounded (≤ k, or ≤ the rules of one antecedent)
+        # per-client lists are bounded (≤ k, or ≤ n rules)
         parts.append(kept.withColumn("_i", F.row_number().over(w)).select(
             "ClientID", (F.col("_i") * 10 + order).alias("pos"), "ProductID"))
     out = parts[0]
@@ -179,13 +182,13 @@ def blend_primary(ctx: DataFrame, similar: DataFrame | None, markov_top: DataFra
 
 def recs_blend(ctx: DataFrame, similar: DataFrame, markov_top: DataFrame, popular: DataFrame,
                rules: DataFrame, stocks: DataFrame, top_n: int = 5, k: int = 10,
-               trending: DataFrame | None = None) -> DataFrame:
+               trending: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """The blend route for every mid-frequency persona (what the route would return if the
     routing reached it), backfilled from the pool."""
     mid = materialize(ctx.filter(F.col("Persona").contains("Mid Freq")).withColumn("Route", F.lit("blend")), "clients")
     regions = available_products(stocks)
     pool = pool_by_region(popular, trending if trending is not None else popular.limit(0), regions, top_n)
-    primary = blend_primary(mid, similar, markov_top, popular, rules, regions, k)
+    primary = blend_primary(mid, similar, markov_top, popular, rules, regions, k, top_n, strict)
     recs = finalize(primary, mid, pool, top_n)
     return recs.join(mid.select("ClientID", "Persona"), "ClientID")
 

@@ -46,6 +46,8 @@ def measured_rank_errors(df: DataFrame, found: dict[str, dict[float, float]]) ->
 
     A value that several rows share has all their ranks, and the nearest counts.
     """
+    if not found:
+        return df.sparkSession.createDataFrame([], "Column string, P double, Rows long, RankError double")
     out = None
     aggregates = []
     for i, (c, values) in enumerate(found.items()):

@@ -158,7 +158,7 @@ def q_cross_border(x: Ctx):
 
 @query("days_since_last")
 def q_days_since_last(x: Ctx):
-    return features.add_days_since_last(x.master).select(*ROW_KEY, DATE, "DaysSinceLastPurchase")
+    return features.add_days_since_last(x.master.select(*ROW_KEY, DATE)).select(*ROW_KEY, DATE, "DaysSinceLastPurchase")
 
 
 @query("pareto_revenue")
@@ -239,8 +239,16 @@ def q_propensity_country(x: Ctx):
 
 @query("propensity_cross_sell")
 def q_cross_sell(x: Ctx):
-    return customers.propensity_cross_sell(x.master, x.products, x.products).select(
-        "ProductID", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
+    """A campaign for every product: its 50 best clients (targets and rows per target are parameters; the whole lists of
+    chosen products come from ``customers.propensity_cross_sell``)."""
+    return customers.cross_sell_campaign(x.master, x.products, x.products, per_target=50)
+
+
+@query("propensity_cross_sell_search")
+def q_cross_sell_search(x: Ctx):
+    """Whole lists for the products that the search finds."""
+    targets = targeting.product_search(x.t.products, SEARCH_TERM).filter(F.col("Category").isNotNull())
+    return customers.propensity_cross_sell(x.master, x.products, targets).select("ProductID", "ClientID", "PropensityScore", "DaysSinceLastPurchase")
 
 
 @query("propensity_cross_sell_country")
@@ -401,6 +409,23 @@ def q_lookup(x: Ctx):
         "ProductID", "known", F.size("embedding").alias("dim"), F.get("embedding", F.lit(0)).alias("first"))
 
 
+@query("prod2vec_lookup_vectors")
+def q_lookup_vectors(x: Ctx):
+    """Whole vectors, a row per component; zeros for products outside the vocabulary."""
+    return sequences.embedding_lookup(x.products, fixture_vectors(x), 64).select("ProductID", "known", F.posexplode("embedding").alias("Component", "Value"))
+
+
+@query("prod2vec_quality")
+def q_vector_quality(x: Ctx):
+    """Invariants of the trained vectors: one for each product of the vocabulary, of 32 finite components, none of them all zeros."""
+    v = x.embeddings
+    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e6))
+    vocabulary = sequences.vocabulary(x.sequences)
+    return v.agg(F.count(F.lit(1)).alias("Vectors"), F.countDistinct("ProductID").alias("Products"), F.min(F.size("embedding")).alias("LeastDim"),
+                 F.max(F.size("embedding")).alias("MostDim"), F.count_if(~finite).alias("NotFinite"), F.count_if(F.forall("embedding", lambda c: c == 0)).alias("Zero")) \
+        .withColumn("OutsideVocabulary", v.join(vocabulary, "ProductID", "left_anti").agg(F.count(F.lit(1))).scalar())
+
+
 @query("similar_products")
 def q_similar(x: Ctx):
     return sequences.similar_products(fixture_vectors(x), 5)
@@ -442,6 +467,13 @@ def q_recommendations(x: Ctx):
     return _recs(x).select("ClientID", "Persona", "Route", "Rank", "ProductID")
 
 
+@query("available_product_set")
+def q_available_set(x: Ctx):
+    """The set itself: what clients of a region can be shown; ANY for clients without a sale."""
+    regions = recommend.available_products(x.t.stocks)
+    return regions.select(F.when(F.col("Region") == recommend.ANY_COUNTRY, "ANY").otherwise(F.col("Region")).alias("Region"), "ProductID").distinct()
+
+
 @query("available_products")
 def q_available(x: Ctx):
     regions = recommend.available_products(x.t.stocks)

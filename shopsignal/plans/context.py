@@ -30,7 +30,10 @@ def context(spark: SparkSession, sf_dir: str) -> "Ctx":
 
 
 class Ctx:
-    """``since`` (a datetime) restricts all sales to a window; by default the whole history counts."""
+    """The tables of a folder as they were when the first query used them: clean sales are written once per context, so
+    files that arrive later are seen after ``clear()``.
+
+    ``since`` (a datetime) restricts all sales to a window; by default the whole history counts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, since: dt.datetime | None = None):
         self.spark = spark
@@ -86,9 +89,10 @@ class Ctx:
         return customers.last_purchase(self.master)
 
     @cached_property
-    def latest_day(self) -> dt.datetime:
+    def latest_day(self) -> dt.datetime | None:
+        """The day of the last sale; None without sales."""
         d = self.max_date
-        return dt.datetime(d.year, d.month, d.day)
+        return None if d is None else dt.datetime(d.year, d.month, d.day)
 
     @cached_property
     def denoised(self) -> DataFrame:
@@ -110,8 +114,10 @@ class Ctx:
 
     @cached_property
     def trending(self) -> DataFrame:
+        # scores at the last sale's moment are those of its day where that is midnight
+        same = self.max_date == self.latest_day
         return products.global_trends(self.master, self.products, target_date=self.latest_day,
-                                      filtered=self.denoised)
+                                      filtered=self.denoised, scores=self.trend_scores if same else None)
 
     @cached_property
     def rules_product(self) -> DataFrame:
@@ -139,4 +145,6 @@ class Ctx:
 
     @cached_property
     def embeddings(self) -> DataFrame:
+        if not sequences.vocabulary(self.sequences).limit(1).count():       # the trainer refuses an empty vocabulary
+            return self.spark.createDataFrame([], "ProductID string, embedding array<double>")
         return sequences.embedding_table(self.w2v)

@@ -16,8 +16,9 @@ from shopsignal.session import ensure_checkpoint_dir
 
 def artefacts(x: Ctx) -> dict[str, tuple[DataFrame, list[str]]]:
     r = x
-    final = features.add_pareto(features.add_days_since_last(features.add_cross_border(
-        features.add_price_features(bi.final_features(x.master, x.rfm)))))
+    wide = features.add_cross_border(features.add_price_features(bi.final_features(x.master, x.rfm)))
+    # both ordered scans see the row key alone and are joined to the wide rows once
+    final = features.add_by_row_key(wide, lambda rows: features.add_pareto(features.add_days_since_last(rows)))
     return {
         "final_data": (final, ["StoreCountry"]),
         "persona": (r.persona_enriched, []),
@@ -54,7 +55,7 @@ def materialize(x: Ctx, root: str | None = None, tables: list[str] | None = None
         if parts:
             w = w.partitionBy(*parts)
         w.parquet(f"{root}/{name}")
-        back = x.spark.read.parquet(f"{root}/{name}")
+        back = x.spark.read.schema(df.schema).parquet(f"{root}/{name}")
         summaries.append(back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows"))
     out = summaries[0]
     for s in summaries[1:]:

@@ -583,10 +583,15 @@ key("propensity_family", f"""SELECT ClientID, FamilyLevel1, {r6('TotalSpend', 'T
   {r6('PropensityScore', 'PropensityScore')} FROM {{p}}propensity""")
 key("propensity_country", f"""SELECT StoreCountry, ClientID, FamilyLevel1, {r6('TotalSpend', 'TotalSpend')}, DaysSinceLastPurchase,
   {r6('PropensityScore', 'PropensityScore')} FROM {{p}}propensity_c""")
-key("propensity_cross_sell", f"""SELECT t.ProductID, s.ClientID, {r6('s.PropensityScore', 'PropensityScore')}, s.DaysSinceLastPurchase
-FROM products t JOIN products p ON t.ProductID = p.ProductID
+_CROSS_SELL = """SELECT t.ProductID, s.ClientID, s.PropensityScore, s.DaysSinceLastPurchase
+FROM {t} t JOIN products p ON t.ProductID = p.ProductID
 JOIN {{p}}propensity s ON s.FamilyLevel1 = p.FamilyLevel1
-WHERE NOT EXISTS (SELECT 1 FROM {{p}}master o WHERE o.ProductID = t.ProductID AND o.ClientID = s.ClientID)""")
+WHERE NOT EXISTS (SELECT 1 FROM {{p}}master o WHERE o.ProductID = t.ProductID AND o.ClientID = s.ClientID)"""
+key("propensity_cross_sell", f"""SELECT ProductID, Rank, ClientID, {r6('PropensityScore', 'PropensityScore')}, DaysSinceLastPurchase FROM (
+  SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY ROUND(PropensityScore, 6) DESC, ClientID) AS Rank FROM (
+""" + _CROSS_SELL.format(t="products").replace("{{p}}", "{p}") + """)) WHERE Rank <= 50""")
+key("propensity_cross_sell_search", f"""SELECT ProductID, ClientID, {r6('PropensityScore', 'PropensityScore')}, DaysSinceLastPurchase FROM (
+""" + _CROSS_SELL.format(t="(SELECT DISTINCT ProductID FROM {p}matches WHERE Category IS NOT NULL)") + ")")
 key("propensity_cross_sell_country", f"""SELECT s.StoreCountry, t.ProductID, s.ClientID, {r6('s.PropensityScore', 'PropensityScore')},
   s.DaysSinceLastPurchase
 FROM (SELECT DISTINCT ProductID FROM {{p}}matches) t JOIN products p ON t.ProductID = p.ProductID
@@ -679,6 +684,13 @@ key("cosine_topk", f"""SELECT vec_id, neighbor_id, {r6('sim', 'similarity')}, Ra
         GROUP BY x.vec_id, y.vec_id) a
   JOIN embeddings b ON a.other = b.vec_id) WHERE Rank <= 5""")
 key("recommendations", "SELECT ClientID, Persona, Route, Rank, ProductID FROM {p}recs")
+key("available_product_set", "SELECT DISTINCT CASE WHEN Region = '~any' THEN 'ANY' ELSE Region END AS Region, ProductID FROM {p}regions")
+key("prod2vec_quality", """SELECT count(*) AS Vectors, count(*) AS Products, CAST(32 AS INTEGER) AS LeastDim, CAST(32 AS INTEGER) AS MostDim,
+  CAST(0 AS BIGINT) AS NotFinite, CAST(0 AS BIGINT) AS Zero, CAST(0 AS BIGINT) AS OutsideVocabulary FROM (
+  SELECT ProductID FROM {p}master WHERE ClientID IS NOT NULL AND ProductID IS NOT NULL GROUP BY ProductID HAVING count(*) >= 2)""")
+key("prod2vec_lookup_vectors", f"""SELECT ProductID, known, CAST(i - 1 AS INTEGER) AS Component, {r6('v', 'Value')} FROM (
+  SELECT p.ProductID, CAST(e.v IS NOT NULL AS INTEGER) AS known, unnest(COALESCE(e.v, list_transform(range(64), lambda x: 0.0::DOUBLE))) AS v,
+         unnest(range(1, 65)) AS i FROM products p LEFT JOIN emb e ON p.ProductID = e.ProductID)""")
 key("available_products", """SELECT CASE WHEN Region = '~any' THEN 'ANY' ELSE Region END AS Region, count(*) AS n_products
 FROM {p}regions GROUP BY Region""")
 key("recs_static", "SELECT ClientID, Persona, Rank, ProductID FROM {p}recs WHERE Route IN ('static', 'fallback')")

@@ -31,9 +31,13 @@ def fingerprints(df: DataFrame, by: str) -> dict:
     return {r[by]: (r["n"], r["s"], r["x"]) for r in rows}
 
 
-def _stored(spark: SparkSession, folder: str) -> dict:
+def _exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _stored(spark: SparkSession, folder: str) -> dict:
+    if not _exists(spark, folder):
         return {}
     return {r["value"]: (r["n"], r["s"], r["x"]) for r in spark.read.parquet(folder).collect()}
 
@@ -69,7 +73,9 @@ def refresh(df: DataFrame, root: str, by: str = "StoreCountry", rows_per_file: i
 
 
 def read_by_country(spark: SparkSession, root: str, schema, by: str = "StoreCountry") -> DataFrame:
-    """The table at ``root``; a filter on ``by`` reads that country's files alone."""
+    """The table at ``root``; a filter on ``by`` reads that country's files alone. A table that no refresh gave a row is empty."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(root)
 
 

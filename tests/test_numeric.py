@@ -39,7 +39,7 @@ def test_quintile_several_columns_in_one_scan(spark):
     df = spark.createDataFrame([(float(i), float(-i), 1.0 if i < 8 else float(i)) for i in range(1, 11)], "a double, b double, c double")
     out = quintile_scores(df, {"a": ("sa", True), "b": ("sb", False), "c": ("sc", True)}).orderBy("a").collect()
     assert [r.sa for r in out] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] == [r.sb for r in out]
-    assert [r.sc for r in out] == [3] * 7 + [4, 5, 5] or [r.sc for r in out] == [2] * 7 + [4, 5, 5]
+    assert [r.sc for r in out] == [2] * 7 + [4, 5, 5]          # the seven share rank 4 of 10: 0.4 is not above 0.4
 
 
 def test_exact_quantile_linear(spark):
