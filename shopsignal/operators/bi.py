@@ -9,7 +9,7 @@ from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import gender_label, money, safe_div
 from shopsignal.operators import customers, products
 from shopsignal.operators.features import AMOUNT, DATE, QTY, row_tiebreak
-from shopsignal.operators.numeric import grouped_quantile, top_k
+from shopsignal.operators.numeric import grouped_quantile, ordered_scan, scanned_quantile, top_k
 
 SAMPLE_PERSONAS = [K.VERY_FREQUENT, K.LOYAL_MID, K.LOYAL_LOW, K.INACTIVE_MID, K.INACTIVE_LOW, K.NO_TRANSACTIONS]
 
@@ -90,17 +90,21 @@ def kpi_headline(master: DataFrame) -> DataFrame:
 
 def country_kpis(master: DataFrame) -> DataFrame:
     """Per store country: revenue, transactions, clients, products, units, mean and exact
-    median sale (the median is a distributed grouped quantile, not a per-group value map)."""
+    median sale (the median is a distributed grouped quantile, not a per-group value map).
+
+    One aggregate by (country, amount) gives the sums and, ordered, the median; the two distinct counts are the other pass.
+    """
     m = master.filter(F.col("StoreCountry").isNotNull())
-    kpi = m.groupBy("StoreCountry").agg(
-        F.sum(AMOUNT).cast("double").alias("total_revenue"),
-        F.count(F.lit(1)).alias("n_transactions"),
-        F.countDistinct("ClientID").alias("n_clients"),
-        F.countDistinct("ProductID").alias("n_products"),
-        F.sum(QTY).cast("bigint").alias("units"),
-        (F.sum(AMOUNT).cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_basket"))
-    med = grouped_quantile(m, ["StoreCountry"], AMOUNT, 0.5, "median_basket")
-    return kpi.join(med, "StoreCountry", "left")
+    amounts = m.groupBy("StoreCountry", AMOUNT).agg(F.count(F.lit(1)).alias("_n"), F.sum(QTY).alias("_units"))
+    values = ordered_scan(amounts, ["StoreCountry"], [AMOUNT], sum_col="_n", prefix="_")        # its checkpoint serves both reads
+    sums = values.groupBy("StoreCountry").agg(
+        F.sum(F.col(AMOUNT) * F.col("_n").cast("decimal(18,0)")).cast("double").alias("total_revenue"), F.sum("_n").alias("n_transactions"),
+        F.sum("_units").cast("bigint").alias("units")) \
+        .withColumn("avg_basket", F.col("total_revenue") / F.col("n_transactions").cast("double"))
+    kpi = m.groupBy("StoreCountry").agg(F.countDistinct("ClientID").alias("n_clients"), F.countDistinct("ProductID").alias("n_products"))
+    med = scanned_quantile(values, ["StoreCountry"], AMOUNT, "_n", "_cum", 0.5, "median_basket")
+    return sums.join(kpi, "StoreCountry", "left").join(med, "StoreCountry", "left").select(
+        "StoreCountry", "total_revenue", "n_transactions", "n_clients", "n_products", "units", "avg_basket", "median_basket")
 
 
 def strategy_matrix(spark, persona_df: DataFrame) -> DataFrame:

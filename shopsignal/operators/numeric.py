@@ -207,14 +207,19 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
     counts = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_cnt")))
     scanned = materialize(ordered_scan(counts, keys, [F.col("_v")], sum_col="_cnt", prefix="_g"), "quantiles")
+    return scanned_quantile(scanned, keys, "_v", "_cnt", "_gcum", p, out)
+
+
+def scanned_quantile(scanned: DataFrame, keys: Sequence[str], value: str, count: str, running: str, p: float, out: str) -> DataFrame:
+    """The quantile of each group from its distinct values with their counts and running counts (an ordered scan's)."""
     h = (F.col("_n") - 1) * F.lit(p)
-    ranks = scanned.groupBy(*keys).agg(F.sum("_cnt").alias("_n")).select(
+    ranks = scanned.groupBy(*keys).agg(F.sum(count).alias("_n")).select(
         *keys, h.alias("_h"), F.floor(h).cast("bigint").alias("_lo"),
         F.least(F.floor(h).cast("bigint") + 1, F.col("_n") - 1).alias("_hi"))
     j = scanned.join(ranks, keys)
-    before = F.col("_gcum") - F.col("_cnt")
+    v, before = F.col(value).cast("double"), F.col(running) - F.col(count)
     picked = j.groupBy(*keys).agg(
-        F.max(F.when((before <= F.col("_lo")) & (F.col("_gcum") > F.col("_lo")), F.col("_v"))).alias("_a"),
-        F.max(F.when((before <= F.col("_hi")) & (F.col("_gcum") > F.col("_hi")), F.col("_v"))).alias("_b"),
+        F.max(F.when((before <= F.col("_lo")) & (F.col(running) > F.col("_lo")), v)).alias("_a"),
+        F.max(F.when((before <= F.col("_hi")) & (F.col(running) > F.col("_hi")), v)).alias("_b"),
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
     return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias(out))
