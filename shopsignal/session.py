@@ -19,6 +19,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -60,5 +61,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def remove_shared(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder: its checkpoints, intermediate tables and default
+    artefact folders (Spark gives every application a folder of its own below ``spark.checkpoint.dir``).
+
+    Call it when no result is needed any more: DataFrames that read intermediate tables cannot be computed after it. The
+    next query starts a new folder. Without the call nothing is deleted but checkpoints whose DataFrames
+    are gone, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    from shopsignal.plans import context
+    context.clear()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        path = sc._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        sc.setCheckpointDir(current.rstrip("/").rsplit("/", 1)[0])
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
