@@ -20,9 +20,8 @@ STEP_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    """A fresh folder in the application's own folder below ``spark.checkpoint.dir``, which driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
