@@ -9,43 +9,77 @@ All documents of a step are searched side by side, one lane each, so a jump is o
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopsignal.llm.common import append_columns, fresh_names, kept, materialize
+from shopsignal.llm.common import append_columns, as_bytes, fresh_names, kept, materialize, shuffle_partitions
+from shopsignal.llm.mixing import prefix_sums
 
 #: bytes other than 0-9, a-z (A-Z lower-cased) and those from 0x80 separate words
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LANE_WORDS = 1024
-SHARD_BYTES = 32 << 20
+SHARD_WORDS = 1_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def _ranks(ids: np.ndarray, m: int) -> np.ndarray:
+    """A number for the run of ``m`` ids at each place, equal for equal runs (places too close to the end get none): by doubling, each step numbers pairs."""
+    rank, size = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while size < m:
+        step = min(size, m - size)          # two runs that overlap cover a length that is no power of two
+        rank = np.unique((rank[:-step] << 32) | rank[step:], return_inverse=True)[1].astype(np.int64)
+        size += step
+    return rank
+
+
 class WuManber:
-    """Search tables of patterns of one length ``m`` (rows of a word-id matrix)."""
+    """Search tables of all runs of ``m`` words in some items; memory is about a hundred bytes a word while it is built, forty after.
 
-    def __init__(self, patterns: np.ndarray):
-        self.patterns, self.m = patterns, patterns.shape[1]
-        self.block = min(2, self.m)
-        m, b = self.m, self.block
-        codes = np.concatenate([self._codes(patterns, end) for end in range(b - 1, m)])
-        shifts = np.repeat(np.arange(m - b, -1, -1), len(patterns))
+    ``ids`` are the items' word ids one after the other, item k in ``first[k]:first[k] + sizes[k]``, none shorter than m.
+    """
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, m: int):
+        self.ids, self.m, self.block = ids.astype(np.int32), m, min(2, m)
+        b = self.block
+        item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(ids)) - np.repeat(first, sizes)
+        # the block that ends at an item's word j ends a pattern if j >= m - 1, else it comes m - 1 - j words before the first pattern's end
+        ends = np.flatnonzero(place >= b - 1)
+        codes, shifts = self._at(self.ids, ends), np.maximum(0, m - 1 - place[ends])
         order = np.lexsort((shifts, codes))
-        self.codes, first = np.unique(codes[order], return_index=True)
-        self.shifts = shifts[order][first]
-        suffix, prefix = self._codes(patterns, m - 1), self._codes(patterns, b - 1)
-        self.order = np.lexsort((prefix, suffix))
-        self.bucket = np.stack([suffix[self.order], prefix[self.order]])
+        codes, shifts = codes[order], shifts[order]
+        least = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        self.codes, self.shifts = codes[least], shifts[least].astype(np.int16)
+        del ends, codes, shifts, order, least
+        # distinct patterns: where one starts, and whose it is
+        starts = np.flatnonzero(place + m <= sizes[item])
+        rank = _ranks(ids, m)[starts]
+        owner = item[starts]
+        order = np.lexsort((owner, rank))
+        rank, owner, starts = rank[order], owner[order], starts[order]
+        fresh = np.r_[True, rank[1:] != rank[:-1]]
+        once = fresh | np.r_[True, owner[1:] != owner[:-1]]
+        self.starts = starts[fresh]
+        self.owners = owner[once]
+        self.owner_ends = np.cumsum(np.bincount((np.cumsum(fresh) - 1)[once], minlength=len(self.starts)))
+        # buckets: patterns sorted by the pair of their last and first block
+        self.suffixes, last = np.unique(self._at(self.ids, self.starts + m - 1), return_inverse=True)
+        self.prefixes, head = np.unique(self._at(self.ids, self.starts + b - 1), return_inverse=True)
+        pair = last.astype(np.int64) * len(self.prefixes) + head
+        self.bucket = np.argsort(pair, kind="stable").astype(np.int32)
+        self.pairs = pair[self.bucket]
 
-    def _codes(self, ids: np.ndarray, end: int) -> np.ndarray:
-        return ids[:, end].astype(np.int64) if self.block == 1 else (ids[:, end - 1].astype(np.int64) << 32) | ids[:, end]
+    def items_of(self, pattern: int) -> np.ndarray:
+        return self.owners[self.owner_ends[pattern - 1] if pattern else 0:self.owner_ends[pattern]]
 
     def _at(self, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
         last = ids[pos].astype(np.int64)
@@ -78,22 +112,24 @@ class WuManber:
 
     def _confirm(self, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = pos - self.m + 1
-        suffix, prefix = self._at(ids, pos), self._at(ids, start + self.block - 1)
-        a = np.searchsorted(self.bucket[0], suffix, "left")
-        z = np.searchsorted(self.bucket[0], suffix, "right")
-        out_p, out_s = [], []
-        while len(a):                                    # one candidate of each position at a time
+        place = []
+        for table, code in ((self.suffixes, self._at(ids, pos)), (self.prefixes, self._at(ids, start + self.block - 1))):
+            at = np.minimum(np.searchsorted(table, code), len(table) - 1)
+            place.append((at, table[at] == code))
+        start = start[place[0][1] & place[1][1]]
+        pair = (place[0][0].astype(np.int64) * len(self.prefixes) + place[1][0])[place[0][1] & place[1][1]]
+        a, z = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
+        out_p, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while True:                                      # one candidate of each position at a time
             live = a < z
-            a, z, start, prefix = a[live], z[live], start[live], prefix[live]
+            a, z, start = a[live], z[live], start[live]
             if not len(a):
-                break
-            same = self.bucket[1][a] == prefix
-            who, at = self.order[a[same]], start[same]
-            match = (ids[at[:, None] + np.arange(self.m)] == self.patterns[who]).all(axis=1)
-            out_p.append(who[match])
-            out_s.append(at[match])
+                return np.concatenate(out_p), np.concatenate(out_s)
+            who = self.bucket[a]
+            match = (ids[start[:, None] + np.arange(self.m)] == self.ids[self.starts[who][:, None] + np.arange(self.m)]).all(axis=1)
+            out_p.append(who[match].astype(np.int64))
+            out_s.append(start[match])
             a = a + 1
-        return np.concatenate(out_p), np.concatenate(out_s)
 
 
 class Searcher:
@@ -101,25 +137,28 @@ class Searcher:
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        ids, sizes, names = array("i"), [], []
         for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if ids else 0):
-                owners.setdefault(tuple(ids[i:i + m]), set()).add(item)
+            if words:
+                ids.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+                sizes.append(len(words))
+                names.append(item)
+        flat, sizes = np.frombuffer(ids, np.int32) if sizes else np.empty(0, np.int32), np.array(sizes, np.int64)
+        first = np.cumsum(sizes) - sizes
         self.classes = []
-        for m in sorted({len(p) for p in owners}):
-            own = [p for p in owners if len(p) == m]
-            self.classes.append((WuManber(np.array(own, np.int64)), [sorted(owners[p]) for p in own]))
+        for m in np.unique(np.minimum(sizes, window)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, window) == m)
+            part = flat[np.repeat(first[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])]
+            self.classes.append((WuManber(part, np.cumsum(sizes[own]) - sizes[own], sizes[own], m), [names[k] for k in own]))
 
-    def search(self, texts: list) -> list[tuple[np.ndarray, list[tuple[int, int, list[str]]]]]:
-        """Per text: its word ids' length, and the occurrences (start, words, items)."""
+    def search(self, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
+        """Word counts of the texts, where each ends in their sequence, and per class the occurrences (pattern, start)."""
         words, lengths = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = words_of(text)
             lengths[i] = len(own)
             words += own
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         del words
         ends = np.cumsum(lengths)
         found = []
@@ -130,12 +169,27 @@ class Searcher:
             lo = (ends - lengths)[doc] + nth * LANE_WORDS
             hi = np.minimum(lo + LANE_WORDS + wm.m - 1, ends[doc])
             p, s = wm.search(ids, lo, hi)
-            found.append((p, s, wm.m, owners))
+            found.append((p, s, wm, owners))
         return lengths, ends, found
 
 
+def _cut(batches, window: int, most: int):
+    """(item, words, text) of the items: words joined by blanks, an item of over ``most`` words in pieces that share window - 1 words."""
+    for batch in batches:
+        out = []
+        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            words = words_of(text)
+            step = max(1, most - window + 1)
+            for a in range(0, max(1, len(words) - window + 1), step):
+                piece = words[a:a + step + window - 1]
+                if piece:
+                    out.append((item, len(piece), b" ".join(piece)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary()))], names=["item", "n", "words"])
+
+
 def mark_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   window: int = 13, share: int = 20, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, dict[str, str]]:
+                   window: int = 13, share: int = 20, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with what the benchmark's word windows hit in each text; and the new columns' names.
 
     New columns (renamed if they clash, see the dict): n_words, n_hit (words inside any occurrence),
@@ -145,26 +199,35 @@ def mark_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     texts have no words and no hits; items with null id or no words take no part; rows repeated in
     either table change nothing; empty tables give no rows or no hits.
 
-    The benchmark is sent to the tasks only in shards of ``shard_bytes`` (a bound checked on its
-    size); a larger one takes several passes over the documents, written between passes.
+    The benchmark is sent to the tasks only in shards of ``shard_words`` words (the last piece of a shard may pass
+    it once more), by running sums of the items' words; larger items are cut, so that the search tables of a worker
+    stay below about 100 bytes * 2 * ``shard_words``, plus their vocabulary. Several shards take several passes over the
+    documents, written between passes.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")) \
         .filter("item is not null and text is not null").distinct()
-    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    pieces = materialize(bench.mapInArrow(lambda b: _cut(b, window, shard_words), "item string, n long, words binary"), "benchmark")
+    size = pieces.agg(F.sum("n")).first()[0] or 0
+    if size > shard_words:
+        order = ["item", "words"]
+        pieces = materialize(prefix_sums(pieces, order, "n", "before", max(1, min(shuffle_partitions(spark), size // shard_words)))
+                             .withColumn("shard", F.floor(F.col("before") / shard_words)), "benchmark")
+        shards = pieces.agg(F.max("shard")).first()[0] + 1
+    else:
+        pieces, shards = pieces.withColumn("shard", F.lit(0)), 1
     names = fresh_names(docs.columns, ("n_words", "n_hit", "hits", "items", "contaminated"))
     n_words, n_hit, hits, items, bad = names.values()
+    new_n, new_h, new_i = fresh_names([*docs.columns, *names.values()], ("_n", "_h", "_i")).values()
     out, columns = docs, docs.columns
     for k in range(shards):
-        own = bench.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else bench
-        rows = own.collect()                               # about shard_bytes at most
-        sent = spark.sparkContext.broadcast([(r.item, r.text) for r in rows])
-        step = append_columns(out, text, [("_n", "bigint"), ("_h", "array<int>"), ("_i", "array<string>")], _scorer(sent, uuid.uuid4().hex, window))
+        rows = pieces.filter(F.col("shard") == k).select("item", "words").collect()                 # about shard_words at most
+        sent = spark.sparkContext.broadcast([(r.item, bytes(r.words)) for r in rows])
+        step = append_columns(out, text, [(new_n, "bigint"), (new_h, "array<int>"), (new_i, "array<string>")], _scorer(sent, uuid.uuid4().hex, window))
         if k == 0:
-            out = step.withColumnsRenamed({"_n": n_words, "_h": hits, "_i": items})
+            out = step.withColumnsRenamed({new_n: n_words, new_h: hits, new_i: items})
         else:
-            out = step.withColumn(hits, F.concat(hits, "_h")).withColumn(items, F.array_union(items, "_i")).drop("_n", "_h", "_i")
+            out = step.withColumn(hits, F.concat(hits, new_h)).withColumn(items, F.array_sort(F.array_union(items, new_i))).drop(new_n, new_h, new_i)
         if shards > 1:
             out = materialize(out, "decontamination")
     if shards > 1:
@@ -185,19 +248,19 @@ def _merged(pairs):
 
 def _scorer(sent, key: str, window: int):
     def score(texts: list) -> list[list]:
-        searcher = kept(("searcher", key), lambda: Searcher(((item, words_of(t.encode())) for item, t in sent.value), window))
+        searcher = kept(("searcher", key), lambda: Searcher(((item, words.split(b" ")) for item, words in sent.value), window))
         lengths, ends, found = searcher.search(texts)
         hits, items = [[] for _ in texts], [[] for _ in texts]
         total = int(ends[-1]) if len(ends) else 0
         if any(len(p) for p, *_ in found):
             cover = np.zeros(total + 1, np.int64)
-            for p, s, m, owners in found:
+            for p, s, wm, owners in found:
                 np.add.at(cover, s, 1)
-                np.add.at(cover, s + m, -1)
+                np.add.at(cover, s + wm.m, -1)
                 doc = np.searchsorted(ends, s, "right")
                 pairs = np.unique(np.stack([doc, p]), axis=1) if len(p) else np.empty((2, 0), np.int64)
                 for d, k in pairs.T.tolist():
-                    items[d] = sorted({*items[d], *owners[k]})
+                    items[d] = sorted({*items[d], *(owners[i] for i in wm.items_of(k))})
             inside = np.cumsum(cover[:-1]) > 0
             for d in np.unique(np.concatenate([np.searchsorted(ends, s, "right") for _, s, _, _ in found])).tolist():
                 a, z = int(ends[d] - lengths[d]), int(ends[d])
