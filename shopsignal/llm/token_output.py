@@ -118,7 +118,7 @@ def _counts(select: np.ndarray) -> np.ndarray:
 #: white space and then a blank: the blank need not start a piece
 ODD_BLANK = re.compile(r" (?<=\s )")
 LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
-MARK = re.compile(r"([.,])(?<=[^\W_][.,])(?= )")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 CUT = re.compile(r"(?<=\S)(?= )")
 TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 FIRST = "\ud800"                # marks a piece without a blank before it; no text can hold it
@@ -141,6 +141,10 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.end = memory, end
+        # a run of marks between a letter or digit and a blank; not those that the library's special strings hold
+        special = {c for token in self.tokenizer.get_added_tokens_decoder().values() for c in token.content}
+        marks = "[" + re.escape("".join(c for c in MARKS if c not in special)) + "]"
+        self.mark = re.compile(rf"{marks}(?<=[^\W_].){marks}*(?= )")
         self._reset([END], np.array([end], np.uint32), np.array([1]))
 
     def _reset(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -155,7 +159,7 @@ class PieceEncoder:
             return [p[1:] if p[0] == " " else FIRST + p for p in CUT.split(text)]
         if "\n" in text:
             text = LINE.sub(f" {FIRST}\n {FIRST}", text)
-        out = MARK.sub(f" {FIRST}\\1", text).split(" ")
+        out = self.mark.sub(f" {FIRST}\\g<0>", text).split(" ")
         if out[0]:
             out[0] = FIRST + out[0]
             return out
@@ -234,8 +238,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, end: int, doc_id: s
                  block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of every whole text, and the id ``end`` after each, to ``folder``.
 
-    Documents go in ascending doc_id, null first; rows of one doc_id in the order of their texts,
-    null first, and a repeated row is written again. Null and empty texts are the end id alone. An
+    Documents go in ascending doc_id, null first; rows of one doc_id in the order of a hash of their texts,
+    by which a frequent doc_id is dealt to many tasks, and a repeated row is written again. Null and empty texts are the end id alone. An
     empty table writes a folder without rows; other columns are not read. ``path`` is a tokenizers
     .json of a byte-level BPE with the usual blank-before-word pattern.
     """
@@ -264,8 +268,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, end: int, doc_id: s
         if names:
             yield _row(part, block, names, counts, ids, arrow)
 
-    base.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()) \
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text") \
+    # equal rows are interchangeable: their numbers deal them out too
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    base.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}) \
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text") \
         .mapInArrow(encode, f"part int, block long, n_ids long, doc_ids array<{kind}>, counts array<long>, offsets array<long>, words binary") \
         .write.parquet(folder)
 

@@ -116,3 +116,27 @@ def test_pieces_and_words_are_exact(text):
 BYTE_IDS, WORD_IDS = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
 ENCODER = token_output.PieceEncoder(vocabulary("byte_bpe_50k.json"), 2)
 COUNTER = token_counts.WordCounter(vocabulary("word_bpe_49k.json"))
+
+
+MARKED = st.text(alphabet=st.sampled_from(list("aé9 _'!#*<|>~.,\n-")), max_size=30)
+
+
+@settings(max_examples=400, deadline=None)
+@given(MARKED)
+def test_runs_of_marks_are_exact(text):
+    for t in (text, text + "<|endoftext|> x", "a" + text + " "):
+        flat, _ = ENCODER.encode([t])
+        assert flat.tolist() == [*BYTE_IDS(t), 2]
+
+
+def test_a_frequent_id_is_dealt_to_many_parts(spark, tmp_path):
+    rows = [(7 if i % 3 else i, f"text {i % 50} of many" if i % 2 else "the same row") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    folder = str(tmp_path / "ids")
+    token_output.write_tokens(df, folder, vocabulary("byte_bpe_50k.json"), end=2)
+    parts = spark.read.parquet(folder).selectExpr("part", "aggregate(transform(doc_ids, d -> int(d = 7)), 0, (a, b) -> a + b) as hot").groupBy("part").sum("hot").collect()
+    assert max(r[1] for r in parts) < 400 and sum(r[1] for r in parts) == 800           # 800 rows of id 7
+    out = token_output.read_tokens(spark, folder).orderBy("start").collect()
+    ids = library("byte_bpe_50k.json")
+    assert [r.doc_id for r in out] == sorted(d for d, _ in rows)
+    assert sum(r.n_tokens for r in out) == sum(len(ids(t)) + 1 for _, t in rows) and out[-1].start + out[-1].n_tokens == sum(r.n_tokens for r in out)
