@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ RUN = 4096
 SEGMENT = 600                    # a multiple of most counts, so runs of one width fill their words
 BLOCK_IDS = 1 << 18
 MEMORY_PIECES = 600_000
+STEP = 4 << 20                  # bytes of text that are cut at once
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -125,6 +127,24 @@ FIRST = "\ud800"                # marks a piece without a blank before it; no te
 END = FIRST + FIRST
 
 
+#: in Arrow strings, which hold no surrogates, the place of FIRST; texts that hold it themselves are odd
+MARKER = "\U0010ffff"
+SPACES = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: white space before a blank or around a line feed, a line feed at an end, or the marker
+ODD = rf"{SPACES} |{SPACES}\n|\n{SPACES}|\A\n|\n\z|{MARKER}"
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. for each of ``sizes`` places."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with place for ``n`` entries."""
+    return np.concatenate([a, np.zeros(max(0, n - len(a)), a.dtype)])
+
+
 class PieceEncoder:
     """Ids of whole texts for a byte-level BPE whose words take the one blank before them.
 
@@ -143,15 +163,16 @@ class PieceEncoder:
         self.limit, self.end = memory, end
         # a run of marks between a letter or digit and a blank; not those that the library's special strings hold
         special = {c for token in self.tokenizer.get_added_tokens_decoder().values() for c in token.content}
-        marks = "[" + re.escape("".join(c for c in MARKS if c not in special)) + "]"
-        self.mark = re.compile(rf"{marks}(?<=[^\W_].){marks}*(?= )")
+        self.marks = "[" + re.escape("".join(c for c in MARKS if c not in special)) + "]"
+        self.mark = re.compile(rf"{self.marks}(?<=[^\W_].){self.marks}*(?= )")
         self._reset([END], np.array([end], np.uint32), np.array([1]))
 
     def _reset(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.memory = {p: i for i, p in enumerate(pieces)}
-        self.ids, self.sizes = ids.astype(np.uint32), sizes.astype(np.int32)
-        self.starts = np.cumsum(sizes) - sizes
-        self.uses = np.zeros(len(pieces), np.int64)
+        self.n_ids, n = len(ids), len(pieces)
+        self.ids = _room(ids.astype(np.uint32), 2 * len(ids))
+        self.sizes, self.starts = _room(sizes.astype(np.int32), 2 * n), _room(np.cumsum(sizes) - sizes, 2 * n)
+        self.uses = np.zeros(2 * n, np.int64)
 
     def split(self, text: str) -> list[str]:
         """The text's pieces; the blank before a piece is left out, FIRST marks that there is none."""
@@ -165,27 +186,56 @@ class PieceEncoder:
             return out
         return out[1:]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has, the end id included."""
-        pieces: list[str] = []
-        last = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                pieces += self.split(t)
-            pieces.append(END)
-            last[i] = len(pieces)
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has, the end id included.
+
+        Texts without odd white space are cut by Arrow, all of them at once, and only their distinct pieces are looked up.
+        """
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        filled = pc.binary_length(column).to_numpy(zero_copy_only=False) > 0
+        odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False) & filled
+        plain = np.flatnonzero(filled & ~odd)
+        n = np.zeros(len(column), np.int64)
+        cut = self._cut(column.take(pa.array(plain)))
+        n[plain] = np.diff(cut.offsets.to_numpy())
+        slow = [self.split(column[int(i)].as_py()) for i in np.flatnonzero(odd)]
+        n[odd] = [len(x) for x in slow]
+        # piece numbers in the texts' order, with END after each
+        ends = np.cumsum(n + 1)
+        k = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        k[_spread(ends[plain] - 1 - n[plain], n[plain])] = self._plain_numbers(cut.flatten())
+        k[_spread((ends - 1 - n)[odd], n[odd])] = self._numbers([p for x in slow for p in x])
+        k[ends - 1] = self._numbers([END])[0]
+        sizes = self.sizes[k].astype(np.int64)
+        last = np.cumsum(sizes)
+        ids = self.ids[_spread(self.starts[k], sizes)]
+        self.uses += np.bincount(k, minlength=len(self.uses))
+        if len(self.memory) > self.limit:
+            self._forget()
+        return ids, np.diff(last[ends - 1], prepend=0)
+
+    def _cut(self, column: pa.Array) -> pa.ListArray:
+        """Pieces as ``split`` makes them, MARKER in the place of FIRST."""
+        column = pc.replace_substring(column, "\n", f" {MARKER}\n {MARKER}")
+        column = pc.replace_substring_regex(column, rf"([\pL\pN])({self.marks}+) ", rf"\1 {MARKER}\2 ")
+        blank = pc.starts_with(column, " ")
+        kind = pa.large_string() if pa.types.is_large_string(column.type) else pa.string()
+        column = pc.if_else(blank, pc.utf8_slice_codeunits(column, 1), pc.binary_join_element_wise(pa.scalar(MARKER, kind), column, pa.scalar("", kind)))
+        return pc.split_pattern(column, " ")
+
+    def _plain_numbers(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        names = [FIRST + p[1:] if p[:1] == MARKER else p for p in coded.dictionary.to_pylist()]
+        return self._numbers(names)[coded.indices.to_numpy()]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The remembered numbers of pieces; new ones are learned."""
         k = np.fromiter(map(self.memory.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(k < 0).tolist()
         if missing:
             self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
             k[missing] = [self.memory[pieces[i]] for i in missing]
-        sizes = self.sizes[k].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[k] - (ends - sizes), sizes)]
-        self.uses += np.bincount(k, minlength=len(self.uses))
-        if len(self.memory) > self.limit:
-            self._forget()
-        return ids, np.diff(ends[last - 1], prepend=0)
+        return k
 
     def _learn(self, pieces: list[str]) -> None:
         parts = {p: (m[1], FIRST + m[2]) for p in pieces if (m := TAIL.fullmatch(p))}
@@ -207,15 +257,19 @@ class PieceEncoder:
         n = len(self.memory)
         self.memory.update(zip(pieces, range(n, n + len(pieces))))
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((x for c in coded for x in c), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes.astype(np.int32)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        more, end = int(sizes.sum()), n + len(pieces)
+        if self.n_ids + more > len(self.ids):
+            self.ids = _room(self.ids, 2 * (self.n_ids + more))
+        if end > len(self.sizes):
+            self.sizes, self.starts, self.uses = (_room(a, 2 * end) for a in (self.sizes, self.starts, self.uses))
+        self.ids[self.n_ids:self.n_ids + more] = np.fromiter((x for c in coded for x in c), np.uint32, more)
+        self.sizes[n:end], self.starts[n:end] = sizes, self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids += more
 
     def _forget(self) -> None:
         """Keep the half of the pieces that were used most."""
         names, self.memory = list(self.memory), {}
-        keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.limit // 2])
+        keep = np.sort(np.argsort(-self.uses[:len(names)], kind="stable")[:self.limit // 2])
         keep = np.unique(np.concatenate([[0], keep]))
         sizes = self.sizes[keep].astype(np.int64)
         ends = np.cumsum(sizes)
@@ -251,8 +305,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, end: int, doc_id: s
         encoder, arrow = kept(("pieces", path, end), lambda: PieceEncoder(path, end)), pa.int64()
         for batch in batches:
             arrow, keys = batch.column(0).type, iter(batch.column(0).to_pylist())
-            for texts in steps(batch.column(1)):
-                flat, n = encoder.encode(texts.to_pylist())
+            for texts in steps(batch.column(1), STEP):
+                flat, n = encoder.encode(texts)
                 ends = np.cumsum(n)
                 at = 0
                 for i, z in enumerate(ends.tolist()):
