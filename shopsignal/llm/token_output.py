@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -233,19 +233,27 @@ class PieceEncoder:
         k = np.fromiter(map(self.memory.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(k < 0).tolist()
         if missing:
-            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            k[missing] = [self.memory[pieces[i]] for i in missing]
+            new = dict.fromkeys([pieces[i] for i in missing])
+            in_turn = self._learn(new)
+            if in_turn and len(new) == len(missing):
+                k[missing] = np.arange(len(self.memory) - len(new), len(self.memory))
+            else:
+                k[missing] = [self.memory[pieces[i]] for i in missing]
         return k
 
-    def _learn(self, pieces: list[str]) -> None:
-        parts = {p: (m[1], FIRST + m[2]) for p in pieces if (m := TAIL.fullmatch(p))}
-        whole = dict.fromkeys(x for p in pieces for x in parts.get(p, (p,)))
-        whole = [p for p in whole if p not in self.memory]
+    def _learn(self, pieces: dict[str, None]) -> bool:
+        """Remember new pieces; whether they got the next numbers in turn."""
+        # a word with marks behind it, where the cuts left it whole, is its two parts
+        ends = [p for p in pieces if not p[-1:].isalnum()]
+        parts = {p: (m[1], FIRST + m[2]) for p in ends if (m := TAIL.fullmatch(p))}
+        whole = list(pieces)
+        if parts:
+            more = dict.fromkeys(x for two in parts.values() for x in two if x not in self.memory)
+            whole = [p for p in whole if p not in parts] + [p for p in more if p not in pieces]
         texts = [p[1:] if p[:1] == FIRST else " " + p for p in whole]
-        coded = [e.ids for a in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)]
-        self._store(whole, coded)
-        pairs = [(p, *x) for p, x in parts.items() if p not in self.memory]
-        self._store([p for p, *_ in pairs], [[*self._own(a), *self._own(b)] for _, a, b in pairs])
+        self._store(whole, [e.ids for a in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)])
+        self._store(list(parts), [[*self._own(a), *self._own(b)] for a, b in parts.values()])
+        return not parts
 
     def _own(self, piece: str) -> list[int]:
         k = self.memory[piece]
@@ -262,7 +270,7 @@ class PieceEncoder:
             self.ids = _room(self.ids, 2 * (self.n_ids + more))
         if end > len(self.sizes):
             self.sizes, self.starts, self.uses = (_room(a, 2 * end) for a in (self.sizes, self.starts, self.uses))
-        self.ids[self.n_ids:self.n_ids + more] = np.fromiter((x for c in coded for x in c), np.uint32, more)
+        self.ids[self.n_ids:self.n_ids + more] = np.fromiter(chain.from_iterable(coded), np.uint32, more)
         self.sizes[n:end], self.starts[n:end] = sizes, self.n_ids + np.cumsum(sizes) - sizes
         self.n_ids += more
 
