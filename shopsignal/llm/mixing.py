@@ -93,7 +93,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     targets = source_targets(sizes, weights=weights, share=share, limit=limit, partitions=n)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     keyed = sized.withColumn("_null", F.col("source").isNull().cast("int")).withColumn("_key", F.substring(key, 1, 16))
-    sums = prefix_sums(keyed, ["_null", "source", "_key", "doc_id", "size"], "size", "_sum", n)
+    sums = prefix_sums(keyed, ["_null", "source", "_key", "doc_id", "size", *keep], "size", "_sum", n)
     # the sum before a source's first document is the total of the sources before it
     firsts = prefix_sums(sizes.withColumn("_null", F.col("source").isNull().cast("int")), ["_null", "source"], "source_size", "_base", n) \
         .select(F.col("source").alias("_s"), "_base")
@@ -110,18 +110,22 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, the one at a cut with its first words only.
 
-    Cases as in ``mix``; a document without words is repeated for the whole epochs alone. Equal rows
-    are told apart by their number only.
+    Cases as in ``mix``; a document without words is repeated for the whole epochs alone. Rows that share
+    their id and size are told apart by all their columns (but maps), equal rows by their number only: they are
+    numbered inside the tasks that hold them, and counts a task give each task's first number.
     """
-    names = fresh_names([*docs.columns, "size", "source_size", "target", "epochs", "part", "taken"], ("_k1", "_k2", "_n", "_e", "_more", "_cut", "_copy"))
-    k1, k2, nth, epochs, more, cut, copy = names.values()
-    row = [F.col(c).cast("string") for c in (doc_id, source, text)]
+    names = fresh_names([*docs.columns, "size", "source_size", "target", "epochs", "part", "taken"], ("_k1", "_k2", "_n", "_e", "_more", "_cut", "_copy", "_task", "_first"))
+    k1, k2, nth, epochs, more, cut, copy, task, first_of_task = names.values()
+    row = [F.col(c) for c, t in docs.dtypes if "map<" not in t and t != "variant"]
     keyed = docs.withColumn(k1, F.xxhash64(*row)).withColumn(k2, F.xxhash64(F.lit("second"), *row))
     slim = mix(keyed, doc_id=doc_id, source=source, text=text, keep=[k1, k2], **options)
     per = slim.groupBy(k1, k2).agg(F.min("epochs").alias(epochs), F.count_if((F.col("part") == F.col("size")) & (F.col("size") > 0)).alias(more),
                                    F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias(cut))
-    number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
-    rows = keyed.withColumn(nth, number).join(per, [k1, k2])
+    within = F.row_number().over(Window.partitionBy(k1, k2, task).orderBy(F.lit(0)))
+    local = materialize(keyed.withColumn(task, F.spark_partition_id()).withColumn(nth, within), "numbered")
+    held = local.groupBy(k1, k2, task).agg(F.count(F.lit(1)).alias(first_of_task))
+    held = held.withColumn(first_of_task, F.sum(first_of_task).over(Window.partitionBy(k1, k2).orderBy(task)) - F.col(first_of_task))     # a row per task
+    rows = local.join(held, [k1, k2, task]).withColumn(nth, F.col(nth) + F.col(first_of_task)).join(per, [k1, k2])
     whole = F.col(epochs) + (F.col(nth) <= F.col(more)).cast("long")
     short = (F.col(nth) == F.col(more) + 1) & (F.col(cut) > 0)
     rows = rows.withColumn(copy, F.explode(F.concat(

@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import pytest
 from helpers import odd_docs
+from pyspark.sql import functions as F
 
 from shopsignal.llm.mixing import mix, mixed_documents
 from shopsignal.llm.queries import op2_source_mix
@@ -73,3 +74,21 @@ def test_repeated_rows_share_a_cut(spark):
 def test_main_path_is_native(spark):
     plan = mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_a_repeated_row_is_numbered_by_many_tasks(spark):
+    """A third of the table is one row; rows that differ only in another column are told apart, and reruns agree."""
+    rows = [(i, f"w{i} of the text", "a" if i % 2 else "b", i) for i in range(400)] + [(7, "one row again and again", "a", 0)] * 200 \
+        + [(9, "same id and text", "b", k) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(8)
+    out = mixed_documents(df)
+    assert out.columns == df.columns
+    got, again = sorted(map(tuple, out.collect())), sorted(map(tuple, mixed_documents(df.repartition(5)).collect()))
+    assert got == again
+    taken = mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    words = defaultdict(int)
+    for _, text, source, _ in got:
+        words[source] += len(text.split())
+    assert {r.source: r.n for r in taken} == dict(words)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_task" in plan
