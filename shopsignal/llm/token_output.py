@@ -31,8 +31,8 @@ ESCAPE = 15
 RUN = 4096
 SEGMENT = 600                    # a multiple of most counts, so runs of one width fill their words
 BLOCK_IDS = 1 << 18
-MEMORY_PIECES = 600_000
-STEP = 4 << 20                  # bytes of text that are cut at once
+MEMORY_PIECES = 500_000
+STEP = 2 << 20                  # bytes of text that are cut at once
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
