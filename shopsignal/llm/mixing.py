@@ -111,21 +111,29 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "s
     """The mix itself: rows of ``docs`` as often as they are taken, the one at a cut with its first words only.
 
     Cases as in ``mix``; a document without words is repeated for the whole epochs alone. Rows that share
-    their id and size are told apart by all their columns (but maps), equal rows by their number only: they are
-    numbered inside the tasks that hold them, and counts a task give each task's first number.
+    their id and size are told apart by all their columns (but maps), equal rows by their number only: those
+    that repeat are written apart and numbered inside the tasks that hold them, and counts a task give each
+    task's first number.
     """
-    names = fresh_names([*docs.columns, "size", "source_size", "target", "epochs", "part", "taken"], ("_k1", "_k2", "_n", "_e", "_more", "_cut", "_copy", "_task", "_first"))
-    k1, k2, nth, epochs, more, cut, copy, task, first_of_task = names.values()
+    names = fresh_names([*docs.columns, "size", "source_size", "target", "epochs", "part", "taken"], ("_k1", "_k2", "_n", "_e", "_more", "_cut", "_copy", "_task", "_first", "_total"))
+    k1, k2, nth, epochs, more, cut, copy, task, first_of_task, total = names.values()
     row = [F.col(c) for c, t in docs.dtypes if "map<" not in t and t != "variant"]
     keyed = docs.withColumn(k1, F.xxhash64(*row)).withColumn(k2, F.xxhash64(F.lit("second"), *row))
     slim = mix(keyed, doc_id=doc_id, source=source, text=text, keep=[k1, k2], **options)
     per = slim.groupBy(k1, k2).agg(F.min("epochs").alias(epochs), F.count_if((F.col("part") == F.col("size")) & (F.col("size") > 0)).alias(more),
-                                   F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias(cut))
-    within = F.row_number().over(Window.partitionBy(k1, k2, task).orderBy(F.lit(0)))
-    local = materialize(keyed.withColumn(task, F.spark_partition_id()).withColumn(nth, within), "numbered")
-    held = local.groupBy(k1, k2, task).agg(F.count(F.lit(1)).alias(first_of_task))
-    held = held.withColumn(first_of_task, F.sum(first_of_task).over(Window.partitionBy(k1, k2).orderBy(task)) - F.col(first_of_task))     # a row per task
-    rows = local.join(held, [k1, k2, task]).withColumn(nth, F.col(nth) + F.col(first_of_task)).join(per, [k1, k2])
+                                   F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias(cut),
+                                   F.count(F.lit(1)).alias(total))
+    per = materialize(per, "taken")
+    rows = keyed.join(per.filter(F.col(total) == 1), [k1, k2]).withColumn(nth, F.lit(1))
+    repeated = materialize(per.filter(F.col(total) > 1), "repeated")
+    if repeated.limit(1).count():
+        within = F.row_number().over(Window.partitionBy(k1, k2, task).orderBy(F.lit(0)))
+        many = keyed.withColumn(task, F.spark_partition_id()).join(repeated.select(k1, k2), [k1, k2], "left_semi")
+        local = materialize(many.withColumn(nth, within), "numbered")
+        held = local.groupBy(k1, k2, task).agg(F.count(F.lit(1)).alias(first_of_task))
+        held = held.withColumn(first_of_task, F.sum(first_of_task).over(Window.partitionBy(k1, k2).orderBy(task)) - F.col(first_of_task))     # a row per task
+        numbered = local.join(held.join(repeated, [k1, k2]), [k1, k2, task]).withColumn(nth, F.col(nth) + F.col(first_of_task))
+        rows = rows.unionByName(numbered.select(rows.columns))
     whole = F.col(epochs) + (F.col(nth) <= F.col(more)).cast("long")
     short = (F.col(nth) == F.col(more) + 1) & (F.col(cut) > 0)
     rows = rows.withColumn(copy, F.explode(F.concat(
