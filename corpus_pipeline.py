@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "corpus-token-ids")
-    token_output.write_tokens(docs, folder, vocabulary("byte_bpe_50k.json"), end=2)
+    # smaller than by default: the workers have been through four stages already
+    token_output.write_tokens(docs, folder, vocabulary("byte_bpe_50k.json"), end=2, step=2 << 20, memory=500_000)
     return token_output.read_tokens(spark, folder)
 
 

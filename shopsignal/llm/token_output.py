@@ -31,8 +31,8 @@ ESCAPE = 15
 RUN = 4096
 SEGMENT = 600                    # a multiple of most counts, so runs of one width fill their words
 BLOCK_IDS = 1 << 18
-MEMORY_PIECES = 500_000
-STEP = 2 << 20                  # bytes of text that are cut at once
+MEMORY_PIECES = 600_000
+STEP = 4 << 20                  # bytes of text that are cut at once
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -297,23 +297,24 @@ def _row(part: int, block: int, docs: list, counts: list, ids: list[np.ndarray],
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, *, end: int, doc_id: str = "doc_id", text: str = "text",
-                 block_ids: int = BLOCK_IDS) -> None:
+                 block_ids: int = BLOCK_IDS, step: int = STEP, memory: int = MEMORY_PIECES) -> None:
     """Write the ids of every whole text, and the id ``end`` after each, to ``folder``.
 
     Documents go in ascending doc_id, null first; rows of one doc_id in the order of a hash of their texts,
     by which a frequent doc_id is dealt to many tasks, and a repeated row is written again. Null and empty texts are the end id alone. An
     empty table writes a folder without rows; other columns are not read. ``path`` is a tokenizers
-    .json of a byte-level BPE with the usual blank-before-word pattern.
+    .json of a byte-level BPE with the usual blank-before-word pattern. ``step`` bytes of text are cut at once
+    and ``memory`` pieces remembered by a worker: they bound its memory and change no result.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
         part, block, ids, names, counts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-        encoder, arrow = kept(("pieces", path, end), lambda: PieceEncoder(path, end)), pa.int64()
+        encoder, arrow = kept(("pieces", path, end, memory), lambda: PieceEncoder(path, end, memory)), pa.int64()
         for batch in batches:
             arrow, keys = batch.column(0).type, iter(batch.column(0).to_pylist())
-            for texts in steps(batch.column(1), STEP):
+            for texts in steps(batch.column(1), step):
                 flat, n = encoder.encode(texts)
                 ends = np.cumsum(n)
                 at = 0
