@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import gender_label, money, safe_div
 from shopsignal.operators import customers, products
-from shopsignal.operators.features import AMOUNT, DATE, QTY, row_tiebreak
+from shopsignal.operators.features import AMOUNT, DATE, QTY, at_moment, row_tiebreak
 from shopsignal.operators.numeric import grouped_quantile, ordered_scan, scanned_quantile, top_k
 
 SAMPLE_PERSONAS = [K.VERY_FREQUENT, K.LOYAL_MID, K.LOYAL_LOW, K.INACTIVE_MID, K.INACTIVE_LOW, K.NO_TRANSACTIONS]
@@ -45,10 +45,15 @@ def final_features(master: DataFrame, rfm: DataFrame) -> DataFrame:
 
 
 def first_sales(master: DataFrame, *columns: str) -> DataFrame:
-    """The first sale row per product, its ``columns``."""
+    """The first sale row per product, its ``columns``.
+
+    The first moment needs two columns of the sales; only the sales of that moment are joined to the
+    dimensions, sorted and compared as rows."""
     tb = [c for c in row_tiebreak(master) if c != "ProductID"]
     order = F.struct(F.col(DATE), *[F.col(c) for c in tb if c != DATE])
-    return (master.filter(F.col("ProductID").isNotNull()).groupBy("ProductID")
+    sold = master.filter(F.col("ProductID").isNotNull())
+    at = F.when(F.count_if(F.col(DATE).isNull()) == 0, F.min(DATE))           # no date sorts before all
+    return (at_moment(sold, "ProductID", at).groupBy("ProductID")
             .agg(F.min_by(F.struct(*columns), order).alias("_r")).select("ProductID", "_r.*"))
 
 
@@ -96,7 +101,7 @@ def country_kpis(master: DataFrame) -> DataFrame:
     """
     m = master.filter(F.col("StoreCountry").isNotNull())
     amounts = m.groupBy("StoreCountry", AMOUNT).agg(F.count(F.lit(1)).alias("_n"), F.sum(QTY).alias("_units"))
-    values = ordered_scan(amounts, ["StoreCountry"], [AMOUNT], sum_col="_n", prefix="_")        # its checkpoint serves both reads
+    values = ordered_scan(amounts, ["StoreCountry"], [AMOUNT], sum_col="_n", prefix="_")        # what it wrote serves both reads
     sums = values.groupBy("StoreCountry").agg(
         F.sum(F.col(AMOUNT) * F.col("_n").cast("decimal(18,0)")).cast("double").alias("total_revenue"), F.sum("_n").alias("n_transactions"),
         F.sum("_units").cast("bigint").alias("units")) \
@@ -139,7 +144,7 @@ def stock_medians(stocks: DataFrame) -> DataFrame:
 
 
 def stock_health_by_country(stocks: DataFrame) -> DataFrame:
-    s = stocks.join(stock_medians(stocks), "StoreCountry")
+    s = stocks.join(F.broadcast(stock_medians(stocks)), "StoreCountry")     # a row per country
     return s.groupBy("StoreCountry").agg(
         F.countDistinct("ProductID").alias("total_skus"),
         F.count_if(F.col("Quantity") == 0).alias("zero_stock"),
@@ -276,7 +281,7 @@ def store_metrics(master: DataFrame) -> DataFrame:
 
 
 def overstock(stocks: DataFrame, products_df: DataFrame, k: int = 15) -> DataFrame:
-    over = stocks.join(stock_medians(stocks), "StoreCountry").filter(F.col("Quantity") > F.col("_med"))
+    over = stocks.join(F.broadcast(stock_medians(stocks)), "StoreCountry").filter(F.col("Quantity") > F.col("_med"))
     t = top_k(over, ["StoreCountry"], [F.col("Quantity").desc(), F.col("ProductID")], k)
     info = products_df.select("ProductID", F.col("FamilyLevel2").alias("Product"), "Category",
                               F.col("FamilyLevel1").alias("SportFamily"))
