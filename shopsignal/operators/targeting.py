@@ -71,11 +71,17 @@ def search_target_personas(matches: DataFrame, index: DataFrame, client_feats: D
             .agg(F.count(F.lit(1)).alias("Clients")))
 
 
+def sales_under_rules(rules: DataFrame, master: DataFrame) -> DataFrame:
+    """(ProductID, ClientID) of the sales of products that a rule names."""
+    named = rules.select(F.explode(F.array("antecedent", "consequent")).alias("ProductID")).distinct()
+    return master.filter(F.col("ClientID").isNotNull()).select("ProductID", "ClientID").join(named, "ProductID", "left_semi")
+
+
 def reverse_rule_targets(rules: DataFrame, master: DataFrame, persona_df: DataFrame) -> DataFrame:
     """For every rule consequent (target): buyers of its driver products (antecedents of
     rules into it) who never bought the target."""
     drivers = rules.select(F.col("consequent").alias("Target"), F.col("antecedent").alias("ProductID")).distinct()
-    bought = master.filter(F.col("ClientID").isNotNull()).select("ProductID", "ClientID").distinct()
+    bought = sales_under_rules(rules, master).distinct()
     cand = drivers.join(bought, "ProductID").select("Target", "ClientID").distinct()
     owners = bought.select(F.col("ProductID").alias("Target"), "ClientID")
     t = cand.join(owners, ["Target", "ClientID"], "left_anti")
