@@ -84,6 +84,6 @@ def search_audiences(hits: DataFrame, products: DataFrame, index_bits: DataFrame
     p = products.select("ProductID", F.explode(F.array(
         F.struct(F.lit("FamilyLevel2").alias("Kind"), F.col("FamilyLevel2").alias("Key")),
         F.struct(F.lit("Category").alias("Kind"), F.col("Category").alias("Key")))).alias("k")).select("ProductID", "k.*").dropna().distinct()
-    keys = found.join(p, "ProductID").select("term", "Kind", "Key").distinct()
+    keys = found.join(p.hint("merge"), "ProductID").select("term", "Kind", "Key").distinct()
     audience = sizes(united(keys.join(index_bits, ["Kind", "Key"]), ["term"]), ["term"], "Audience")
     return matches.join(audience, "term", "left").select("term", "Matches", F.coalesce("Audience", F.lit(0)).alias("Audience"))

@@ -75,8 +75,9 @@ def search_terms(products: DataFrame, terms: DataFrame, fields: Sequence[str] =
     numbers = asked.filter(_is_number(F.col("term"))).select("term", F.trim(F.col("term")).alias("t"))
     as_id = F.concat(F.when(F.regexp_extract("t", "^-*", 0) == "-", F.lit("-")).otherwise(F.lit("")), F.regexp_extract("t", "^-*0*([0-9]+)$", 1))
     by_id = numbers.filter(F.col("t").rlike("^-?[0-9]+$")).select("term", F.when(as_id == "-0", F.lit("0")).otherwise(as_id).alias("ProductID")) \
-                   .join(products.select("ProductID").distinct(), "ProductID").select("term", "ProductID")
+                   .join(products.select("ProductID").distinct().hint("merge"), "ProductID").select("term", "ProductID")
 
+    # the optimizer does not count the rows that an explode makes: exploded tables are merged, never broadcast
     by_product = catalogue_texts(products, fields)
     texts = by_product.select("text").distinct()
     grams = texts.select("text", F.explode(_grams(_folded(F.col("text")))).alias("gram"))
@@ -86,5 +87,5 @@ def search_terms(products: DataFrame, terms: DataFrame, fields: Sequence[str] =
     # an n-gram that no text has is the rarest of all, and fetches nothing
     rarest = needed.join(spread, "gram", "left").groupBy("term", "branch").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     keys = rarest.select("term", F.col("r.gram").alias("gram")).distinct()
-    found = keys.join(grams, "gram").filter(F.expr("text rlike concat('(?i)', term)")).select("term", "text").distinct()
-    return found.join(by_product, "text").select("term", "ProductID").unionByName(by_id).distinct()
+    found = keys.join(grams.hint("merge"), "gram").filter(F.expr("text rlike concat('(?i)', term)")).select("term", "text").distinct()
+    return found.join(by_product.hint("merge"), "text").select("term", "ProductID").unionByName(by_id).distinct()
