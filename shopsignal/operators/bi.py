@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shopsignal.functions import constants as K
 from shopsignal.functions.scalar import gender_label, money, safe_div
 from shopsignal.operators import customers, products
-from shopsignal.operators.features import AMOUNT, DATE, QTY, at_moment, row_tiebreak
-from shopsignal.operators.numeric import grouped_quantile, ordered_scan, scanned_quantile, top_k
+from shopsignal.operators.features import AMOUNT, DATE, QTY, at_moment, row_tiebreak, spread_key
+from shopsignal.operators.numeric import grouped_quantile, materialize, ordered_scan, scanned_quantile, top_k
 
 SAMPLE_PERSONAS = [K.VERY_FREQUENT, K.LOYAL_MID, K.LOYAL_LOW, K.INACTIVE_MID, K.INACTIVE_LOW, K.NO_TRANSACTIONS]
 
@@ -36,12 +36,18 @@ def persona_samples(persona_df: DataFrame, per_persona: int = 2) -> DataFrame:
 
 
 def final_features(master: DataFrame, rfm: DataFrame) -> DataFrame:
-    """Join-back of the per-client and per-product features onto every sale (C2)."""
-    pf = products.product_tiers(products.product_features(master)).drop("FirstSale", "LastSale")
-    fav = customers.favorite_category(master)
+    """Join-back of the per-client and per-product features onto every sale (C2).
+
+    Sales are dealt out twice, however wide: once by product, under the key by which they met the products, and once
+    by client, to whose scores the favourite category is joined first."""
+    pf = products.product_tiers(materialize(products.product_features(master), "product-features")).drop("FirstSale", "LastSale")   # read twice
     r = rfm.drop("FirstPurchase", "LastPurchase")
-    out = master.join(r, "ClientID", "left").join(pf, "ProductID", "left")
-    return customers.add_favorite_flags(out, fav)
+    per_client = r.join(customers.favorite_category(master), "ClientID", "full")       # a row per client on either side
+    out = master.join(pf.withColumnRenamed("ProductID", "_product"), spread_key("ProductID") == F.col("_product"), "left").drop("_product")
+    out = out.join(per_client.withColumnRenamed("ClientID", "_client"), spread_key("ClientID") == F.col("_client"), "left").drop("_client")
+    keys = ["ClientID", "ProductID"]
+    columns = [*keys, *[c for d in (master, r, pf) for c in d.columns if c not in keys]]
+    return customers.favorite_flags(out.select(*columns, "FavoriteCategory"))
 
 
 def first_sales(master: DataFrame, *columns: str) -> DataFrame:
