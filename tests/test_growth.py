@@ -2,10 +2,11 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopsignal.operators import audiences, bi, cleaning, customers, targeting, term_search
+from shopsignal.operators import audiences, baskets, bi, cleaning, customers, features, numeric, recommend, similarity, targeting, term_search
 from shopsignal.plans.oracle import ORACLE_SQL
 from shopsignal.sources import retail
 
@@ -94,3 +95,93 @@ def test_sales_under_rules(spark):
     rules = spark.createDataFrame([("p1", "p2")], "antecedent string, consequent string")
     sales = spark.createDataFrame([("p1", "c1"), ("p2", "c2"), ("p3", "c1"), ("p1", None)], "ProductID string, ClientID string")
     assert sorted(map(tuple, targeting.sales_under_rules(rules, sales).collect())) == [("p1", "c1"), ("p2", "c2")]
+
+
+def test_stock_by_product_is_not_exchanged_for_its_regions(spark, folder, monkeypatch):
+    monkeypatch.setattr(retail, "GRID_PARTS", 10)
+    stocks = retail.fixture_stocks(spark, folder)
+    assert stocks.rdd.getNumPartitions() == 21               # 202 parts, 10 a task
+    regions = recommend.available_products(stocks)
+    assert plan(regions).count("Exchange hashpartitioning") == 1      # of the parts alone
+    rows = {(r.StoreCountry, r.ProductID) for r in stocks.filter("Quantity > 0").collect()}
+    want = rows | {(recommend.ANY_COUNTRY, p) for _, p in rows}
+    got = [(r.Region, r.ProductID) for r in regions.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_only_the_asked_routes_are_made(spark):
+    personas = spark.createDataFrame([("c1", "No Transactions"), ("c2", "Loyal (Low Freq)"), ("c3", "Inactive (Low Freq)")], "ClientID string, Persona string")
+    last = spark.createDataFrame([("c2", "p1", "f1", "FR", dt.datetime(2024, 1, 1))], "ClientID string, LastProductID string, LastFamilyLevel2 string, LastClientCountry string, LastDate timestamp")
+    popular = spark.createDataFrame([("p1", 1.0, "f1", 1), ("p2", 1.0, "f2", 2)], "ProductID string, FinalScore double, FamilyLevel2 string, Rank int")
+    rules = spark.createDataFrame([("p1", "p3", 2.0)], "antecedent string, consequent string, lift double")
+    stocks = spark.createDataFrame([("FR", "p1", 1), ("FR", "p2", 0), ("FR", "p3", 4), ("DE", "p2", 1)], "StoreCountry string, ProductID string, Quantity int")
+    whole = recommend.recommendations(personas, last, popular, popular, rules, stocks)
+    some = recommend.recommendations(personas, last, popular, popular, None, stocks, routes=["static", "fallback"])      # no rule is read
+    rows = lambda df: sorted((r.ClientID, r.Route, r.Rank, r.ProductID) for r in df.collect())
+    assert rows(some) == [r for r in rows(whole) if r[1] in ("static", "fallback")] and rows(some)
+    assert ("c2", "loyal", 1, "p3") in rows(whole)
+
+
+def test_sales_are_dealt_out_once_by_product_and_once_by_client(spark, make_tx):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tx = make_tx([{"ClientID": c, "ProductID": p, "amount": 10 * i + 1} for i, (c, p) in enumerate([("c1", "p1"), ("c1", "p2"), (None, "p1"), ("c2", None)])])
+        products = spark.createDataFrame([("p1", "A"), ("p2", "B")], "ProductID string, Category string")
+        m = tx.join(products.groupBy("ProductID").agg(F.min("Category").alias("Category")).withColumnRenamed("ProductID", "_key"),
+                    features.spread_key("ProductID") == F.col("_key"), "left").drop("_key")
+        rfm = spark.createDataFrame([("c1", 3)], "ClientID string, RFM_Score int")
+        out = bi.final_features(m, rfm)
+        # by product: the rows, and the sales whose categories are added up to the favourite
+        assert plan(out).count("Exchange hashpartitioning(coalesce(ProductID") == 2
+        assert plan(out).count("Exchange hashpartitioning(coalesce(ClientID") == 1
+        got = sorted((r.ClientID or "", r.ProductID or "", r.RFM_Score, r.FavoriteCategory, r.IsFavoriteCategory, r.ProductTransactionCount) for r in out.collect())
+        assert got == [("", "p1", None, None, 0, 2), ("c1", "p1", 3, "B", 0, 2), ("c1", "p2", 3, "B", 1, 1), ("c2", "", None, None, 0, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_large_dimension_is_not_sent_through_the_driver(spark, make_tx, monkeypatch):
+    products = spark.createDataFrame([(f"p{i}", "A", "B", "C", "D") for i in range(3)], "ProductID string, Category string, FamilyLevel1 string, FamilyLevel2 string, Universe string")
+    clients = spark.createDataFrame([], "ClientID string, ClientSegment string, ClientCountry string, ClientGender string, HasEmail int, HasPhone int, HasContact int")
+    stores = spark.createDataFrame([], "StoreID string, StoreCountry string")
+    sold = lambda p: features.master_join(make_tx([{"ProductID": "p1"}]), p, clients, stores).groupBy("Category").count()
+    assert "SortMergeJoin" not in plan(sold(numeric.sized(products)))
+    monkeypatch.setattr(numeric, "BROADCAST_ROWS", 2)
+    assert "SortMergeJoin" in plan(sold(numeric.sized(products)))
+    assert [tuple(r) for r in sold(numeric.sized(products)).collect()] == [("A", 1)]
+
+
+def test_vectors_are_projected_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    v, planes = rng.standard_normal((50, 8)), rng.standard_normal((8, 12))
+    whole = similarity.bucket_keys(v, planes, 4, 3)
+    held = []
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            held.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+    monkeypatch.setattr(similarity, "SCORE_BYTES", 16 * 12 * 7)
+    assert (similarity.bucket_keys(v.view(Watched), planes, 4, 3) == whole).all() and max(held) == 7
+    assert whole.max() < 8 and whole[0, 1] == sum((v[0] @ planes[:, 3 + b] >= 0) << b for b in range(3))
+
+
+def test_pattern_growth_has_more_tasks_where_there_are_more_sales(spark, make_tx, monkeypatch):
+    from pyspark.ml import fpm
+    seen, real = [], fpm.FPGrowth
+    monkeypatch.setattr(fpm, "FPGrowth", lambda **k: seen.append(k["numPartitions"]) or real(**k))
+    monkeypatch.setattr(baskets, "TREE_ROWS", 2)
+    tx = make_tx([{"BasketID": f"b{i // 3}", "ProductID": f"p{i % 4}"} for i in range(60)])
+    got = baskets.rules_by_pattern_growth(tx, min_count=2)
+    want = baskets.association_rules(tx, min_count=2)
+    rows = lambda df: sorted((r.antecedent, r.consequent, r.pair_count) for r in df.collect())
+    assert rows(got) == rows(want) and seen == [30]
+
+
+def test_refreshed_sales_meet_their_stores_once(spark, monkeypatch):
+    from shopsignal.plans import catalog, storage
+    from shopsignal.plans.context import context
+    seen, real = [], storage.refresh
+    monkeypatch.setattr(catalog.storage, "refresh", lambda df, root: seen.append(plan(df)) or real(df, root))
+    catalog.q_country_refresh(context(spark, "/root/testdata/sf0.001"))
+    assert len(seen) == 2 and not any("Join" in p for p in seen)
