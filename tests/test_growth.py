@@ -170,8 +170,8 @@ def test_vectors_are_projected_in_slices(monkeypatch):
 
 def test_pattern_growth_has_more_tasks_where_there_are_more_sales(spark, make_tx, monkeypatch):
     from pyspark.ml import fpm
-    seen, real = [], fpm.FPGrowth
-    monkeypatch.setattr(fpm, "FPGrowth", lambda **k: seen.append(k["numPartitions"]) or real(**k))
+    seen, real = [], fpm.FPGrowth.fit
+    monkeypatch.setattr(fpm.FPGrowth, "fit", lambda self, sets: seen.append(self.getOrDefault("numPartitions")) or real(self, sets))
     monkeypatch.setattr(baskets, "TREE_ROWS", 2)
     tx = make_tx([{"BasketID": f"b{i // 3}", "ProductID": f"p{i % 4}"} for i in range(60)])
     got = baskets.rules_by_pattern_growth(tx, min_count=2)
