@@ -154,6 +154,20 @@ def test_a_large_dimension_is_not_sent_through_the_driver(spark, make_tx, monkey
     assert [tuple(r) for r in sold(numeric.sized(products)).collect()] == [("A", 1)]
 
 
+def test_many_orders_are_not_sent_through_the_driver(spark, monkeypatch, tmp_path):
+    from shopsignal.sources.retail import fixture_transactions
+    spark.sql("SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 2 AS l_quantity, 3.0 AS l_extendedprice FROM range(4)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, timestamp_ntz'1998-01-01 00:00:00' AS o_orderdate FROM range(3)").write.parquet(f"{tmp_path}/orders.parquet")
+    few = fixture_transactions(spark, str(tmp_path))
+    assert "SortMergeJoin" not in plan(few)
+    monkeypatch.setattr(numeric, "BROADCAST_ROWS", 2)
+    many = fixture_transactions(spark, str(tmp_path))
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert sorted(r.BasketID for r in many.collect()) == sorted(r.BasketID for r in few.collect()) == ["0", "1", "2"]
+    since = fixture_transactions(spark, str(tmp_path), since=dt.datetime(2021, 1, 1))
+    assert "SortMergeJoin" in plan(since) and since.count() == 3
+
+
 def test_vectors_are_projected_in_slices(monkeypatch):
     rng = np.random.default_rng(5)
     v, planes = rng.standard_normal((50, 8)), rng.standard_normal((8, 12))
