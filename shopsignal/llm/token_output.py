@@ -33,6 +33,7 @@ SEGMENT = 600                    # a multiple of most counts, so runs of one wid
 BLOCK_IDS = 1 << 18
 MEMORY_PIECES = 600_000
 STEP = 4 << 20                  # bytes of text that are cut at once
+LEARN = 4096                    # pieces that the library encodes at once
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -165,6 +166,8 @@ class PieceEncoder:
         special = {c for token in self.tokenizer.get_added_tokens_decoder().values() for c in token.content}
         self.marks = "[" + re.escape("".join(c for c in MARKS if c not in special)) + "]"
         self.mark = re.compile(rf"{self.marks}(?<=[^\W_].){self.marks}*(?= )")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self._line_feed()
         self._reset([END], np.array([end], np.uint32), np.array([1]))
 
     def _reset(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -225,8 +228,10 @@ class PieceEncoder:
 
     def _plain_numbers(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
-        names = [FIRST + p[1:] if p[:1] == MARKER else p for p in coded.dictionary.to_pylist()]
-        return self._numbers(names)[coded.indices.to_numpy()]
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(pc.starts_with(coded.dictionary, MARKER).to_numpy(zero_copy_only=False)).tolist():
+            names[i] = FIRST + names[i][1:]
+        return self._numbers(names.tolist())[coded.indices.to_numpy()]
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The remembered numbers of pieces; new ones are learned."""
@@ -250,27 +255,58 @@ class PieceEncoder:
         if parts:
             more = dict.fromkeys(x for two in parts.values() for x in two if x not in self.memory)
             whole = [p for p in whole if p not in parts] + [p for p in more if p not in pieces]
-        texts = [p[1:] if p[:1] == FIRST else " " + p for p in whole]
-        self._store(whole, [e.ids for a in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)])
-        self._store(list(parts), [[*self._own(a), *self._own(b)] for a, b in parts.values()])
+        for a in range(0, len(whole), LEARN):
+            some = whole[a:a + LEARN]
+            self._store(some, *self._library(some))
+        if parts:
+            two = [(self._own(a), self._own(b)) for a, b in parts.values()]
+            self._store(list(parts), np.concatenate(list(chain.from_iterable(two))), np.array([len(a) + len(b) for a, b in two]))
         return not parts
 
-    def _own(self, piece: str) -> list[int]:
+    def _line_feed(self) -> int | None:
+        """The id of a line feed that stands alone between two pieces; None if the tokenizer has none."""
+        own = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        feed = own("\n")
+        whole = len(feed) == 1 and own("a\n a\na") == own("a") + feed + own(" a") + feed + own("a")
+        return feed[0] if whole and not any("\n" in t for t in self.special) else None
+
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has.
+
+        Pieces without white space go to the library as one text, a line on its own each; it takes its time per text."""
+        texts = [p[1:] if p[:1] == FIRST else " " + p for p in pieces]
+        joined = "\n".join(texts)
+        if self.feed is not None and joined.split() == [t[t[:1] == " ":] for t in texts] and not any(t in joined for t in self.special):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) == len(texts) - 1:
+                return np.delete(ids, feeds), np.diff(np.r_[-1, feeds, len(ids)]) - 1
+        elif len(pieces) > 1:               # what keeps the others from being joined goes alone
+            odd = np.array([t.split() != [t[t[:1] == " ":]] or any(s in t for s in self.special) for t in texts])
+            if odd.any() and not odd.all():
+                groups = [self._library([p for p, o in zip(pieces, odd.tolist()) if o == kind]) for kind in (False, True)]
+                sizes = np.zeros(len(pieces), np.int64)
+                sizes[~odd], sizes[odd] = groups[0][1], groups[1][1]
+                first = np.zeros(len(pieces), np.int64)
+                first[~odd], first[odd] = np.cumsum(groups[0][1]) - groups[0][1], len(groups[0][0]) + np.cumsum(groups[1][1]) - groups[1][1]
+                return np.concatenate([groups[0][0], groups[1][0]])[_spread(first, sizes)], sizes
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
+    def _own(self, piece: str) -> np.ndarray:
         k = self.memory[piece]
-        return self.ids[self.starts[k]:self.starts[k] + self.sizes[k]].tolist()
+        return self.ids[self.starts[k]:self.starts[k] + self.sizes[k]]
 
-    def _store(self, pieces: list[str], coded: list[list[int]]) -> None:
-        if not pieces:
-            return
+    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.memory)
         self.memory.update(zip(pieces, range(n, n + len(pieces))))
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        more, end = int(sizes.sum()), n + len(pieces)
+        more, end = len(ids), n + len(pieces)
         if self.n_ids + more > len(self.ids):
             self.ids = _room(self.ids, 2 * (self.n_ids + more))
         if end > len(self.sizes):
             self.sizes, self.starts, self.uses = (_room(a, 2 * end) for a in (self.sizes, self.starts, self.uses))
-        self.ids[self.n_ids:self.n_ids + more] = np.fromiter(chain.from_iterable(coded), np.uint32, more)
+        self.ids[self.n_ids:self.n_ids + more] = ids
         self.sizes[n:end], self.starts[n:end] = sizes, self.n_ids + np.cumsum(sizes) - sizes
         self.n_ids += more
 

@@ -140,3 +140,25 @@ def test_a_frequent_id_is_dealt_to_many_parts(spark, tmp_path):
     ids = library("byte_bpe_50k.json")
     assert [r.doc_id for r in out] == sorted(d for d, _ in rows)
     assert sum(r.n_tokens for r in out) == sum(len(ids(t)) + 1 for _, t in rows) and out[-1].start + out[-1].n_tokens == sum(r.n_tokens for r in out)
+
+
+def test_new_pieces_reach_the_library_together(monkeypatch):
+    encoder, texts = token_output.PieceEncoder(vocabulary("byte_bpe_50k.json"), 2), []
+
+    class Watched:
+        def encode_batch_fast(self, batch, add_special_tokens):
+            texts.extend(batch)
+            return library_itself.encode_batch_fast(batch, add_special_tokens=add_special_tokens)
+    library_itself, encoder.tokenizer = encoder.tokenizer, Watched()
+    text = " ".join(f"word{i}é" for i in range(5000)) + " <|endoftext|>tail\x1c odd　space \n end\nof \t  it"
+    flat, _ = encoder.encode([text, text])
+    assert flat.tolist() == [*BYTE_IDS(text), 2] * 2
+    assert len(texts) < 50                                   # not one for each piece
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab1.'é²\t\x1c\x85　\n<|")), max_size=6) | st.sampled_from(["<|endoftext|>", "\n", token_output.FIRST]), min_size=1, max_size=12, unique=True))
+def test_pieces_encoded_together_are_those_encoded_alone(pieces):
+    ids, sizes = ENCODER._library(pieces)
+    alone = [BYTE_IDS(p[1:] if p[:1] == token_output.FIRST else " " + p) for p in pieces]
+    assert ids.tolist() == [i for own in alone for i in own] and sizes.tolist() == [len(own) for own in alone]
