@@ -94,11 +94,10 @@ def paths(turns: DataFrame) -> DataFrame:
 
 def sequences(p: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The end of every conversation (conv_id, name, depth, total), and the distinct ones (seq, name, depth, total, n)."""
-    last = p.groupBy("conv_id").agg(F.max("depth").alias("depth"), F.max("total").alias("total"))
-    names = p.join(last.select(F.col("conv_id").alias("c"), F.col("depth").alias("d")), (F.col("conv_id") == F.col("c")) & (F.col("depth") == F.col("d"))) \
-             .select("conv_id", "name", "depth", "total")
-    bare = ids.join(last, "conv_id", "left_anti").select("conv_id", root_name().alias("name"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("total"))
-    ends = materialize(names.unionByName(bare), "ends")
+    none = F.lit(0).cast("long")
+    both = p.select("conv_id", "depth", "name", "total").unionByName(      # a conversation without turns ends at the root
+        ids.select("conv_id", none.alias("depth"), root_name().alias("name"), none.alias("total")))
+    ends = materialize(both.groupBy("conv_id").agg(F.max_by("name", "depth").alias("name"), F.max("depth").alias("depth"), F.max("total").alias("total")), "ends")
     distinct = ends.groupBy("name", "depth", "total").agg(F.min("conv_id").alias("seq"), F.count(F.lit(1)).alias("n"))
     return ends, materialize(distinct, "sequences")
 
@@ -181,25 +180,25 @@ def insert(batch: DataFrame, nodes: DataFrame | None, p: DataFrame, longest: int
     # below the exit: prefixes that no earlier conversation has
     tails = at.select("seq", "m").join(p.select(F.col("conv_id").alias("seq"), "depth", "name", "up"), "seq").filter("depth > m")
     fresh = materialize(tails.groupBy("name", "depth", "up").agg(F.min("seq").alias("owner")), "fresh")
-    children = fresh.groupBy(F.col("up").alias("name")).agg(F.count(F.lit(1)).alias("children"))
-    ending = batch.select("name").distinct().withColumn("ends", F.lit(True))
-    grown = fresh.join(children, "name", "left").join(ending, "name", "left") \
-                 .filter((F.coalesce("children", F.lit(0)) != 1) | F.col("ends")).select("name", "depth", "owner")
+    told = fresh.select(F.col("up").alias("name"), F.lit(1).alias("child")).unionByName(batch.select("name", F.lit(0).alias("child")))   # children and ends
+    inner = told.groupBy("name").agg(F.sum("child").alias("children"), F.min("child").alias("least")).filter("children = 1 and least = 1")
+    grown = fresh.join(inner, "name", "left_anti").select("name", "depth", "owner")
     starts = fresh.groupBy("owner").agg((F.min("depth") - 1).alias("base"))
     lines = grown.join(starts, "owner").select(F.concat(F.lit("new "), F.col("owner")).alias("line"), "depth", "name", "owner", "base")
     # on exit edges: a node where a conversation leaves or ends inside
     if nodes is not None:
         cuts = at.filter(F.col("exit").isNotNull() & (F.col("m") < F.col("e"))).groupBy("exit", "exit_low", "m").agg(F.min("seq").alias("seq"))
-        cuts = cuts.join(p.select(F.col("conv_id").alias("seq"), F.col("depth").alias("m"), "name"), ["seq", "m"])
-        split = cuts.select("exit").distinct()
-        cut_nodes = nodes.join(split, F.col("name") == F.col("exit"), "left_semi")
+        cuts = materialize(cuts.join(p.select(F.col("conv_id").alias("seq"), F.col("depth").alias("m"), "name"), ["seq", "m"]), "cuts")
+        split = cuts.select("exit").distinct().withColumn("cut", F.lit(True))
+        nodes = materialize(nodes.join(split, F.col("name") == F.col("exit"), "left").drop("exit"), "marked")
+        cut_nodes = nodes.filter("cut")
         line = F.concat(F.lit("edge "), F.col("exit").cast("string"))
         lines = lines.unionByName(cuts.select(line.alias("line"), F.col("m").alias("depth"), "name", F.col("seq").alias("owner"), F.col("exit_low").alias("base"))) \
                      .unionByName(cut_nodes.select(F.concat(F.lit("edge "), F.col("name").cast("string")).alias("line"), "depth", "name", "owner", F.col("low").alias("base")))
     scanned = ordered_scan(lines, ["line"], ["depth"], lag_cols=["depth"], prefix="e_")
     new = with_handles(scanned.select("name", "depth", "owner", F.coalesce("e_prev_depth", "base").alias("low")), p)
     if nodes is not None:
-        new = new.unionByName(nodes.join(split, F.col("name") == F.col("exit"), "left_anti").select(new.columns))
+        new = new.unionByName(nodes.filter("cut is null").select(new.columns))
     return materialize(new, "trie")
 
 
@@ -214,7 +213,7 @@ def build(p: DataFrame, distinct: DataFrame) -> DataFrame | None:
         up = done + share if i + 1 < len(BATCHES) else 1.0
         batch = todo.filter((u >= int(done * (1 << 20))) & (u < int(up * (1 << 20))))
         done = up
-        if batch.limit(1).count():
+        if batch.head(1):
             nodes = insert(batch, nodes, p, longest)
     return nodes
 
@@ -234,7 +233,7 @@ def subtrees(nodes: DataFrame | None, distinct: DataFrame) -> DataFrame:
         (F.col("total") - F.col("spent")).cast("decimal(38,0)").alias("edge_bytes"), F.col("children").isNull().cast("long").alias("leaves"), F.col("seq").alias("least"),
         F.coalesce("n", F.lit(0)).alias("ends"), F.col("parent").alias("above")), "subtrees")
     sums = ["n", "all_bytes", "edge_bytes", "leaves"]
-    while cur.filter("above is not null").limit(1).count():
+    while cur.filter("above is not null").head(1):
         given = cur.filter("above is not null").groupBy(F.col("above").alias("to")).agg(
             *[F.sum(c).alias(f"more_{c}") for c in sums], F.min("least").alias("more_least"))
         hops = cur.filter("above is not null").select(F.col("name").alias("via"), F.col("above").alias("next"))

@@ -122,3 +122,14 @@ def test_fat_binary_search_finds_the_exit(spark):
     ends = {s for c, s in convs.items() if c % 2 == 0}
     compact = {k for k in held if k and (k in ends or len({h for h in held if h[:-1] == k and len(h) == len(k) + 1}) > 1)}
     assert {names[next(c for c, s in convs.items() if s[:len(k)] == k), len(k)] for k in compact} == set(by_name)
+
+
+def test_a_trie_takes_few_jobs(spark):
+    """Each exchange and broadcast of a query is a job whose thread keeps its memory on the driver for a minute."""
+    rows = [(c, t, "user", "ab"[c * t % 2], "d", "n", 7) for c in range(60) for t in range(c % 7)]
+    spark.sparkContext.setJobGroup("few-jobs", "a trie")
+    try:
+        assert result(spark, rows) == slow(rebuilt(rows))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 125
