@@ -61,12 +61,13 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[int] = (5, 2, 1), shar
     sums = prefix_sums(sums, ["_ratio", "_rank"], "_w", "_ws", partitions)
     whole = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"))
     weight = rated.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("all"))
-    total, all_w = F.lit(int(whole.first()["all"])), F.lit(int(weight.first()["all"]))
+    # literals below 2^31 are 32-bit whole numbers, and their products overflow
+    total, all_w = F.lit(int(whole.first()["all"])).cast("bigint"), F.lit(int(weight.first()["all"])).cast("bigint")
     # cap <= w * (up / down * total - caps before) / (weights from here on), in whole numbers
     stop = F.col("_cap") * down * (all_w - F.col("_ws")) <= F.col("_w") * (total * up - F.col("_caps") * down)
     sums = sums.withColumn("_stop", stop)
     full = sums.filter("_stop").agg(F.coalesce(F.sum("_cap"), F.lit(0)).alias("c"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
-    left = F.lit(int(full["c"]))
+    left = F.lit(int(full["c"])).cast("bigint")
     rest = (F.col("_w") * (total * up - left * down)).cast("double") / F.nullif(F.lit(float(down)) * (all_w - F.lit(int(full["w"]))).cast("double"), F.lit(0.0))
     return sums.select("source", "source_size", F.when(F.col("_stop"), F.col("_cap").cast("double")).otherwise(rest).alias("target"))
 

@@ -6,7 +6,7 @@ import pytest
 from helpers import odd_docs
 from pyspark.sql import functions as F
 
-from shopsignal.llm.mixing import mix, mixed_documents
+from shopsignal.llm.mixing import mix, mixed_documents, source_targets
 from shopsignal.llm.queries import op2_source_mix
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,16 @@ def test_targets_and_exact_budgets(spark):
     assert {s: math.floor(t) for s, t in want.items()} == dict(taken)
 
 
+def test_targets_of_as_many_words_as_six_gigabytes_hold(spark):
+    """Totals below 2^31 whose multiples are above it, and totals above it."""
+    for times in (1, 40):
+        sizes = {f"s{i}": (60_000_000 + 7 * i) * times for i in range(20)} | {None: 500_000_000 * times}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        want = slow_targets(sizes)
+        got = {r.source: r.target for r in source_targets(df).collect()}
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(float(want[s]), rel=1e-12) for s in want)
+
+
 def test_odd_rows_and_the_mix_itself(spark):
     df = odd_docs(spark, "taken")
     slim = mix(df).collect()
