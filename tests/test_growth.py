@@ -201,3 +201,18 @@ def test_refreshed_sales_meet_their_stores_once(spark, monkeypatch):
     monkeypatch.setattr(catalog.storage, "refresh", lambda df, root: seen.append(df.inputFiles()) or real(df, root))
     catalog.q_country_refresh(context(spark, "/root/testdata/sf0.001"))
     assert len(seen) == 2 and all("sales-with-country" in f for files in seen for f in files)
+
+
+def test_the_search_of_a_campaign_reads_products_without_a_category(spark, tmp_path):
+    from shopsignal.plans import catalog
+    from shopsignal.plans.context import Ctx
+    put = lambda name, sql: spark.sql(sql).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("part", "SELECT id AS p_partkey, if(id < 2, 'red ring', 'cup') AS p_name, 'Brand#1' AS p_brand, 'TIN' AS p_type, cast(if(id = 1, 10, 3) AS int) AS p_size FROM range(3)")
+    put("nation", "SELECT 0L AS n_nationkey, 'N0' AS n_name")
+    put("supplier", "SELECT 0L AS s_suppkey, 0L AS s_nationkey")
+    put("customer", "SELECT id AS c_custkey, 0L AS c_nationkey, 'BUILDING' AS c_mktsegment FROM range(2)")
+    put("orders", "SELECT id AS o_orderkey, id AS o_custkey, timestamp'1998-01-01 00:00:00' AS o_orderdate FROM range(2)")
+    put("lineitem", "SELECT id AS l_orderkey, id AS l_partkey, 0L AS l_suppkey, 1 AS l_linenumber, 2 AS l_quantity, 3.0 AS l_extendedprice FROM range(2)")
+    got = catalog.q_cross_sell_search(Ctx(spark, str(tmp_path)))
+    assert sorted((r.ProductID, r.ClientID) for r in got.collect()) == [("0", "1"), ("1", "0")]       # product 1 has no category
+    assert "Category IS NOT NULL" not in ORACLE_SQL["propensity_cross_sell_search"].split("t JOIN products p")[0].rsplit("FROM", 2)[-1]
