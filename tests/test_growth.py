@@ -216,3 +216,33 @@ def test_the_search_of_a_campaign_reads_products_without_a_category(spark, tmp_p
     got = catalog.q_cross_sell_search(Ctx(spark, str(tmp_path)))
     assert sorted((r.ProductID, r.ClientID) for r in got.collect()) == [("0", "1"), ("1", "0")]       # product 1 has no category
     assert "Category IS NOT NULL" not in ORACLE_SQL["propensity_cross_sell_search"].split("t JOIN products p")[0].rsplit("FROM", 2)[-1]
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    old = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = shuffle_files(spark)
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("v"))
+    kept = numeric.materialize(df, "sums")
+    scan = numeric.ordered_scan(df, [], ["k"], sum_col="v", prefix="s_")
+    assert shuffle_files(spark) <= before
+    assert kept.count() == 7 and scan.agg(F.max("s_cum")).first()[0] == sum(range(1000))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == old
+
+
+def test_scans_write_what_is_kept(spark, make_tx):
+    from shopsignal.operators import sequences
+    from test_scale_forms import checkpointed
+    tx = make_tx([{"ClientID": c, "ProductID": p, "date": f"2024-01-0{d} 00:00:00", "BasketID": b, "LineNo": 0} for c, p, d, b in
+                  [("c1", "a", 1, "2"), ("c1", "b", 1, "1"), ("c1", "a", 3, "1"), ("c1", None, 4, "1"), ("c1", "b", 5, "1"), ("c2", "a", 1, "1")]])
+    trans = sequences.markov_transitions(tx.withColumn("StoreCountry", F.lit("FR")), "ProductID")
+    scans = checkpointed(trans)
+    assert scans and all(s <= {"StoreCountry", "ClientID", "ProductID", "_scan_pid"} for s in scans)
+    assert sorted((r.State, r.NextState, r.n) for r in trans.collect()) == [("b", "a", 1)]          # b and a of a day, by basket; a again; none; b
+    seq = sequences.client_sequences(tx)
+    assert all(s <= {"ClientID", "ProductID", "_scan_pid"} for s in checkpointed(seq))
+    assert sorted((r.ClientID, r.Position, r.ProductID) for r in seq.collect()) == [("c1", 1, "b"), ("c1", 2, "a"), ("c1", 3, "a"), ("c1", 4, "b"), ("c2", 1, "a")]
