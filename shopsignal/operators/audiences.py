@@ -78,12 +78,21 @@ def rule_members(rules: DataFrame, product_bits: DataFrame, numbers: DataFrame)
 
 def search_audiences(hits: DataFrame, products: DataFrame, index_bits: DataFrame) -> DataFrame:
     """(term, Matches, Audience) for every term that finds a product: how many products it finds, and how many clients bought
-    from their families or categories. ``hits`` (term, ProductID); ``index_bits`` by (Kind, Key)."""
-    found = hits.select("term", "ProductID").distinct()
+    from their families or categories. ``hits`` (term, ProductID); ``index_bits`` by (Kind, Key).
+
+    Terms that find the same families and categories have the same audience, so bitmaps are united for one term of each such
+    set. Sets are compared by their size and two hashes of 64 bits, added up and combined bit by bit."""
+    found = materialize(hits.select("term", "ProductID").distinct(), "term-hits")     # read twice
     matches = found.groupBy("term").agg(F.count(F.lit(1)).alias("Matches"))
     p = products.select("ProductID", F.explode(F.array(
         F.struct(F.lit("FamilyLevel2").alias("Kind"), F.col("FamilyLevel2").alias("Key")),
         F.struct(F.lit("Category").alias("Kind"), F.col("Category").alias("Key")))).alias("k")).select("ProductID", "k.*").dropna().distinct()
-    keys = found.join(p.hint("merge"), "ProductID").select("term", "Kind", "Key").distinct()
-    audience = sizes(united(keys.join(index_bits, ["Kind", "Key"]), ["term"]), ["term"], "Audience")
+    keys = materialize(found.join(p.hint("merge"), "ProductID").select("term", "Kind", "Key").distinct(), "term-keys")
+    same = ["_keys", "_sum", "_xor"]
+    sets = keys.groupBy("term").agg(F.count(F.lit(1)).alias("_keys"), F.sum(F.xxhash64("Kind", "Key").cast("decimal(20,0)")).alias("_sum"),
+                                    F.bit_xor(F.xxhash64(F.lit("second"), "Kind", "Key")).alias("_xor"))
+    asked = sets.groupBy(*same).agg(F.min("term").alias("_asked"))
+    of_asked = keys.join(asked.select(F.col("_asked").alias("term")), "term", "left_semi")
+    united_sizes = sizes(united(of_asked.join(index_bits, ["Kind", "Key"]), ["term"]), ["term"], "Audience")
+    audience = sets.join(asked.join(united_sizes.withColumnRenamed("term", "_asked"), "_asked"), same).select("term", "Audience")
     return matches.join(audience, "term", "left").select("term", "Matches", F.coalesce("Audience", F.lit(0)).alias("Audience"))

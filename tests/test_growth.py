@@ -246,3 +246,16 @@ def test_scans_write_what_is_kept(spark, make_tx):
     seq = sequences.client_sequences(tx)
     assert all(s <= {"ClientID", "ProductID", "_scan_pid"} for s in checkpointed(seq))
     assert sorted((r.ClientID, r.Position, r.ProductID) for r in seq.collect()) == [("c1", 1, "b"), ("c1", 2, "a"), ("c1", 3, "a"), ("c1", 4, "b"), ("c2", 1, "a")]
+
+
+def test_bitmaps_are_united_once_for_terms_of_the_same_keys(spark, monkeypatch):
+    products = spark.createDataFrame([(str(i), "A" if i % 2 else None, "b", f"f{i % 3}") for i in range(12)], "ProductID string, Category string, FamilyLevel1 string, FamilyLevel2 string")
+    hits = spark.createDataFrame([(str(i), str(i)) for i in range(12)] + [("all", str(i)) for i in range(12)] + [("gone", "99"), (None, "1")], "term string, ProductID string")
+    index = spark.createDataFrame([("FamilyLevel2", f"f{i % 3}", f"c{i}") for i in range(9)] + [("Category", "A", "c20")], "Kind string, Key string, ClientID string")
+    bits = audiences.buyer_bitmaps(index, ["Kind", "Key"], audiences.number_clients(index))
+    seen, real = [], audiences.united
+    monkeypatch.setattr(audiences, "united", lambda sets, by: seen.append({r.term for r in sets.select("term").collect()}) or real(sets, by))
+    got = {r.term: (r.Matches, r.Audience) for r in audiences.search_audiences(hits, products, bits).collect()}
+    want = {str(i): (1, 4 if i % 2 else 3) for i in range(12)} | {"all": (12, 10), "gone": (1, 0)}
+    assert {t: v for t, v in got.items() if t is not None} == want
+    assert len(seen[0]) == 7                   # three families with and without the category, and all of them
