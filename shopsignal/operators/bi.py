@@ -63,6 +63,15 @@ def first_sales(master: DataFrame, *columns: str) -> DataFrame:
             .agg(F.min_by(F.struct(*columns), order).alias("_r")).select("ProductID", "_r.*"))
 
 
+def first_rows(sales: DataFrame) -> DataFrame:
+    """The sale of each product that ``first_sales`` takes, whole: a row per product, by an aggregate of plain sales, so that a
+    lazy view on them joins the dimensions to no others."""
+    key = row_tiebreak(sales)
+    order = [DATE, *[c for c in key if c not in ("ProductID", DATE)]]
+    firsts = sales.filter(F.col("ProductID").isNotNull()).groupBy("ProductID").agg(F.min(F.struct(*order)).alias("_r"))
+    return firsts.select("ProductID", "_r.*").select(*key)
+
+
 def product_catalog(master: DataFrame) -> DataFrame:
     """First sale row per product: its family, category and universe."""
     return first_sales(master, "FamilyLevel2", "Category", "FamilyLevel1", "Universe")
@@ -70,7 +79,8 @@ def product_catalog(master: DataFrame) -> DataFrame:
 
 def recommendation_cards(recs: DataFrame, master: DataFrame) -> DataFrame:
     """The recommended products that were ever sold, as shown on a client's card: family and
-    category of the first sale, its unit price as money, stock status (lists are stock-filtered)."""
+    category of the first sale, its unit price as money, stock status (lists are stock-filtered).
+    ``master`` holds all sales, or those of ``first_rows``."""
     priced = master.withColumn("PricePerUnit", F.col(AMOUNT).cast("double") / F.greatest(F.col(QTY), F.lit(1)))
     info = first_sales(priced, "FamilyLevel2", "Category", "PricePerUnit")
     return recs.join(info, "ProductID").select(

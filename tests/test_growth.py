@@ -259,3 +259,14 @@ def test_bitmaps_are_united_once_for_terms_of_the_same_keys(spark, monkeypatch):
     want = {str(i): (1, 4 if i % 2 else 3) for i in range(12)} | {"all": (12, 10), "gone": (1, 0)}
     assert {t: v for t, v in got.items() if t is not None} == want
     assert len(seen[0]) == 7                   # three families with and without the category, and all of them
+
+
+def test_the_first_row_of_each_product_is_the_first_sale(spark, make_tx):
+    rows = [{"ClientID": c, "ProductID": p, "date": d, "BasketID": b, "amount": a} for c, p, d, b, a in
+            [("c1", "p1", "2024-01-02 00:00:00", "1", 7), ("c2", "p1", "2024-01-02 00:00:00", "0", 8), (None, "p2", "2024-01-05 00:00:00", "1", 2), ("c1", None, "2024-01-01 00:00:00", "1", 1)]]
+    tx = make_tx(rows)
+    for m in (tx, tx.withColumn(cleaning.DATE, F.when(F.col("BasketID") == "1", F.col(cleaning.DATE)))):
+        some = bi.first_rows(m)
+        assert sorted(some.columns) == sorted(m.columns) and some.count() == 2
+        cols = ["BasketID", "ClientID", cleaning.AMOUNT]
+        assert sorted(bi.first_sales(some, *cols).collect(), key=str) == sorted(bi.first_sales(m, *cols).collect(), key=str)
