@@ -270,3 +270,13 @@ def test_the_first_row_of_each_product_is_the_first_sale(spark, make_tx):
         assert sorted(some.columns) == sorted(m.columns) and some.count() == 2
         cols = ["BasketID", "ClientID", cleaning.AMOUNT]
         assert sorted(bi.first_sales(some, *cols).collect(), key=str) == sorted(bi.first_sales(m, *cols).collect(), key=str)
+
+
+def test_affinity_reads_sales_once(spark, make_tx):
+    tx = make_tx([{"ClientID": c, "ProductID": p, "amount": a, "date": f"2024-01-0{a} 00:00:00"} for c, p, a in [("c1", "f", 1), ("c1", "f", 2), ("c1", "g", 3), ("c1", None, 4), (None, "f", 9)]])
+    m = tx.withColumn("FamilyLevel1", F.col("ProductID")).withColumn("StoreCountry", F.lit("FR"))
+    for aff in (customers.affinity_matrix(m), customers.affinity_matrix(m, by_country=True)):
+        p = aff._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in p.replace("Join Inner, (StoreCountry", "") and "families" in "".join(aff.inputFiles()) and "client-sales" not in "".join(aff.inputFiles())
+        got = sorted((r.FamilyLevel1, r.CategorySpend, r.PurchaseCount, r.TotalSpend, str(r.LastPurchaseDate)) for r in aff.collect())
+        assert got == [("f", 3.0, 2, 10.0, "2024-01-04 00:00:00"), ("g", 3.0, 1, 10.0, "2024-01-04 00:00:00")]
