@@ -53,3 +53,14 @@ def test_the_same_lists_by_blocks_and_by_tables(spark, monkeypatch):
     assert rows(similarity.similar_by_hash(df, 5, min_bits=3)) == by_blocks and not asked
     monkeypatch.setattr(similarity, "PAIR_BLOCK", 1)     # more blocks than tables
     assert rows(similarity.similar_by_hash(df, 5, min_bits=3)) == by_blocks and asked
+
+
+def test_recall_writes_both_lists_once(spark, monkeypatch):
+    df = table(spark, clustered(60, 4, 8, seed=6)).cache()
+    lists = sequences.similar_products(df, 3)
+    seen, real = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, label: seen.append(label) or real(df, label))
+    quality = similarity.neighbour_recall(lists.filter("Rank < 3 or ProductID < 'p00030'"), lists)
+    assert seen == ["neighbours"] * 2
+    assert tuple(quality.first()) == (60, 30, 150 / 180)
+    assert "FlatMapGroupsInPandas" not in quality._jdf.queryExecution().executedPlan().toString()
