@@ -28,7 +28,7 @@ def number_clients(ids: DataFrame) -> DataFrame:
 
 def buyer_bitmaps(bought: DataFrame, keys: Sequence[str], numbers: DataFrame) -> DataFrame:
     """(keys, Bucket, Bits): the buyers of each key as bitmaps. Clients without a number are left out, so are NULL keys."""
-    pairs = bought.select(*keys, "ClientID").dropna().distinct().join(numbers, "ClientID")
+    pairs = materialize(bought.select(*keys, "ClientID").dropna().distinct(), "buyers").join(numbers, "ClientID")     # the sales' shuffles are gone before the join's
     n = F.col("Number")
     return pairs.groupBy(*keys, F.bitmap_bucket_number(n).alias("Bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("Bits"))
 
