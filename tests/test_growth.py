@@ -248,6 +248,24 @@ def test_scans_write_what_is_kept(spark, make_tx):
     assert sorted((r.ClientID, r.Position, r.ProductID) for r in seq.collect()) == [("c1", 1, "b"), ("c1", 2, "a"), ("c1", 3, "a"), ("c1", 4, "b"), ("c2", 1, "a")]
 
 
+def test_histories_are_scanned_part_by_part(spark, make_tx, monkeypatch):
+    from shopsignal.operators import sequences
+    tx = make_tx([{"ClientID": f"c{i % 9}", "ProductID": f"p{i * i % 7}", "date": f"2024-01-{i % 28 + 1:02d} 00:00:00", "BasketID": str(i)} for i in range(120)])
+    tx = tx.withColumn("StoreCountry", F.when(F.col("ClientID") != "c8", F.concat(F.lit("N"), F.substring("BasketID", 1, 1))))
+    seen, real = [], sequences.ordered_scan
+    monkeypatch.setattr(sequences, "ordered_scan", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    for by in ("StoreCountry", None):
+        found = []
+        for most in (1_000_000, 30):
+            monkeypatch.setattr(sequences, "PART_SALES", most)
+            seen.clear()
+            trans = sequences.markov_transitions(tx, "ProductID", by=by)
+            found.append((trans.dtypes, sorted(trans.select("Country", "State", "NextState", "n", F.round("prob", 6)).collect())))
+            rows = tx.filter(F.col(by).isNotNull()).count() if by else 120
+            assert sum(seen) == rows and len(seen) == (1 if most > 30 else -(-rows // 30))
+        assert found[0] == found[1] and found[0][1]
+
+
 def test_bitmaps_are_united_once_for_terms_of_the_same_keys(spark, monkeypatch):
     products = spark.createDataFrame([(str(i), "A" if i % 2 else None, "b", f"f{i % 3}") for i in range(12)], "ProductID string, Category string, FamilyLevel1 string, FamilyLevel2 string")
     hits = spark.createDataFrame([(str(i), str(i)) for i in range(12)] + [("all", str(i)) for i in range(12)] + [("gone", "99"), (None, "1")], "term string, ProductID string")
