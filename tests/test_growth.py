@@ -266,6 +266,17 @@ def test_histories_are_scanned_part_by_part(spark, make_tx, monkeypatch):
         assert found[0] == found[1] and found[0][1]
 
 
+def test_prices_and_families_are_written_before_the_scores(spark, make_tx, monkeypatch):
+    from shopsignal.operators import products
+    tx = make_tx([{"ClientID": "c1", "ProductID": p, "date": f"2024-03-0{d} 00:00:00", "BasketID": str(d)} for p, d in (("p1", 1), ("p1", 2), ("p2", 3), (None, 4))])
+    m = tx.withColumn("StoreCountry", F.lit("FR")).withColumn("FamilyLevel1", F.when(F.col("ProductID") == "p1", F.concat(F.lit("f"), "BasketID"))).withColumn("PricePerUnit", F.lit(4.0))
+    seen, real = [], products.materialize
+    monkeypatch.setattr(products, "materialize", lambda df, label: seen.append(label) or real(df, label))
+    got = products.trending_scores(m, dt.datetime(2024, 3, 31), filtered=m).collect()
+    assert seen == ["products-sold"]
+    assert sorted((r.ProductID or "", r.FamilyLevel1, r.PricePerUnit) for r in got) == [("", "Unknown", 0.0), ("p1", "f2", 4.0), ("p2", "Unknown", 4.0)]
+
+
 def test_bitmaps_are_united_once_for_terms_of_the_same_keys(spark, monkeypatch):
     products = spark.createDataFrame([(str(i), "A" if i % 2 else None, "b", f"f{i % 3}") for i in range(12)], "ProductID string, Category string, FamilyLevel1 string, FamilyLevel2 string")
     hits = spark.createDataFrame([(str(i), str(i)) for i in range(12)] + [("all", str(i)) for i in range(12)] + [("gone", "99"), (None, "1")], "term string, ProductID string")
